@@ -182,3 +182,22 @@ WS = np.ones(256, bool)
 WS[[9, 10, 11, 12, 13, 32]] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+
+
+def ranges(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """All integers of the half-open ranges, in order."""
+    n = end - begin
+    if not len(n):
+        return np.zeros(0, np.int64)
+    return np.arange(int(n.sum())) + np.repeat(begin - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
+
+
+def mask_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Half-open spans united into maximal runs."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out

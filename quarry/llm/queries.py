@@ -45,3 +45,71 @@ reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b F
 comp AS (SELECT a, min(b) AS m FROM reach GROUP BY a)
 SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, m AS component_id, s.doc_id = m AS kept FROM s JOIN comp ON comp.a = s.doc_id
 """
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contaminated
+
+    found = contaminated(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    hit = F.aggregate("_hit", F.lit(0).cast("long"), lambda a, x: a + x.end - x.start)
+    return found.select(
+        "doc_id", F.col("_n").alias("n_words"), hit.alias("n_hit"), F.size("_items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("_items", ",").cast("binary"), 256).alias("items_sha256"), F.col("_bad").alias("contaminated"),
+    )
+
+
+QUERIES["op6_decontaminate"] = op6_decontaminate
+SQL["op6_decontaminate"] = r"""
+WITH split AS (
+  SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark WHERE item_id IS NOT NULL),
+w AS (
+  SELECT kind, id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS words
+  FROM split),
+item AS (
+  SELECT DISTINCT id, least(len(words), 8) AS k, unnest(list_transform(range(1, greatest(len(words) - 7, 1) + 1), lambda i: array_to_string(words[i:i + 7], ' '))) AS win
+  FROM w WHERE kind = 'b' AND len(words) > 0),
+d AS (
+  SELECT id, words, k, unnest(range(1, len(words) - k + 2)) AS p FROM w, (SELECT DISTINCT k FROM item) WHERE kind = 'd' AND len(words) >= k),
+hit AS (SELECT d.id, d.p, d.k, item.id AS item FROM d JOIN item ON item.k = d.k AND item.win = array_to_string(d.words[d.p:d.p + d.k - 1], ' ')),
+pos AS (SELECT id, count(DISTINCT q) AS n FROM (SELECT id, unnest(range(p, p + k)) AS q FROM hit) GROUP BY id),
+its AS (SELECT id, count(*) AS n, string_agg(CAST(item AS VARCHAR), ',' ORDER BY CAST(item AS VARCHAR)) AS s FROM (SELECT DISTINCT id, item FROM hit) GROUP BY id)
+SELECT w.id AS doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(pos.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(its.n, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(its.s, '')) AS items_sha256, coalesce(its.n, 0) >= 2 AS contaminated
+FROM w LEFT JOIN pos ON pos.id = w.id LEFT JOIN its ON its.id = w.id WHERE kind = 'd'
+"""
+
+
+def op9_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repetition import judged
+
+    return judged(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES["op9_repetition"] = op9_repetition
+SQL["op9_repetition"] = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM t),
+win AS (
+  SELECT doc_id, k, p, array_to_string(words[p:p + k - 1], ' ') AS g
+  FROM (SELECT doc_id, words, k, unnest(range(1, len(words) - k + 2)) AS p FROM w, (SELECT unnest(range(5, 11)) AS k) WHERE len(words) >= k)),
+dup AS (SELECT doc_id, k, p FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, k, g) > 1),
+cov AS (SELECT DISTINCT doc_id, k, unnest(range(p, p + k)) AS q FROM dup),
+share AS (
+  SELECT w.doc_id, count(*) FILTER (k = 8) AS n_repeat, sum(length(words[q])) FILTER (k = 5) AS c5, sum(length(words[q])) FILTER (k = 6) AS c6, sum(length(words[q])) FILTER (k = 7) AS c7,
+    sum(length(words[q])) FILTER (k = 8) AS c8, sum(length(words[q])) FILTER (k = 9) AS c9, sum(length(words[q])) FILTER (k = 10) AS c10
+  FROM cov JOIN w ON w.doc_id = cov.doc_id GROUP BY w.doc_id),
+line AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM t),
+lines AS (
+  SELECT doc_id, CAST(sum(n - 1) AS BIGINT) AS n_dup, sum((n - 1) * length(regexp_replace(l, '[\x20\x09-\x0D]+', '', 'g'))) AS c
+  FROM (SELECT doc_id, l, count(*) AS n FROM line WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY doc_id, l) GROUP BY doc_id),
+f AS (
+  SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+    CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(lines.n_dup, 0) AS n_dup_lines, CAST(coalesce(n_repeat, 0) AS BIGINT) AS n_repeat_words,
+    coalesce(lines.c, 0) AS cl, coalesce(c5, 0) AS c5, coalesce(c6, 0) AS c6, coalesce(c7, 0) AS c7, coalesce(c8, 0) AS c8, coalesce(c9, 0) AS c9, coalesce(c10, 0) AS c10
+  FROM w LEFT JOIN share ON share.doc_id = w.doc_id LEFT JOIN lines ON lines.doc_id = w.doc_id),
+b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM f)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT (100 * cl > 20 * word_chars OR 100 * c5 > 15 * word_chars OR 100 * c6 > 14 * word_chars OR 100 * c7 > 13 * word_chars
+    OR 100 * c8 > 12 * word_chars OR 100 * c9 > 11 * word_chars OR 100 * c10 > 10 * word_chars) AS kept
+FROM b
+"""

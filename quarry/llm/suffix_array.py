@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_CODE, U64, blobs, found_in, materialize, mix, pair, sliding
+from .common import BYTE_CODE, U64, blobs, found_in, materialize, mix, pair, ranges, sliding
 
 LENGTH = 400
 #: Windows that are looked at together, for bounded memory with very long texts.
@@ -253,14 +253,6 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, ro
 SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def ranges(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """All integers of the half-open ranges, in order."""
-    n = end - begin
-    if not len(n):
-        return np.zeros(0, np.int64)
-    return np.arange(int(n.sum())) + np.repeat(begin - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
-
-
 def cut_one(data: np.ndarray, gone: np.ndarray) -> tuple[list[dict], bytes, str]:
     edge = np.diff(np.concatenate([[0], gone.view(np.int8), [0]]))
     spans = [{"start": int(a), "end": int(b)} for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True)]
