@@ -113,3 +113,15 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
     OR 100 * c8 > 12 * word_chars OR 100 * c9 > 11 * word_chars OR 100 * c10 > 10 * word_chars) AS kept
 FROM b
 """
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import held_out, identified, trained
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = trained(docs.where(F.col("doc_id").isNotNull() & ~held_out()))
+    found = identified(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out().alias("held_out"), F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"))
+
+
+QUERIES["op5_language"] = op5_language
