@@ -125,3 +125,13 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op5_language"] = op5_language
+
+
+def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pieces import Vocabulary, encoded
+
+    found = encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), Vocabulary.load(), ids=False)
+    return found.select("doc_id", F.col("_n").alias("n_ids"), F.col("_sha").alias("ids_sha256"), F.col("_lossless").alias("lossless"))
+
+
+QUERIES["op10_pieces"] = op10_pieces
