@@ -135,3 +135,62 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op10_pieces"] = op10_pieces
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import archive_folder, read_archives, write_archives
+
+    folder = archive_folder(spark)
+    index = write_archives(table(spark, sf_dir, "pages"), folder)
+    return read_archives(index, folder).drop("record_id")
+
+
+QUERIES["op2_warc"] = op2_warc
+SQL["op2_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+g AS (SELECT html, max(page_id) AS first FROM p WHERE octet_length(encode(html)) >= 1000 GROUP BY html)
+SELECT p.page_id, CAST(octet_length(encode(p.html)) AS BIGINT) AS payload_bytes, sha1(p.html) AS payload_digest,
+  CASE WHEN g.first <> p.page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN g.first <> p.page_id THEN g.first END AS refers_to
+FROM p LEFT JOIN g ON g.html = p.html
+"""
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filter import judged
+
+    return judged(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def _url_sql() -> str:
+    """The fixed number of rounds written out as that many steps."""
+    from .url_filter import DAMPING, RATIO, ROUNDS, RULES, UNIT
+
+    fits = "\n".join(f"  WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{h}{p} {v}'" for h, p, v in sorted(RULES, key=lambda r: -len(r[0] + r[1])))
+    steps = "".join(
+        f"m{k + 1} AS (SELECT host, kind, CAST(sum(mass) AS BIGINT) AS mass FROM (SELECT dst AS host, m.kind, mass * {DAMPING} // 100 * n // total AS mass FROM m{k} m JOIN e ON e.kind = m.kind AND e.src = m.host "
+        f"UNION ALL SELECT host, kind, seed FROM seeds) GROUP BY host, kind),\n"
+        for k in range(ROUNDS)
+    )
+    return rf"""
+WITH p AS (
+  SELECT page_id, html, coalesce(translate(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+r AS (SELECT *, CASE
+{fits} END AS fit FROM p),
+l AS (
+  SELECT src, dst, count(*) AS n FROM (
+    SELECT host AS src, translate(regexp_extract(unnest(regexp_extract_all(html, '(?i)\bhref\s*=\s*["'']?\s*((?:https?:)?//[^"''\s>]+)', 1)), '//([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS dst
+    FROM r WHERE host <> '') WHERE dst <> '' AND dst <> src GROUP BY src, dst),
+b AS (SELECT 'trust' AS kind, src, dst, n FROM l UNION ALL SELECT 'distrust', dst, src, n FROM l),
+e AS (SELECT *, CAST(sum(n) OVER (PARTITION BY kind, src) AS BIGINT) AS total FROM b),
+c AS (SELECT host, count(*) AS n, count(*) FILTER (fit LIKE '% allow') AS a, count(*) FILTER (fit LIKE '% block') AS b FROM r WHERE host <> '' GROUP BY host),
+seeds AS (SELECT host, 'trust' AS kind, {UNIT} * a // n AS seed FROM c WHERE {UNIT} * a // n > 0 UNION ALL SELECT host, 'distrust', {UNIT} * b // n FROM c WHERE {UNIT} * b // n > 0),
+m0 AS (SELECT host, kind, seed AS mass FROM seeds),
+{steps}bad AS (SELECT host FROM m{ROUNDS} GROUP BY host HAVING 100 * coalesce(sum(mass) FILTER (kind = 'distrust'), 0) > {RATIO} * coalesce(sum(mass) FILTER (kind = 'trust'), 0))
+SELECT page_id, r.host, path, split_part(fit, ' ', 1) AS rule, coalesce(split_part(fit, ' ', 2), CASE WHEN bad.host IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+FROM r LEFT JOIN bad ON bad.host = r.host
+"""
+
+
+QUERIES["op8_url_filter"] = op8_url_filter
+SQL["op8_url_filter"] = _url_sql()
