@@ -4,8 +4,10 @@ Texts with equal shingle sets are one class from the start.  A class has 200
 MinHash samples: 40 bands of 5 give candidate buckets, and all samples are folded
 into a parity bitmap of 1024 bits (an odd sketch).  The number of ones of two
 bitmaps' XOR estimates how many samples differ; a pair whose count is six standard
-deviations beyond that of the threshold is left out, all others are confirmed on
-their full shingle sets.
+deviations beyond that of the threshold is left out.  A second parity bitmap, of
+2048 bits over all shingles of the set, has at most as many ones in the XOR as the
+sets have different shingles: a pair with more ones than the threshold allows is
+left out with certainty.  All others are confirmed on their full shingle sets.
 
 No bucket is spelled out into pairs.  Its members are first linked to its smallest
 member: each class tries its most similar leader, then the other leaders of
@@ -32,11 +34,11 @@ from pyspark.sql import functions as F
 from .common import LOWER, U64, WS, class_bounds, groups_of, materialize, mix, pair, span_hashes, window_hashes
 from .components import components
 
-BANDS, ROWS, BITS, BLOCK = 40, 5, 1024, 256
+BANDS, ROWS, BITS, SET_BITS, BLOCK = 40, 5, 1024, 2048, 256
 _R = np.random.default_rng(20240817)
 A = _R.integers(1, 2**63, BANDS * ROWS, dtype=U64) * U64(2) + U64(1)
 B = _R.integers(0, 2**63, BANDS * ROWS, dtype=U64)
-LANES = BITS // 64
+LANES, SET_LANES = BITS // 64, SET_BITS // 64
 
 
 def word_lists(column: pa.Array):
@@ -72,13 +74,18 @@ def banded(low: np.ndarray) -> np.ndarray:
     return out
 
 
-def odd_sketch(low: np.ndarray) -> np.ndarray:
-    """Parities of the samples that fall on each bit, as 64-bit lanes."""
-    bit = mix(low + mix(np.arange(len(low)).astype(U64))) % U64(BITS)
-    odd = np.bincount(bit.astype(np.int64), minlength=BITS) & 1
+def parities(names: np.ndarray, bits: int) -> np.ndarray:
+    """Parities of the names that fall on each bit, as 64-bit lanes."""
+    odd = np.bincount((names % U64(bits)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(U64)
 
 
+def odd_sketch(low: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """The lanes of the samples, then those of the whole set."""
+    samples = mix(low + mix(np.arange(len(low)).astype(U64)))
+    return np.concatenate([parities(samples, BITS), parities(mix(s), SET_BITS)])
+
+
 def most_ones(threshold: float) -> int:
     """Ones of an XOR beyond which a pair can be left out."""
     k = BANDS * ROWS
@@ -103,7 +110,7 @@ def described(docs: DataFrame, text: str, n: int) -> DataFrame:
                 s2.append(int(np.add.reduce(mix(s + U64(0x89ABCDEF1)))) if len(s) else 0)
                 low = signature(s) if len(s) else None
                 bands.append(banded(low).view(np.int64) if len(s) else None)
-                sketch.append(odd_sketch(low).view(np.int64) if len(s) else None)
+                sketch.append(odd_sketch(low, s).view(np.int64) if len(s) else None)
             rest = [batch.column(c) for c in batch.schema.names if c != "_t"]
             made = [pa.array(size, pa.int64()), *(pa.array(np.array(x, U64).view(np.int64)) for x in (s1, s2)), *(pa.array(x, pa.list_(pa.int64())) for x in (bands, sketch))]
             yield pa.RecordBatch.from_arrays(rest + made, [*(c for c in batch.schema.names if c != "_t"), "_n", "_s1", "_s2", "_bands", "_sketch"])
@@ -138,7 +145,7 @@ def with_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     in_bands = classes.select(F.explode("_bands").alias("key"), "node")
     buckets = materialize(in_bands.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("lead")).where("size > 1"), "buckets")
     members = materialize(in_bands.join(buckets, "key"), "members")
-    sketch = classes.select("node", "_n", *(F.get("_sketch", F.lit(i)).alias(f"_x{i}") for i in range(LANES)))
+    sketch = classes.select("node", "_n", *(F.get("_sketch", F.lit(i)).alias(f"_x{i}") for i in range(LANES + SET_LANES)))
     wanted = members.select("node").distinct().join(classes.select("node", "_k1", "_k2"), "node")
     texts = docs.select(F.xxhash64("_text").alias("_k1"), F.xxhash64(F.lit(7), F.col("_text"), F.octet_length("_text")).alias("_k2"), F.col("_text").alias("_t"))
     texts = materialize(texts.join(wanted, ["_k1", "_k2"]).groupBy("node").agg(F.first("_t").alias("_t")), "texts")
@@ -148,13 +155,17 @@ def with_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     def side(x: str) -> DataFrame:
         return sketch.select(*(F.col(c).alias(f"{x}{c}") for c in sketch.columns))
 
+    def ones(first: int, end: int) -> F.Column:
+        lanes = [F.bit_count(F.col(f"a_x{i}").bitwiseXOR(F.col(f"b_x{i}"))) for i in range(first, end)]
+        return sum(lanes[1:], lanes[0])
+
     def alike() -> F.Column:
-        ones = sum((F.bit_count(F.col(f"a_x{i}").bitwiseXOR(F.col(f"b_x{i}"))) for i in range(LANES)), F.lit(0))
-        return ones
+        surely = ones(LANES, LANES + SET_LANES) * (100 + percent) <= (F.col("a_n") + F.col("b_n")) * (100 - percent)
+        return surely & (ones(0, LANES) <= limit)
 
     near_size = F.expr(f"100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n)")
     stars = members.where("node <> lead").select(F.col("node").alias("anode"), F.col("lead").alias("bnode")).distinct()
-    stars = stars.join(side("a"), "anode").join(side("b"), "bnode").where(near_size).select(F.col("anode").alias("a"), F.col("bnode").alias("b"), alike().alias("ones")).where(F.col("ones") <= limit)
+    stars = stars.join(side("a"), "anode").join(side("b"), "bnode").where(near_size & alike()).select(F.col("anode").alias("a"), F.col("bnode").alias("b"), ones(0, LANES).alias("ones"))
     stars = materialize(stars, "stars")
     first = stars.groupBy("a").agg(F.min_by("b", F.struct("ones", "b")).alias("b"))
     links = confirmed(first, texts, n, percent)
@@ -176,7 +187,7 @@ def with_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     at = materialize(at.join(sketch, "node"), "blocks")
     left = at.select("key", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"), *(F.col(c).alias(f"a{c}") for c in ("node", "comp", *sketch.columns[1:])))
     right = at.select("key", F.col("block").alias("j"), F.explode(F.sequence(F.lit(0), "block")).alias("i"), *(F.col(c).alias(f"b{c}") for c in ("node", "comp", *sketch.columns[1:])))
-    met = left.join(right, (left.key == right.key) & (left.i == right.i) & (left.j == right.j) & (F.col("acomp") != F.col("bcomp")) & ((left.i < right.j) | (F.col("anode") < F.col("bnode"))) & near_size & (alike() <= limit))
+    met = left.join(right, (left.key == right.key) & (left.i == right.i) & (left.j == right.j) & (F.col("acomp") != F.col("bcomp")) & ((left.i < right.j) | (F.col("anode") < F.col("bnode"))) & near_size & alike())
     met = met.select(F.least("anode", "bnode").alias("a"), F.greatest("anode", "bnode").alias("b")).distinct()
     tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     last = confirmed(met.join(tried, ["a", "b"], "left_anti"), texts, n, percent)
