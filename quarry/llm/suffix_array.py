@@ -58,37 +58,48 @@ def longer(x: np.ndarray, done: int, length: int) -> np.ndarray:
     return x if done == length else pair(x[: len(x) - (length - done)], x[length - done :])
 
 
-def tiles(data: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(first window, bytes) of pieces that hold TILE windows each."""
-    for at in range(0, max(0, len(data) - length + 1), TILE):
-        yield at, data[at : at + TILE + length - 1]
-
-
 class Text:
-    """The windows of one text that are not yet known to be unique."""
+    """The windows of one text that are not yet known to be unique: ``runs`` holds starts and ends in turn."""
 
-    def __init__(self, data: np.ndarray, length: int, rounds: list[tuple[int, np.ndarray]]):
-        self.data, self.length, self.rounds = data, length, rounds
+    def __init__(self, data: np.ndarray, length: int, runs: np.ndarray | None = None):
+        self.data, self.length = data, length
+        self.runs = np.array([0, max(0, len(data) - length + 1)], np.int64) if runs is None else runs
 
     def parts(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(first window, bytes, mask of the windows that are left) by tile."""
-        for at, part in tiles(self.data, self.length):
-            left = np.ones(len(part) - self.length + 1, bool)
-            for size, known in self.rounds:
-                left &= found_in(sliding(names(part, size), self.length - size + 1), known)
-            if left.any():
-                yield at, part, left
+        """(first window, bytes, mask of the windows that are left): near runs together, TILE windows at most."""
+        starts, ends = self.runs[::2], self.runs[1::2]
+        cut = np.flatnonzero(starts[1:] > ends[:-1] + self.length) + 1
+        for a, b in zip(np.concatenate([[0], cut]), np.concatenate([cut, [len(starts)]]), strict=True):
+            for at in range(int(starts[a]), int(ends[b - 1]), TILE):
+                stop = min(at + TILE, int(ends[b - 1]))
+                edge = np.zeros(stop - at + 1, np.int32)
+                lo, hi = np.clip(starts[a:b], at, stop) - at, np.clip(ends[a:b], at, stop) - at
+                np.add.at(edge, lo, 1)
+                np.add.at(edge, hi, -1)
+                left = np.cumsum(edge[:-1]) > 0
+                if left.any():
+                    yield at, self.data[at : stop + self.length - 1], left
 
     def sampled(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         """Smallest names of ``size`` bytes of the windows left, and at how many positions each stands."""
         found = []
         for _, part, left in self.parts():
             x = names(part, size)
-            low = np.unique(sliding(x, self.length - size + 1)[left])
-            found.append(x[found_in(x, low)])
-        if len(found) > 1:  # a position may lie in two tiles: counting it twice only keeps a window longer
-            return np.unique(np.concatenate(found), return_counts=True)
-        return np.unique(found[0], return_counts=True) if found else (np.zeros(0, U64), np.zeros(0, np.int64))
+            low = sliding(x, self.length - size + 1)
+            found.append(x[found_in(x, np.unique(low[left]))])
+        if not found:
+            return np.zeros(0, U64), np.zeros(0, np.int64)
+        # a position may lie in two parts: counting it twice only keeps a window longer
+        return np.unique(np.concatenate(found), return_counts=True)
+
+    def kept(self, size: int, known: np.ndarray) -> np.ndarray:
+        """The runs of the windows whose smallest name is known to be repeated."""
+        out = [np.zeros(0, np.int64)]
+        for at, part, left in self.parts():
+            left = left & found_in(sliding(names(part, size), self.length - size + 1), known)
+            edge = np.flatnonzero(np.diff(np.concatenate([[0], left.view(np.int8), [0]])))
+            out.append(edge + at)
+        return np.concatenate(out)
 
     def chunks(self, size: int) -> Iterator[tuple[np.ndarray, ...]]:
         """By tile: first and last window, smallest name and two context names of each chunk, and all window names."""
@@ -129,8 +140,9 @@ def as_names(column, i: int) -> np.ndarray:
     return np.sort(value.values.to_numpy(zero_copy_only=False).view(U64)) if value.is_valid else np.zeros(0, U64)
 
 
-def known_rounds(batch: pa.RecordBatch, sizes: list[int], i: int) -> list[tuple[int, np.ndarray]]:
-    return [(s, as_names(batch.column(f"_r{s}"), i)) for s in sizes]
+def runs_of(batch: pa.RecordBatch, i: int) -> np.ndarray | None:
+    """The runs of row i; None, for all windows, before the first round."""
+    return batch.column("_runs")[i].values.to_numpy() if "_runs" in batch.schema.names else None
 
 
 def flat(batch: pa.RecordBatch, keys: list[str], per_row: list[tuple[np.ndarray, ...]], labels: list[str]) -> pa.RecordBatch:
@@ -159,19 +171,28 @@ def survivors(rows: DataFrame, name: list[str], keys: list[str], give: str, labe
     return rows.join(twice, name).groupBy(*keys).agg(F.collect_set(give).alias(label))
 
 
-def refine(texts: DataFrame, known: list[int], size: int, length: int) -> DataFrame:
+def refine(texts: DataFrame, size: int, length: int) -> DataFrame:
     """Rows (name, key, positions) of one round."""
 
     def emit(batches):
         for batch in batches:
-            rows = []
-            for i, data in enumerate(blobs(batch.column("_t"))):
-                rows.append(Text(data, length, known_rounds(batch, known, i)).sampled(size))
+            rows = [Text(data, length, runs_of(batch, i)).sampled(size) for i, data in enumerate(blobs(batch.column("_t")))]
             yield flat(batch, KEY, rows, ["_name", "_n"])
 
     return materialize(texts.mapInArrow(emit, "_k1 long, _k2 long, _name long, _n long"), "names")
 
 
+def narrowed(texts: DataFrame, size: int, length: int) -> DataFrame:
+    """The texts, with the runs of windows that outlast the round."""
+
+    def run(batches):
+        for batch in batches:
+            runs = [Text(data, length, runs_of(batch, i)).kept(size, as_names(batch.column("_known"), i)) for i, data in enumerate(blobs(batch.column("_t")))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*KEY, "_t")), pa.array(runs, pa.list_(pa.int64()))], [*KEY, "_t", "_runs"])
+
+    return texts.mapInArrow(run, "_k1 long, _k2 long, _t string, _runs array<long>").where(F.size("_runs") > 0)
+
+
 def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, rounds: tuple[int, ...] = (100, 200), chunk: int = 352) -> DataFrame:
     """For each distinct text that shares a string of ``length`` bytes with another text or with itself:
     its key, the removed runs (array of start and end byte), the bytes kept and their SHA-256."""
@@ -180,20 +201,19 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, ro
     rounds = tuple(min(r, length) * length // LENGTH or 1 for r in rounds) if length != LENGTH else rounds
     chunk = chunk if length == LENGTH else max((length + 1) // 2, length * chunk // LENGTH)
     all_texts = keyed(docs.select(F.col(text).alias("_t")), "_t").where(F.octet_length("_t") >= length)
-    known: list[int] = []
     texts = all_texts
-    for size in dict.fromkeys(rounds):
-        hits = survivors(refine(texts, known, size, length), ["_name"], KEY, "_name", f"_r{size}")
-        carried = [F.first(c).alias(c) for c in ("_t", *(f"_r{s}" for s in known), f"_r{size}")]
-        texts = materialize(texts.join(hits, KEY).groupBy(*KEY).agg(*carried), "texts")
-        known.append(size)
+    for k, size in enumerate(dict.fromkeys(rounds)):
+        hits = survivors(refine(texts, size, length), ["_name"], KEY, "_name", "_known")
+        # copies become one text before they are shuffled
+        one = texts if k else texts.groupBy(*KEY).agg(F.first("_t").alias("_t"))
+        texts = materialize(narrowed(one.join(hits, KEY), size, length), "texts")
     texts = materialize(texts.withColumn("_u", F.monotonically_increasing_id()), "texts")
 
     def contexts(batches):
         for batch in batches:
             rows = []
             for i, data in enumerate(blobs(batch.column("_t"))):
-                found = [x[3:6] for x in Text(data, length, known_rounds(batch, known, i)).chunks(chunk)]
+                found = [x[3:6] for x in Text(data, length, runs_of(batch, i)).chunks(chunk)]
                 cls, c1, c2 = (np.concatenate([f[j] for f in found]) if found else np.zeros(0, U64) for j in range(3))
                 _, first, n = np.unique(c1, return_index=True, return_counts=True)
                 rows.append((cls[first], c1[first], c2[first], n))
@@ -213,7 +233,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, ro
             rows = []
             for i, data in enumerate(blobs(batch.column("_t"))):
                 wanted, found = as_names(batch.column("_look"), i), []
-                for _, begin, last, _, c1, _, w1, w2 in Text(data, length, known_rounds(batch, known, i)).chunks(chunk):
+                for _, begin, last, _, c1, _, w1, w2 in Text(data, length, runs_of(batch, i)).chunks(chunk):
                     some = found_in(c1, wanted)
                     at = ranges(begin[some], last[some] + 1)
                     found.append((w1[at], w2[at]))
@@ -231,7 +251,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, ro
             for i, data in enumerate(blobs(batch.column("_t"))):
                 whole_, exact_ = as_names(batch.column("_whole"), i), as_names(batch.column("_exact"), i)
                 gone = np.zeros(len(data) + 1, np.int32)
-                for at, begin, last, _, c1, _, w1, _ in Text(data, length, known_rounds(batch, known, i)).chunks(chunk):
+                for at, begin, last, _, c1, _, w1, _ in Text(data, length, runs_of(batch, i)).chunks(chunk):
                     some = found_in(c1, whole_)
                     rest = ranges(begin[~some], last[~some] + 1)
                     rest = rest[found_in(w1[rest], exact_)]
