@@ -194,3 +194,24 @@ FROM r LEFT JOIN bad ON bad.host = r.host
 
 QUERIES["op8_url_filter"] = op8_url_filter
 SQL["op8_url_filter"] = _url_sql()
+
+
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import matches
+
+    found = matches(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", *(F.col(f"_{c}").alias(c) for c in ("license", "matched", "template_words", "first_word", "last_word", "start", "end", "coverage")))
+
+
+def op7_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quotes import linked
+
+    found = linked(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    return found.select(
+        F.col("_thread").alias("thread_id"), "conv_id", "turn", "role", F.col("_reply_conv").alias("reply_conv"), F.col("_reply_turn").alias("reply_turn"),
+        F.col("_quotes").alias("n_quotes"), F.col("_linked").alias("n_linked"), F.col("_body").alias("body"),
+    )
+
+
+QUERIES["op4_licenses"] = op4_licenses
+QUERIES["op7_quotes"] = op7_quotes
