@@ -138,6 +138,25 @@ def confirmed(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataF
 
 def with_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs``."""
+    out = placed(docs, text, doc_id, n, percent)
+    comp = F.when(F.col("_n") == 0, F.col("_id")).otherwise(F.col("_least.doc"))
+    return out.select(F.col("_id").alias(doc_id), F.col("_n").alias("n_shingles"), comp.alias("component_id"), F.coalesce(F.col("_id") == comp, comp.isNull()).alias("kept"))
+
+
+def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int = 5, percent: int = 80) -> DataFrame:
+    """One row of each component of ``docs``: that with the smallest id, and of rows that share it one.
+    Rows with an empty set all stay.  Equal rows are folded before the shuffle."""
+    found = placed(docs, text, doc_id, n, percent)
+    chosen = found.where("_n = 0 OR (_id <=> _least.doc AND _s1 = _least._s1 AND _s2 = _least._s2)")
+    chosen = materialize(chosen.groupBy("_id", "_s1", "_s2").agg(F.min(F.struct("_k1", "_k2")).alias("k")).select(F.col("_id").alias("_i"), F.col("k._k1").alias("_a"), F.col("k._k2").alias("_b")).distinct(), "chosen")
+    keyed = docs.withColumns({"_k1": F.xxhash64(text), "_k2": F.xxhash64(F.lit(7), F.col(text), F.octet_length(text))})
+    rest = [c for c in docs.columns if c != doc_id]
+    one = keyed.groupBy(doc_id, "_k1", "_k2").agg(*(F.first(c).alias(c) for c in rest))
+    return one.join(chosen, one[doc_id].eqNullSafe(F.col("_i")) & (F.col("_k1") == F.col("_a")) & (F.col("_k2") == F.col("_b")), "left_semi").select(*docs.columns)
+
+
+def placed(docs: DataFrame, text: str, doc_id: str, n: int, percent: int) -> DataFrame:
+    """Row by row: id, text key, set size, set names and ``_least``, the component's smallest id and its set."""
     docs = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
     rows = materialize(described(docs, "_text", n), "sets")
     classes = rows.where("_n > 0").groupBy("_s1", "_s2").agg(*(F.first(c).alias(c) for c in ("_k1", "_k2", "_n", "_bands", "_sketch")), F.min("_id").alias("_doc"))
@@ -194,8 +213,6 @@ def with_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     label = components(links.unionByName(last))
 
     named = classes.join(label, "node", "left").select("_s1", "_s2", "_doc", F.coalesce("comp", "node").alias("comp"))
-    least = named.groupBy("comp").agg(F.min("_doc").alias("_least"))
+    least = named.groupBy("comp").agg(F.min(F.struct(F.col("_doc").isNull().alias("none"), F.col("_doc").alias("doc"), "_s1", "_s2")).alias("_least"))
     named = materialize(named.join(least, "comp").select("_s1", "_s2", "_least"), "components")
-    out = rows.select("_id", "_n", "_s1", "_s2").join(named, ["_s1", "_s2"], "left")
-    comp = F.when(F.col("_n") == 0, F.col("_id")).otherwise(F.col("_least"))
-    return out.select(F.col("_id").alias(doc_id), F.col("_n").alias("n_shingles"), comp.alias("component_id"), F.coalesce(F.col("_id") == comp, comp.isNull()).alias("kept"))
+    return rows.select("_id", "_k1", "_k2", "_n", "_s1", "_s2").join(named, ["_s1", "_s2"], "left")

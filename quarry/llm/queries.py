@@ -215,3 +215,12 @@ def op7_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["op4_licenses"] = op4_licenses
 QUERIES["op7_quotes"] = op7_quotes
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES["pipeline"] = pipeline
