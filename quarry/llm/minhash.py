@@ -161,9 +161,9 @@ def placed(docs: DataFrame, text: str, doc_id: str, n: int, percent: int) -> Dat
     rows = materialize(described(docs, "_text", n), "sets")
     classes = rows.where("_n > 0").groupBy("_s1", "_s2").agg(*(F.first(c).alias(c) for c in ("_k1", "_k2", "_n", "_bands", "_sketch")), F.min("_id").alias("_doc"))
     classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
-    in_bands = classes.select(F.explode("_bands").alias("key"), "node")
+    in_bands = classes.select(F.posexplode("_bands").alias("band", "key"), "node")
     buckets = materialize(in_bands.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("lead")).where("size > 1"), "buckets")
-    members = materialize(in_bands.join(buckets, "key"), "members")
+    members = materialize(in_bands.join(buckets, "key").select("band", "key", "node", "size", "lead"), "members")
     sketch = classes.select("node", "_n", *(F.get("_sketch", F.lit(i)).alias(f"_x{i}") for i in range(LANES + SET_LANES)))
     wanted = members.select("node").distinct().join(classes.select("node", "_k1", "_k2"), "node")
     texts = docs.select(F.xxhash64("_text").alias("_k1"), F.xxhash64(F.lit(7), F.col("_text"), F.octet_length("_text")).alias("_k2"), F.col("_text").alias("_t"))
@@ -199,14 +199,16 @@ def placed(docs: DataFrame, text: str, doc_id: str, n: int, percent: int) -> Dat
     links = links.unionByName(more)
     label = components(links)
 
-    at = members.join(label, "node", "left").select("key", "node", "size", F.coalesce("comp", "node").alias("comp"))
+    at = members.join(label, "node", "left").select("band", "key", "node", "size", F.coalesce("comp", "node").alias("comp"))
     at = materialize(at, "members")
     mixed = materialize(at.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key"), "mixed")
     at = at.join(mixed, "key").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    at = materialize(at.join(sketch, "node"), "blocks")
-    left = at.select("key", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"), *(F.col(c).alias(f"a{c}") for c in ("node", "comp", *sketch.columns[1:])))
-    right = at.select("key", F.col("block").alias("j"), F.explode(F.sequence(F.lit(0), "block")).alias("i"), *(F.col(c).alias(f"b{c}") for c in ("node", "comp", *sketch.columns[1:])))
-    met = left.join(right, (left.key == right.key) & (left.i == right.i) & (left.j == right.j) & (F.col("acomp") != F.col("bcomp")) & ((left.i < right.j) | (F.col("anode") < F.col("bnode"))) & near_size & alike())
+    at = materialize(at.join(sketch.join(classes.select("node", "_bands"), "node"), "node"), "blocks")
+    left = at.select("key", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"), "band", *(F.col(c).alias(f"a{c}") for c in ("node", "comp", "_bands", *sketch.columns[1:])))
+    right = at.select("key", F.col("block").alias("j"), F.explode(F.sequence(F.lit(0), "block")).alias("i"), *(F.col(c).alias(f"b{c}") for c in ("node", "comp", "_bands", *sketch.columns[1:])))
+    # a pair leaves the join in the first band that it shares
+    here = F.array_position(F.zip_with("a_bands", "b_bands", lambda x, y: x == y), True) == F.col("band") + 1
+    met = left.join(right, (left.key == right.key) & (left.i == right.i) & (left.j == right.j) & (F.col("acomp") != F.col("bcomp")) & ((left.i < right.j) | (F.col("anode") < F.col("bnode"))) & near_size & alike() & here)
     met = met.select(F.least("anode", "bnode").alias("a"), F.greatest("anode", "bnode").alias("b")).distinct()
     tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     last = confirmed(met.join(tried, ["a", "b"], "left_anti"), texts, n, percent)
