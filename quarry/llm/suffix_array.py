@@ -1,7 +1,7 @@
 """Removal of long byte strings that occur more than once (suffix-array dedup).
 
-Prefix doubling names every string of 2, 4, 8, ... bytes by the pair of names of
-its halves.  A document's bytes lie in one row, so a doubling is local; Spark
+Prefix doubling names every string of 50, 100, 200 and 400 bytes by the pair of
+names of its halves, from rolling names of 25 bytes on.  A document's bytes lie in one row, so a doubling is local; Spark
 then groups the names to find those that stand at one position only, and their
 positions leave.  A full suffix array would move some 16 bytes for every byte of
 text at every doubling.  Here the early rounds send one name for each run of
@@ -34,25 +34,51 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_CODE, U64, blobs, found_in, materialize, mix, pair, ranges, sliding
+from .common import BYTE_CODE, U64, blobs, found_in, materialize, mix, pair, powers, ranges, sliding
 
 LENGTH = 400
+#: Bytes of the first names.
+FIRST = 25
 #: Windows that are looked at together, for bounded memory with very long texts.
 TILE = 1 << 20
+#: Bits that hold a place within a tile.
+PLACE = U64(21)
 CODES = (BYTE_CODE, mix(BYTE_CODE ^ U64(0xA5A5A5A5A5A5A5A5)))
 KEY = ["_k1", "_k2"]
 
 
 def names(data: np.ndarray, length: int, code: np.ndarray = BYTE_CODE) -> np.ndarray:
-    """The name of every ``length`` bytes, by pairs of names at growing offsets."""
+    """The name of every ``length`` bytes: rolling names of 25 bytes (or fewer), then pairs of names at growing offsets."""
     if len(data) < length:
         return np.zeros(0, U64)
-    x, done = code[data], 1
+    done = min(length, FIRST)
+    power, inverse = powers(len(data) + 1)
+    pre = np.zeros(len(data) + 1, U64)
+    np.cumsum(code[data] * power[:-1], out=pre[1:])
+    x = pre[done:] - pre[:-done]
+    x *= inverse[: len(x)]
+    x ^= x >> U64(32)
+    x *= U64(0xD6E8FEB86659FD93)
+    x ^= x >> U64(29)
     while 2 * done <= length:
         x, done = pair(x[:-done], x[done:]), 2 * done
     return longer(x, done, length)
 
 
+def anchors(x: np.ndarray, width: int) -> np.ndarray:
+    """For every ``width`` neighbouring names, where the smallest stands (by its high bits; the leftmost of equals).
+    Equal windows have it at the same place, and the places never go back."""
+    at = np.arange(len(x)).astype(U64)
+    return (sliding(((x >> PLACE) << PLACE) | at, width) & ((U64(1) << PLACE) - U64(1))).astype(np.int64)
+
+
+def heads(x: np.ndarray) -> np.ndarray:
+    """Where the runs of equal values begin."""
+    new = np.ones(len(x), bool)
+    new[1:] = x[1:] != x[:-1]
+    return np.flatnonzero(new)
+
+
 def longer(x: np.ndarray, done: int, length: int) -> np.ndarray:
     """Names of ``length`` bytes from names of at least half as many."""
     return x if done == length else pair(x[: len(x) - (length - done)], x[length - done :])
@@ -85,8 +111,8 @@ class Text:
         found = []
         for _, part, left in self.parts():
             x = names(part, size)
-            low = sliding(x, self.length - size + 1)
-            found.append(x[found_in(x, np.unique(low[left]))])
+            where = anchors(x, self.length - size + 1)[left]
+            found.append(x[where[heads(where)]])
         if not found:
             return np.zeros(0, U64), np.zeros(0, np.int64)
         # a position may lie in two parts: counting it twice only keeps a window longer
@@ -96,38 +122,30 @@ class Text:
         """The runs of the windows whose smallest name is known to be repeated."""
         out = [np.zeros(0, np.int64)]
         for at, part, left in self.parts():
-            left = left & found_in(sliding(names(part, size), self.length - size + 1), known)
+            x = names(part, size)
+            where = anchors(x, self.length - size + 1)
+            head = heads(where)
+            left = left & np.repeat(found_in(x[where[head]], known), np.diff(np.concatenate([head, [len(where)]])))
             edge = np.flatnonzero(np.diff(np.concatenate([[0], left.view(np.int8), [0]])))
             out.append(edge + at)
         return np.concatenate(out)
 
-    def chunks(self, size: int) -> Iterator[tuple[np.ndarray, ...]]:
-        """By tile: first and last window, smallest name and two context names of each chunk, and all window names."""
-        width = self.length - size + 1
+    def chunks(self, size: int, lanes: int = 2) -> Iterator[tuple[np.ndarray, ...]]:
+        """By tile: first and last window and smallest name of each chunk, its context names, and all windows' names."""
         half = (self.length + 1) // 2
         for at, part, left in self.parts():
-            x = names(part, size)
-            low = sliding(x, width)
-            spots = np.flatnonzero(found_in(x, np.unique(low[left])))
-            first = np.searchsorted(spots, np.arange(len(low)))
-            # the leftmost position of the smallest name, for each window
-            where = spots[np.minimum(first, len(spots) - 1)]
-            for _ in range(width):
-                bad = np.flatnonzero(left & (x[where] != low))
-                if not len(bad):
-                    break
-                first[bad] += 1
-                where[bad] = spots[np.minimum(first[bad], len(spots) - 1)]
-            cut = np.ones(len(low), bool)
+            own = [names(part, half, c) for c in CODES[:lanes]]
+            x = longer(own[0], half, size)
+            where = anchors(x, self.length - size + 1)
+            cut = np.ones(len(where), bool)
             cut[1:] = (where[1:] != where[:-1]) | ~left[:-1]
             begin = np.flatnonzero(cut & left)
-            stop = np.ones(len(low), bool)
+            stop = np.ones(len(where), bool)
             stop[:-1] = cut[1:] | ~left[1:]
             last = np.flatnonzero(stop & left)
-            full = [longer(names(part, half, c), half, self.length) for c in CODES]
+            full = [longer(w, half, self.length) for w in own]
             size_name = mix((last - begin).astype(U64) + U64(1))
-            c1, c2 = (pair(pair(w[begin], w[last]), size_name) for w in full)
-            yield at, begin, last, low[begin], c1, c2, *full
+            yield at, begin, last, x[where[begin]], [pair(pair(w[begin], w[last]), size_name) for w in full], full
 
 
 def as_long(x: np.ndarray) -> pa.Array:
@@ -213,7 +231,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, ro
         for batch in batches:
             rows = []
             for i, data in enumerate(blobs(batch.column("_t"))):
-                found = [x[3:6] for x in Text(data, length, runs_of(batch, i)).chunks(chunk)]
+                found = [(x[3], *x[4]) for x in Text(data, length, runs_of(batch, i)).chunks(chunk)]
                 cls, c1, c2 = (np.concatenate([f[j] for f in found]) if found else np.zeros(0, U64) for j in range(3))
                 _, first, n = np.unique(c1, return_index=True, return_counts=True)
                 rows.append((cls[first], c1[first], c2[first], n))
@@ -233,7 +251,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, ro
             rows = []
             for i, data in enumerate(blobs(batch.column("_t"))):
                 wanted, found = as_names(batch.column("_look"), i), []
-                for _, begin, last, _, c1, _, w1, w2 in Text(data, length, runs_of(batch, i)).chunks(chunk):
+                for _, begin, last, _, (c1, _), (w1, w2) in Text(data, length, runs_of(batch, i)).chunks(chunk):
                     some = found_in(c1, wanted)
                     at = ranges(begin[some], last[some] + 1)
                     found.append((w1[at], w2[at]))
@@ -251,7 +269,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, ro
             for i, data in enumerate(blobs(batch.column("_t"))):
                 whole_, exact_ = as_names(batch.column("_whole"), i), as_names(batch.column("_exact"), i)
                 gone = np.zeros(len(data) + 1, np.int32)
-                for at, begin, last, _, c1, _, w1, _ in Text(data, length, runs_of(batch, i)).chunks(chunk):
+                for at, begin, last, _, (c1,), (w1,) in Text(data, length, runs_of(batch, i)).chunks(chunk, lanes=1):
                     some = found_in(c1, whole_)
                     rest = ranges(begin[~some], last[~some] + 1)
                     rest = rest[found_in(w1[rest], exact_)]
