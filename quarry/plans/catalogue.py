@@ -1,10 +1,612 @@
-"""The registered queries over the driver's tables and their SQL."""
+"""The registered queries over the driver's tables and their SQL, by operator family."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from ..functions import text as tx
+from ..operators import intervals, lookup, maintain, overlay, references, rollups
+from . import derived as D
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
+#: Names that stand in the prose of every size.
+NAMES = ["the", "of", "der", "la", "and", "The"]
+LONG = lambda c: F.col(c).cast("long")
+
+
+def register(name: str, text: str, *relations: str) -> Callable[[Query], Query]:
+    def keep(query: Query) -> Query:
+        QUERIES[name] = query
+        SQL[name] = D.sql(*relations, body=text) if relations else text
+        return query
+
+    return keep
+
+
+def quoted(values: list[str]) -> str:
+    return ", ".join(f"'{v}'" for v in values)
+
+
+# --- sources and files -------------------------------------------------------------------------------------------
+
+
+@register("files_catalog", "SELECT file_id, repo_id, path, language, sha, byte_size FROM files", "files")
+def files_catalog(spark, d):
+    return D.files(spark, d).select("file_id", "repo_id", "path", "language", "sha", "byte_size")
+
+
+PATHS_SQL = """p AS (SELECT doc_id, CASE doc_id % 12 WHEN 0 THEN 'src/a' || doc_id || '.py' WHEN 1 THEN 'lib/b.C' WHEN 2 THEN 'lib/b.H' WHEN 3 THEN 'web/x.TSX' WHEN 4 THEN 'node_modules/y.js' WHEN 5 THEN 'build.gradle.kts'
+  WHEN 6 THEN 'bin/run' WHEN 7 THEN 'Makefile' WHEN 8 THEN 'docs/README.md' WHEN 9 THEN 'a/dist/z.go' WHEN 10 THEN 'data/q.sql' ELSE 'notes.txt' END AS path,
+  CASE doc_id % 4 WHEN 0 THEN '#!/usr/bin/env PYTHON3' WHEN 1 THEN '#!/bin/sh' WHEN 2 THEN '#!/usr/bin/node' ELSE 'text' END AS head FROM documents)"""
+
+
+@register("language_detect", f"""WITH {PATHS_SQL},
+l AS (SELECT *, lower(head) AS h, regexp_extract(path, '\\.([^./]*)$', 1) AS ext FROM p)
+SELECT doc_id, path, CASE WHEN regexp_matches(path, '(^|/)(node_modules|vendor|target|\\.venv|\\.git|dist|build|\\.next|\\.turbo|\\.parcel-cache)(/|$)') THEN NULL
+  WHEN ext IN ('C', 'H') THEN 'cpp' WHEN regexp_matches(path, '(^|/)(build|settings)\\.gradle\\.kts$') THEN NULL
+  WHEN ext = '' AND starts_with(h, '#!') AND contains(h, 'python') THEN 'python' WHEN ext = '' AND starts_with(h, '#!') AND contains(h, 'ruby') THEN 'ruby' WHEN ext = '' AND starts_with(h, '#!') AND contains(h, 'node') THEN 'javascript'
+  WHEN ext = '' AND starts_with(h, '#!') AND (contains(h, '/sh') OR contains(h, 'bash')) THEN 'bash'
+  WHEN path LIKE '%Makefile' THEN 'make' WHEN lower(ext) = 'py' THEN 'python' WHEN lower(ext) = 'tsx' THEN 'tsx' WHEN lower(ext) = 'md' THEN 'markdown' WHEN lower(ext) = 'sql' THEN 'sql' END AS language
+FROM l""")
+def language_detect(spark, d):
+    from ..sources.languages import language_of
+
+    k = F.col("doc_id") % 12
+    names = {1: "lib/b.C", 2: "lib/b.H", 3: "web/x.TSX", 4: "node_modules/y.js", 5: "build.gradle.kts", 6: "bin/run", 7: "Makefile", 8: "docs/README.md", 9: "a/dist/z.go", 10: "data/q.sql"}
+    path = F.when(k == 0, F.concat(F.lit("src/a"), F.col("doc_id").cast("string"), F.lit(".py")))
+    for i, name in names.items():
+        path = path.when(k == i, name)
+    m = F.col("doc_id") % 4
+    head = F.when(m == 0, "#!/usr/bin/env PYTHON3").when(m == 1, "#!/bin/sh").when(m == 2, "#!/usr/bin/node").otherwise("text")
+    return D.table(spark, d, "documents").select("doc_id", path.otherwise("notes.txt").alias("path"), head.alias("head")).select("doc_id", "path", language_of(F.col("path"), F.col("head")).alias("language"))
+
+
+VOTES = "v AS (SELECT lang AS language, 'extension' AS how, count(*) AS files FROM documents GROUP BY lang UNION ALL SELECT lang, 'shebang', count(*) FILTER (doc_id % 7 = 0) FROM documents GROUP BY lang UNION ALL SELECT lang, 'manifest', count(*) FILTER (doc_id % 97 = 0) FROM documents GROUP BY lang)"
+
+
+@register("language_confidence", f"""WITH {VOTES},
+s AS (SELECT language, CAST(sum(files * CASE how WHEN 'extension' THEN 1 WHEN 'shebang' THEN 20 ELSE 100 END) AS BIGINT) AS score, CAST(sum(files) FILTER (how <> 'manifest') AS BIGINT) AS files FROM v GROUP BY language)
+SELECT language, files, score, round(CAST(score AS DOUBLE) / CAST((SELECT sum(score) FROM s) AS DOUBLE), 9) AS confidence FROM s""")
+def language_confidence(spark, d):
+    own = D.table(spark, d, "documents").groupBy(F.col("lang").alias("language")).agg(F.count("*").alias("extension"), F.count_if(F.col("doc_id") % 7 == 0).alias("shebang"), F.count_if(F.col("doc_id") % 97 == 0).alias("manifest"))
+    votes = own.unpivot(["language"], ["extension", "shebang", "manifest"], "how", "files")
+    return rollups.confidence(votes).select("language", "files", "score", F.round("confidence", 9).alias("confidence"))
+
+
+@register("path_filter_literal", "SELECT file_id, path FROM files WHERE path = 'docs/fr' OR starts_with(path, 'docs/fr/')", "files")
+def path_filter_literal(spark, d):
+    return D.files(spark, d).where(tx.path_filter(F.col("path"), "./docs/./de/../fr/")).select("file_id", "path")
+
+
+@register("path_filter_glob", "SELECT file_id, path FROM files WHERE regexp_matches(path, '^docs/[^d].*/[0-9].\\.txt$') OR regexp_matches(path, '^docs/(de|en)/1.*\\.txt$')", "files")
+def path_filter_glob(spark, d):
+    p = F.col("path")
+    return D.files(spark, d).where(tx.path_filter(p, "docs/[!d]*/[0-9]?.txt") | tx.path_filter(p, "docs/{de,en}/1*.txt")).select("file_id", "path")
+
+
+@register("filter_matched_no_files", "SELECT 'docs/xx' AS pattern, count(*) = 0 AS none FROM files WHERE path = 'docs/xx' OR starts_with(path, 'docs/xx/')", "files")
+def filter_matched_no_files(spark, d):
+    found = D.files(spark, d).where(tx.path_filter(F.col("path"), "docs/xx")).limit(1)
+    return found.agg(F.lit("docs/xx").alias("pattern"), (F.count("*") == 0).alias("none"))
+
+
+TEST_PATHS = ["tests/a.rs", "src/tests/x.py", "src/test/y.go", "src/latest/z.py", "pkg/a_test.go", "pkg/test_a.py", "web/a.spec.tsx", "web/a.test.js", "web/testing.js", "src\\\\tests\\\\w.cs"]
+
+
+@register("test_path_filter", "SELECT event_id, path, regexp_matches(replace(path, '\\', '/'), '(^|/)tests?/|_test\\.(py|go|rs)$|(^|/)test_[^/]*\\.py$|\\.(spec|test)\\.(ts|tsx|js|jsx)$') AS is_test FROM (SELECT event_id, CASE event_id % 10 "
+          + " ".join(f"WHEN {i} THEN '{p.replace(chr(92) * 2, chr(92))}'" for i, p in enumerate(TEST_PATHS)) + " END AS path FROM events)")
+def test_path_filter(spark, d):
+    path = F.element_at(F.array(*(F.lit(p.replace("\\\\", "\\")) for p in TEST_PATHS)), (F.col("event_id") % 10 + 1).cast("int"))
+    return D.table(spark, d, "events").select("event_id", path.alias("path")).withColumn("is_test", tx.is_test_path(F.col("path")))
+
+
+@register("binary_oversize_filter", "SELECT doc_id, CASE WHEN octet_length(encode(text)) > 4000 THEN 'binary' ELSE 'text' END AS kind FROM documents")
+def binary_oversize_filter(spark, d):
+    return D.table(spark, d, "documents").select("doc_id", F.when((F.octet_length("text") > 4000) | (F.instr(F.substring("text", 1, 1024), "\0") > 0), "binary").otherwise("text").alias("kind"))
+
+
+@register("literal_prefilter_stats", "SELECT count(*) AS files_scanned, count(*) FILTER ((contains(text, 'thing') AND contains(text, 'The')) OR contains(text, 'über')) AS files_parsed FROM documents")
+def literal_prefilter_stats(spark, d):
+    sources = D.table(spark, d, "documents").select("doc_id", F.col("text").cast("binary").alias("content"))
+    passed = lookup.readable(sources, [["thing", "The"], ["über"]])
+    return sources.agg(F.count("*").alias("files_scanned")).crossJoin(passed.agg(F.count("*").alias("files_parsed")))  # one row each
+
+
+@register("needle_occurrences", "SELECT doc_id, CAST((length(text) - length(replace(text, 'the', ''))) / 3 AS BIGINT) AS n FROM documents")
+def needle_occurrences(spark, d):
+    return D.table(spark, d, "documents").select("doc_id", tx.occurrences(F.col("text"), "the").alias("n"))
+
+
+@register("verified_sources", "SELECT file_id, doc_id % 10 = 3 AS stale FROM files, documents WHERE doc_id + 1 = file_id", "files")
+def verified_sources(spark, d):
+    live = D.table(spark, d, "documents").select((F.col("doc_id") + 1).alias("file_id"), F.when(F.col("doc_id") % 10 == 3, F.concat("text", F.lit("!"))).otherwise(F.col("text")).cast("binary").alias("content"))
+    return lookup.verified(D.files(spark, d), live).select("file_id", "stale")
+
+
+@register("manifest_depth", "SELECT path, len(string_split(path, '/')) - 1 AS depth FROM files WHERE len(string_split(path, '/')) - 1 <= 3 AND regexp_matches(path, '/[0-9]*7\\.txt$')", "files")
+def manifest_depth(spark, d):
+    from ..sources.manifests import within_depth
+
+    return within_depth(D.files(spark, d), 3).where(F.col("path").rlike(r"/[0-9]*7\.txt$")).select("path", LONG("depth").alias("depth"))
+
+
+# --- symbols -----------------------------------------------------------------------------------------------------
+
+SYMBOL_NAMES = ["t0", "t1", "l2", "c3", "absent"]
+
+
+def symbol_rows(spark, d):
+    return lookup.joined(D.symbols(spark, d), D.symbol_files(spark, d), D.symbol_repos(spark, d), SYMBOL_NAMES)
+
+
+@register("symbol_lookup", f"SELECT 'chat' || repo_id AS repo, path, kind, name, start_row, end_row, end_col FROM symbols JOIN symbol_files USING (file_id) WHERE name IN ({quoted(SYMBOL_NAMES)}) AND repo_id = 1", "symbols", "symbol_files")
+def symbol_lookup(spark, d):
+    found = lookup.joined(D.symbols(spark, d), D.symbol_files(spark, d), D.symbol_repos(spark, d), SYMBOL_NAMES, repo="chat1")
+    return found.select("repo", "path", "kind", "name", "start_row", "end_row", "end_col")
+
+
+@register("symbol_fair_quota", f"""SELECT ordinal, rank, name, path, start_row FROM (
+  SELECT name, path, start_row, list_position([{quoted(SYMBOL_NAMES)}], name) - 1 AS ordinal, row_number() OVER (PARTITION BY name ORDER BY repo_id, path, start_row, symbol_id) AS rank FROM symbols JOIN symbol_files USING (file_id) WHERE name IN ({quoted(SYMBOL_NAMES)}))
+WHERE rank > 3 AND rank <= 3 + 20""", "symbols", "symbol_files")
+def symbol_fair_quota(spark, d):
+    page = lookup.fair_page(lookup.requested(symbol_rows(spark, d), SYMBOL_NAMES), 100, len(SYMBOL_NAMES), 3, [*lookup.ORDER, "symbol_id"])
+    return page.select(LONG("ordinal").alias("ordinal"), "rank", "name", "path", "start_row")
+
+
+@register("symbol_truncated_names", f"SELECT name, count(*) AS total FROM symbols WHERE name IN ({quoted(SYMBOL_NAMES)}) GROUP BY name HAVING count(*) - 3 > 20", "symbols")
+def symbol_truncated_names(spark, d):
+    return lookup.truncated_names(symbol_rows(spark, d), 100, len(SYMBOL_NAMES), 3)
+
+
+@register("kind_filtered_out", f"SELECT name, kind, count(*) AS n FROM symbols WHERE name IN ({quoted(SYMBOL_NAMES)}) AND name NOT IN (SELECT name FROM symbols WHERE kind = 'line') GROUP BY name, kind", "symbols")
+def kind_filtered_out(spark, d):
+    return lookup.kind_filtered_out(symbol_rows(spark, d), "line").select("name", "kind", "n")
+
+
+@register("kinds_distinct", "SELECT DISTINCT kind FROM symbols", "symbols")
+def kinds_distinct(spark, d):
+    return lookup.kinds(D.symbols(spark, d))
+
+
+@register("kinds_top12", "SELECT kind, count(*) AS n FROM symbols GROUP BY kind ORDER BY n DESC, kind LIMIT 12", "symbols")
+def kinds_top12(spark, d):
+    return rollups.symbol_kinds(D.symbols(spark, d))
+
+
+POSITIONS = "pos AS (SELECT event_id AS position_id, user_id % 40 + 1 AS file_id, event_id % 60 AS row, event_id % 90 AS col FROM events WHERE event_id % 3 = 0)"
+
+
+def positions(spark, d):
+    e = D.table(spark, d, "events").where("event_id % 3 = 0")
+    return e.select(F.col("event_id").alias("position_id"), (F.col("user_id") % 40 + 1).alias("file_id"), (F.col("event_id") % 60).alias("row"), (F.col("event_id") % 90).alias("col"))
+
+
+def enclosing_sql(inside: str, depth: int) -> str:
+    return f""", {POSITIONS},
+r AS (SELECT position_id, symbol_id, kind, row_number() OVER (PARTITION BY position_id ORDER BY end_row - start_row, start_row DESC, start_col DESC, end_row, end_col, symbol_id) AS level FROM pos JOIN symbols USING (file_id) WHERE {inside})
+SELECT position_id, symbol_id, kind, level FROM r WHERE level <= {depth}"""
+
+
+ROWS = "start_row <= row AND end_row >= row"
+POINT = ROWS + " AND (start_row < row OR start_col <= col) AND (end_row > row OR end_col > col)"
+
+
+@register("enclosing_innermost", enclosing_sql(ROWS, 1), "symbols")
+def enclosing_innermost(spark, d):
+    return intervals.enclosing(positions(spark, d).drop("col"), D.symbols(spark, d), 1).select("position_id", "symbol_id", "kind", "level")
+
+
+@register("enclosing_trail", enclosing_sql(ROWS, 3), "symbols")
+def enclosing_trail(spark, d):
+    return intervals.enclosing(positions(spark, d).drop("col"), D.symbols(spark, d), 3).select("position_id", "symbol_id", "kind", "level")
+
+
+@register("enclosing_point", enclosing_sql(POINT, 2), "symbols")
+def enclosing_point(spark, d):
+    return intervals.enclosing(positions(spark, d), D.symbols(spark, d), 2).select("position_id", "symbol_id", "kind", "level")
+
+
+@register("enclosing_none", f", {POSITIONS} SELECT position_id, file_id, row FROM pos WHERE NOT EXISTS (SELECT 1 FROM symbols s WHERE s.file_id = pos.file_id AND {ROWS})", "symbols")
+def enclosing_none(spark, d):
+    return intervals.outside(positions(spark, d).drop("col"), D.symbols(spark, d)).select("position_id", "file_id", "row")
+
+
+NESTED = """, pairs AS (
+  SELECT s.symbol_id, a.symbol_id AS up, a.name AS up_name, a.start_row AS ur, a.end_row AS er, a.end_col AS ec FROM symbols s JOIN symbols a ON a.file_id = s.file_id AND a.symbol_id <> s.symbol_id
+  WHERE (a.start_row, a.start_col) <= (s.start_row, s.start_col) AND (a.end_row, a.end_col) >= (s.end_row, s.end_col)
+    AND ((a.start_row, a.start_col, a.end_row, a.end_col) <> (s.start_row, s.start_col, s.end_row, s.end_col) OR a.symbol_id < s.symbol_id)),
+above AS (SELECT symbol_id, count(*) AS n, string_agg(up_name, '.' ORDER BY ur, er DESC, ec DESC, up) AS chain, list(up ORDER BY ur, er DESC, ec DESC, up) AS ups FROM pairs GROUP BY symbol_id),
+nest AS (SELECT s.*, coalesce(n, 0) + 1 AS depth, ups[-1] AS parent_id, coalesce(ups[1], s.symbol_id) AS root_id, chain || '.' || s.name AS qualified FROM symbols s LEFT JOIN above ON above.symbol_id = s.symbol_id)
+"""
+
+
+@register("outline_parent", NESTED + "SELECT symbol_id, parent_id FROM nest", "symbols")
+def outline_parent(spark, d):
+    return intervals.nested_by_stack(D.symbols(spark, d)).select("symbol_id", "parent_id")
+
+
+@register("outline_depth", NESTED + "SELECT symbol_id, kind, depth FROM nest WHERE depth <= 2", "symbols")
+def outline_depth(spark, d):
+    return intervals.nested(D.symbols(spark, d)).where("depth <= 2").select("symbol_id", "kind", "depth")
+
+
+@register("outline_roots_page", NESTED + ", roots AS (SELECT file_id, symbol_id AS root_id, row_number() OVER (PARTITION BY file_id ORDER BY start_row, start_col, end_row DESC, end_col DESC, symbol_id) - 1 AS root FROM nest WHERE depth = 1) SELECT symbol_id, root FROM nest JOIN roots USING (file_id, root_id) WHERE root BETWEEN 1 AND 3", "symbols")
+def outline_roots_page(spark, d):
+    return intervals.outline_roots(intervals.nested(D.symbols(spark, d))).where("root BETWEEN 1 AND 3").select("symbol_id", "root")
+
+
+@register("qualified_names", NESTED + "SELECT symbol_id, qualified FROM nest", "symbols")
+def qualified_names(spark, d):
+    return intervals.nested_by_stack(D.symbols(spark, d)).select("symbol_id", "qualified")
+
+
+HEADS = "heads AS (SELECT file_id, unnest(generate_series(0, len(lines) - 1)) AS row, len(lines) - 1 AS last_row FROM lines WHERE len(lines) > 0), lev AS (SELECT *, (row * 7 + file_id) % 3 + 1 AS level FROM heads WHERE (row + file_id) % 2 = 0)"
+
+
+@register("nearest_boundary", f", {HEADS} SELECT a.file_id, a.row, a.level, coalesce((SELECT min(b.row) - 1 FROM lev b WHERE b.file_id = a.file_id AND b.row > a.row AND b.level <= a.level), a.last_row) AS end_row FROM lev a", "lines")
+def nearest_boundary(spark, d):
+    own = D.lines(spark, d).where(F.size("lines") > 0)
+    rows = own.select("file_id", F.explode(F.sequence(F.lit(0), F.size("lines") - 1)).alias("r")).select("file_id", LONG("r").alias("row")).where("(row + file_id) % 2 = 0")
+    heads = rows.withColumn("level", (F.col("row") * 7 + F.col("file_id")) % 3 + 1)
+    return intervals.nearest_boundary(heads, own.select("file_id", (F.size("lines") - 1).cast("long").alias("last_row"))).select("file_id", "row", "level", "end_row")
+
+
+@register("relocate_nearest", """, live AS (SELECT symbol_id, file_id, name, CASE WHEN symbol_id % 11 = 0 THEN 'moved' ELSE kind END AS kind, start_row + file_id % 5 AS start_row, end_row + file_id % 5 AS end_row FROM symbols WHERE symbol_id % 17 <> 0),
+b AS (SELECT s.symbol_id, l.symbol_id AS live_id, l.start_row, l.end_row, rank() OVER (PARTITION BY s.symbol_id ORDER BY CAST(l.kind <> s.kind AS INT), abs(l.start_row + l.end_row - s.start_row - s.end_row)) AS r FROM symbols s JOIN live l ON l.file_id = s.file_id AND l.name = s.name)
+SELECT symbol_id, min(live_id) AS live_id, min(start_row) AS start_row, min(end_row) AS end_row FROM b WHERE r = 1 GROUP BY symbol_id HAVING count(*) = 1""", "symbols")
+def relocate_nearest(spark, d):
+    s = D.symbols(spark, d)
+    live = s.where("symbol_id % 17 <> 0").withColumns({"kind": F.when(F.col("symbol_id") % 11 == 0, "moved").otherwise(F.col("kind")), "start_row": F.col("start_row") + F.col("file_id") % 5, "end_row": F.col("end_row") + F.col("file_id") % 5})
+    return intervals.relocated(s, live)
+
+
+# --- references --------------------------------------------------------------------------------------------------
+
+
+def ref_rows_of(spark, d):
+    return lookup.joined(D.refs(spark, d), D.files(spark, d), D.repos(spark, d), NAMES)
+
+
+REFS_AT = f"refs JOIN files USING (file_id) JOIN repos USING (repo_id) WHERE refs.name IN ({quoted(NAMES)}) AND context <> 'declaration'"
+
+
+@register("ref_rows", f"SELECT repos.name AS repo, path, refs.name, start_row, start_col, end_row, end_col, context FROM {REFS_AT} AND starts_with(path, 'docs/en/')", "refs", "files", "repos")
+def ref_rows(spark, d):
+    found = lookup.matching(ref_rows_of(spark, d), tx.path_filter(F.col("path"), "docs/en"), include_declarations=False)
+    return found.select("repo", "path", "name", "start_row", "start_col", "end_row", "end_col", "context")
+
+
+@register("ref_page", f"SELECT repos.name AS repo, path, refs.name, start_row, start_col FROM {REFS_AT} ORDER BY refs.name, repos.name, path, start_row, start_col LIMIT 200 OFFSET 150", "refs", "files", "repos")
+def ref_page(spark, d):
+    found = lookup.matching(ref_rows_of(spark, d), include_declarations=False)
+    return references.page(found, 200, 150).select("repo", "path", "name", "start_row", "start_col")
+
+
+@register("ref_counts_by_file", f"SELECT repos.name AS repo, path, count(*) AS n FROM {REFS_AT} GROUP BY repos.name, path", "refs", "files", "repos")
+def ref_counts_by_file(spark, d):
+    return references.counts_by_file(lookup.matching(ref_rows_of(spark, d), include_declarations=False))
+
+
+@register("ref_counts_all_names", "SELECT name, count(*) AS n, count(DISTINCT file_id) AS files FROM refs GROUP BY name", "refs")
+def ref_counts_all_names(spark, d):
+    by_file = D.refs(spark, d).groupBy("name", "file_id").agg(F.count("*").alias("n"))
+    return by_file.groupBy("name").agg(F.sum("n").alias("n"), F.count("*").alias("files"))
+
+
+@register("ref_counts_by_name", f"SELECT refs.name, count(*) AS n FROM {REFS_AT} GROUP BY refs.name", "refs", "files", "repos")
+def ref_counts_by_name(spark, d):
+    return references.counts_by_name(lookup.matching(ref_rows_of(spark, d), include_declarations=False))
+
+
+@register("ref_total_files", f"SELECT count(*) AS total, count(DISTINCT (repos.name, path)) AS total_files, bool_or(partial) AS partial FROM {REFS_AT}", "refs", "files", "repos")
+def ref_total_files(spark, d):
+    return references.totals(lookup.matching(ref_rows_of(spark, d), include_declarations=False))
+
+
+@register("ref_groups_page", f"SELECT repo, path, count(*) AS n, min(start_row) AS first_row FROM (SELECT repos.name AS repo, path, start_row FROM {REFS_AT} ORDER BY refs.name, repos.name, path, start_row, start_col LIMIT 300) GROUP BY repo, path", "refs", "files", "repos")
+def ref_groups_page(spark, d):
+    page = references.page(lookup.matching(ref_rows_of(spark, d), include_declarations=False), 300)
+    return references.grouped(page).select("repo", "path", "n", F.array_min(F.transform("refs", lambda x: x.start_row)).alias("first_row"))
+
+
+@register("ref_snippet_one", "SELECT file_id, start_row, start_col, trim(lines[start_row + 1], ' ') AS snippet FROM refs JOIN lines USING (file_id) WHERE name = 'thing'", "refs", "lines")
+def ref_snippet_one(spark, d):
+    found = references.with_snippets(D.refs(spark, d).where("name = 'thing'"), D.lines(spark, d))
+    return found.select("file_id", "start_row", "start_col", "snippet")
+
+
+@register("ref_snippet_block", "SELECT file_id, start_row, start_col, array_to_string(lines[greatest(start_row - 1, 1):least(start_row + 3, len(lines))], chr(10)) AS snippet, greatest(start_row - 2, 0) AS snippet_start_row FROM refs JOIN lines USING (file_id) WHERE name = 'thing'", "refs", "lines")
+def ref_snippet_block(spark, d):
+    found = references.with_snippets(D.refs(spark, d).where("name = 'thing'"), D.lines(spark, d), 3)
+    return found.select("file_id", "start_row", "start_col", "snippet", "snippet_start_row")
+
+
+# --- text --------------------------------------------------------------------------------------------------------
+
+
+@register("body_slice", "SELECT file_id, array_to_string(lines[3:least(6, len(lines))], chr(10)) AS body FROM lines WHERE len(lines) > 2", "lines")
+def body_slice(spark, d):
+    some = tx.slice_lines(F.col("lines"), F.lit(3), F.lit(4), 1)
+    return D.lines(spark, d).where(F.size("lines") > 2).select("file_id", F.array_join(some, "\n").alias("body"))
+
+
+@register("body_elide", "SELECT file_id, CASE WHEN len(lines) > 5 THEN array_to_string(lines[1:2] || ['… ' || (len(lines) - 5) || ' lines elided (' || len(lines) || ' total) …'] || lines[-3:], chr(10)) ELSE array_to_string(lines, chr(10)) END AS body FROM lines", "lines")
+def body_elide(spark, d):
+    return D.lines(spark, d).select("file_id", tx.elided(F.col("lines"), 5).alias("body"))
+
+
+@register("capture_char_cap", "SELECT doc_id, CASE WHEN length(text) > 100 THEN substring(text, 1, 99) || '…' ELSE text END AS text FROM documents")
+def capture_char_cap(spark, d):
+    return D.table(spark, d, "documents").select("doc_id", tx.capped(F.col("text"), 100).alias("text"))
+
+
+@register("byte_columns", "SELECT file_id, CAST(octet_length(encode(substring(lines[1], 1, 17))) AS BIGINT) AS bytes FROM lines", "lines")
+def byte_columns(spark, d):
+    return D.lines(spark, d).select("file_id", tx.byte_column(F.get("lines", F.lit(0)), F.lit(17)).cast("long").alias("bytes"))
+
+
+@register("scalar_helpers", r"SELECT event_id, replace(replace(p, '/', '_'), '\', '_') AS slug, regexp_matches(n, '^[A-Za-z0-9][A-Za-z0-9._-]*$') AND NOT contains(n, '..') AS repo_name, regexp_matches(u, '^(https?|ssh|git)://[^\s]+$|^[A-Za-z0-9._-]+@[^\s:]+:[^\s]+$') AS url FROM (SELECT event_id, 'a/b\c' || event_id AS p, CASE event_id % 3 WHEN 0 THEN 'ok-' || event_id WHEN 1 THEN '../x' ELSE 'a..b' END AS n, CASE event_id % 4 WHEN 0 THEN 'https://h/' || event_id WHEN 1 THEN 'git@h:x/y' WHEN 2 THEN 'ftp://h' ELSE 'ssh://a b' END AS u FROM events)")
+def scalar_helpers(spark, d):
+    i, s = F.col("event_id"), F.col("event_id").cast("string")
+    name = F.when(i % 3 == 0, F.concat(F.lit("ok-"), s)).when(i % 3 == 1, "../x").otherwise("a..b")
+    url = F.when(i % 4 == 0, F.concat(F.lit("https://h/"), s)).when(i % 4 == 1, "git@h:x/y").when(i % 4 == 2, "ftp://h").otherwise("ssh://a b")
+    return D.table(spark, d, "events").select("event_id", tx.slug(F.concat(F.lit("a/b\\c"), s)).alias("slug"), tx.is_repo_name(name).alias("repo_name"), tx.is_url(url).alias("url"))
+
+
+@register("crlf_majority", "SELECT doc_id, doc_id % 2 = 0 AND contains(text, chr(10)) AS crlf FROM documents")
+def crlf_majority(spark, d):
+    text = F.when(F.col("doc_id") % 2 == 0, F.replace("text", F.lit("\n"), F.lit("\r\n"))).otherwise(F.col("text"))
+    return D.table(spark, d, "documents").select("doc_id", tx.crlf_majority(text).alias("crlf"))
+
+
+@register("syntax_query_html_attrs", "SELECT page_id, unnest(regexp_extract_all(html, '\\sclass=\"([^\"]*)\"', 1)) AS text FROM pages")
+def syntax_query_html_attrs(spark, d):
+    from ..sources.patterns import captures
+
+    pages = D.table(spark, d, "pages").select("page_id", F.col("html").alias("content"))
+    found = captures(pages, "html", '(attribute (attribute_name) @_n (quoted_attribute_value (attribute_value) @v) (#eq? @_n "class"))')
+    return found.where("capture = 'v'").select("page_id", "text")
+
+
+# --- dashboard ---------------------------------------------------------------------------------------------------
+
+
+@register("dashboard_totals", "SELECT (SELECT count(*) FROM files) AS files, (SELECT CAST(sum(byte_size) AS BIGINT) FROM files) AS bytes, (SELECT count(*) FROM symbols) AS symbols, (SELECT count(*) FROM refs) AS refs", "files", "symbols", "refs")
+def dashboard_totals(spark, d):
+    return rollups.totals(D.files(spark, d), D.symbols(spark, d), D.refs(spark, d))
+
+
+@register("repo_details", "SELECT repos.name AS repo, (SELECT count(*) FROM files f WHERE f.repo_id = repos.repo_id) AS files, (SELECT CAST(coalesce(sum(byte_size), 0) AS BIGINT) FROM files f WHERE f.repo_id = repos.repo_id) AS bytes, (SELECT count(*) FROM symbols s JOIN files f USING (file_id) WHERE f.repo_id = repos.repo_id) AS symbols, (SELECT count(*) FROM refs r JOIN files f USING (file_id) WHERE f.repo_id = repos.repo_id) AS refs FROM repos", "repos", "files", "symbols", "refs")
+def repo_details(spark, d):
+    return rollups.repo_details(D.repos(spark, d), D.files(spark, d), D.symbols(spark, d), D.refs(spark, d))
+
+
+@register("languages_top20", "SELECT language, count(DISTINCT files.file_id) AS files, count(symbols.symbol_id) AS symbols FROM files LEFT JOIN symbols USING (file_id) GROUP BY language ORDER BY files DESC, language LIMIT 20", "files", "symbols")
+def languages_top20(spark, d):
+    return rollups.languages(D.files(spark, d), D.symbols(spark, d))
+
+
+@register("largest_files_top12", "SELECT path, language, byte_size, (SELECT count(*) FROM symbols s WHERE s.file_id = f.file_id) AS symbols FROM (SELECT * FROM files ORDER BY byte_size DESC, path LIMIT 12) f", "files", "symbols")
+def largest_files_top12(spark, d):
+    return rollups.largest_files(D.files(spark, d), D.symbols(spark, d))
+
+
+LOG = "log AS (SELECT event_type AS repo, user_id AS session, epoch_us(ts) // 1000000 AS ts, 1 AS calls, CAST(floor(value * 10) AS BIGINT) AS avoided, CAST(floor(value) AS BIGINT) AS returned FROM events), rolled AS (SELECT repo, sum(calls)::BIGINT AS calls, sum(avoided)::BIGINT AS avoided, sum(returned)::BIGINT AS returned, sum(avoided - returned)::BIGINT AS saved, max(ts) AS last_ts, count(DISTINCT session) AS sessions FROM log GROUP BY repo)"
+
+
+def log(spark, d):
+    e = D.table(spark, d, "events").select(F.col("event_type").alias("repo"), F.col("user_id").alias("session"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("ts"), F.lit(1).cast("long").alias("calls"), F.floor(F.col("value") * 10).alias("avoided"), F.floor("value").alias("returned"))
+    return e.withColumn("saved", F.col("avoided") - F.col("returned"))
+
+
+@register("savings_rollup", f"WITH {LOG} SELECT *, round(saved / 1e6 * 0.30, 9) AS usd FROM rolled")
+def savings_rollup(spark, d):
+    return rollups.savings(log(spark, d))
+
+
+@register("savings_global", f"WITH {LOG} SELECT CAST(sum(calls) AS BIGINT) AS calls, CAST(sum(saved) AS BIGINT) AS saved, count(*) AS repos FROM rolled WHERE calls > 0")
+def savings_global(spark, d):
+    return rollups.savings_overall(rollups.savings(log(spark, d)))
+
+
+@register("line_union_bytes", ", r AS (SELECT file_id, unnest(range(1, 6)) AS k FROM lines), s AS (SELECT DISTINCT file_id, unnest(generate_series(k * 2, k * 2 + 4)) AS row FROM r) SELECT file_id, CAST(sum(octet_length(encode(lines[row + 1]))) AS BIGINT) AS bytes FROM s JOIN lines USING (file_id) WHERE row < len(lines) GROUP BY file_id", "lines")
+def line_union_bytes(spark, d):
+    own = D.lines(spark, d)
+    ranges = own.select("file_id", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("r")).select("file_id", LONG("r").alias("k")).select("file_id", (F.col("k") * 2).alias("start_row"), (F.col("k") * 2 + 4).alias("end_row"))
+    rows = intervals.union_lines(ranges).join(own, "file_id").where(F.col("row") < F.size("lines"))
+    return rows.groupBy("file_id").agg(F.sum(F.octet_length(F.get("lines", F.col("row").cast("int")))).alias("bytes"))
+
+
+@register("economics", "SELECT file_id, CAST(round(byte_size / 4) AS BIGINT) AS tokens, CAST(round(CAST(round(byte_size / 4) AS BIGINT) * 0.308::DOUBLE) AS BIGINT) AS avoided, round(CAST(round(CAST(round(byte_size / 4) AS BIGINT) * 0.308::DOUBLE) AS BIGINT) * 3.0::DOUBLE / 1e6, 9) AS usd FROM files", "files")
+def economics(spark, d):
+    return rollups.economics(D.files(spark, d)).select("file_id", "tokens", "avoided", "usd")
+
+
+@register("adoption_coverage", "SELECT count(*) FILTER (n > 0) * 100 // count(*) AS percent FROM (SELECT event_type, count(*) FILTER (value > 50) AS n FROM events GROUP BY event_type)")
+def adoption_coverage(spark, d):
+    own = D.table(spark, d, "events").groupBy("event_type").agg(F.count_if(F.col("value") > 50).alias("n"))
+    return own.agg(F.expr("count_if(n > 0) * 100 div count(*)").alias("percent"))
+
+
+@register("fingerprint_noop", "SELECT count(*) AS rows, " + ", ".join(f"CAST(sum(CAST('0x' || h[{1 + 8 * k}:{8 + 8 * k}] AS BIGINT)) AS BIGINT) AS h{k}" for k in range(4)) + " FROM (SELECT sha256(concat_ws('␟', CAST(file_id AS VARCHAR), path, sha)) AS h FROM files)", "files")
+def fingerprint_noop(spark, d):
+    return rollups.fingerprint(D.files(spark, d), ["file_id", "path", "sha"])
+
+
+# --- incremental builds ------------------------------------------------------------------------------------------
+
+WALK = """walked AS (SELECT repo_id, path, language, byte_size, file_id,
+  CASE WHEN file_id % 5 = 0 THEN sha256(sha) ELSE sha END AS sha, CASE WHEN file_id % 5 = 0 OR file_id % 6 = 0 THEN mtime_ns + 5 ELSE mtime_ns END AS mtime_ns, file_id % 19 <> 0 AS readable, file_id % 23 = 0 AND file_id % 5 = 0 AS binary FROM files WHERE file_id % 9 <> 0),
+stored AS (SELECT * FROM files WHERE file_id % 4 <> 0),
+ladder AS (SELECT w.*, CASE WHEN NOT w.readable THEN 'unreadable' WHEN w.byte_size > 2097152 THEN 'binary' WHEN w.language = s.language AND s.mtime_ns > 0 AND w.mtime_ns = s.mtime_ns AND w.byte_size = s.byte_size THEN 'unchanged'
+  WHEN w.binary THEN 'binary' WHEN w.sha = s.sha AND w.language = s.language AND s.mtime_ns >= 0 THEN CASE WHEN w.mtime_ns <> s.mtime_ns THEN 'touched' ELSE 'unchanged' END ELSE 'indexed' END AS outcome
+  FROM walked w LEFT JOIN stored s ON s.repo_id = w.repo_id AND s.path = w.path)"""
+
+
+def walked(spark, d):
+    i = F.col("file_id")
+    f = D.files(spark, d).where("file_id % 9 <> 0")
+    return f.select(
+        "repo_id", "path", "language", "byte_size", "file_id", F.when(i % 5 == 0, F.sha2("sha", 256)).otherwise(F.col("sha")).alias("sha"),
+        F.when((i % 5 == 0) | (i % 6 == 0), F.col("mtime_ns") + 5).otherwise(F.col("mtime_ns")).alias("mtime_ns"), (i % 19 != 0).alias("readable"), ((i % 23 == 0) & (i % 5 == 0)).alias("binary"),
+    )
+
+
+def stored(spark, d):
+    return D.files(spark, d).where("file_id % 4 <> 0")
+
+
+@register("change_ladder", f", {WALK} SELECT file_id, outcome FROM ladder", "files")
+def change_ladder(spark, d):
+    return maintain.classified(walked(spark, d), stored(spark, d)).select("file_id", "outcome")
+
+
+@register("build_stats", f", {WALK} SELECT outcome, count(*) AS n FROM ladder GROUP BY outcome", "files")
+def build_stats(spark, d):
+    return maintain.build_stats(maintain.classified(walked(spark, d), stored(spark, d)))
+
+
+@register("merge_upsert", f", {WALK} SELECT file_id, path, sha FROM stored WHERE (repo_id, path) NOT IN (SELECT (repo_id, path) FROM ladder WHERE outcome = 'indexed') UNION ALL SELECT file_id, path, sha FROM ladder WHERE outcome = 'indexed'", "files")
+def merge_upsert(spark, d):
+    s = stored(spark, d)
+    fresh = maintain.classified(walked(spark, d), s).where("outcome = 'indexed'").select("repo_id", "path", "file_id", "sha")
+    return maintain.upserted(s.select("repo_id", "path", "file_id", "sha"), fresh).select("file_id", "path", "sha")
+
+
+@register("merge_touch", f", {WALK} SELECT s.file_id, coalesce(l.mtime_ns, s.mtime_ns) AS mtime_ns FROM stored s LEFT JOIN ladder l ON l.outcome = 'touched' AND l.repo_id = s.repo_id AND l.path = s.path", "files")
+def merge_touch(spark, d):
+    s = stored(spark, d)
+    seen = maintain.classified(walked(spark, d), s).where("outcome = 'touched'")
+    return maintain.touched(s, seen).select("file_id", "mtime_ns")
+
+
+@register("merge_delete_prefix", "SELECT file_id, count(*) AS refs FROM refs WHERE file_id IN (SELECT file_id FROM files WHERE NOT (path = 'docs/en' OR starts_with(path, 'docs/en/'))) GROUP BY file_id", "files", "refs")
+def merge_delete_prefix(spark, d):
+    left = maintain.without_prefix(D.files(spark, d), "docs/en")
+    return maintain.cascade(D.refs(spark, d), left).groupBy("file_id").agg(F.count("*").alias("refs"))
+
+
+@register("purge_stale", f", {WALK} SELECT s.file_id FROM stored s JOIN walked w USING (repo_id, path) WHERE w.language <> 'fr' OR s.language NOT IN ('fr', 'de')", "files")
+def purge_stale(spark, d):
+    w = walked(spark, d)
+    return maintain.purged(stored(spark, d), w, w.where("language <> 'fr'"), ["fr", "de"]).select("file_id")
+
+
+@register("vanished_paths", f", {WALK} SELECT file_id FROM stored s WHERE NOT EXISTS (SELECT 1 FROM walked w WHERE w.repo_id = s.repo_id AND w.path = s.path)", "files")
+def vanished_paths(spark, d):
+    return maintain.vanished(stored(spark, d), walked(spark, d)).select("file_id")
+
+
+@register("repo_sync", "SELECT name, CASE WHEN repo_id % 3 = 0 THEN '/new/' || name ELSE root_path END AS root_path FROM repos", "repos")
+def repo_sync(spark, d):
+    own = D.repos(spark, d)
+    return maintain.synced_repos(own, own.where("repo_id % 3 = 0").withColumn("root_path", F.concat(F.lit("/new/"), "name"))).select("name", "root_path")
+
+
+ROOTS = "roots(root_path, name) AS (VALUES ('srv', 'top'), ('srv/0', 'zero'), ('srv/0/deep', 'deep'), ('srv/1', 'one'), ('other', 'other'))"
+
+
+@register("owning_repo_deepest", f"WITH {ROOTS}, p AS (SELECT DISTINCT 'srv/' || user_id % 3 || CASE WHEN event_id % 2 = 0 THEN '/deep' ELSE '/flat' END || '/f' || event_id AS path FROM events) SELECT path, arg_max(name, length(root_path)) AS repo FROM p JOIN roots ON path = root_path OR starts_with(path, root_path || '/') GROUP BY path")
+def owning_repo_deepest(spark, d):
+    roots = spark.createDataFrame([("srv", "top"), ("srv/0", "zero"), ("srv/0/deep", "deep"), ("srv/1", "one"), ("other", "other")], "root_path string, name string")
+    e = D.table(spark, d, "events")
+    path = F.concat(F.lit("srv/"), (F.col("user_id") % 3).cast("string"), F.when(F.col("event_id") % 2 == 0, "/deep").otherwise("/flat"), F.lit("/f"), F.col("event_id").cast("string"))
+    return maintain.owning_repo(e.select(path.alias("path")).distinct(), roots)
+
+
+# --- overlays ----------------------------------------------------------------------------------------------------
+
+OVERLAY = """private AS (SELECT file_id, path, language, sha256(sha) AS sha, mtime_ns + 1 AS mtime_ns, byte_size FROM files WHERE (file_id - 1) % 10 = 0),
+state AS (SELECT path, (file_id - 1) % 7 = 0 AS hidden, mtime_ns + 2 AS mtime_ns, byte_size FROM files WHERE (file_id - 1) % 7 = 0 OR (file_id - 1) % 6 = 0),
+vis AS (SELECT f.file_id, f.path, f.language, f.sha, coalesce(s.mtime_ns, 0) AS mtime_ns, coalesce(s.byte_size, f.byte_size) AS byte_size FROM files f LEFT JOIN state s ON s.path = f.path WHERE NOT coalesce(s.hidden, FALSE) AND NOT EXISTS (SELECT 1 FROM private p WHERE p.path = f.path))"""
+
+
+def overlay_parts(spark, d):
+    f = D.files(spark, d).select("file_id", "path", "language", "sha", "mtime_ns", "byte_size")
+    k = F.col("file_id") - 1
+    private = f.where(k % 10 == 0).withColumns({"sha": F.sha2("sha", 256), "mtime_ns": F.col("mtime_ns") + 1})
+    state = f.where((k % 7 == 0) | (k % 6 == 0)).select("path", (k % 7 == 0).alias("hidden"), (F.col("mtime_ns") + 2).alias("mtime_ns"), "byte_size")
+    return f, private, state
+
+
+@register("overlay_files", f", {OVERLAY} SELECT file_id, path, sha, mtime_ns FROM private UNION ALL SELECT -file_id, path, sha, mtime_ns FROM vis", "files")
+def overlay_files(spark, d):
+    return overlay.merged_files(*overlay_parts(spark, d)).select("file_id", "path", "sha", "mtime_ns")
+
+
+@register("overlay_refs", f", {OVERLAY} SELECT file_id, count(*) AS n FROM (SELECT file_id FROM refs WHERE file_id IN (SELECT file_id FROM private) UNION ALL SELECT -file_id FROM refs WHERE file_id IN (SELECT file_id FROM vis)) GROUP BY file_id", "files", "refs")
+def overlay_refs(spark, d):
+    base, private, state = overlay_parts(spark, d)
+    rows = D.refs(spark, d).select("file_id", F.col("start_row").alias("ref_id"))
+    own = rows.join(private.select("file_id"), "file_id", "left_semi")
+    return overlay.merged_rows(rows, own, overlay.visible_base(base, private, state), "ref_id").groupBy("file_id").agg(F.count("*").alias("n"))
+
+
+@register("overlay_symbols", f", {OVERLAY} SELECT file_id, symbol_id, name FROM symbols WHERE file_id IN (SELECT file_id FROM private) UNION ALL SELECT -file_id, -symbol_id, name FROM symbols WHERE file_id IN (SELECT file_id FROM vis)", "files", "symbols")
+def overlay_symbols(spark, d):
+    base, private, state = overlay_parts(spark, d)
+    rows = D.symbols(spark, d).select("file_id", "symbol_id", "name")
+    own = rows.join(private.select("file_id"), "file_id", "left_semi")
+    return overlay.merged_rows(rows, own, overlay.visible_base(base, private, state), "symbol_id")
+
+
+@register("base_reuse", f", {WALK} SELECT w.file_id, f.file_id AS base_id FROM walked w JOIN files f USING (path, language, sha)", "files")
+def base_reuse(spark, d):
+    return overlay.reusable(walked(spark, d), D.files(spark, d)).select("file_id", "base_id")
+
+
+@register("overlay_mask_algebra", f", {OVERLAY}, h AS (SELECT path FROM files WHERE file_id % 8 = 0) SELECT path, hidden FROM state WHERE path NOT IN (SELECT path FROM h) UNION ALL SELECT path, TRUE FROM h", "files")
+def overlay_mask_algebra(spark, d):
+    base, _, state = overlay_parts(spark, d)
+    return overlay.hide(state, base.where("file_id % 8 = 0")).select("path", "hidden")
+
+
+@register("overlay_changed_sources", f", {WALK} SELECT f.file_id FROM files f LEFT JOIN walked w USING (path) WHERE w.path IS NULL OR w.sha <> f.sha OR w.mtime_ns <> f.mtime_ns", "files")
+def overlay_changed_sources(spark, d):
+    return overlay.changed_sources(D.files(spark, d), walked(spark, d)).select("file_id")
+
+
+# --- change feed -------------------------------------------------------------------------------------------------
+
+FEED_PATHS = ["src/a.py", "src/node_modules/x.js", ".git/HEAD", "web/app.tsbuildinfo", "a/.DS_Store", ".claude/worktrees/w/f.py", "lib/tmp/x.c", "lib/template.c"]
+
+
+def feed(spark, d):
+    path = F.element_at(F.array(*(F.lit(p) for p in FEED_PATHS)), (F.col("user_id") % len(FEED_PATHS) + 1).cast("int"))
+    kind = F.when(F.col("event_type") == "view", "access").when(F.col("event_type") == "error", "overflow").otherwise("modify")
+    return D.table(spark, d, "events").select("event_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"), path.alias("path"), kind.alias("kind"))
+
+
+FEED = "feed AS (SELECT event_id, epoch_us(ts) // 1000000 AS sec, CASE user_id % 8 " + " ".join(f"WHEN {i} THEN '{p}'" for i, p in enumerate(FEED_PATHS)) + " END AS path, CASE event_type WHEN 'view' THEN 'access' WHEN 'error' THEN 'overflow' ELSE 'modify' END AS kind FROM events)"
+
+
+@register("event_relevance", f"WITH {FEED} SELECT event_id, path FROM feed WHERE path IN ('src/a.py', 'lib/template.c')")
+def event_relevance(spark, d):
+    return feed(spark, d).where(maintain.relevant(F.col("path"))).select("event_id", "path")
+
+
+@register("event_coalesce", f'WITH {FEED} SELECT sec - sec % 3600 AS "window", path FROM feed WHERE kind <> \'access\' GROUP BY ALL')
+def event_coalesce(spark, d):
+    return maintain.changes_of(feed(spark, d), 3600).select("window", "path")
+
+
+@register("event_overflow", f'WITH {FEED} SELECT sec - sec % 3600 AS "window", bool_or(kind = \'overflow\') AS rescan, count(DISTINCT path) AS paths FROM feed WHERE kind <> \'access\' GROUP BY 1')
+def event_overflow(spark, d):
+    return maintain.changes_of(feed(spark, d), 3600).groupBy("window").agg(F.bool_or("rescan").alias("rescan"), F.count("*").alias("paths"))
+
+
+@register("distinct_in_order", "SELECT kind AS value, min(symbol_id) AS first FROM symbols GROUP BY kind", "symbols")
+def distinct_in_order(spark, d):
+    return D.symbols(spark, d).groupBy(F.col("kind").alias("value")).agg(F.min("symbol_id").alias("first"))
+
+
+@register("worktree_names", "SELECT source || CASE WHEN row_number() OVER (PARTITION BY lang ORDER BY source) > 1 THEN '@' || row_number() OVER (PARTITION BY lang ORDER BY source) ELSE '' END AS name FROM (SELECT DISTINCT source, lang FROM documents)")
+def worktree_names(spark, d):
+    n = F.row_number().over(Window.partitionBy("lang").orderBy("source"))
+    own = D.table(spark, d, "documents").select("source", "lang").distinct().withColumn("n", n)
+    return own.select(F.when(F.col("n") > 1, F.concat("source", F.lit("@"), F.col("n").cast("string"))).otherwise(F.col("source")).alias("name"))
