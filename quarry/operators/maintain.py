@@ -111,7 +111,7 @@ CONTROL_FOLDERS = [
 IGNORED_PAIR = (".claude", "worktrees")
 
 
-def relevant(path: Column, database: str = ".tsindex") -> Column:
+def relevant(path: Column, database: str = ".quarry") -> Column:
     """Can an event on this path (relative to its repository) change the index?"""
     parts = F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/")
     name = F.element_at(parts, -1)
