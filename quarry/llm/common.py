@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 U64 = np.uint64
 _SEED = np.random.default_rng(0x5EED)
@@ -43,6 +44,22 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+ROW, TEXT = "_row_in", "_text_in"
+
+
+def pack(df: DataFrame, text: str | None, **more) -> DataFrame:
+    """All columns but the text in one struct, by place, so that no name of theirs can clash with one of ours."""
+    rest = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns) if c != text]
+    own = [F.col(f"`{text}`").alias(TEXT)] if text else []
+    return df.select(F.struct(*rest, F.lit(0).alias("none")).alias(ROW), *own, *(c.alias(n) for n, c in more.items()))
+
+
+def unpack(out: DataFrame, columns: list[str], text: str | None, keep_text: bool, added: list[str]) -> DataFrame:
+    """The given columns again, then ours; one of ours takes the place of a given one of the same name."""
+    given = [F.col(TEXT).alias(c) if c == text else F.col(f"{ROW}.c{i}").alias(c) for i, c in enumerate(columns) if c not in added and (c != text or keep_text)]
+    return out.select(*given, *added)
+
+
 def blobs(column: pa.Array) -> Iterator[np.ndarray]:
     """Each value's UTF-8 bytes as uint8, without copying; null is empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, U64, class_bounds, found_in, groups_of, materialize, mask_spans, pair, ranges, span_hashes, table_of
+from .common import LOWER, TEXT, U64, class_bounds, found_in, groups_of, mask_spans, materialize, pack, pair, ranges, span_hashes, table_of, unpack
 
 WINDOW, SHINGLE, INDEX_BYTES = 8, 3, 16 << 20
 #: Bytes of words: digits, a-z (after lower-casing) and all bytes of non-ASCII characters.
@@ -126,13 +126,13 @@ def blocks(benchmark: DataFrame, item_id: str, text: str) -> Iterator[list[tuple
 
 
 def scanned(docs: DataFrame, index: Index) -> DataFrame:
-    """Adds to ``_hit`` (runs of words) and ``_items`` what this block of items finds; ``_text`` is the text."""
+    """Adds to ``_hit`` (runs of words) and ``_items`` what this block of items finds."""
     names = docs.columns
 
     def run(batches):
         for batch in batches:
             n_words, runs, items = [], [], []
-            for first_row, _, data, at in groups_of(batch.column("_text")):
+            for first_row, _, data, at in groups_of(batch.column(TEXT)):
                 data = LOWER[data]
                 starts, ends = class_bounds(data, ALNUM)
                 doc = np.searchsorted(at, starts, side="right") - 1
@@ -160,15 +160,13 @@ def scanned(docs: DataFrame, index: Index) -> DataFrame:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, least_items: int = 2) -> DataFrame:
     """``docs`` with ``_n`` (words), ``_hit`` (runs of hit words), ``_items`` (ids, sorted as strings) and ``_bad``."""
-    out = docs.withColumns({
-        "_text": F.col(text), "_n": F.lit(None).cast("long"), "_hit": F.lit(None).cast("array<struct<start:long,end:long>>"), "_items": F.lit(None).cast("array<string>"),
-    })
+    out = pack(docs, text, _n=F.lit(None).cast("long"), _hit=F.lit(None).cast("array<struct<start:long,end:long>>"), _items=F.lit(None).cast("array<string>"))
     found = 0
     for found, block in enumerate(blocks(benchmark, item_id, item_text), 1):
         out = scanned(materialize(out, "scanned") if found > 1 else out, Index(block, window))
     if not found:
         out = scanned(out, Index([], window))
-    return out.drop("_text").withColumn("_bad", F.size("_items") >= least_items)
+    return unpack(out.withColumn("_bad", F.size("_items") >= least_items), docs.columns, text, True, ["_n", "_hit", "_items", "_bad"])
 
 
 def digest(items: list[str]) -> str:

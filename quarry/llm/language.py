@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, mix
+from .common import TEXT, U64, mix, pack, unpack
 
 BITS, MAX_LANGS, PENALTY, GROUP = 15, 512, 10.0, 1 << 20
 #: First and last code point of the main blocks of a script.
@@ -220,12 +220,13 @@ def trained(rows: DataFrame, text: str = "text", lang: str = "lang") -> Model:
 
 def identified(docs: DataFrame, model: Model, text: str = "text", spans: bool = False) -> DataFrame:
     """``docs`` with ``_lang`` and ``_score`` and, if asked for, ``_spans``."""
-    names = docs.columns
+    source = pack(docs, text)
+    names = source.columns
 
     def run(batches):
         for batch in batches:
             langs, scores, runs = [], [], []
-            for texts in grouped(batch.column(names.index(text))):
+            for texts in grouped(batch.column(names.index(TEXT))):
                 a, b, c = model.judged(texts)
                 langs += a
                 scores.append(b)
@@ -234,8 +235,9 @@ def identified(docs: DataFrame, model: Model, text: str = "text", spans: bool =
             made += [pa.array(runs, pa.list_(pa.struct([("lang", pa.string()), ("first", pa.int64()), ("words", pa.int64())])))] if spans else []
             yield pa.RecordBatch.from_arrays(batch.columns + made, [*names, "_lang", "_score", "_spans"][: len(names) + len(made)])
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{kept}, _lang string, _score double" + ", _spans array<struct<lang:string,first:long,words:long>>" * spans)
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema)
+    out = source.mapInArrow(run, f"{kept}, _lang string, _score double" + ", _spans array<struct<lang:string,first:long,words:long>>" * spans)
+    return unpack(out, docs.columns, text, True, ["_lang", "_score", *["_spans"] * spans])
 
 
 def held_out(doc_id: str = "doc_id") -> F.Column:

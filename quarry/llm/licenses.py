@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, U64, class_bounds, found_in, groups_of, ranges, span_hashes, table_of, window_hashes
+from .common import LOWER, ROW, TEXT, U64, class_bounds, found_in, groups_of, pack, ranges, span_hashes, table_of, unpack, window_hashes
 from .decontaminate import ALNUM
 from .license_texts import TEMPLATES
 
@@ -147,17 +147,16 @@ FIELDS = ["matched", "template_words", "first_word", "last_word", "start", "end"
 def matches(docs: DataFrame, text: str = "text", templates: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     """``docs`` without the text, a row for each match: license, matched and all words of the template,
     the span in words (inclusive) and in bytes (end exclusive), coverage in percent."""
-    rest = [c for c in docs.columns if c != text]
-    source = docs.select(*rest, F.col(text).alias("_text_in"))
+    source = pack(docs, text)
     kind = pa.list_(pa.struct([("license", pa.string()), *((f, pa.int64()) for f in FIELDS)]))
     known = Templates(templates)
 
     def run(batches):
         for batch in batches:
-            found = [x for _, _, data, at in groups_of(batch.column(batch.num_columns - 1)) for x in scan(known, data, at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, kind)], [*batch.schema.names[:-1], "_found"])
+            found = [x for _, _, data, at in groups_of(batch.column(TEXT)) for x in scan(known, data, at)]
+            yield pa.RecordBatch.from_arrays([batch.column(ROW), pa.array(found, kind)], [ROW, "_found"])
 
-    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in source.schema if f.name != "_text_in")
-    out = source.mapInArrow(run, f"{kept}_found array<struct<license:string,{','.join(f'{f}:long' for f in FIELDS)}>>")
+    out = source.mapInArrow(run, f"{ROW} {source.schema[ROW].dataType.simpleString()}, _found array<struct<license:string,{','.join(f'{f}:long' for f in FIELDS)}>>")
     out = out.withColumn("_m", F.explode("_found"))
-    return out.select(*rest, *(F.col(f"_m.{f}").alias(f"_{f}") for f in ("license", *FIELDS))).withColumn("_coverage", F.expr("100 * _matched div _template_words"))
+    out = out.select(ROW, *(F.col(f"_m.{f}").alias(f"_{f}") for f in ("license", *FIELDS))).withColumn("_coverage", F.expr("100 * _matched div _template_words"))
+    return unpack(out, docs.columns, text, False, [f"_{f}" for f in ("license", *FIELDS, "coverage")])

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, U64, WS, class_bounds, groups_of, materialize, mix, pair, span_hashes, window_hashes
+from .common import LOWER, ROW, TEXT, U64, WS, class_bounds, groups_of, materialize, mix, pack, pair, span_hashes, unpack, window_hashes
 from .components import components
 
 BANDS, ROWS, BITS, SET_BITS, BLOCK = 40, 5, 1024, 2048, 256
@@ -149,10 +149,10 @@ def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n:
     found = placed(docs, text, doc_id, n, percent)
     chosen = found.where("_n = 0 OR (_id <=> _least.doc AND _s1 = _least._s1 AND _s2 = _least._s2)")
     chosen = materialize(chosen.groupBy("_id", "_s1", "_s2").agg(F.min(F.struct("_k1", "_k2")).alias("k")).select(F.col("_id").alias("_i"), F.col("k._k1").alias("_a"), F.col("k._k2").alias("_b")).distinct(), "chosen")
-    keyed = docs.withColumns({"_k1": F.xxhash64(text), "_k2": F.xxhash64(F.lit(7), F.col(text), F.octet_length(text))})
-    rest = [c for c in docs.columns if c != doc_id]
-    one = keyed.groupBy(doc_id, "_k1", "_k2").agg(*(F.first(c).alias(c) for c in rest))
-    return one.join(chosen, one[doc_id].eqNullSafe(F.col("_i")) & (F.col("_k1") == F.col("_a")) & (F.col("_k2") == F.col("_b")), "left_semi").select(*docs.columns)
+    own = pack(docs, text, _id=F.col(doc_id), _k1=F.xxhash64(text), _k2=F.xxhash64(F.lit(7), F.col(text), F.octet_length(text)))
+    one = own.groupBy("_id", "_k1", "_k2").agg(F.first(ROW).alias(ROW), F.first(TEXT).alias(TEXT))
+    one = one.join(chosen, one["_id"].eqNullSafe(F.col("_i")) & (F.col("_k1") == F.col("_a")) & (F.col("_k2") == F.col("_b")), "left_semi")
+    return unpack(one, docs.columns, text, True, [])
 
 
 def placed(docs: DataFrame, text: str, doc_id: str, n: int, percent: int) -> DataFrame:

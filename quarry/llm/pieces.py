@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, groups_of, mix, pair, ranges, span_hashes
+from .common import ROW, TEXT, U64, groups_of, mix, pack, pair, ranges, span_hashes, unpack
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 RATE, SEED, VARIANTS = 0.1, 20240817, 8
@@ -260,16 +260,14 @@ def codes(body: np.ndarray, begin: np.ndarray) -> np.ndarray:
 def encoded(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", key: str = "doc_id", rate: float = RATE, seed: int = SEED, ids: bool = True) -> DataFrame:
     """``docs`` without the text, with ``_n`` (ids), ``_sha`` (of their little-endian 32-bit values), ``_lossless``
     (decoding gives the text's bytes again) and, if asked for, ``_ids``."""
-    rest = [c for c in docs.columns if c != text]
     variant = F.coalesce(F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(VARIANTS)), F.lit(0)) if key else F.lit(0)
     variant = F.when(F.col(key).isNull(), F.lit(0)).otherwise(variant)
-    source = docs.select(*rest, variant.cast("long").alias("_variant"), F.col(text).alias("_text_in"))
-    names = source.columns
+    source = pack(docs, text, _variant=variant.cast("long"))
 
     def run(batches):
         m = Merges.of(vocabulary)
         for batch in batches:
-            texts, variants = batch.column(len(names) - 1), batch.column(len(names) - 2).to_numpy(zero_copy_only=False)
+            texts, variants = batch.column(TEXT), batch.column("_variant").to_numpy(zero_copy_only=False)
             count, sha, same, lists = [], [], [], []
             for a, b, data, at in groups_of(texts, 1 << 20):
                 out, bounds = m.block(data, at, variants[a:b], rate, seed)
@@ -292,10 +290,11 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", key: st
             if ids:
                 whole = pa.concat_arrays(lists) if lists else pa.array([], pa.list_(pa.int32()))
                 made.append(whole)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *made], [*names[:-2], "_n", "_sha", "_lossless", "_ids"][: len(names) - 2 + len(made)])
+            yield pa.RecordBatch.from_arrays([batch.column(ROW), *made], [ROW, *added])
 
-    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in source.schema if f.name not in ("_variant", "_text_in"))
-    return source.mapInArrow(run, f"{kept}_n long, _sha string, _lossless boolean" + ", _ids array<int>" * ids)
+    added = ["_n", "_sha", "_lossless", *["_ids"] * ids]
+    out = source.mapInArrow(run, f"{ROW} {source.schema[ROW].dataType.simpleString()}, _n long, _sha string, _lossless boolean" + ", _ids array<int>" * ids)
+    return unpack(out, docs.columns, text, False, added)
 
 
 def decode(ids: list[int], vocabulary: Vocabulary) -> str:

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import ROW, materialize, pack, unpack
 
 MARKS = r"^((?:[ \t]{0,3}>)+)[ \t]?"
 PARAGRAPH = r"\n[ \t\r]*\n"
@@ -64,16 +64,16 @@ def name(text: F.Column) -> F.Column:
 def linked(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", text: str = "text") -> DataFrame:
     """``messages`` with ``_body`` (text without quotes), ``_quotes``, ``_linked``, ``_reply_conv``, ``_reply_turn``
     and ``_thread``, sorted into reply order."""
-    parsed = messages.withColumn("_lines", lines_of(F.col(text)))
+    parsed = pack(messages, None, _conv=F.col(conv), _turn=F.col(turn), _text=F.col(text)).withColumn("_lines", lines_of(F.col("_text")))
     quoting = F.exists("_lines", lambda x: x.level > 0)
     body = F.array_join(F.transform(F.filter("_lines", lambda x: x.level == 0), lambda x: x.line), "\n")
-    parsed = parsed.withColumns({"_body": F.when(quoting, body).otherwise(F.coalesce(F.col(text), F.lit(""))), "_quoting": quoting})
-    parsed = materialize(parsed.withColumn("_passages", F.when(quoting, passages_of(F.col("_lines")))).drop("_lines").withColumn("_row", F.monotonically_increasing_id()), "messages")
+    parsed = parsed.withColumns({"_body": F.when(quoting, body).otherwise(F.coalesce(F.col("_text"), F.lit(""))), "_quoting": quoting})
+    parsed = materialize(parsed.withColumn("_passages", F.when(quoting, passages_of(F.col("_lines")))).drop("_lines", "_text").withColumn("_row", F.monotonically_increasing_id()), "messages")
 
-    quotes = parsed.where("_quoting").select("_row", F.col(conv).alias("c"), F.col(turn).alias("t"), F.explode(F.filter("_passages", lambda x: x.level > 0)).alias("p"))
+    quotes = parsed.where("_quoting").select("_row", F.col("_conv").alias("c"), F.col("_turn").alias("t"), F.explode(F.filter("_passages", lambda x: x.level > 0)).alias("p"))
     quotes = materialize(quotes.select("_row", "c", "t", F.col("p.level").alias("level"), F.length(normal(F.col("p.text"))).alias("size"), name(F.col("p.text")).alias("h")), "quotes")
     parts = F.array_union(F.array("_body"), F.split("_body", PARAGRAPH))
-    own = parsed.where(F.col(conv).isNotNull() & F.col(turn).isNotNull()).select(F.col(conv).alias("c"), F.col(turn).alias("t"), F.explode(F.transform(parts, name)).alias("h")).where("h IS NOT NULL")
+    own = parsed.where(F.col("_conv").isNotNull() & F.col("_turn").isNotNull()).select(F.col("_conv").alias("c"), F.col("_turn").alias("t"), F.explode(F.transform(parts, name)).alias("h")).where("h IS NOT NULL")
     # only passages that somebody quotes go on; what is quoted is made distinct first
     wanted = materialize(quotes.where("h IS NOT NULL").select("h").distinct(), "quoted")
     own = own.join(wanted, "h", "left_semi")
@@ -93,10 +93,10 @@ def linked(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", text:
         threads = step.select("c", "up")
         if not step.where("moved").limit(1).count():
             break
-    out = parsed.drop("_passages", "_quoting").join(links.drop("c"), "_row", "left").join(threads.withColumnRenamed("c", "_c"), F.col(conv) == F.col("_c"), "left")
+    out = parsed.drop("_passages", "_quoting").join(links.drop("c"), "_row", "left").join(threads.withColumnRenamed("c", "_c"), F.col("_conv") == F.col("_c"), "left")
     zero = F.lit(0).cast("long")
     out = out.select(
-        *messages.columns, "_body", F.coalesce("_quotes", zero).alias("_quotes"), F.coalesce("_linked", zero).alias("_linked"),
-        F.col("_to.c").alias("_reply_conv"), F.col("_to.t").alias("_reply_turn"), F.coalesce("up", F.col(conv)).alias("_thread"),
+        ROW, "_conv", "_turn", "_body", F.coalesce("_quotes", zero).alias("_quotes"), F.coalesce("_linked", zero).alias("_linked"),
+        F.col("_to.c").alias("_reply_conv"), F.col("_to.t").alias("_reply_turn"), F.coalesce("up", F.col("_conv")).alias("_thread"),
     )
-    return out.orderBy("_thread", conv, turn)
+    return unpack(out.orderBy("_thread", "_conv", "_turn"), messages.columns, None, False, ["_body", "_quotes", "_linked", "_reply_conv", "_reply_turn", "_thread"])

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, WS, class_bounds, groups_of, mix, pair, span_hashes
+from .common import ROW, TEXT, U64, WS, class_bounds, groups_of, mix, pack, pair, span_hashes, unpack
 
 #: N-gram length in words and the largest share in percent.
 LIMITS = {5: 15, 6: 14, 7: 13, 8: 12, 9: 11, 10: 10}
@@ -101,19 +101,16 @@ FIGURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 
 
 def with_figures(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` without the text, with ``_rep``: a struct of FIGURES."""
-    rest = [c for c in docs.columns if c != text]
-    source = docs.select(*rest, F.col(text).alias("_text_in"))
+    """The packed rows of ``docs`` with ``_rep``: a struct of FIGURES."""
+    source = pack(docs, text)
 
     def run(batches):
         for batch in batches:
-            parts = [measured(data, at) for _, _, data, at in groups_of(batch.column("_text_in"))]
+            parts = [measured(data, at) for _, _, data, at in groups_of(batch.column(TEXT))]
             made = pa.StructArray.from_arrays([pa.array(np.concatenate([p[c] for p in parts]) if parts else np.zeros(0, np.int64)) for c in FIGURES], FIGURES)
-            kept = [i for i, c in enumerate(batch.schema.names) if c != "_text_in"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), made], [*(batch.schema.names[i] for i in kept), "_rep"])
+            yield pa.RecordBatch.from_arrays([batch.column(ROW), made], [ROW, "_rep"])
 
-    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in source.schema if f.name != "_text_in")
-    return source.mapInArrow(run, f"{kept}_rep struct<{', '.join(f'{c}: long' for c in FIGURES)}>")
+    return source.mapInArrow(run, f"{ROW} {source.schema[ROW].dataType.simpleString()}, _rep struct<{', '.join(f'{c}: long' for c in FIGURES)}>")
 
 
 def judged(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -124,4 +121,4 @@ def judged(docs: DataFrame, text: str = "text") -> DataFrame:
     for k, share in LIMITS.items():
         over = over | (100 * r(f"chars_{k}") > share * r("word_chars"))
     out = with_figures(docs, text).withColumns({c: r(c) for c in FIGURES[:5]} | {"base_failed": base, "kept": ~base & ~(over & (r("n_words") >= FLOOR))})
-    return out.drop("_rep")
+    return unpack(out, docs.columns, text, False, [*FIGURES[:5], "base_failed", "kept"])

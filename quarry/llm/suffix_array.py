@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_CODE, U64, blobs, found_in, materialize, mix, pair, powers, ranges, sliding
+from .common import BYTE_CODE, TEXT, U64, blobs, found_in, materialize, mix, pack, pair, powers, ranges, sliding, unpack
 
 LENGTH = 400
 #: Bytes of the first names.
@@ -303,23 +303,23 @@ def deduplicated(docs: DataFrame, text: str = "text", length: int = LENGTH, keep
 
     A text of which there are copies is removed as a whole.  The rows of ``docs`` are joined to the
     distinct texts through plain exchanges on both sides, so that a hot text can be split."""
-    if isinstance(docs.schema[text].dataType, type(None)):
-        raise ValueError(text)
-    spans = repeated_spans(docs, text, length)
-    long_enough = F.octet_length(text) >= length
-    copies = materialize(keyed(docs.where(long_enough).select(text), text).groupBy(*KEY).count().where("count > 1").select(*KEY), "copies")
+    packed = pack(docs, text)
+    spans = repeated_spans(packed, TEXT, length)
+    copies = materialize(keyed(packed.where(F.octet_length(TEXT) >= length).select(TEXT), TEXT).groupBy(*KEY).count().where("count > 1").select(*KEY), "copies")
     cut = spans.select(*KEY, F.size("_spans").cast("long").alias("_s"), F.aggregate("_spans", F.lit(0).cast("long"), lambda a, x: a + x.end - x.start).alias("_r"), F.col("_sha").alias("_h"), *([F.col("_kept").alias("_b")] if keep_text else []))
     change = materialize(copies.withColumn("_all", F.lit(True)).join(cut, KEY, "full"), "changes")
-    size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
+    size = F.coalesce(F.octet_length(TEXT), F.lit(0)).cast("long")
     full = F.coalesce("_all", F.lit(False))
-    out = keyed(docs, text).withColumns({"_n_bytes": size, "_own": F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)})
+    out = keyed(packed, TEXT).withColumns({"_n_bytes": size, "_own": F.sha2(F.coalesce(F.col(TEXT), F.lit("")).cast("binary"), 256)})
     if not keep_text:
-        out = out.drop(text)
+        out = out.drop(TEXT)
     out = out.join(change, KEY, "left").withColumns({
         "_n_removed": F.when(full, F.col("_n_bytes")).otherwise(F.coalesce("_r", F.lit(0).cast("long"))),
         "_n_spans": F.when(full, F.lit(1).cast("long")).otherwise(F.coalesce("_s", F.lit(0).cast("long"))),
         "_sha": F.when(full, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.coalesce("_h", "_own")),
     })
+    added = ["_n_bytes", "_n_removed", "_n_spans", "_sha"]
     if keep_text:
-        out = out.withColumn("_kept", F.when(full, F.lit("").cast("binary")).otherwise(F.coalesce("_b", F.col(text).cast("binary"))))
-    return out.drop(*KEY, "_all", "_s", "_r", "_h", "_b", "_own")
+        out = out.withColumn("_kept", F.when(full, F.lit("").cast("binary")).otherwise(F.coalesce("_b", F.col(TEXT).cast("binary"))))
+        added.append("_kept")
+    return unpack(out, docs.columns, text, keep_text, added)

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, pack, unpack
 
 #: Host, path and verdict.
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -72,13 +72,13 @@ def spread(seeds: DataFrame, edges: DataFrame, rounds: int = ROUNDS) -> DataFram
 
 def judged(pages: DataFrame, url: str = "url", html: str = "html", rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
     """``pages`` without the html, with ``host``, ``path``, ``rule`` and ``verdict``."""
-    out = ruled(pages, url, rules)
-    links = host_graph(out, html)
+    out = ruled(pack(pages, None, _url=F.col(url), _html=F.col(html)), "_url", rules)
+    links = host_graph(out, "_html")
     both = links.select(F.lit("trust").alias("kind"), "src", "dst", "n").unionByName(links.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
     counts = out.where("host <> ''").groupBy("host").agg(F.count("*").alias("n"), F.count_if(F.col("_ruling") == "allow").alias("allow"), F.count_if(F.col("_ruling") == "block").alias("block"))
     seeds = counts.select("host", F.explode(F.create_map(F.lit("trust"), F.expr(f"{UNIT} * allow div n"), F.lit("distrust"), F.expr(f"{UNIT} * block div n"))).alias("kind", "seed")).where("seed > 0")
     mass = spread(seeds, materialize(both, "host-links"))
     sums = mass.groupBy("host").agg(F.sum(F.when(F.col("kind") == "trust", F.col("mass"))).alias("t"), F.sum(F.when(F.col("kind") == "distrust", F.col("mass"))).alias("d"))
     bad = materialize(sums.where(f"100 * coalesce(d, 0) > {RATIO} * coalesce(t, 0)").select("host", F.lit("block").alias("_method")), "blocked-hosts")
-    out = out.drop(html).join(bad, "host", "left")
-    return out.withColumn("verdict", F.coalesce("_ruling", "_method", F.lit("allow"))).drop("_ruling", "_method")
+    out = out.drop("_html").join(bad, "host", "left").withColumn("verdict", F.coalesce("_ruling", "_method", F.lit("allow")))
+    return unpack(out, pages.columns, None, False, ["host", "path", "rule", "verdict"]).drop(html)
