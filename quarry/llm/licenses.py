@@ -63,6 +63,10 @@ class Templates:
         self.known = {int(s): np.unique(self.key[self.size == s]) for s in np.unique(self.size)}
         self.bits = {s: table_of(k) for s, k in self.known.items()}
 
+    def band(self, t: int) -> int:
+        """Half the template at most, so that a short notice that follows itself is found twice."""
+        return min(BAND, max(1, len(self.words[t]) // 2))
+
     def candidates(self, words: np.ndarray) -> list[tuple[int, np.ndarray]]:
         """For each template, places (of a block's words) where it may start."""
         at, what = [], []
@@ -79,7 +83,7 @@ class Templates:
             for t in np.unique(template).tolist():
                 own = np.unique(place[template == t])
                 new = np.ones(len(own), bool)
-                new[1:] = np.diff(own) > BAND
+                new[1:] = np.diff(own) > self.band(t)
                 out.append((t, own[new]))
         return out
 
@@ -87,8 +91,9 @@ class Templates:
         """(matched words, first word, last word, candidate) of the candidates with enough coverage;
         lo and hi bound the text of each candidate."""
         own = self.words[t]
-        m, width = len(own), 3 * BAND + 1
-        base = start - BAND
+        band = self.band(t)
+        m, width = len(own), 3 * band + 1
+        base = start - band
         rows = np.zeros((m + 1, len(start), width), np.int16)
         same = np.zeros((m, len(start), width), bool)
         for i in range(m):
