@@ -72,7 +72,7 @@ class Builder:
 
     def build(self, incremental: bool = True, only: str | None = None, languages: list[str] = (), prune: bool = True) -> Stats:
         repos = self.repos(only)
-        force = not incremental or self.store.outdated()
+        force = not incremental
         files, symbols, refs, stored_repos = (self.store.read(t) for t in ("files", "symbols", "refs", "repos"))
         configured = self.spark.createDataFrame([(repo_id(r.name), r.name, os.path.realpath(r.root)) for r in self.config.repos], "repo_id long, name string, root_path string")
         synced = maintain.synced_repos(stored_repos, configured, prune=prune and only is None)
@@ -113,7 +113,9 @@ class Builder:
         return self.merge(sources, files, staying, symbols, refs, stored, False)
 
     def merge(self, sources: DataFrame, files: DataFrame, staying: DataFrame, symbols: DataFrame, refs: DataFrame, repos: DataFrame, force: bool) -> Stats:
-        outcome = maintain.classified(sources, files, force=force).persist(StorageLevel.DISK_ONLY)
+        # an older schema asks for a new extraction of everything
+        known = files.withColumn("mtime_ns", F.lit(-1).cast("long")) if self.store.outdated() else files
+        outcome = maintain.classified(sources, known, force=force).persist(StorageLevel.DISK_ONLY)
         fresh = None
         try:
             counts = {r.outcome: r.n for r in maintain.build_stats(outcome).collect()}

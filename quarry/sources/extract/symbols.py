@@ -128,7 +128,7 @@ def docstring(language: str, node: Node, source: Source, top: int) -> str | None
             if line or out:
                 break
         else:
-            out.append(re.sub(r"\s*(\*/|-->)$", "", line[len(mark) :].lstrip(mark[-1])).strip())
+            out.append(re.sub(r"\s*(\*/|-->)$", "", line)[len(mark) :].lstrip(mark[-1]).strip())
         row -= 1
     text = "\n".join(reversed(out)).strip()
     return text or None
