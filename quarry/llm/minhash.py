@@ -148,6 +148,8 @@ def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n:
     Rows with an empty set all stay.  Equal rows are folded before the shuffle."""
     found = placed(docs, text, doc_id, n, percent)
     chosen = found.where("_n = 0 OR (_id <=> _least.doc AND _s1 = _least._s1 AND _s2 = _least._s2)")
+    # written before it's grouped, so that a hot class can be split in the join above and few rows are left
+    chosen = materialize(chosen.select("_id", "_s1", "_s2", "_k1", "_k2"), "chosen")
     chosen = materialize(chosen.groupBy("_id", "_s1", "_s2").agg(F.min(F.struct("_k1", "_k2")).alias("k")).select(F.col("_id").alias("_i"), F.col("k._k1").alias("_a"), F.col("k._k2").alias("_b")).distinct(), "chosen")
     own = pack(docs, text, _id=F.col(doc_id), _k1=F.xxhash64(text), _k2=F.xxhash64(F.lit(7), F.col(text), F.octet_length(text)))
     one = own.groupBy("_id", "_k1", "_k2").agg(F.first(ROW).alias(ROW), F.first(TEXT).alias(TEXT))
