@@ -92,10 +92,10 @@ w AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '[\x20\x09-\x
 win AS (
   SELECT doc_id, k, p, array_to_string(words[p:p + k - 1], ' ') AS g
   FROM (SELECT doc_id, words, k, unnest(range(1, len(words) - k + 2)) AS p FROM w, (SELECT unnest(range(5, 11)) AS k) WHERE len(words) >= k)),
-dup AS (SELECT doc_id, k, p FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, k, g) > 1),
-cov AS (SELECT DISTINCT doc_id, k, unnest(range(p, p + k)) AS q FROM dup),
+dup AS (SELECT doc_id, k, p, row_number() OVER (PARTITION BY doc_id, k, g ORDER BY p) > 1 AS again FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, k, g) > 1),
+cov AS (SELECT DISTINCT doc_id, k, unnest(range(p, p + k)) AS q FROM dup WHERE again UNION ALL SELECT DISTINCT doc_id, 0, unnest(range(p, p + k)) FROM dup WHERE k = 8),
 share AS (
-  SELECT w.doc_id, count(*) FILTER (k = 8) AS n_repeat, sum(length(words[q])) FILTER (k = 5) AS c5, sum(length(words[q])) FILTER (k = 6) AS c6, sum(length(words[q])) FILTER (k = 7) AS c7,
+  SELECT w.doc_id, count(*) FILTER (k = 0) AS n_repeat, sum(length(words[q])) FILTER (k = 5) AS c5, sum(length(words[q])) FILTER (k = 6) AS c6, sum(length(words[q])) FILTER (k = 7) AS c7,
     sum(length(words[q])) FILTER (k = 8) AS c8, sum(length(words[q])) FILTER (k = 9) AS c9, sum(length(words[q])) FILTER (k = 10) AS c10
   FROM cov JOIN w ON w.doc_id = cov.doc_id GROUP BY w.doc_id),
 line AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM t),

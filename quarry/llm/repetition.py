@@ -1,9 +1,10 @@
 """Quality rules by repetition coverage.
 
 Rolling names of word n-grams of several lengths, computed in numpy over blocks of
-whole texts: the characters inside n-grams that stand at least twice in the text,
+whole texts: the characters inside n-grams that equal an earlier n-gram of the text,
 and the characters of lines equal to an earlier line, as shares of all word
-characters.  A document is kept if it passes the base rules and no share is over
+characters.  (The base figure counts the first of equal windows too; the shares
+don't, as a text that says one thing twice has one copy too many, not two.)  A document is kept if it passes the base rules and no share is over
 its limit.  Limits are those published for large web corpora (5 to 10 words:
 15 % down to 10 %; lines: 20 %), as whole percents so that they are exact; each
 takes effect only on texts with at least ``FLOOR`` words.
@@ -57,22 +58,22 @@ def measured(data: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
     words = span_hashes(data, starts, ends)
     total = lambda of, w=None: np.bincount(of, w, minlength=n).astype(np.int64)
     own = mix(doc.astype(U64) + U64(1))
-    covered = {}
+    covered, repeated = {}, np.zeros(len(words), bool)
     name = words
     for k in range(2, max(LIMITS) + 1):
         if len(words) < k:
-            covered |= {j: np.zeros(len(words), bool) for j in range(k, max(LIMITS) + 1)}
+            covered |= {j: np.zeros(len(words), bool) for j in LIMITS if j >= k}
             break
         name = pair(name[: len(words) - k + 1], words[k - 1 :])
         if k not in LIMITS:
             continue
         whole = np.flatnonzero(doc[: len(words) - k + 1] == doc[k - 1 :])
-        first = whole[twice(name[whole] ^ own[whole])]
-        edge = np.zeros(len(words) + 1, np.int32)
-        np.add.at(edge, first, 1)
-        np.add.at(edge, first + k, -1)
-        covered[k] = np.cumsum(edge[:-1]) > 0
-    out = {"n_words": total(doc), "word_chars": total(doc, chars), "n_repeat_words": total(doc[covered[BASE_WINDOW]])}
+        key = name ^ own[: len(name)]
+        every = whole[twice(key[whole])]
+        covered[k] = inside(every[later(key[every])], k, len(words))
+        if k == BASE_WINDOW:
+            repeated = inside(every, k, len(words))
+    out = {"n_words": total(doc), "word_chars": total(doc, chars), "n_repeat_words": total(doc[repeated])}
     out |= {f"chars_{k}": total(doc[covered[k]], chars[covered[k]]) for k in LIMITS}
     sign = np.flatnonzero(SYMBOLS[data])
     out["n_symbols"] = total(np.searchsorted(at, sign, side="right") - 1)
@@ -86,11 +87,19 @@ def measured(data: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
     line_start, line_end, line_doc = line_start[some], line_end[some], line_doc[some]
     again = later(span_hashes(data, line_start, line_end) ^ mix(line_doc.astype(U64) + U64(1)))
     out["n_dup_lines"] = total(line_doc[again])
-    inside = np.concatenate([[0], np.cumsum(((data & 0xC0) != 0x80) & WS[data])])
-    out["chars_lines"] = total(line_doc[again], (inside[line_end] - inside[line_start])[again])
+    in_words = np.concatenate([[0], np.cumsum(((data & 0xC0) != 0x80) & WS[data])])
+    out["chars_lines"] = total(line_doc[again], (in_words[line_end] - in_words[line_start])[again])
     return out
 
 
+def inside(first: np.ndarray, k: int, n: int) -> np.ndarray:
+    """Mask of the n words that lie in one of the windows of k words."""
+    edge = np.zeros(n + 1, np.int32)
+    np.add.at(edge, first, 1)
+    np.add.at(edge, first + k, -1)
+    return np.cumsum(edge[:-1]) > 0
+
+
 def mask_of(spots: np.ndarray, n: int) -> np.ndarray:
     out = np.zeros(n, bool)
     out[spots] = True
