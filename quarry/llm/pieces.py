@@ -36,6 +36,8 @@ RATE, SEED, VARIANTS = 0.1, 20240817, 8
 MARK = 0x2581
 NONE = np.int64(1) << np.int64(62)
 SLOTS = 21
+#: Bytes of a text beyond which it's encoded in pieces.
+LONG = 1 << 22
 
 
 @dataclass(frozen=True)
@@ -238,6 +240,22 @@ class Merges:
         total = np.concatenate([[0], np.cumsum((hi - lo)[back])]).astype(np.int64)
         return out.astype(np.int32), total[np.searchsorted(text_of, np.arange(n + 1))]
 
+    def long(self, data: np.ndarray, variant: int, rate: float, seed: int) -> tuple[np.ndarray, bool]:
+        """(ids, lossless) of one long text, piece after piece: cut at single spaces, where words begin anyway, so the
+        ids are those of the whole.  The space that begins a piece is the one that a text's first word gets."""
+        single = np.flatnonzero((data[1:-1] == 32) & (data[:-2] != 32) & (data[2:] != 32)) + 1
+        out, ok, start = [], True, 0
+        while start < len(data):
+            k = np.searchsorted(single, start + LONG)
+            stop = int(single[k]) if k < len(single) else len(data)
+            part = np.concatenate([data[start:stop], np.full(1, 32, np.uint8)])
+            ids, bounds = self.block(part, np.array([0, len(part)]), np.array([variant]), rate, seed)
+            raw, _ = self.decoded(ids, bounds)
+            ok = ok and np.array_equal(raw, part[:-1])
+            out.append(ids)
+            start = stop + 1
+        return np.concatenate(out), ok
+
     def decoded(self, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(bytes, bounds by text): what the pieces spell, without the leading space of each text."""
         lo, hi = self.raw_at[ids], self.raw_at[ids + 1]
@@ -270,6 +288,14 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", key: st
             texts, variants = batch.column(TEXT), batch.column("_variant").to_numpy(zero_copy_only=False)
             count, sha, same, lists = [], [], [], []
             for a, b, data, at in groups_of(texts, 1 << 20):
+                if len(data) > LONG:
+                    out, ok = m.long(data[:-1], variants[a], rate, seed)
+                    count.append(np.array([len(out)]))
+                    same.append(np.array([ok]))
+                    sha.append(hashlib.sha256(out.astype("<i4").tobytes()).hexdigest())
+                    if ids:
+                        lists.append(pa.ListArray.from_arrays(pa.array([0, len(out)], pa.int32()), pa.array(out)))
+                    continue
                 out, bounds = m.block(data, at, variants[a:b], rate, seed)
                 raw, where = m.decoded(out, bounds)
                 count.append(np.diff(bounds))
