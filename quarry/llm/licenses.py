@@ -27,6 +27,8 @@ from .decontaminate import ALNUM
 from .license_texts import TEMPLATES
 
 SHINGLE, WINNOW, BAND, COVERAGE = 3, 4, 8, 80
+#: Candidates that are aligned at once, for bounded memory.
+ALIGNED = 1024
 
 
 def hashed(text: str) -> np.ndarray:
@@ -131,8 +133,10 @@ def scan(texts: Templates, data: np.ndarray, at: np.ndarray) -> list[list[dict]]
     for t, place in texts.candidates(words):
         # the candidate's text is that of its middle, which lies inside any match
         doc = np.clip(np.searchsorted(cut, np.clip(place + len(texts.words[t]) // 2, 0, len(words) - 1), side="right") - 1, 0, len(found) - 1)
-        for matched, first, last, c in texts.aligned(t, words, place, cut[doc], cut[doc + 1]):
-            found[doc[c]].append((-matched, len(texts.words[t]) - matched, first, last, texts.names[t]))
+        for k in range(0, len(place), ALIGNED):
+            some = slice(k, k + ALIGNED)
+            for matched, first, last, c in texts.aligned(t, words, place[some], cut[doc[some]], cut[doc[some] + 1]):
+                found[doc[k + c]].append((-matched, len(texts.words[t]) - matched, first, last, texts.names[t]))
     out = []
     for i, own in enumerate(found):
         kept: list[tuple] = []
