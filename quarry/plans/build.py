@@ -61,14 +61,9 @@ class Builder:
 
     def walked(self, repos: list[Repo], languages: list[str], paths: dict[str, list[str]] | None = None) -> tuple[DataFrame, DataFrame]:
         """(sources that are to be indexed, all paths that are there)."""
-        rows, there = [], []
-        for r in repos:
-            w = self.workspace(r, allowed_languages(languages, r, self.config))
-            found = walk.walk(w, None if paths is None else paths.get(r.name, []))
-            known = walk.languages_of(w, found)
-            rows += [(repo_id(r.name), w.root, p, known[p]) for p in found if p in known]
-            there += [(repo_id(r.name), p) for p in found]
-        return walk.sources(self.spark, rows), self.spark.createDataFrame(there, "repo_id long, path string")
+        spaces = [(repo_id(r.name), self.workspace(r, allowed_languages(languages, r, self.config))) for r in repos]
+        found = walk.paths(self.spark, spaces, paths).persist(StorageLevel.DISK_ONLY)
+        return walk.sources(found), found.select("repo_id", "path")
 
     def build(self, incremental: bool = True, only: str | None = None, languages: list[str] = (), prune: bool = True) -> Stats:
         repos = self.repos(only)

@@ -1,7 +1,8 @@
 """Immutable generations of the index, and the pointer to the current one.
 
-A generation is a folder of Parquet tables, split by repository and sorted by name
-inside each file so that row-group statistics serve name lookups.  A build writes
+A generation is a folder of Parquet tables.  Symbols and references are range-
+partitioned and sorted by name and file, so that the statistics of files and row
+groups serve name lookups, and a name with very many rows spreads over several files.  A build writes
 the next generation and then replaces the pointer in one step: readers see the old
 one or the new one, never a mixture, and a build that fails leaves nothing behind
 that a reader could find.
@@ -82,7 +83,7 @@ class Store:
         for name, schema in TABLES.items():
             rows = tables[name].select(*(tables[name][f.name].cast(f.dataType) for f in schema))
             if name in ("symbols", "refs"):
-                rows = rows.sortWithinPartitions("name", "file_id")
+                rows = rows.repartitionByRange("name", "file_id").sortWithinPartitions("name", "file_id")
             elif name == "files":
                 rows = rows.sortWithinPartitions("repo_id", "path")
             rows.write.parquet(f"{self.root}/{folder}/{name}")

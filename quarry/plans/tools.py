@@ -8,8 +8,8 @@ from __future__ import annotations
 
 import os
 import tempfile
-import time
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -266,10 +266,10 @@ class Navigator:
         limit, offset = self.limits.results(args.limit), min(args.offset, total)
         got = [r.asDict() for r in references.page(rows, limit, offset).collect()]
         cache: dict = {}
-        stale = self.stale_files(rows)
+        stale = self.stale_files(rows, sorted({(r["repo"], r["path"]) for r in got}))
         n_lines = max(1, min(20, args.snippet_lines)) if args.snippet_lines else 0
         shaped = [self.reference(r, several, n_lines, (r["repo"], r["path"]) in stale, cache) for r in got]
-        partial = bool(sums.partial) or bool(stale)
+        partial = bool(sums.partial) or bool(stale) or self.any_stale(rows)
 
         def build(n: int) -> dict:
             after = offset + n if offset + n < total else None
@@ -288,8 +288,19 @@ class Navigator:
 
         return wire.shrunk(build, len(got), self.limits.max_response_chars)[0]
 
-    def stale_files(self, rows: DataFrame) -> set[tuple[str, str]]:
-        """Files of the result, on and off the page, whose live source isn't the indexed one; hashed by tasks."""
+    def stale_files(self, rows: DataFrame, page: list[tuple[str, str]]) -> set[tuple[str, str]]:
+        """Files of the page whose live source isn't the indexed one."""
+        if not page:
+            return set()
+        wanted = self.spark.createDataFrame(page, "repo string, path string")
+        return {(r.repo, r.path) for r in self.unverified(rows.join(wanted, ["repo", "path"], "left_semi")).collect()}
+
+    def any_stale(self, rows: DataFrame) -> bool:
+        """Is there such a file anywhere in the result?  Stops at the first."""
+        return bool(self.unverified(rows).limit(1).count())
+
+    def unverified(self, rows: DataFrame) -> DataFrame:
+        """Files whose live source isn't the indexed one; hashed by tasks."""
         import hashlib
 
         import pyarrow as pa
@@ -307,8 +318,7 @@ class Navigator:
                         bad.append(True)
                 yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(bad)), batch.column(1).filter(pa.array(bad))], ["repo", "path"])
 
-        found = rows.select("repo", "path", "sha").distinct().mapInArrow(check, "repo string, path string")
-        return {(r.repo, r.path) for r in found.limit(self.limits.max_result_limit * 4).collect()}
+        return rows.select("repo", "path", "sha").distinct().mapInArrow(check, "repo string, path string")
 
     def reference(self, r: dict, several: bool, n: int, stale: bool, cache: dict) -> dict:
         out = {"name": r["name"] if several else None, "range": wire.wire_range(r), "context": r["context"]}
@@ -364,8 +374,7 @@ class Navigator:
             diagnostics += self.filter_diagnostics(self.owned(repos, all_files, args.repo), args.file_glob, found)
         if found is not None:
             files = files.where(found)
-        files = self.contents(files).where(F.octet_length("content") <= 2 << 20).cache()
-        started = time.monotonic()
+        files = self.contents(files).where(F.octet_length("content") <= 2 << 20).persist(StorageLevel.DISK_ONLY)
         try:
             scanned = files.count()
             parts, parsed_files = None, 0
@@ -373,9 +382,13 @@ class Navigator:
                 needles = patterns.required_literals(patterns.compiled(language, args.query))
                 own = files.where(F.col("language") == language)
                 parsed_files += lookup.readable(own, needles).count()
-                part = patterns.captures(lookup.readable(own).select("ordinal", "repo", "path", "language", "partial", "content"), language, args.query)
+                part = patterns.captures(lookup.readable(own).select("ordinal", "repo", "path", "language", "partial", "content"), language, args.query, budget_ms=self.limits.query_timeout_ms)
                 parts = part if parts is None else parts.unionByName(part)
+            timed_out = False
             if parts is not None:
+                parts = parts.persist(StorageLevel.DISK_ONLY)
+                timed_out = bool(parts.where("capture IS NULL").limit(1).count())
+                parts = parts.where("capture IS NOT NULL")
                 if args.capture:
                     parts = parts.where(F.col("capture") == args.capture)
                 rows = parts.orderBy("ordinal", "path", "language", "seq").offset(offset).limit(limit + 1).collect()
@@ -383,8 +396,9 @@ class Navigator:
                 rows = []
         finally:
             files.unpersist()
-        timed_out = (time.monotonic() - started) * 1000 > self.limits.query_timeout_ms and self.limits.query_timeout_ms == 0
-        more = len(rows) > limit
+        if timed_out and not rows:
+            raise TimeoutError(f"no capture within {self.limits.query_timeout_ms} ms; narrow the pattern or the files")
+        more = len(rows) > limit or timed_out
         shaped = []
         for r in rows[:limit]:
             short = bool(cap) and len(r.text) > cap

@@ -1,7 +1,8 @@
 """Workspaces on disk as DataFrames: which files there are, and their contents.
 
-The walk runs on the machine that holds the sources; contents are read by tasks, a
-slice of paths each, so sources must lie in storage that all executors see.
+Tasks walk one top-level entry of a workspace each, and other tasks read the files,
+a slice of paths each, so sources must lie in storage that all executors see.  The
+driver lists top-level entries only.
 """
 
 from __future__ import annotations
@@ -86,10 +87,43 @@ def languages_of(workspace: Workspace, paths: list[str]) -> dict[str, str]:
 SOURCES = "repo_id long, path string, language string, mtime_ns long, byte_size long, readable boolean, binary boolean, sha string, content binary"
 
 
-def sources(spark: SparkSession, rows: list[tuple[int, str, str, str]], partitions: int | None = None) -> DataFrame:
-    """rows (repo_id, root, path, language) -> SOURCES: state, hash and content of each file, read by tasks."""
-    frame = spark.createDataFrame(rows, "repo_id long, root string, path string, language string")
-    frame = frame.repartition(partitions or max(1, min(len(rows) // 64 + 1, spark.sparkContext.defaultParallelism * 4)), "repo_id", "path")
+PATHS = "repo_id long, root string, path string, language string"
+
+
+def entries(workspace: Workspace, only: list[str] | None = None) -> list[str]:
+    """What a walk is dealt out by: the top-level entries, or the asked-for paths below them."""
+    try:
+        top = sorted(os.listdir(workspace.root))
+    except OSError:
+        return []
+    if only is None or "" in only:
+        return top
+    return sorted({p.strip("/") for p in only})
+
+
+def paths(spark: SparkSession, workspaces: list[tuple[int, Workspace]], only: dict[str, list[str]] | None = None) -> DataFrame:
+    """PATHS of all files of the workspaces (or of the paths asked for); the language is null where none is known or allowed."""
+    rows = [(i, w.name, w.root, list(w.languages), list(w.ignore), list(w.foreign), e) for i, w in workspaces for e in entries(w, None if only is None else only.get(w.name, []))]
+    frame = spark.createDataFrame(rows, "repo_id long, name string, root string, languages array<string>, ignore array<string>, foreign array<string>, entry string")
+    frame = frame.repartition(max(1, min(len(rows), 4 * spark.sparkContext.defaultParallelism)))
+
+    def run(batches):
+        for batch in batches:
+            found: set[tuple[int, str, str, str | None]] = set()
+            for repo, name, root, languages, rules, foreign, entry in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                w = Workspace(name, root, tuple(languages), tuple(rules), tuple(foreign))
+                here = walk(w, [entry])
+                known = languages_of(w, here)
+                found |= {(repo, root, p, known.get(p)) for p in here}
+            columns = list(zip(*sorted(found, key=lambda x: (x[0], x[2])), strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.string(), pa.string(), pa.string()), strict=True)], ["repo_id", "root", "path", "language"])
+
+    return frame.mapInArrow(run, PATHS).distinct()
+
+
+def sources(found: DataFrame) -> DataFrame:
+    """PATHS -> SOURCES: state, hash and content of each file with a language."""
+    frame = found.where("language IS NOT NULL").repartition("repo_id", "path")
 
     def read(batches):
         for batch in batches:

@@ -116,3 +116,15 @@ def test_language_columns_agree(spark):
     rows = [("a.py", ""), ("lib/a.C", ""), ("x/vendor/a.py", ""), ("settings.gradle.kts", ""), ("run", "#!/bin/ksh\nx"), ("Makefile", ""), ("a.json", ""), ("b", "text"), ("w\\q.rb", "")]
     got = spark.createDataFrame(rows, "p string, h string").select("p", language_of(F.col("p"), F.col("h")).alias("l")).collect()
     assert [r.l for r in got] == [detect(p, h.encode()) for p, h in rows]
+
+
+def test_table_functions(spark):
+    from quarry.functions.udtf import register
+
+    register(spark)
+    frame = spark.createDataFrame([("a.py", "python", bytearray(b"def f():\n    return g()\n")), ("b.json", "json", bytearray(b'{"k": 1}')), ("c", None, None)], "path string, language string, content binary")
+    frame.createOrReplaceTempView("sources")
+    assert [(r.path, r.name, r.kind) for r in spark.sql("SELECT path, s.name, s.kind FROM sources, LATERAL extract_symbols(language, content) s ORDER BY path").collect()] == [("a.py", "f", "function"), ("b.json", "k", "key")]
+    assert spark.sql("SELECT s.context FROM sources, LATERAL extract_refs(language, content) s WHERE s.name = 'g'").first()[0] == "call"
+    got = spark.sql("SELECT s.text FROM (SELECT * FROM sources WHERE language = 'python') f, LATERAL syntax_query(language, content, '(call function: (identifier) @c)') s").collect()
+    assert [r.text for r in got] == ["g"]
