@@ -26,6 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder; one of our own only where none is set, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quarry-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -39,6 +41,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)  # scratch goes with the application
     df.write.option("compression", "zstd").parquet(path)
     spark.sparkContext._jvm.System.gc()  # lets Spark remove the shuffle files that this table replaces
     return spark.read.schema(df.schema).parquet(path)
