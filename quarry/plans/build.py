@@ -7,14 +7,18 @@ if nothing changed.
 
 from __future__ import annotations
 
+import hashlib
+import json
 import os
-from dataclasses import dataclass
+import time
+import uuid
+from dataclasses import asdict, dataclass
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..model import InvalidArguments
+from ..model import FILES, InvalidArguments
 from ..operators import maintain, overlay, rollups
 from ..sources import ignore, walk
 from ..sources.config import Config, Repo, allowed_languages
@@ -80,6 +84,20 @@ class Builder:
         staying = maintain.purged(owned, there, active, scope, built)
         return self.merge(sources, files, staying, symbols, refs, synced, force)
 
+    def marker(self) -> dict:
+        text = json.dumps(asdict(self.config), sort_keys=True)
+        return {"config": hashlib.sha256(text.encode()).hexdigest(), "generation": self.store.manifest().generation}
+
+    def refresh(self, interval_ms: int) -> Stats | None:
+        """Build, unless the same configuration saw this generation less than the interval ago (0: always build)."""
+        text = self.store._text("REFRESHED")
+        seen = json.loads(text) if text else {}
+        if interval_ms and {k: seen.get(k) for k in ("config", "generation")} == self.marker() and time.time() * 1000 - seen["at"] < interval_ms:
+            return None
+        stats = self.build()
+        self.store._write("REFRESHED", json.dumps(self.marker() | {"at": int(time.time() * 1000)}))
+        return stats
+
     def update(self, changed: list[str]) -> Stats:
         """Only what lies at or below the changed paths.  A changed rule file stands for its folder."""
         paths: dict[str, list[str]] = {}
@@ -147,7 +165,7 @@ class Overlay:
 
     def identity(self) -> str:
         m = self.base.manifest()
-        return f"{m.generation}:{m.folder}"
+        return m.identity or f"{m.generation}:{m.folder}"
 
     def state(self) -> DataFrame:
         m = self.own.manifest()
@@ -184,7 +202,8 @@ class Overlay:
             state.persist(StorageLevel.DISK_ONLY)
             state.count()
             # the masks are written first: the pointer is replaced last
-            published = _publish_with_state(self.own, {"repos": repos, "files": new, "symbols": s, "refs": r}, state, base=self.base.root, base_identity=self.identity(), fingerprint=prints)
+            merged = overlay.merged_files(base_files, new, state, repo_id(name.name))
+            published = _publish_with_state(self.own, merged, {"repos": repos, "files": new, "symbols": s, "refs": r}, state, base=self.base.root, base_identity=self.identity(), fingerprint=prints)
             state.unpersist()
             parsed.unpersist()
             return bool(published)
@@ -200,6 +219,10 @@ class Overlay:
         if table == "repos":
             return self.own.read("repos")
         base_files, private = self.base.read("files"), self.own.read("files")
+        m = self.own.manifest()
+        if table == "files" and m.directory == m.generation and m.base_identity == self.identity():
+            # the resolved directory of this very generation stands beside it
+            return self.spark.read.schema(FILES).parquet(f"{self.own.root}/{m.folder}-files")
         if table == "files":
             return overlay.merged_files(base_files, private, self.state(), repo_id(self.config.repos[0].name))
         key = "symbol_id" if table == "symbols" else "ref_id"
@@ -209,14 +232,13 @@ class Overlay:
         return self.own.manifest()
 
 
-def _publish_with_state(store: Store, tables: dict[str, DataFrame], state: DataFrame, **more):
-    """As Store.publish, with the masks beside the generation."""
-    import uuid
-
-    token = uuid.uuid4().hex[:8]
-    fixed = f"gen-{store.manifest().generation + 1:08d}-{token}"
-    state.write.parquet(f"{store.root}/{fixed}-state")
-    return store.publish(tables, folder=fixed, **more)
+def _publish_with_state(store: Store, merged: DataFrame, tables: dict[str, DataFrame], state: DataFrame, **more):
+    """As Store.publish, with the masks and the resolved files beside the generation."""
+    generation = store.manifest().generation + 1
+    folder = f"gen-{generation:08d}-{uuid.uuid4().hex[:8]}"
+    state.write.parquet(f"{store.root}/{folder}-state")
+    merged.select(*(merged[f.name].cast(f.dataType) for f in FILES)).write.parquet(f"{store.root}/{folder}-files")
+    return store.publish(tables, folder=folder, directory=generation, **more)
 
 
 def known_languages() -> list[str]:

@@ -10,6 +10,7 @@ that a reader could find.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import time
 import uuid
@@ -32,6 +33,7 @@ class Manifest:
     identity: str = ""
     base: str = ""
     base_identity: str = ""
+    directory: int = 0
     fingerprint: dict = field(default_factory=dict)
 
 
@@ -91,6 +93,31 @@ class Store:
         self._write("CURRENT", json.dumps(asdict(m)))
         return m
 
+    def snapshot(self, target: str) -> Store:
+        """Copy the current generation to a new place, once: it's an error if something is there.  An index with
+        files that wait for extraction can't be a base.  The identity follows from the rows."""
+        from ..operators.rollups import fingerprint
+
+        m, other = self.manifest(), Store(self.spark, target)
+        if not m.ready:
+            raise RuntimeError("the index isn't ready")
+        if other._fs.exists(other._path(f"{other.root}/CURRENT")):
+            raise FileExistsError(target)
+        files = self.read("files", m)
+        if files.where("mtime_ns = -1").limit(1).count():
+            raise RuntimeError("the index has files that wait for extraction")
+        prints = {t: [str(v) for v in fingerprint(self.read(t, m), TABLES[t].names).first()] for t in TABLES}
+        other.publish({t: self.read(t, m) for t in TABLES}, identity=hashlib.sha256(json.dumps(prints, sort_keys=True).encode()).hexdigest())
+        return other
+
+    def sizes(self) -> dict[str, int]:
+        """Files and bytes of the current generation."""
+        m = self.manifest()
+        if not m.folder:
+            return {"files": 0, "bytes": 0}
+        summary = self._fs.getContentSummary(self._path(f"{self.root}/{m.folder}"))
+        return {"files": summary.getFileCount(), "bytes": summary.getLength()}
+
     def outdated(self) -> bool:
         """An older schema asks for a new extraction of every file."""
         return self.manifest().schema_version < SCHEMA_VERSION

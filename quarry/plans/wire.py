@@ -42,6 +42,13 @@ def diagnostic(code: str, message: str, hint: str, kinds: dict[str, int] | None
     return lean({"code": code, "message": message, "hint": hint, "kinds": kinds})
 
 
+def aliased(value, names: dict[str, str]):
+    """The value with every ``repo`` in it renamed."""
+    if isinstance(value, dict):
+        return {k: names.get(v, v) if k == "repo" and isinstance(v, str) else aliased(v, names) for k, v in value.items()}
+    return [aliased(v, names) for v in value] if isinstance(value, list) else value
+
+
 def shrunk(build, start: int, budget: int, size=size_of) -> tuple[dict, int, bool]:
     """build(n) for the largest tried n whose size fits: (response, n, fits).  Each step scales n by how much it is over."""
     n, response = start, build(start)

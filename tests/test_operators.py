@@ -285,3 +285,20 @@ def test_catalogue_against_sql(spark):
         got = query(spark, SMALL)
         assert sorted(got.columns) == sorted(want.columns), name
         assert sorted(repr(tuple(r[c] for c in want.columns)) for r in got.collect()) == sorted(map(repr, want.fetchall())), name
+
+
+def test_snapshots_markers_and_aliases(spark, make_index, tmp_path):
+    from quarry.plans.wire import aliased
+
+    nav, builder, roots = make_index({"a": {"x.py": "def f(): pass\n"}})
+    assert builder.refresh(60_000).skipped == 1 and builder.refresh(60_000) is None and builder.refresh(0) is not None
+    write_tree(roots["a"], {"y.py": "def g(): pass\n"})
+    assert builder.refresh(60_000) is None
+    assert nav.index.sizes()["files"] > 0
+    target = "file://" + str(tmp_path / "base")
+    os.makedirs(tmp_path / "base")
+    copy = nav.index.snapshot(target)
+    assert len(copy.manifest().identity) == 64 and copy.read("symbols").count() == nav.index.read("symbols").count()
+    with pytest.raises(FileExistsError):
+        nav.index.snapshot(target)
+    assert aliased({"repo": "a", "groups": [{"repo": "a", "file": "a"}, {"repo": "b"}]}, {"a": "z"}) == {"repo": "z", "groups": [{"repo": "z", "file": "a"}, {"repo": "b"}]}
