@@ -21,6 +21,22 @@ def op1_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_suffix_array": op1_suffix_array}
 SQL: dict[str, str] = {}
+# bytes are spelled in hexadecimal, two digits for each, so that windows are substrings
+SQL["op1_suffix_array"] = """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, octet_length(encode(coalesce(text, ''))) AS n, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT rid, p, md5_number(substring(h, 2 * p + 1, 800)) AS m FROM (SELECT rid, h, unnest(range(n - 399)) AS p FROM d WHERE n >= 400)),
+rep AS (SELECT rid, p FROM w QUALIFY count(*) OVER (PARTITION BY m) > 1),
+far AS (SELECT rid, p, max(p + 400) OVER (PARTITION BY rid ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS e FROM rep),
+runs AS (SELECT rid, p, sum(CASE WHEN e IS NULL OR p > e THEN 1 ELSE 0 END) OVER (PARTITION BY rid ORDER BY p) AS k FROM far),
+spans AS (SELECT rid, min(p) AS a, max(p) + 400 AS b FROM runs GROUP BY rid, k),
+gaps AS (
+  SELECT rid, a, b, coalesce(lag(b) OVER (PARTITION BY rid ORDER BY a), 0) AS before FROM spans
+  UNION ALL SELECT d.rid, n, n, coalesce(m, 0) FROM d LEFT JOIN (SELECT rid, max(b) AS m FROM spans GROUP BY rid) t ON t.rid = d.rid),
+kept AS (SELECT d.rid, string_agg(substring(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS h FROM gaps JOIN d ON d.rid = gaps.rid GROUP BY d.rid),
+removed AS (SELECT rid, sum(b - a) AS r, count(*) AS s FROM spans GROUP BY rid)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(r, 0) AS BIGINT) AS n_removed, CAST(coalesce(s, 0) AS BIGINT) AS n_spans, sha256(unhex(kept.h)) AS kept_sha256
+FROM d JOIN kept ON kept.rid = d.rid LEFT JOIN removed ON removed.rid = d.rid
+"""
 
 
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -215,6 +231,29 @@ def op7_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["op4_licenses"] = op4_licenses
 QUERIES["op7_quotes"] = op7_quotes
+SQL["op7_quotes"] = r"""
+WITH RECURSIVE m AS (SELECT *, row_number() OVER () AS rid FROM conversations),
+l AS (SELECT rid, c, t, unnest(a) AS x, generate_subscripts(a, 1) AS k FROM (SELECT rid, conv_id AS c, turn AS t, string_split_regex(coalesce(text, ''), '\r?\n') AS a FROM m)),
+p AS (SELECT rid, c, t, k, length(regexp_replace(regexp_extract(x, '^((?:[ \t]{0,3}>)+)[ \t]?', 1), '[^>]', '', 'g')) AS level, regexp_replace(x, '^((?:[ \t]{0,3}>)+)[ \t]?', '') AS line FROM l),
+b AS (SELECT rid, max(level) > 0 AS quoting, string_agg(line, chr(10) ORDER BY k) FILTER (level = 0) AS body FROM p GROUP BY rid),
+body AS (SELECT m.rid, conv_id, turn, role, CASE WHEN quoting THEN coalesce(b.body, '') ELSE coalesce(text, '') END AS body FROM m JOIN b ON b.rid = m.rid),
+g AS (SELECT *, k - row_number() OVER (PARTITION BY rid, level ORDER BY k) AS island FROM p),
+q AS (SELECT rid, c, t, level, trim(regexp_replace(lower(string_agg(line, chr(10) ORDER BY k)), '[^\p{L}\p{N}]+', ' ', 'g')) AS n FROM g WHERE level > 0 GROUP BY rid, c, t, level, island),
+parts AS (SELECT conv_id AS c, turn AS t, unnest([body] || string_split_regex(body, '\n[ \t\r]*\n')) AS x FROM body WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+own AS (SELECT c, t, trim(regexp_replace(lower(x), '[^\p{L}\p{N}]+', ' ', 'g')) AS n FROM parts),
+near AS (SELECT n, c, min(t) AS near FROM own WHERE n <> '' GROUP BY n, c),
+far AS (SELECT n, min(c) AS fc, arg_min(near, c) AS ft FROM near GROUP BY n),
+f AS (
+  SELECT q.*, CASE WHEN near < t THEN q.c WHEN fc < q.c THEN fc END AS tc, CASE WHEN near < t THEN near WHEN fc < q.c THEN ft END AS tt
+  FROM q LEFT JOIN near ON near.n = q.n AND near.c = q.c LEFT JOIN far ON far.n = q.n),
+best AS (SELECT rid, c, tc, tt FROM f WHERE tc IS NOT NULL QUALIFY row_number() OVER (PARTITION BY rid ORDER BY level, length(n) DESC, tc, tt) = 1),
+sums AS (SELECT rid, count(*) AS nq, count(tc) AS nl FROM f GROUP BY rid),
+up AS (SELECT c, min(tc) AS up FROM best WHERE tc < c GROUP BY c),
+chain AS (SELECT c, up FROM up UNION ALL SELECT chain.c, up.up FROM chain JOIN up ON up.c = chain.up),
+root AS (SELECT c, min(up) AS root FROM chain GROUP BY c)
+SELECT coalesce(root, conv_id) AS thread_id, conv_id, turn, role, tc AS reply_conv, tt AS reply_turn, coalesce(nq, 0) AS n_quotes, coalesce(nl, 0) AS n_linked, body
+FROM body LEFT JOIN sums ON sums.rid = body.rid LEFT JOIN best ON best.rid = body.rid LEFT JOIN root ON root.c = conv_id
+"""
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

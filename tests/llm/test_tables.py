@@ -75,6 +75,16 @@ def test_quotations(spark):
     assert got[None, 1][0] is None and got[6, 0] == (6, None, None, 1, 0, "kept") and got[7, 1][1] is None and got[8, 0][0] == 8
     assert [r._thread for r in found if r._thread is not None] == sorted(r._thread for r in found if r._thread is not None)
     assert linked(spark.createDataFrame([], "conv_id long, turn long, text string")).count() == 0
+    # the SQL says the same of these rows
+    import duckdb
+
+    from quarry.llm.queries import SQL
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, 'r', ?)", rows)
+    want = con.sql(f"SELECT thread_id, conv_id, turn, reply_conv, reply_turn, n_quotes, n_linked, body FROM ({SQL['op7_quotes']})").fetchall()
+    assert Counter(want) == Counter((r._thread, r.conv_id, r.turn, r._reply_conv, r._reply_turn, r._quotes, r._linked, r._body) for r in found)
 
 
 def test_components(spark):
@@ -117,7 +127,7 @@ def test_pipeline_against_its_parts(spark):
         assert r.lossless and (text == rows[i] if not cut[i][1] else len(text.encode()) <= cut[i][0] - cut[i][1])
 
 
-SQL_QUERIES = ["op2_warc", "op6_decontaminate", "op8_url_filter", "op9_repetition"]
+SQL_QUERIES = ["op1_suffix_array", "op2_warc", "op3_minhash", "op6_decontaminate", "op7_quotes", "op8_url_filter", "op9_repetition"]
 
 
 @pytest.mark.parametrize("name", SQL_QUERIES)
@@ -127,7 +137,7 @@ def test_against_sql(spark, name):
     import __spark_entry__ as e
 
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark"):
+    for t in ("documents", "pages", "benchmark", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     want = con.sql(e.oracle_sql()[name])
     got = e.queries()[name](spark, SF)
