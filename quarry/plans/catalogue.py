@@ -151,7 +151,7 @@ def symbol_lookup(spark, d):
 
 
 @register("symbol_fair_quota", f"""SELECT ordinal, rank, name, path, start_row FROM (
-  SELECT name, path, start_row, list_position([{quoted(SYMBOL_NAMES)}], name) - 1 AS ordinal, row_number() OVER (PARTITION BY name ORDER BY repo_id, path, start_row, symbol_id) AS rank FROM symbols JOIN symbol_files USING (file_id) WHERE name IN ({quoted(SYMBOL_NAMES)}))
+  SELECT name, path, start_row, CAST(list_position([{quoted(SYMBOL_NAMES)}], name) - 1 AS BIGINT) AS ordinal, row_number() OVER (PARTITION BY name ORDER BY repo_id, path, start_row, symbol_id) AS rank FROM symbols JOIN symbol_files USING (file_id) WHERE name IN ({quoted(SYMBOL_NAMES)}))
 WHERE rank > 3 AND rank <= 3 + 20""", "symbols", "symbol_files")
 def symbol_fair_quota(spark, d):
     page = lookup.fair_page(lookup.requested(symbol_rows(spark, d), SYMBOL_NAMES), 100, len(SYMBOL_NAMES), 3, [*lookup.ORDER, "symbol_id"])

@@ -412,7 +412,8 @@ SQL_CREATE = [
     ("create_database", rb"DATABASE"), ("create_schema", rb"SCHEMA(?:\s+AUTHORIZATION)?"), ("create_table", rb"(?:TEMP(?:ORARY)?\s+|UNLOGGED\s+|EXTERNAL\s+)?TABLE"), ("create_view", rb"(?:OR\s+REPLACE\s+)?(?:MATERIALIZED\s+)?VIEW"),
     ("create_index", rb"(?:UNIQUE\s+)?INDEX(?:\s+CONCURRENTLY)?"), ("create_function", rb"(?:OR\s+REPLACE\s+)?FUNCTION"), ("create_sequence", rb"SEQUENCE"), ("create_type", rb"TYPE"), ("create_trigger", rb"(?:OR\s+REPLACE\s+)?TRIGGER"),
 ]
-SQL_WORD = re.compile(rb"--[^\n]*|/\*.*?\*/|'(?:''|[^'])*'|\"([^\"]+)\"|([A-Za-z_]\w*)", re.S)
+SQL_WORD = re.compile(rb"--[^\n]*|/\*.*?\*/|'(?:''|[^'])*'|(\"[^\"]+\"|`[^`]+`)|([A-Za-z_]\w*)|([();.,])", re.S)
+SQL_BEFORE_NAMES = {b".", b"FROM", b"JOIN", b"INTO", b"UPDATE", b"TABLE", b"ON", b"REFERENCES", b"VIEW"}
 SQL_KEYWORDS = set(b"ADD ALL ALTER AND AS ASC AUTHORIZATION BEFORE AFTER INSTEAD OF BEGIN BETWEEN BIGINT BOOLEAN BY CASCADE CASE CHAR CHECK COLUMN CONCURRENTLY CONSTRAINT CREATE CROSS DATABASE DATE DECIMAL DEFAULT DELETE DESC DISTINCT DO DOUBLE DROP EACH ELSE END ENUM EXECUTE EXISTS FALSE FLOAT FOR FOREIGN FROM FULL FUNCTION GROUP HAVING IF IN INDEX INNER INSERT INT INTEGER INTO IS JOIN KEY LANGUAGE LEFT LIKE LIMIT MATERIALIZED NOT NULL NUMERIC OFFSET ON OR ORDER OUTER PRIMARY PROCEDURE REFERENCES REPLACE RETURN RETURNS RIGHT ROW SCHEMA SELECT SEQUENCE SERIAL SET SMALLINT TABLE TEMP TEMPORARY TEXT THEN TIMESTAMP TRIGGER TRUE TYPE UNION UNIQUE UPDATE USING VALUES VARCHAR VIEW WHEN WHERE WITH".split())
 
 
@@ -434,9 +435,8 @@ def sql_tree(data: bytes) -> Tree:
             if c := re.match(rb"CREATE\s+" + words + rb"\s+(?:IF\s+NOT\s+EXISTS\s+)?" + SQL_NAME, body, re.I):
                 home = root.add(Node(kind, start, end))
                 a, b = c.span(c.lastindex)
-                quoted = body[a : a + 1] in (b'"', b"`", b"[")
-                home.add(Node("identifier", start + a + quoted, start + b - quoted), "name")
-                named.add(start + a + quoted)
+                home.add(Node("identifier", start + a, start + b), "name")
+                named.add(start + a)
                 if kind == "create_table" and (paren := body.find(b"(", b)) >= 0:
                     sql_columns(home, body, start, paren, named)
                 break
@@ -448,10 +448,26 @@ def sql_tree(data: bytes) -> Tree:
             node = home.add(Node("cte", start + c.start(c.lastindex), start + k))
             node.add(Node("identifier", start + c.start(c.lastindex), start + c.end(c.lastindex)), "name")
             named.add(start + c.start(c.lastindex))
+    first, before, lists = b"", b"", []  # the statement's first word, the last token, what opened each bracket
     for m in SQL_WORD.finditer(data):
-        k = 1 if m[1] else 2
-        if m[k] and m.start(k) not in named and (k == 1 or m[2].upper() not in SQL_KEYWORDS):
-            root.add(Node("identifier", *m.span(k)))
+        if m[3]:
+            if m[3] == b";":
+                first, lists = b"", []
+            elif m[3] == b"(":
+                lists.append(first in (b"INSERT", b"CREATE"))
+            elif m[3] == b")" and lists:
+                lists.pop()
+            before = m[3]
+            continue
+        if not (m[1] or m[2]):
+            continue
+        word = m[0].upper()
+        first = first or word
+        # a name in double quotes is a string where nothing tells that it is a column or a table
+        plain = not m[1] or m[0][:1] == b"`" or before in SQL_BEFORE_NAMES or before in (b"(", b",") and lists[-1:] == [True]
+        if m.start() not in named and plain and (m[1] or word not in SQL_KEYWORDS):
+            root.add(Node("identifier", *m.span()))
+        before = word
     return Tree(root, Source(data), blank.count(b"(") != blank.count(b")"))
 
 
@@ -464,10 +480,9 @@ def sql_columns(home: Node, body: bytes, start: int, paren: int, named: set[int]
             part = body[at:k]
             if (m := re.match(rb"\s*" + SQL_NAME + rb"\s+\w", part)) and not re.match(rb"\s*(PRIMARY|FOREIGN|UNIQUE|CHECK|CONSTRAINT|KEY|INDEX|EXCLUDE)\b", part, re.I):
                 a, b = m.span(m.lastindex)
-                quoted = part[a : a + 1] in (b'"', b"`", b"[")
                 node = home.add(Node("column_definition", start + at + m.start(m.lastindex), start + at + len(part.rstrip())))
-                node.add(Node("identifier", start + at + a + quoted, start + at + b - quoted), "name")
-                named.add(start + at + a + quoted)
+                node.add(Node("identifier", start + at + a, start + at + b), "name")
+                named.add(start + at + a)
             at = k + 1
         if depth == 0:
             break

@@ -208,10 +208,20 @@ def context_of(node: Node) -> str:
     return "identifier"
 
 
+def value_context(language: str, node: Node) -> str:
+    """Names of variables, properties, constants and keys bind values; only where they are items of their own
+    (Rust) or members (C#) do they count as declarations."""
+    found = context_of(node)
+    if found != "declaration" or language == "rust" or language == "csharp" and node.parent.kind in ("property_declaration", "enum_member_declaration"):
+        return found
+    return "assignment" if language in ("java", "csharp") else "identifier"
+
+
 def extract_refs(language: str, tree: Tree, symbols: list[Symbol]) -> list[Ref]:
     if language == "markdown":
         return []
     declared = {s.name_at for s in symbols if s.name_at and s.kind not in PLAIN_KINDS}
+    values = {s.name_at for s in symbols if s.name_at and s.kind in PLAIN_KINDS}
     seen: set[tuple[int, int, str]] = set()
     out = []
     for node in tree.root.walk():
@@ -225,7 +235,8 @@ def extract_refs(language: str, tree: Tree, symbols: list[Symbol]) -> list[Ref]:
         if not text or (key := (node.start, node.end, text)) in seen:
             continue
         seen.add(key)
-        out.append(Ref(text, node.start, node.end, "declaration" if (node.start, node.end) in declared else context_of(node)))
+        at = (node.start, node.end)
+        out.append(Ref(text, *at, "declaration" if at in declared else value_context(language, node) if at in values else context_of(node)))
     out.sort(key=lambda r: (r.start, r.end))
     return out
 

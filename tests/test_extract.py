@@ -57,7 +57,7 @@ def test_kinds_by_language():
         ("import", "#include <x>"), ("namespace", "n"), ("class", "A"), ("method", "m"), ("struct", "S"), ("enum", "E"), ("union", "U"), ("method", "m"), ("prototype", "g"), ("variable", "v"),
     ]
     assert symbols("sql", "CREATE SCHEMA IF NOT EXISTS s;\nCREATE TABLE s.\"t\" (a INT, b TEXT, PRIMARY KEY (a));\nCREATE INDEX i ON t (a);\nCREATE SEQUENCE q;\nCREATE TYPE y AS ENUM ('x');\nCREATE TRIGGER g BEFORE INSERT ON t;\nCREATE OR REPLACE FUNCTION f() RETURNS INT;\nCREATE DATABASE d;\n") == [
-        ("schema", "s"), ("table", "t"), ("column", "a"), ("column", "b"), ("index", "i"), ("sequence", "q"), ("type", "y"), ("trigger", "g"), ("function", "f"), ("database", "d"),
+        ("schema", "s"), ("table", '"t"'), ("column", "a"), ("column", "b"), ("index", "i"), ("sequence", "q"), ("type", "y"), ("trigger", "g"), ("function", "f"), ("database", "d"),
     ]
     assert symbols("bash", "#!/bin/sh\nX=1\nfunction a { :; }\nb() {\n  a\n}\n") == [("variable", "X"), ("function", "a"), ("function", "b")]
     assert symbols("make", "include x.mk\nCC := gcc\nall: a b\n\tcc\n") == [("import", "include x.mk"), ("variable", "CC"), ("target", "all")]
@@ -128,3 +128,33 @@ def test_table_functions(spark):
     assert spark.sql("SELECT s.context FROM sources, LATERAL extract_refs(language, content) s WHERE s.name = 'g'").first()[0] == "call"
     got = spark.sql("SELECT s.text FROM (SELECT * FROM sources WHERE language = 'python') f, LATERAL syntax_query(language, content, '(call function: (identifier) @c)') s").collect()
     assert [r.text for r in got] == ["g"]
+
+
+def test_sql_names_and_uses():
+    text = 'create table "My Items" ("Item No" int, n int);\nselect i."Item No", "text only" from "My Items" i;\ninsert into "My Items" ("Item No", n) values (1, 2);\ncreate index "ix" on "My Items" ("Item No");\ncreate table `t` (`c` int);\nselect `c` from `t`;\n-- t comment\nwith r(u) as (select n from x) select u, \'t\' from r;\n'
+    found = symbols("sql", text)
+    assert [x for x in found if x[0] in ("table", "index", "cte")] == [("table", '"My Items"'), ("index", '"ix"'), ("table", "`t`"), ("cte", "r")]
+    uses = [n for n, c in refs("sql", text) if c != "declaration"]
+    assert [uses.count(n) for n in ('"My Items"', '"Item No"', '"ix"', "`t`", "`c`", '"text only"', "r", "t", "select")] == [3, 3, 0, 1, 1, 0, 1, 0, 0]
+    table = "CREATE DATABASE shop WITH OWNER = o;\n-- People.\nCREATE TABLE IF NOT EXISTS app.people (\n  id INT PRIMARY KEY,\n  boss INT REFERENCES app.people(id)\n);\n"
+    own, _, partial, source = parse("sql", table.encode())
+    people = next(s for s in own if s.name == "people")
+    assert (source.point(people.start)[0], source.point(people.end)[0], people.docstring, partial) == (2, 5, "People.", False) and own[-1].qualified == "people.boss"
+
+
+def test_values_keep_their_defining_occurrence():
+    kept = lambda language, text, name: [c for n, c in refs(language, text) if n == name]
+    php = "<?php\nclass M {\n  const LIMIT = 1;\n  public string $unit;\n}\n"
+    assert kept("php", php, "LIMIT") == ["identifier"] and kept("php", php, "unit") == ["identifier"]
+    assert kept("java", "class A {\n  int f = 1;\n}\n", "f") == ["assignment"] and kept("rust", "const C: u8 = 1;\n", "C") == ["declaration"]
+    assert kept("javascript", "const v = 1;\n", "v") == ["assignment"] and kept("kotlin", "val z = 1\n", "z") == ["identifier"] and kept("python", "v = 1\n", "v") == ["assignment"]
+    java = refs("java", "class Rec { Rec() {} void m() { Rec r = new Rec(); } }\n")
+    assert [c for n, c in java if n == "Rec"].count("declaration") == 2 and len([1 for n, _ in java if n == "Rec"]) == 4
+
+
+def test_cpp_methods_outside_their_class():
+    text = b"namespace A { class B { public: void m(); ~B(); }; }\nvoid A::B::m() {}\nA::B::~B() {}\nvoid Shape::draw() {}\ntemplate <typename T> class Box { public: T v; };\n"
+    found, _, _, source = parse("cpp", text)
+    got = {(s.kind, s.name, source.point(s.start)[0]) for s in found}
+    assert {("method", "m", 1), ("method", "~B", 2), ("method", "draw", 3), ("class", "Box", 4), ("method", "m", 0), ("method", "~B", 0)} <= got and not any("::" in n for _, n, _ in got)
+    assert not [r for r in refs("ruby", "class C\n  attr_reader :items\n  def t\n    items.sum\n  end\nend\n") if r[0].startswith(":")]
