@@ -127,6 +127,9 @@ class Builder:
                 return j + 1, -1
             if t.text == b"{" and t.kind == "op":
                 head = self.tokens[i:j]
+                if head and head[0].text in self.g.imports and self.language in ("rust", "javascript", "typescript", "tsx", "php"):
+                    j = t.match + 1
+                    continue
                 if not any(x.text in (b"=", b"=>", b"return", b":=") and x.kind in ("op", "ident") for x in self.outer(i, j)) or not head:
                     return min(t.match + 1, hi), j
                 j = t.match + 1
@@ -177,6 +180,9 @@ class Builder:
                 self.block(i + 1, min(t.match, hi), parent)
                 i = t.match + 1
                 continue
+            if self.language == "cpp" and t.text in (b"public", b"private", b"protected") and i + 1 < hi and self.tokens[i + 1].text == b":":
+                i += 2
+                continue
             end, body = self.statement(i, hi, parent)
             self.declare(i, max(end, i + 1), body, parent)
             i = max(end, i + 1)
@@ -207,7 +213,7 @@ class Builder:
         keys = [k for k in lead[:3] if toks[k].text in g.words and not (body < 0 and self.language in ("c", "cpp") and toks[k].text != b"namespace")]
         if first in g.imports and (first != b"using" or body < 0):
             semi = toks[trimmed].text == b";"
-            kind = g.imports[first]
+            kind = "trait_use_declaration" if self.language == "php" and parent.kind in g.holders else g.imports[first]
             keep_semi = self.language in ("javascript", "typescript", "tsx", "java", "rust", "csharp", "php")
             node = parent.add(Node(kind, start, toks[trimmed].end if not semi or keep_semi else toks[trimmed - 1].end))
             if kind == "package_header":
@@ -222,6 +228,11 @@ class Builder:
             at = outer.index(k)
             rest = outer[at + 1 :]
             name = next((x for x in rest if toks[x].kind == "ident" and (toks[k].text in FUNCTIONS or toks[x].text not in MODIFIERS | set(g.words))), None)
+            if self.language == "go" and kind == "type_declaration" and rest and toks[rest[0]].text == b"(":
+                self.group(rest[0], kind, parent, start, toks[trimmed].end)
+                return
+            if self.language == "rust" and kind == "function_item" and body < 0:
+                kind = "function_signature_item"
             if self.language == "go" and kind == "function_declaration" and rest and toks[rest[0]].text == b"(":
                 kind = "method_declaration"
                 name = next((x for x in rest[1:] if toks[x].kind == "ident"), None)
@@ -253,6 +264,8 @@ class Builder:
                     self.expression(tail + 1, stop, node)
                 else:
                     self.expression(outer[at] + 1, stop, node)
+                if kind == "method_declaration" and self.language == "php" and name is not None:
+                    self.promoted(name + 1, node)
                 if body >= 0:
                     self.block(body + 1, toks[body].match, node)
                 return
@@ -261,7 +274,7 @@ class Builder:
             at = outer.index(lead[0])
             rest = outer[at + 1 :]
             if rest and toks[rest[0]].text == b"(" and self.language == "go":
-                self.group(rest[0], kind, parent)
+                self.group(rest[0], kind, parent, start, toks[trimmed].end)
                 return
             name = next((x for x in rest if toks[x].kind == "ident" and toks[x].text not in (b"mut",)), None)
             if name is not None:
@@ -269,6 +282,12 @@ class Builder:
                 inner = node.add(Node("variable_declarator" if kind in ("lexical_declaration", "variable_declaration") else "declaration_item", toks[name].start, toks[trimmed].end if toks[trimmed].text != b";" else toks[trimmed - 1].end))
                 inner.add(Node(g.leaf, toks[name].start, toks[name].end), "name")
                 self.expression(name + 1, end, inner)
+                if self.language in ("javascript", "typescript", "tsx", "go"):
+                    for n, k in enumerate(outer[:-1]):
+                        after = outer[n + 1]
+                        if toks[k].text == b"," and toks[after].kind == "ident" and (n + 2 == len(outer) or toks[outer[n + 2]].text in (b"=", b",", b";", b":") or self.language == "go") and not (self.language == "go" and any(toks[x].text == b"=" for x in outer[:n])):
+                            more = parent.add(Node(kind, node.start, node.end))
+                            more.add(Node(inner.kind, toks[after].start, inner.end)).add(Node(g.leaf, toks[after].start, toks[after].end), "name")
                 return
         call = next((k for n, k in words if n + 1 < len(outer) and toks[outer[n + 1]].text == b"(" and outer[n + 1] == k + 1 and toks[k].text not in CONTROL), None)
         if call is not None and not any(toks[x].text in (b"=", b".", b"return", b"=>", b"throw", b"await", b"->") for x in outer[: outer.index(call)]):
@@ -299,7 +318,15 @@ class Builder:
             node.add(Node(g.leaf, toks[outer[0]].start, toks[outer[0]].end), "name")
             return
         if g.fields and parent.kind in g.holders and len(words) >= (1 if self.language == "php" else 2):
-            named = [k for n, k in words if n and (n + 1 == len(outer) or toks[outer[n + 1]].text in (b"=", b";", b",", b"{")) or toks[k].text[:1] == b"$"]
+            flat = self.without_generics(outer)
+            named = []
+            for n, k in enumerate(flat):
+                if toks[k].text in (b"=", b"=>"):
+                    break
+                ends = n + 1 == len(flat) or toks[flat[n + 1]].text in (b"=", b";", b",", b"{", b"=>")
+                typed = n and (toks[flat[n - 1]].kind == "ident" or toks[flat[n - 1]].text in (b"]", b"?", b"[") or toks[flat[n - 1]].text == b"," and named)
+                if toks[k].kind == "ident" and (ends and typed or toks[k].text[:1] == b"$"):
+                    named.append(k)
             if named:
                 kind = "property_declaration" if body >= 0 or any(toks[x].text == b"=>" for x in outer) else g.fields
                 node = parent.add(Node(kind, start, toks[trimmed].end))
@@ -311,10 +338,16 @@ class Builder:
                         self.expression(x, x + 1, node)
                 if body >= 0:
                     self.block(body + 1, toks[body].match, node)
+                for other in named[1:]:
+                    parent.add(Node(kind, start, toks[trimmed].end)).add(Node(g.leaf, toks[other].start + offset, toks[other].end), "name")
                 return
         equal = next((n for n, k in enumerate(outer) if toks[k].text in (b"=", b":=")), None)
         if equal and self.language in ("c", "cpp") and len([k for n, k in words if n < equal]) >= 2 and body < 0:
-            name = [k for n, k in words if n < equal][-1]
+            name = outer[equal - 1]
+            if toks[name].kind != "ident" or toks[name - 1].kind != "ident" and toks[name - 1].text != b">":
+                node = parent.add(Node("declaration", start, toks[trimmed].end))
+                self.expression(i, end, node.add(Node("init_declarator", start, toks[trimmed].end)))
+                return
             node = parent.add(Node("init_declaration", start, toks[trimmed].end))
             inner = node.add(Node("init_declarator", toks[name].start, toks[trimmed].end))
             inner.add(Node("identifier", toks[name].start, toks[name].end), "name")
@@ -329,13 +362,39 @@ class Builder:
         if body >= 0:
             self.block(body + 1, toks[body].match, parent)
 
+    def promoted(self, opening: int, node: Node) -> None:
+        """Parameters of a constructor that declare properties."""
+        visible = None
+        for t in self.tokens[opening + 1 : self.tokens[opening].match if opening < len(self.tokens) and self.tokens[opening].match > 0 else opening]:
+            if t.text in (b"public", b"private", b"protected", b"readonly"):
+                visible = visible or t
+            elif t.text == b",":
+                visible = None
+            elif visible and t.kind == "ident" and t.text[:1] == b"$":
+                node.add(Node("property_promotion_parameter", visible.start, t.end)).add(Node("name", t.start + 1, t.end), "name")
+                visible = None
+
+    def without_generics(self, outer: list[int]) -> list[int]:
+        """Tokens outside angle brackets that follow a name."""
+        out, depth = [], 0
+        for n, k in enumerate(outer):
+            text = self.tokens[k].text
+            if text == b"<" and n and (depth or self.tokens[outer[n - 1]].kind == "ident"):
+                depth += 1
+            elif text == b">" and depth:
+                depth -= 1
+            elif not depth:
+                out.append(k)
+        return out
+
     def extra(self, node: Node, start: int) -> None:
         """Attributes above a definition belong to its range."""
         siblings = node.parent.children[:-1]
         while siblings and siblings[-1].kind == "attribute_item":
             node.start = siblings.pop().start
 
-    def group(self, opening: int, kind: str, parent: Node) -> None:
+    def group(self, opening: int, kind: str, parent: Node, start: int, stop: int) -> None:
+        """A declaration of several names: each has the range of the whole."""
         i, hi = opening + 1, self.tokens[opening].match
         while i < hi:
             if self.tokens[i].kind == "newline":
@@ -343,8 +402,8 @@ class Builder:
                 continue
             end, _ = self.statement(i, hi, parent)
             if self.tokens[i].kind == "ident":
-                node = parent.add(Node(kind, self.tokens[i].start, self.end_of(end)))
-                node.add(Node(self.g.leaf, self.tokens[i].start, self.tokens[i].end), "name")
+                node = parent.add(Node(kind, start, stop))
+                node.add(Node(self.g.name_kinds.get(kind, self.g.leaf), self.tokens[i].start, self.tokens[i].end), "name")
                 self.expression(i + 1, end, node)
             i = max(end, i + 1)
 

@@ -37,7 +37,7 @@ DEFINES: dict[str, dict[str, str]] = {
     },
     "cpp": {"namespace_definition": "namespace", "class_specifier": "class", "struct_specifier": "struct", "enum_specifier": "enum", "union_specifier": "union", "function_definition": "function", "method_definition": "method", "prototype_declaration": "prototype", "init_declaration": "variable"},
     "ruby": {"class": "class", "module": "module", "method": "method", "singleton_method": "method", "assignment": "variable"},
-    "php": {"namespace_definition": "namespace", "class_declaration": "class", "interface_declaration": "interface", "trait_declaration": "trait", "enum_declaration": "enum", "function_definition": "function", "method_declaration": "method", "property_declaration": "property", "const_declaration": "constant", "enum_case": "variable"},
+    "php": {"namespace_definition": "namespace", "class_declaration": "class", "interface_declaration": "interface", "trait_declaration": "trait", "enum_declaration": "enum", "function_definition": "function", "method_declaration": "method", "property_declaration": "property", "property_promotion_parameter": "property", "const_declaration": "constant", "enum_case": "variable"},
     "bash": {"function_definition": "function", "variable_assignment": "variable"},
     "sql": {"create_database": "database", "create_schema": "schema", "create_table": "table", "column_definition": "column", "create_view": "view", "create_index": "index", "create_function": "function", "create_sequence": "sequence", "create_type": "type", "create_trigger": "trigger", "cte": "cte"},
     "make": {"rule": "target", "variable_assignment": "variable"},

@@ -26,7 +26,7 @@ VOCABULARY: dict[str, set[str]] = {
 VOCABULARY["scss"] = VOCABULARY["css"] | {"mixin_statement", "function_statement", "placeholder", "identifier", "variable", "use_statement", "forward_statement"}
 for _name, _g in blocks.GRAMMARS.items():
     VOCABULARY[_name] = (
-        {"program", "call_expression", "method_invocation", "invocation_expression", "function_call_expression", "arguments", "string", "number", "assignment_expression", "variable_declarator", "declaration_item", "init_declaration", "init_declarator",
+        {"program", "call_expression", "method_invocation", "invocation_expression", "function_call_expression", "arguments", "string", "number", "assignment_expression", "variable_declarator", "declaration_item", "init_declaration", "init_declarator", "declaration", "function_signature_item", "trait_use_declaration", "property_promotion_parameter",
          "identifier", "type_identifier", "property_identifier", "field_identifier", "namespace_identifier", "namespace_name", "qualified_identifier", "preproc_include", "attribute_item", "method_declaration", "constructor_declaration",
          "property_declaration", "prototype_declaration", "generator_function_declaration", "abstract_class_declaration", "companion_object", "file_scoped_namespace_declaration", _g.leaf}
         | set(_g.words.values()) | set(_g.imports.values()) | set(_g.variables.values()) | set(_g.enum_entries.values()) | {x for x in (_g.method, _g.function, _g.prototype, _g.fields) if x}
