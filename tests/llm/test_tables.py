@@ -120,6 +120,10 @@ def test_pipeline_against_its_parts(spark):
                         keep[k] = low
     one = [i for i in ids if keep[i] == i]
     cut = dict(zip(one, removed([rows[i].encode() for i in one], 400), strict=True))
+    from quarry.llm.queries import op6_decontaminate
+
+    clean = {r.doc_id for r in op6_decontaminate(spark, SF).where("n_hit = 0").collect()}
+    assert {i for i in one if i in clean and not cut[i][1]} <= set(found) and all(i in clean or cut[i][1] for i in found)
     v = Vocabulary.load()
     assert set(found) <= set(one) and [name for name, _ in c.STAGES][0] == "language_id"
     for i, r in found.items():
