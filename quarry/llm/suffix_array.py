@@ -37,6 +37,8 @@ from pyspark.sql import functions as F
 from .common import BYTE_CODE, TEXT, U64, blobs, found_in, materialize, mix, pack, pair, powers, ranges, sliding, unpack
 
 LENGTH = 400
+#: Names, and bytes of kept text, that are given to Spark at once.
+FLUSH, FLUSH_BYTES = 1 << 17, 4 << 20
 #: Bytes of the first names.
 FIRST = 25
 #: Windows that are looked at together, for bounded memory with very long texts.
@@ -173,6 +175,19 @@ def flat(batch: pa.RecordBatch, keys: list[str], per_row: list[tuple[np.ndarray,
     return pa.RecordBatch.from_arrays(columns, keys + labels)
 
 
+def flats(batch: pa.RecordBatch, keys: list[str], per_row: Iterator[tuple[np.ndarray, ...]], labels: list[str]) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in parts of about ``FLUSH`` names, so that many windows in many texts need no more memory."""
+    held, first, size = [], 0, 0
+    for row in per_row:
+        held.append(row)
+        size += len(row[0])
+        if size >= FLUSH:
+            yield flat(batch.slice(first, len(held)), keys, held, labels)
+            first, held, size = first + len(held), [], 0
+    if held:
+        yield flat(batch.slice(first, len(held)), keys, held, labels)
+
+
 def keyed(docs: DataFrame, text: str) -> DataFrame:
     """128 bits that name the text, so that equal texts are one."""
     return docs.withColumns({"_k1": F.xxhash64(text), "_k2": F.xxhash64(F.lit(7), F.col(text), F.octet_length(text))})
@@ -194,8 +209,8 @@ def refine(texts: DataFrame, size: int, length: int) -> DataFrame:
 
     def emit(batches):
         for batch in batches:
-            rows = [Text(data, length, runs_of(batch, i)).sampled(size) for i, data in enumerate(blobs(batch.column("_t")))]
-            yield flat(batch, KEY, rows, ["_name", "_n"])
+            rows = (Text(data, length, runs_of(batch, i)).sampled(size) for i, data in enumerate(blobs(batch.column("_t"))))
+            yield from flats(batch, KEY, rows, ["_name", "_n"])
 
     return materialize(texts.mapInArrow(emit, "_k1 long, _k2 long, _name long, _n long"), "names")
 
@@ -228,14 +243,15 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, ro
     texts = materialize(texts.withColumn("_u", F.monotonically_increasing_id()), "texts")
 
     def contexts(batches):
-        for batch in batches:
-            rows = []
+        def rows(batch):
             for i, data in enumerate(blobs(batch.column("_t"))):
                 found = [(x[3], *x[4]) for x in Text(data, length, runs_of(batch, i)).chunks(chunk)]
                 cls, c1, c2 = (np.concatenate([f[j] for f in found]) if found else np.zeros(0, U64) for j in range(3))
                 _, first, n = np.unique(c1, return_index=True, return_counts=True)
-                rows.append((cls[first], c1[first], c2[first], n))
-            yield flat(batch, ["_u"], rows, ["_class", "_c1", "_c2", "_n"])
+                yield cls[first], c1[first], c2[first], n
+
+        for batch in batches:
+            yield from flats(batch, ["_u"], rows(batch), ["_class", "_c1", "_c2", "_n"])
 
     parts = materialize(texts.mapInArrow(contexts, "_u long, _class long, _c1 long, _c2 long, _n long"), "chunks")
     each = materialize(parts.groupBy("_class", "_c1", "_c2").agg(F.sum("_n").alias("_n"), F.min("_u").alias("_u")), "contexts")
@@ -247,8 +263,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, ro
     look = each.join(unclear, "_class").groupBy("_u").agg(F.collect_set("_c1").alias("_look"))
 
     def windows(batches):
-        for batch in batches:
-            rows = []
+        def rows(batch):
             for i, data in enumerate(blobs(batch.column("_t"))):
                 wanted, found = as_names(batch.column("_look"), i), []
                 for _, begin, last, _, (c1, _), (w1, w2) in Text(data, length, runs_of(batch, i)).chunks(chunk):
@@ -257,15 +272,24 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, ro
                     found.append((w1[at], w2[at]))
                 w1, w2 = (np.concatenate([f[j] for f in found]) if found else np.zeros(0, U64) for j in range(2))
                 _, first, n = np.unique(w1, return_index=True, return_counts=True)
-                rows.append((w1[first], w2[first], n))
-            yield flat(batch, ["_u"], rows, ["_w1", "_w2", "_n"])
+                yield w1[first], w2[first], n
+
+        for batch in batches:
+            yield from flats(batch, ["_u"], rows(batch), ["_w1", "_w2", "_n"])
 
     single = materialize(texts.join(look, "_u").mapInArrow(windows, "_u long, _w1 long, _w2 long, _n long"), "windows")
     exact = survivors(single, ["_w1", "_w2"], ["_u"], "_w1", "_exact")
 
     def cut(batches):
+        def given(batch, first, out):
+            some = batch.slice(first, len(out))
+            return pa.RecordBatch.from_arrays(
+                [some.column("_k1"), some.column("_k2"), pa.array([x[0] for x in out], SPANS), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.string())],
+                ["_k1", "_k2", "_spans", "_kept", "_sha"],
+            )
+
         for batch in batches:
-            out = []
+            out, first, size = [], 0, 0
             for i, data in enumerate(blobs(batch.column("_t"))):
                 whole_, exact_ = as_names(batch.column("_whole"), i), as_names(batch.column("_exact"), i)
                 gone = np.zeros(len(data) + 1, np.int32)
@@ -278,10 +302,12 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, ro
                     np.add.at(gone, at + rest, 1)
                     np.add.at(gone, at + rest + length, -1)
                 out.append(cut_one(data, np.cumsum(gone[:-1]) > 0))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("_k1"), batch.column("_k2"), pa.array([x[0] for x in out], SPANS), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.string())],
-                ["_k1", "_k2", "_spans", "_kept", "_sha"],
-            )
+                size += len(data)
+                if size >= FLUSH_BYTES:
+                    yield given(batch, first, out)
+                    out, first, size = [], i + 1, 0
+            if out:
+                yield given(batch, first, out)
 
     found = texts.join(done.join(exact, "_u", "full"), "_u")
     result = found.mapInArrow(cut, "_k1 long, _k2 long, _spans array<struct<start:long,end:long>>, _kept binary, _sha string")
