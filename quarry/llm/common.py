@@ -37,13 +37,21 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "16m"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)  # scratch goes with the application
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(BATCH, None)
+    spark.conf.set(BATCH, BATCH_BYTES)  # texts go to Python workers in small batches
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(BATCH, before) if before else spark.conf.unset(BATCH)
     spark.sparkContext._jvm.System.gc()  # lets Spark remove the shuffle files that this table replaces
     return spark.read.schema(df.schema).parquet(path)
 
@@ -82,7 +90,7 @@ def blobs(column: pa.Array) -> Iterator[np.ndarray]:
         yield raw[:0] if missing is not None and missing[i] else raw[at[i] : at[i + 1]]
 
 
-def groups_of(column: pa.Array, limit: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def groups_of(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of rows of about ``limit`` bytes: (first row, end row, bytes, row offsets).
 
     A row longer than the limit stands alone.  Bytes of neighbouring rows are
