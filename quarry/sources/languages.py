@@ -55,9 +55,10 @@ LANGUAGES: tuple[Language, ...] = (
     _language("markdown | md markdown | | heading"),
 )
 BY_ID = {x.id: x for x in LANGUAGES}
+#: Folders and files that never have a language.
 BLOCKED = ["node_modules", "vendor", "target", ".venv", ".git", "dist", "build", ".next", ".turbo", ".parcel-cache"]
 NEVER = ["build.gradle.kts", "settings.gradle.kts"]
-#: What a first line that begins with #! must contain, in this order.
+#: What a first line that begins with #! must contain, in this order.
 SHEBANGS = [("python", "python"), ("ruby", "ruby"), ("node", "javascript"), *((x, "bash") for x in ("bash", "zsh", "dash", "ksh", "/sh", " sh"))]
 
 
