@@ -5,16 +5,18 @@ the vocabulary may reach across; this is checked).  The words of a block are
 encoded together: each round takes every unfinished word's best candidate from its
 agenda, the one with the highest score, leftmost first, and merges it.  A candidate
 whose keyed hash falls under the dropout rate is skipped; it is identified by the
-seed, the text's variant, the word and its place and length in the word, so the
-choice is the same on every machine and on every run.  Texts have one of
-``VARIANTS`` variants by their key, so equal words of one variant are encoded once
-for a block.  At rate 0 the pieces are those of the library.
+seed, the whole hash of the text's key, the word, the byte where it begins in the
+text, and its place and length in the word, so every occurrence draws on its own and
+the choice is the same on every machine and on every run.  Equal words of a block
+are encoded once without dropout; occurrences that skip none of the candidates met
+there share that, the others are encoded one by one.  At rate 0 the pieces are those
+of the library.
 
 What no piece spells becomes byte pieces, also the space mark itself where a text
 holds it, so decoding returns the text exactly.
 
 Defined cases: a null text gives null ids, an empty text gives none; equal texts with
-equal keys are segmented alike; a null key is variant 0; long texts are encoded
+equal keys are segmented alike; a null key hashes to 0; long texts are encoded
 in blocks of words, one block at a time; other columns are carried unchanged.
 """
 
@@ -32,12 +34,14 @@ from pyspark.sql import functions as F
 from .common import ROW, TEXT, U64, groups_of, mix, pack, pair, ranges, span_hashes, unpack
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-RATE, SEED, VARIANTS = 0.1, 20240817, 8
+RATE, SEED = 0.1, 20240817
 MARK = 0x2581
 NONE = np.int64(1) << np.int64(62)
 SLOTS = 21
 #: Bytes of a text beyond which it's encoded in pieces.
 LONG = 1 << 22
+#: Occurrences whose candidates are drawn at once, for bounded memory.
+DRAWN = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -127,8 +131,9 @@ class Merges:
             out[again] = np.where(self.more_key[at] == keys[again], self.more_value[at], NONE)
         return out
 
-    def words(self, symbols: np.ndarray, first: np.ndarray, own: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Merge all words together.  first: bounds of the words among the symbols; own: each word's key.
+    def words(self, symbols: np.ndarray, first: np.ndarray, own: np.ndarray, rate: float, met: list[tuple[np.ndarray, np.ndarray]] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Merge all words together.  first: bounds of the words among the symbols; own: each word's key;
+        met: gets (word, name in the word) of the candidates.
         Gives the symbols that are left, their first characters, and their bounds."""
         n = len(first) - 1
         size = np.diff(first)
@@ -147,12 +152,15 @@ class Merges:
                 fresh = np.flatnonzero(~last)
             if len(fresh):
                 value[fresh] = self.candidate(sym[fresh], sym[fresh + 1])
-                if rate:
+                if rate or met is not None:
                     real = fresh[value[fresh] != NONE]
                     nxt = np.where(real + 2 < len(sym), place[np.minimum(real + 2, len(sym) - 1)], 0)
                     end = np.where(last[real + 1], length[real], nxt)
-                    x = pair(own[word[real]], (place[real].astype(U64) << U64(32)) ^ (place[real + 1].astype(U64) << U64(16)) ^ end.astype(U64))
-                    value[real[mix(x) < limit]] = NONE
+                    spot = (place[real].astype(U64) << U64(32)) ^ (place[real + 1].astype(U64) << U64(16)) ^ end.astype(U64)
+                    if met is not None:
+                        met.append((word[real], spot))
+                    if rate:
+                        value[real[mix(pair(own[word[real]], spot)) < limit]] = NONE
             begin = np.flatnonzero(np.concatenate([[True], last[:-1]]))
             low = np.minimum.reduceat(value, begin)
             ready = low == NONE
@@ -191,8 +199,21 @@ class Merges:
         order = np.argsort(which, kind="stable")
         return symbol[order], where[order], np.searchsorted(which[order], np.arange(n + 1))
 
-    def block(self, data: np.ndarray, at: np.ndarray, variant: np.ndarray, rate: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, bounds by text) of a block of texts, given as by groups_of."""
+    def touched(self, own: np.ndarray, back: np.ndarray, word: np.ndarray, spot: np.ndarray, rate: float) -> np.ndarray:
+        """The occurrences (own: their keys, back: their words) that skip one of their word's candidates at least."""
+        order = np.argsort(word, kind="stable")
+        spot, at = spot[order], np.searchsorted(word[order], np.arange(int(back.max(initial=-1)) + 2))
+        limit = U64(min(int(rate * 2**64), 2**64 - 1))
+        out = [np.zeros(0, np.int64)]
+        for k in range(0, len(own), DRAWN):
+            lo, hi = at[back[k : k + DRAWN]], at[back[k : k + DRAWN] + 1]
+            which = np.repeat(np.arange(k, k + len(lo)), hi - lo)
+            out.append(np.unique(which[mix(pair(own[which], spot[ranges(lo, hi)])) < limit]))
+        return np.concatenate(out)
+
+    def block(self, data: np.ndarray, at: np.ndarray, row: np.ndarray, rate: float, seed: int, before: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, bounds by text) of a block of texts, given as by groups_of.  row: the hash of each text's key;
+        before: bytes of the text that stand before the block."""
         n = len(at) - 1
         # each text with a space before it and without the one after it
         inside = np.ones(len(data) + 1, np.uint8)
@@ -217,13 +238,25 @@ class Merges:
         bounds = np.concatenate([word, [len(begin)]])
         byte_end = np.concatenate([begin[word[1:]], [len(body)]]) if len(word) else np.zeros(0, np.int64)
         text_of = np.searchsorted(at, begin[word], side="right") - 1
-        salt = mix(variant.astype(U64) + mix(np.array([seed], U64)))
-        key = pair(span_hashes(body, begin[word], byte_end), salt[text_of]) if len(word) else np.zeros(0, U64)
-        distinct, pick, back = np.unique(key, return_index=True, return_inverse=True)
+        spelled = span_hashes(body, begin[word], byte_end) if len(word) else np.zeros(0, U64)
+        distinct, pick, back = np.unique(spelled, return_index=True, return_inverse=True)
         size = np.diff(bounds)[pick]
         spots = ranges(bounds[pick], bounds[pick] + size)
         first = np.concatenate([[0], np.cumsum(size)])
-        merged, place, left = self.words(symbol[spots], first, distinct, rate)
+        met: list[tuple[np.ndarray, np.ndarray]] = []
+        merged, place, left = self.words(symbol[spots], first, distinct, 0.0, met if rate else None)
+        if met:
+            salt = mix(row.astype(U64) + mix(np.array([seed], U64)))
+            own = pair(pair(spelled, salt[text_of]), (begin[word] - at[text_of] + before).astype(U64))
+            other = self.touched(own, back, *(np.concatenate(x) for x in zip(*met, strict=True)), rate)
+            # these follow the shared words
+            size = np.diff(bounds)[other]
+            more = ranges(bounds[other], bounds[other] + size)
+            again = np.concatenate([[0], np.cumsum(size)])
+            merged_, place_, left_ = self.words(symbol[more], again, own[other], rate)
+            back[other] = len(pick) + np.arange(len(other))
+            spots, first = np.concatenate([spots, more]), np.concatenate([first, first[-1] + again[1:]])
+            merged, place, left = np.concatenate([merged, merged_]), np.concatenate([place, place_]), np.concatenate([left, left[-1] + left_[1:]])
         # symbols without a piece are spelled in bytes
         width = np.diff(left)
         source = spots[np.repeat(first[:-1], width) + place] if len(merged) else np.zeros(0, np.int64)
@@ -240,7 +273,7 @@ class Merges:
         total = np.concatenate([[0], np.cumsum((hi - lo)[back])]).astype(np.int64)
         return out.astype(np.int32), total[np.searchsorted(text_of, np.arange(n + 1))]
 
-    def long(self, data: np.ndarray, variant: int, rate: float, seed: int) -> tuple[np.ndarray, bool]:
+    def long(self, data: np.ndarray, row: int, rate: float, seed: int) -> tuple[np.ndarray, bool]:
         """(ids, lossless) of one long text, piece after piece: cut at single spaces, where words begin anyway, so the
         ids are those of the whole.  The space that begins a piece is the one that a text's first word gets."""
         single = np.flatnonzero((data[1:-1] == 32) & (data[:-2] != 32) & (data[2:] != 32)) + 1
@@ -249,7 +282,7 @@ class Merges:
             k = np.searchsorted(single, start + LONG)
             stop = int(single[k]) if k < len(single) else len(data)
             part = np.concatenate([data[start:stop], np.full(1, 32, np.uint8)])
-            ids, bounds = self.block(part, np.array([0, len(part)]), np.array([variant]), rate, seed)
+            ids, bounds = self.block(part, np.array([0, len(part)]), np.array([row]), rate, seed, start)
             raw, _ = self.decoded(ids, bounds)
             ok = ok and np.array_equal(raw, part[:-1])
             out.append(ids)
@@ -278,25 +311,24 @@ def codes(body: np.ndarray, begin: np.ndarray) -> np.ndarray:
 def encoded(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", key: str = "doc_id", rate: float = RATE, seed: int = SEED, ids: bool = True) -> DataFrame:
     """``docs`` without the text, with ``_n`` (ids), ``_sha`` (of their little-endian 32-bit values), ``_lossless``
     (decoding gives the text's bytes again) and, if asked for, ``_ids``."""
-    variant = F.coalesce(F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(VARIANTS)), F.lit(0)) if key else F.lit(0)
-    variant = F.when(F.col(key).isNull(), F.lit(0)).otherwise(variant)
-    source = pack(docs, text, _variant=variant.cast("long"))
+    own = F.when(F.col(key).isNull(), F.lit(0)).otherwise(F.xxhash64(F.lit(seed), F.col(key))) if key else F.lit(0)
+    source = pack(docs, text, _key=own.cast("long"))
 
     def run(batches):
         m = Merges.of(vocabulary)
         for batch in batches:
-            texts, variants = batch.column(TEXT), batch.column("_variant").to_numpy(zero_copy_only=False)
+            texts, rows = batch.column(TEXT), batch.column("_key").to_numpy(zero_copy_only=False)
             count, sha, same, lists = [], [], [], []
             for a, b, data, at in groups_of(texts, 1 << 20):
                 if len(data) > LONG:
-                    out, ok = m.long(data[:-1], variants[a], rate, seed)
+                    out, ok = m.long(data[:-1], rows[a], rate, seed)
                     count.append(np.array([len(out)]))
                     same.append(np.array([ok]))
                     sha.append(hashlib.sha256(out.astype("<i4").tobytes()).hexdigest())
                     if ids:
                         lists.append(pa.ListArray.from_arrays(pa.array([0, len(out)], pa.int32()), pa.array(out)))
                     continue
-                out, bounds = m.block(data, at, variants[a:b], rate, seed)
+                out, bounds = m.block(data, at, rows[a:b], rate, seed)
                 raw, where = m.decoded(out, bounds)
                 count.append(np.diff(bounds))
                 plain = np.delete(data, at[1:] - 1)
