@@ -3,12 +3,14 @@
 A message's lines are parsed into nested quote levels (leading ``>`` marks).  Runs
 of lines of one level are passages; a passage is normalised (case, white space,
 marks) and hashed.  Originals are the unquoted passages of all messages: whole
-messages and their paragraphs.  Originals with the same hash are reduced to one
+messages, their runs of unquoted lines, and the paragraphs of both.  Originals with the same hash are reduced to one
 before any join, the earliest in the conversation and the earliest of all, so
 that a passage that very many messages share doesn't multiply.  A quoted passage
-links to the earliest original in its conversation before it, else to the
+is linked as a whole, or else paragraph by paragraph; it counts as one quote, linked
+if a part of it is.  It links to the earliest original in its conversation before it, else to the
 earliest of all if that stands in an earlier conversation.  A message replies to
-the message that its longest linked passage of the lowest level comes from.
+the message that its longest linked passage (or paragraph) of the lowest level
+comes from.
 
 Conversations that quote an earlier one join its thread: links go to smaller
 conversation ids only, so there are no cycles, and threads are found by jumping
@@ -70,9 +72,14 @@ def linked(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", text:
     parsed = parsed.withColumns({"_body": F.when(quoting, body).otherwise(F.coalesce(F.col("_text"), F.lit(""))), "_quoting": quoting})
     parsed = materialize(parsed.withColumn("_passages", F.when(quoting, passages_of(F.col("_lines")))).drop("_lines", "_text").withColumn("_row", F.monotonically_increasing_id()), "messages")
 
-    quotes = parsed.where("_quoting").select("_row", F.col("_conv").alias("c"), F.col("_turn").alias("t"), F.explode(F.filter("_passages", lambda x: x.level > 0)).alias("p"))
-    quotes = materialize(quotes.select("_row", "c", "t", F.col("p.level").alias("level"), F.length(normal(F.col("p.text"))).alias("size"), name(F.col("p.text")).alias("h")), "quotes")
-    parts = F.array_union(F.array("_body"), F.split("_body", PARAGRAPH))
+    quotes = parsed.where("_quoting").select("_row", F.col("_conv").alias("c"), F.col("_turn").alias("t"), F.posexplode(F.filter("_passages", lambda x: x.level > 0)).alias("q", "p"))
+    # part 0 is the whole passage, the others are its paragraphs
+    paragraphs = F.split("p.text", PARAGRAPH)
+    pieces = F.concat(F.array("p.text"), F.when(F.size(paragraphs) > 1, paragraphs).otherwise(F.array().cast("array<string>")))
+    quotes = quotes.select("_row", "c", "t", "q", F.col("p.level").alias("level"), F.posexplode(pieces).alias("part", "text"))
+    quotes = materialize(quotes.select("_row", "c", "t", "q", "level", "part", F.length(normal(F.col("text"))).alias("size"), name(F.col("text")).alias("h")), "quotes")
+    runs = F.when(F.col("_quoting"), F.transform(F.filter("_passages", lambda x: x.level == 0), lambda x: x.text)).otherwise(F.array().cast("array<string>"))
+    parts = F.array_union(F.array_union(F.array("_body"), F.split("_body", PARAGRAPH)), F.array_union(runs, F.flatten(F.transform(runs, lambda x: F.split(x, PARAGRAPH)))))
     own = parsed.where(F.col("_conv").isNotNull() & F.col("_turn").isNotNull()).select(F.col("_conv").alias("c"), F.col("_turn").alias("t"), F.explode(F.transform(parts, name)).alias("h")).where("h IS NOT NULL")
     # only passages that somebody quotes go on; what is quoted is made distinct first
     wanted = materialize(quotes.where("h IS NOT NULL").select("h").distinct(), "quoted")
@@ -82,8 +89,10 @@ def linked(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", text:
     found = quotes.join(near, ["h", "c"], "left").join(far, "h", "left")
     to = F.when(F.col("near") < F.col("t"), F.struct("c", F.col("near").alias("t"))).when(F.col("far.c") < F.col("c"), F.col("far"))
     found = found.withColumn("to", to)
-    first = F.min_by("to", F.when(F.col("to").isNotNull(), F.struct("level", -F.col("size"), "to")))
-    links = materialize(found.groupBy("_row").agg(F.count("*").alias("_quotes"), F.count("to").alias("_linked"), first.alias("_to"), F.first("c").alias("c")), "links")
+    best = F.min(F.when(F.col("to").isNotNull(), F.struct("level", F.col("part") > 0, (-F.col("size")).alias("less"), "to")))
+    found = found.groupBy("_row", "q").agg(best.alias("best"), F.first("c").alias("c"))
+    first = F.min(F.when(F.col("best").isNotNull(), F.struct("best.level", "best.less", "best.to")))
+    links = materialize(found.groupBy("_row").agg(F.count("*").alias("_quotes"), F.count("best").alias("_linked"), first.getField("to").alias("_to"), F.first("c").alias("c")), "links")
 
     up = links.where("_to.c < c").groupBy("c").agg(F.min("_to.c").alias("up"))
     threads = materialize(up, "threads")

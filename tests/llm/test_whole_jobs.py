@@ -33,3 +33,17 @@ def test_dropout_is_drawn_for_every_occurrence(spark, monkeypatch):
     monkeypatch.setattr(pieces.Merges, "touched", lambda self, own, *rest: np.arange(len(own)))
     alone = m.block(*args)
     assert all(np.array_equal(a, b) for a, b in zip(shared, alone, strict=True))
+
+
+def test_quotes_of_several_paragraphs_and_inline_replies(spark):
+    from quarry.llm.quotes import linked
+
+    rows = [
+        (1, 0, "Para one.\n\nPara two.\n\nPara three."), (1, 1, "> Para one.\n>\n> Para two.\nyes"), (1, 2, "> Para one.\n> \n> Para two.\n>\n> Para three.\nall"), (1, 3, "> unknown\n>\n> Para three.\n> \n> other\nno"),
+        (2, 0, "a a\n\nb b"), (2, 1, "> a a\nreply one\n> b b\nreply two\n\nmore of it"), (2, 2, "> reply one\nthanks"), (2, 3, "> more of it\n\nwell\n> reply two\n>\n> more of it\nok"),
+        (3, 0, "> Para two.\n>\n> Para three.\nlater"), (4, 0, "> nothing\n>\n> here"),
+    ]
+    found = {(r.conv_id, r.turn): (r._thread, r._reply_conv, r._reply_turn, r._quotes, r._linked) for r in linked(spark.createDataFrame(rows, "conv_id long, turn long, text string")).collect()}
+    assert found[1, 1] == found[1, 2] == found[1, 3] == (1, 1, 0, 1, 1)
+    assert found[2, 1] == (2, 2, 0, 2, 2) and found[2, 2] == (2, 2, 1, 1, 1) and found[2, 3] == (2, 2, 1, 2, 2)
+    assert found[3, 0] == (1, 1, 0, 1, 1) and found[4, 0] == (4, None, None, 1, 0)
