@@ -1,12 +1,15 @@
-"""License scans: winnowed fingerprints find candidates, banded alignment confirms.
-
-Each template's 3-word shingles are winnowed (of every 4 neighbours the smallest
-name stays) into an inverted index, whose size is that of the templates.  All
-shingles of a text are looked up in it.  A hit gives a diagonal, the place where
-the template would start; hits on diagonals within the band of each other are one
-candidate.  All candidates of a template are aligned together, row by row: the
+"""License scans: fingerprints find candidates, banded alignment confirms.
+
+A template of at most ``SHORT`` words is indexed by single words: if ``COVERAGE``
+percent of its words must be matched, d of them may be missing, so one of any d + 1
+stands in every match; the longest ones are taken.  A longer template's 3-word
+shingles are winnowed (of every 4 neighbours the smallest name stays).  The index's
+size is that of the templates.  All shingles of a text are looked up in it.  A hit
+gives a diagonal, the place where the template would start; hits on diagonals
+within the band of the first of them are one candidate.  All candidates of a template are aligned together, row by row: the
 longest common subsequence of words within the band.  A match is reported if its
-share of the template's words is at least ``COVERAGE`` percent; of matches that
+share of the template's words is at least ``COVERAGE`` percent and, for a short template, each of its ``TELLING`` words is matched (four words
+of "Licensed under the MIT License" stand in the notice of any license); of matches that
 overlap, the one with most matched words stays (ties: the fuller coverage, then the
 earlier place, then the name).
 
@@ -26,7 +29,9 @@ from .common import LOWER, ROW, TEXT, U64, class_bounds, found_in, groups_of, pa
 from .decontaminate import ALNUM
 from .license_texts import TEMPLATES
 
-SHINGLE, WINNOW, BAND, COVERAGE = 3, 4, 8, 80
+SHINGLE, WINNOW, BAND, COVERAGE, SHORT = 3, 4, 8, 80, 64
+#: Words that tell one license from others: names, and first numbers of versions.
+TELLING = "mit apache gnu lesser library affero mozilla bsd cc creative by sa nc attribution sharealike noncommercial cc0 spdx mpl gpl lgpl agpl isc zlib unlicense 2 3 4"
 #: Candidates that are aligned at once, for bounded memory.
 ALIGNED = 1024
 
@@ -47,15 +52,21 @@ def winnowed(grams: np.ndarray, width: int) -> np.ndarray:
 class Templates:
     def __init__(self, templates: dict[str, tuple[str, ...]] | None = None):
         given = TEMPLATES if templates is None else templates
-        self.names, self.words, rows = [], [], []
+        self.names, self.words, self.telling, rows = [], [], [], []
+        telling = hashed(TELLING)
         for name, texts in given.items():
             for text in texts:
                 words = hashed(text)
                 if not len(words):
                     continue
-                size = min(SHINGLE, len(words))
-                grams = window_hashes(words, size)
-                rows += [(int(grams[i]), len(self.words), int(i), size) for i in winnowed(grams, WINNOW)]
+                if short := len(words) <= SHORT:
+                    lengths = np.subtract(*class_bounds(LOWER[np.frombuffer(text.encode() + b" ", np.uint8)], ALNUM)[::-1])
+                    spots = np.argsort(-lengths, kind="stable")[: len(words) * (100 - COVERAGE) // 100 + 1]
+                    rows += [(int(words[i]), len(self.words), int(i), 1) for i in spots]
+                else:
+                    grams = window_hashes(words, SHINGLE)
+                    rows += [(int(grams[i]), len(self.words), int(i), SHINGLE) for i in winnowed(grams, WINNOW)]
+                self.telling.append(np.intersect1d(words, telling) if short else np.zeros(0, U64))
                 self.names.append(name)
                 self.words.append(words)
         rows.sort()
@@ -84,8 +95,12 @@ class Templates:
             place, template = np.concatenate(at), np.concatenate(what)
             for t in np.unique(template).tolist():
                 own = np.unique(place[template == t])
+                band = self.band(t)
                 new = np.ones(len(own), bool)
-                new[1:] = np.diff(own) > self.band(t)
+                new[1:] = np.diff(own) > band
+                # a run of close hits may be long: it is parted where it leaves the band
+                part = (own - own[new][np.cumsum(new) - 1]) // (band + 1)
+                new[1:] |= np.diff(part) != 0
                 out.append((t, own[new]))
         return out
 
@@ -117,7 +132,8 @@ class Templates:
                     i -= 1
                 else:
                     i, j = i - 1, j + 1
-            out.append((len(spots), spots[-1], spots[0], c))
+            if np.isin(self.telling[t], words[spots]).all():
+                out.append((len(spots), spots[-1], spots[0], c))
         return out
 
 

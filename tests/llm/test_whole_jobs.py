@@ -47,3 +47,18 @@ def test_quotes_of_several_paragraphs_and_inline_replies(spark):
     assert found[1, 1] == found[1, 2] == found[1, 3] == (1, 1, 0, 1, 1)
     assert found[2, 1] == (2, 2, 0, 2, 2) and found[2, 2] == (2, 2, 1, 1, 1) and found[2, 3] == (2, 2, 1, 2, 2)
     assert found[3, 0] == (1, 1, 0, 1, 1) and found[4, 0] == (4, None, None, 1, 0)
+
+
+def test_edited_short_notices(spark):
+    from quarry.llm.licenses import matches
+
+    texts = {
+        "Licensed under the Apache License 2.0": ["Apache-2.0"], "Licensed under BSD 3-Clause License": ["BSD-3-Clause"], "This is Licensed, under the old Apache (TM) License, as Version 2.0": ["Apache-2.0"],
+        "Licensed under MIT License": ["MIT"], "Licensed under the Foo License": [], "Licensed under CC BY 3.0": [], "licensed under GNU General Public License version 3": ["GPL-3.0"],
+        "Licensed under the MIT License. " * 9: ["MIT"] * 9, "license " * 30 + "Licensed under the Apache License 2.0": ["Apache-2.0"],
+    }
+    docs = spark.createDataFrame([(f"palaver {t} palaver", t) for t in texts], "text string, own string")
+    found = {}
+    for r in matches(docs).collect():
+        found.setdefault(r.own, []).append(r._license)
+    assert {t: found.get(t, []) for t in texts} == texts
