@@ -1,4 +1,12 @@
-"""The wording of license notices, as their publishers give it."""
+"""The wording of licenses and of their notices, as their publishers give it.
+
+Whole texts lie in ``license_files``, one for each license; the driver reads them.  The
+whole texts of AGPL-3.0, CC-BY-4.0 and CC-BY-NC-4.0 are missing: they are known by notices.
+"""
+
+from __future__ import annotations
+
+import os
 
 TEMPLATES: dict[str, tuple[str, ...]] = {
     "Apache-2.0": (
@@ -21,35 +29,55 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     ),
     "GPL-3.0": (
         "licensed under the GNU General Public License, version 3",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either "
+        "is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either "
         "version 3 of the License, or (at your option) any later version.",
         "SPDX-License-Identifier: GPL-3.0-or-later",
     ),
     "GPL-2.0": (
         "licensed under the GNU General Public License, version 2",
-        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either "
+        "is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either "
+        "version 2 of the License, or (at your option) any later version.",
+    ),
+    "LGPL-3.0": (
+        "licensed under the GNU Lesser General Public License, version 3",
+        "is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either "
+        "version 3 of the License, or (at your option) any later version.",
+    ),
+    "LGPL-2.1": (
+        "licensed under the GNU Lesser General Public License, version 2.1",
+        "is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either "
+        "version 2.1 of the License, or (at your option) any later version.",
+    ),
+    "LGPL-2.0": (
+        "is free software; you can redistribute it and/or modify it under the terms of the GNU Library General Public License as published by the Free Software Foundation; either "
         "version 2 of the License, or (at your option) any later version.",
     ),
-    "LGPL-3.0": ("licensed under the GNU Lesser General Public License, version 3",),
-    "AGPL-3.0": ("licensed under the GNU Affero General Public License, version 3",),
+    "AGPL-3.0": (
+        "licensed under the GNU Affero General Public License, version 3",
+        "is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either "
+        "version 3 of the License, or (at your option) any later version.",
+    ),
     "MPL-2.0": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
         "Licensed under the Mozilla Public License, version 2.0",
     ),
     "BSD-3-Clause": (
         "Licensed under the BSD 3-Clause License",
-        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
-    ),
-    "BSD": (
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
-    ),
-    "ISC": (
-        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     ),
     "Unlicense": ("This is free and unencumbered software released into the public domain.",),
     "CC-BY-4.0": ("Licensed under CC BY 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
     "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
     "CC0-1.0": ("To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work", "Dedicated to the public domain under CC0 1.0"),
-    "Zlib": ("This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",),
 }
+
+
+def whole_texts() -> dict[str, tuple[str, ...]]:
+    """``TEMPLATES`` with the whole texts."""
+    folder = os.path.join(os.path.dirname(os.path.abspath(__file__)), "license_files")
+    out = dict(TEMPLATES)
+    for name in sorted(os.listdir(folder)):
+        with open(os.path.join(folder, name), encoding="utf-8") as file:
+            own = name.removesuffix(".txt")
+            out[own] = (*out.get(own, ()), file.read())
+    return out

@@ -27,13 +27,13 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, ROW, TEXT, U64, class_bounds, found_in, groups_of, pack, ranges, span_hashes, table_of, unpack, window_hashes
 from .decontaminate import ALNUM
-from .license_texts import TEMPLATES
+from .license_texts import whole_texts
 
 SHINGLE, WINNOW, BAND, COVERAGE, SHORT = 3, 4, 8, 80, 64
 #: Words that tell one license from others: names, and first numbers of versions.
 TELLING = "mit apache gnu lesser library affero mozilla bsd cc creative by sa nc attribution sharealike noncommercial cc0 spdx mpl gpl lgpl agpl isc zlib unlicense 2 3 4"
-#: Candidates that are aligned at once, for bounded memory.
-ALIGNED = 1024
+#: Candidates and cells (of their tables) that are aligned at once, for bounded memory.
+ALIGNED, CELLS = 1024, 1 << 22
 
 
 def hashed(text: str) -> np.ndarray:
@@ -51,7 +51,7 @@ def winnowed(grams: np.ndarray, width: int) -> np.ndarray:
 
 class Templates:
     def __init__(self, templates: dict[str, tuple[str, ...]] | None = None):
-        given = TEMPLATES if templates is None else templates
+        given = whole_texts() if templates is None else templates
         self.names, self.words, self.telling, rows = [], [], [], []
         telling = hashed(TELLING)
         for name, texts in given.items():
@@ -104,6 +104,27 @@ class Templates:
                 out.append((t, own[new]))
         return out
 
+    def possible(self, t: int, words: np.ndarray, start: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Candidates that can have enough coverage: no more words are matched than lie in the text and within the
+        band, nor more than stand on some diagonal of the band at their place."""
+        own, band = self.words[t], self.band(t)
+        m = len(own)
+        room = np.minimum(hi, start + m + 2 * band) - np.maximum(lo, start - band)
+        fits = np.flatnonzero(100 * room >= COVERAGE * m)
+        if m <= SHORT:
+            return fits
+        keep = []
+        for c in fits.tolist():
+            same = np.zeros(m, bool)
+            for shift in range(-band, 2 * band + 1):
+                a = int(start[c]) + shift
+                i, j = max(0, int(lo[c]) - a), min(m, int(hi[c]) - a)
+                if i < j:
+                    same[i:j] |= words[a + i : a + j] == own[i:j]
+            if 100 * int(same.sum()) >= COVERAGE * m:
+                keep.append(c)
+        return np.array(keep, np.int64)
+
     def aligned(self, t: int, words: np.ndarray, start: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(matched words, first word, last word, candidate) of the candidates with enough coverage;
         lo and hi bound the text of each candidate."""
@@ -122,7 +143,7 @@ class Templates:
             diagonal = rows[i] + same[i]
             rows[i + 1] = np.maximum.accumulate(np.maximum(diagonal, up), axis=1)
         out = []
-        for c in np.flatnonzero(100 * rows[m].max(axis=1) >= COVERAGE * m).tolist():
+        for c in np.flatnonzero(100 * rows[m].max(axis=1).astype(np.int64) >= COVERAGE * m).tolist():
             j, i, spots = int(rows[m, c].argmax()), m, []
             while i > 0 and rows[i, c, j] > 0:
                 if j and rows[i, c, j - 1] == rows[i, c, j]:
@@ -149,8 +170,11 @@ def scan(texts: Templates, data: np.ndarray, at: np.ndarray) -> list[list[dict]]
     for t, place in texts.candidates(words):
         # the candidate's text is that of its middle, which lies inside any match
         doc = np.clip(np.searchsorted(cut, np.clip(place + len(texts.words[t]) // 2, 0, len(words) - 1), side="right") - 1, 0, len(found) - 1)
-        for k in range(0, len(place), ALIGNED):
-            some = slice(k, k + ALIGNED)
+        fits = texts.possible(t, words, place, cut[doc], cut[doc + 1])
+        place, doc = place[fits], doc[fits]
+        step = max(1, min(ALIGNED, CELLS // (len(texts.words[t]) * (3 * texts.band(t) + 1))))
+        for k in range(0, len(place), step):
+            some = slice(k, k + step)
             for matched, first, last, c in texts.aligned(t, words, place[some], cut[doc[some]], cut[doc[some] + 1]):
                 found[doc[k + c]].append((-matched, len(texts.words[t]) - matched, first, last, texts.names[t]))
     out = []

@@ -62,3 +62,19 @@ def test_edited_short_notices(spark):
     for r in matches(docs).collect():
         found.setdefault(r.own, []).append(r._license)
     assert {t: found.get(t, []) for t in texts} == texts
+
+
+def test_whole_licenses_and_their_notices(spark):
+    from quarry.llm.license_texts import TEMPLATES, whole_texts
+    from quarry.llm.licenses import matches
+
+    whole = {name: texts[-1] for name, texts in whole_texts().items() if texts != TEMPLATES.get(name)}
+    gnu = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} General Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+    rows = [*whole.items(), ("AGPL-3.0", gnu.format("Affero", "3")), ("LGPL-3.0", gnu.format("Lesser", "3")), ("LGPL-2.1", gnu.format("Lesser", "2.1")), ("GPL-3.0", gnu.format("", "3"))]
+    rows += [(None, "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:")]
+    docs = spark.createDataFrame([(i, "palaver " * 3 + t) for i, (_, t) in enumerate(rows)], "doc_id int, text string")
+    found = {}
+    for r in matches(docs).collect():
+        found.setdefault(r.doc_id, []).append((r._license, r._coverage))
+    assert {"Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "Zlib", "Unlicense", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "CC-BY-SA-4.0"} <= set(whole)
+    assert found == {i: [(name, 100)] for i, (name, _) in enumerate(rows) if name}
