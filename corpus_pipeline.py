@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.common import materialize
-from quarry.llm.decontaminate import contaminated
+from quarry.llm.decontaminate import WINDOW, contaminated
 from quarry.llm.language import held_out, identified, trained
 from quarry.llm.minhash import deduplicated
 from quarry.llm.pieces import Vocabulary, encoded
@@ -46,9 +46,14 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of any benchmark item go: eight words in a row don't meet by chance.  (The
+    """Documents with eight words in a row from benchmark items go: those don't meet by chance.  The words of a shorter
+    item do, so by itself it drops only a document that holds nothing else; neighbouring items count together.  (The
     threshold of two items is that of the op6 query alone.)"""
-    return contaminated(docs, table(spark, sf_dir, "benchmark"), least_items=1).where(~F.col("_bad")).select(*docs.columns)
+    own = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    found = contaminated(own, table(spark, sf_dir, "benchmark"))
+    covered = F.aggregate("_hit", F.lit(0).cast("long"), lambda a, x: a + x.end - x.start)
+    bad = F.exists("_hit", lambda x: x.end - x.start >= WINDOW) | ((F.col("_n") > 0) & (covered == F.col("_n")))
+    return found.where(~bad).select("row.*")
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -78,3 +78,15 @@ def test_whole_licenses_and_their_notices(spark):
         found.setdefault(r.doc_id, []).append((r._license, r._coverage))
     assert {"Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "Zlib", "Unlicense", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "CC-BY-SA-4.0"} <= set(whole)
     assert found == {i: [(name, 100)] for i, (name, _) in enumerate(rows) if name}
+
+
+def test_short_benchmark_items_drop_no_other_text(spark, tmp_path):
+    import corpus_pipeline
+
+    schema = "item_id string, text string"
+    question = "which river runs through the old town of Bern"
+    spark.createDataFrame([("a", "yes"), ("b", "of the"), ("c", "who wrote this"), ("d", "an unknown old author"), ("e", "some years ago maybe"), ("f", question)], schema).write.parquet(f"{tmp_path}/benchmark.parquet")
+    texts = {1: "yes it is one of the best", 2: "Yes, yes", 3: "x " + question + " y", 4: "who wrote this", 5: "we ask who wrote this and yes of the others", 6: "x: an unknown old author, some years ago maybe, y", 7: None, 8: "", 9: "clean text"}
+    docs = spark.createDataFrame([*texts.items()], "doc_id long, text string")
+    left = corpus_pipeline.decontaminate(spark, docs, str(tmp_path))
+    assert left.columns == docs.columns and sorted(r.doc_id for r in left.collect()) == [1, 5, 7, 8, 9]
