@@ -44,7 +44,8 @@ def refs(spark: SparkSession, d: str) -> DataFrame:
 
 def symbols(spark: SparkSession, d: str) -> DataFrame:
     """A conversation holds its turns, and a turn its lines: intervals of rows from running line counts.
-    file_id is the conversation's id + 1."""
+    file_id is the conversation's id + 1.  A turn's symbol_id leaves 999 places for its lines; later lines have
+    negative ids, from the conversation and their row in it."""
     own = table(spark, d, "conversations").select("conv_id", "turn", "role", tx.lines(F.col("text")).alias("lines"))
     before = F.sum(F.size("lines")).over(Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1))
     own = own.withColumns({"first": F.coalesce(before, F.lit(0)).cast("long"), "n": F.size("lines").cast("long")})
@@ -53,8 +54,8 @@ def symbols(spark: SparkSession, d: str) -> DataFrame:
         F.col("first").alias("start_row"), (F.col("first") + F.col("n") - 1).alias("end_row"), F.octet_length(F.element_at("lines", -1)).cast("long").alias("end_col"),
     )
     whole = turn.groupBy("file_id").agg(F.max(F.struct("end_row", "end_col")).alias("e")).select(((F.col("file_id") - 1) * 1_000_000).alias("symbol_id"), "file_id", F.lit("conversation").alias("kind"), F.concat(F.lit("c"), (F.col("file_id") - 1).cast("string")).alias("name"), F.lit(0).cast("long").alias("start_row"), F.col("e.end_row").alias("end_row"), F.col("e.end_col").alias("end_col"))
-    line = own.select("conv_id", "turn", "first", F.posexplode("lines").alias("pos", "line")).where("pos < 999").select(
-        (F.col("conv_id") * 1_000_000 + F.col("turn") * 1000 + 1001 + F.col("pos")).alias("symbol_id"), (F.col("conv_id") + 1).alias("file_id"), F.lit("line").alias("kind"), F.concat(F.lit("l"), F.col("pos").cast("string")).alias("name"),
+    line = own.select("conv_id", "turn", "first", F.posexplode("lines").alias("pos", "line")).select(
+        F.when(F.col("pos") < 999, F.col("conv_id") * 1_000_000 + F.col("turn") * 1000 + 1001 + F.col("pos")).otherwise(-(F.col("conv_id") * (1 << 32) + F.col("first") + F.col("pos"))).alias("symbol_id"), (F.col("conv_id") + 1).alias("file_id"), F.lit("line").alias("kind"), F.concat(F.lit("l"), F.col("pos").cast("string")).alias("name"),
         (F.col("first") + F.col("pos")).alias("start_row"), (F.col("first") + F.col("pos")).alias("end_row"), F.octet_length("line").cast("long").alias("end_col"),
     ).where("end_col > 0")
     out = whole.unionByName(turn).unionByName(line)

@@ -90,3 +90,17 @@ def test_short_benchmark_items_drop_no_other_text(spark, tmp_path):
     docs = spark.createDataFrame([*texts.items()], "doc_id long, text string")
     left = corpus_pipeline.decontaminate(spark, docs, str(tmp_path))
     assert left.columns == docs.columns and sorted(r.doc_id for r in left.collect()) == [1, 5, 7, 8, 9]
+
+
+def test_symbols_of_long_turns(spark, tmp_path):
+    from quarry.plans import catalogue, derived
+
+    long = "\n".join(f"line {i}" for i in range(2500))
+    spark.createDataFrame([(0, 0, "user", long), (0, 1, "bot", long), (1, 0, "user", long)], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    found = derived.symbols(spark, str(tmp_path)).collect()
+    assert len({r.symbol_id for r in found}) == len(found) == 3 * 2501 + 2
+    assert {r.kind: r.n for r in catalogue.QUERIES["kinds_top12"](spark, str(tmp_path)).collect()}["line"] == 7500
+    turns = {r.symbol_id: (r.file_id, r.start_row, r.end_row) for r in found if r.kind in ("user", "bot")}
+    rows = {r.symbol_id: (r.file_id, r.start_row) for r in found if r.kind == "line"}
+    up = {r.symbol_id: r.parent_id for r in catalogue.QUERIES["outline_parent"](spark, str(tmp_path)).collect()}
+    assert all(turns[up[i]][0] == f and turns[up[i]][1] <= row <= turns[up[i]][2] for i, (f, row) in rows.items())
