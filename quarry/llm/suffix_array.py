@@ -17,11 +17,16 @@ smallest names, so a window whose smallest name is unique is itself unique.
 Names are fingerprints instead of sorted ranks: the same classes without a total
 order.  Names that decide (steps 2 and 3) have 128 bits.
 
+The symbols of a string are bytes or, with ``unit`` "word", whole words (runs of
+anything but ASCII white space); then ``length`` counts words, and a removed run goes
+from its first word's first byte to its last word's last.  With ``across``, only
+strings that stand in two rows at least are repeated.
+
 Defined cases: a null or empty text, and a text shorter than ``length``, loses
 nothing; equal rows are copies and lose everything if they are long enough; a
-window that occurs twice within one text counts as repeated; overlapping
-occurrences count; an empty table gives an empty result; columns other than the
-text are carried unchanged, whatever their names.
+window that occurs twice within one text counts as repeated (not with ``across``);
+overlapping occurrences count; an empty table gives an empty result; columns other
+than the text are carried unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,12 +39,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_CODE, TEXT, U64, blobs, found_in, materialize, mix, pack, pair, powers, ranges, sliding, unpack
+from .common import BYTE_CODE, TEXT, U64, WS, blobs, class_bounds, found_in, groups_of, materialize, mix, pack, pair, powers, ranges, sliding, span_hashes, unpack
 
 LENGTH = 400
+#: Of a passage, in words.
+PASSAGE = 50
 #: Names, and bytes of kept text, that are given to Spark at once.
 FLUSH, FLUSH_BYTES = 1 << 17, 4 << 20
-#: Bytes of the first names.
+#: Symbols of the first names.
 FIRST = 25
 #: Windows that are looked at together, for bounded memory with very long texts.
 TILE = 1 << 20
@@ -49,14 +56,19 @@ CODES = (BYTE_CODE, mix(BYTE_CODE ^ U64(0xA5A5A5A5A5A5A5A5)))
 KEY = ["_k1", "_k2"]
 
 
-def names(data: np.ndarray, length: int, code: np.ndarray = BYTE_CODE) -> np.ndarray:
-    """The name of every ``length`` bytes: rolling names of 25 bytes (or fewer), then pairs of names at growing offsets."""
+def coded(data: np.ndarray, lane: int) -> np.ndarray:
+    """64 bits for each byte or word."""
+    return CODES[lane][data] if data.dtype == np.uint8 else mix(data ^ U64(0xA5A5A5A5A5A5A5A5)) if lane else data
+
+
+def names(data: np.ndarray, length: int, lane: int = 0) -> np.ndarray:
+    """The name of every ``length`` symbols: rolling names of 25 (or fewer), then pairs of names at growing offsets."""
     if len(data) < length:
         return np.zeros(0, U64)
     done = min(length, FIRST)
     power, inverse = powers(len(data) + 1)
     pre = np.zeros(len(data) + 1, U64)
-    np.cumsum(code[data] * power[:-1], out=pre[1:])
+    np.cumsum(coded(data, lane) * power[:-1], out=pre[1:])
     x = pre[done:] - pre[:-done]
     x *= inverse[: len(x)]
     x ^= x >> U64(32)
@@ -87,14 +99,14 @@ def longer(x: np.ndarray, done: int, length: int) -> np.ndarray:
 
 
 class Text:
-    """The windows of one text that are not yet known to be unique: ``runs`` holds starts and ends in turn."""
+    """The windows of one text, as bytes or names of words, that are not yet known to be unique: ``runs`` holds starts and ends in turn."""
 
     def __init__(self, data: np.ndarray, length: int, runs: np.ndarray | None = None):
         self.data, self.length = data, length
         self.runs = np.array([0, max(0, len(data) - length + 1)], np.int64) if runs is None else runs
 
     def parts(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(first window, bytes, mask of the windows that are left): near runs together, TILE windows at most."""
+        """(first window, symbols, mask of the windows that are left): near runs together, TILE windows at most."""
         starts, ends = self.runs[::2], self.runs[1::2]
         cut = np.flatnonzero(starts[1:] > ends[:-1] + self.length) + 1
         for a, b in zip(np.concatenate([[0], cut]), np.concatenate([cut, [len(starts)]]), strict=True):
@@ -109,7 +121,7 @@ class Text:
                     yield at, self.data[at : stop + self.length - 1], left
 
     def sampled(self, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """Smallest names of ``size`` bytes of the windows left, and at how many positions each stands."""
+        """Smallest names of ``size`` symbols of the windows left, and at how many positions each stands."""
         found = []
         for _, part, left in self.parts():
             x = names(part, size)
@@ -136,7 +148,7 @@ class Text:
         """By tile: first and last window and smallest name of each chunk, its context names, and all windows' names."""
         half = (self.length + 1) // 2
         for at, part, left in self.parts():
-            own = [names(part, half, c) for c in CODES[:lanes]]
+            own = [names(part, half, lane) for lane in range(lanes)]
             x = longer(own[0], half, size)
             where = anchors(x, self.length - size + 1)
             cut = np.ones(len(where), bool)
@@ -150,6 +162,18 @@ class Text:
             yield at, begin, last, x[where[begin]], [pair(pair(w[begin], w[last]), size_name) for w in full], full
 
 
+def symbols(column: pa.Array, unit: str) -> Iterator[np.ndarray]:
+    """Each text's bytes, or the names of its words."""
+    if unit == "byte":
+        yield from blobs(column)
+        return
+    for _, _, data, at in groups_of(column):
+        starts, ends = class_bounds(data, WS)
+        words, cut = span_hashes(data, starts, ends), np.searchsorted(starts, at)
+        for i in range(len(at) - 1):
+            yield words[cut[i] : cut[i + 1]]
+
+
 def as_long(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
@@ -193,58 +217,57 @@ def keyed(docs: DataFrame, text: str) -> DataFrame:
     return docs.withColumns({"_k1": F.xxhash64(text), "_k2": F.xxhash64(F.lit(7), F.col(text), F.octet_length(text))})
 
 
-def survivors(rows: DataFrame, name: list[str], keys: list[str], give: str, label: str) -> DataFrame:
-    """For each text, the names that stand at two positions or more.  A hot name is counted before the
-    shuffle; the join's two sides are plain exchanges, so that Spark may split a hot name there."""
+def survivors(rows: DataFrame, name: list[str], keys: list[str], give: str, label: str, across: bool) -> DataFrame:
+    """For each text, the names that stand at two positions or more (with ``across``, in two texts).  A hot name is
+    counted before the shuffle; the join's two sides are plain exchanges, so that Spark may split a hot name there."""
     k = keys[0]
     twice = materialize(
         rows.groupBy(*name).agg(F.min(k).alias("a"), F.max(k).alias("b"), F.max("_n").alias("n"))
-        .where((F.col("a") != F.col("b")) | (F.col("n") > 1)).select(*name), "repeated",
+        .where((F.col("a") != F.col("b")) | (F.lit(not across) & (F.col("n") > 1))).select(*name), "repeated",
     )
     return rows.join(twice, name).groupBy(*keys).agg(F.collect_set(give).alias(label))
 
 
-def refine(texts: DataFrame, size: int, length: int) -> DataFrame:
+def refine(texts: DataFrame, size: int, length: int, unit: str) -> DataFrame:
     """Rows (name, key, positions) of one round."""
 
     def emit(batches):
         for batch in batches:
-            rows = (Text(data, length, runs_of(batch, i)).sampled(size) for i, data in enumerate(blobs(batch.column("_t"))))
+            rows = (Text(data, length, runs_of(batch, i)).sampled(size) for i, data in enumerate(symbols(batch.column("_t"), unit)))
             yield from flats(batch, KEY, rows, ["_name", "_n"])
 
     return materialize(texts.mapInArrow(emit, "_k1 long, _k2 long, _name long, _n long"), "names")
 
 
-def narrowed(texts: DataFrame, size: int, length: int) -> DataFrame:
+def narrowed(texts: DataFrame, size: int, length: int, unit: str) -> DataFrame:
     """The texts, with the runs of windows that outlast the round."""
 
     def run(batches):
         for batch in batches:
-            runs = [Text(data, length, runs_of(batch, i)).kept(size, as_names(batch.column("_known"), i)) for i, data in enumerate(blobs(batch.column("_t")))]
+            runs = [Text(data, length, runs_of(batch, i)).kept(size, as_names(batch.column("_known"), i)) for i, data in enumerate(symbols(batch.column("_t"), unit))]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*KEY, "_t")), pa.array(runs, pa.list_(pa.int64()))], [*KEY, "_t", "_runs"])
 
     return texts.mapInArrow(run, "_k1 long, _k2 long, _t string, _runs array<long>").where(F.size("_runs") > 0)
 
 
-def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, rounds: tuple[int, ...] = (100, 200), chunk: int = 352) -> DataFrame:
-    """For each distinct text that shares a string of ``length`` bytes with another text or with itself:
-    its key, the removed runs (array of start and end byte), the bytes kept and their SHA-256."""
+def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, unit: str = "byte", across: bool = False) -> DataFrame:
+    """For each distinct text that shares a string of ``length`` symbols with another text or with itself:
+    its key, the removed runs (array of start and end byte), the words in them (0 for bytes), the bytes kept and their SHA-256."""
     if length < 4:
         raise ValueError("length must be 4 or more")
-    rounds = tuple(min(r, length) * length // LENGTH or 1 for r in rounds) if length != LENGTH else rounds
-    chunk = chunk if length == LENGTH else max((length + 1) // 2, length * chunk // LENGTH)
-    all_texts = keyed(docs.select(F.col(text).alias("_t")), "_t").where(F.octet_length("_t") >= length)
+    rounds, chunk = [length * share // 400 or 1 for share in (100, 200)], max((length + 1) // 2, length * 352 // 400)
+    all_texts = keyed(docs.select(F.col(text).alias("_t")), "_t").where(F.octet_length("_t") >= least_bytes(length, unit))
     texts = all_texts
     for k, size in enumerate(dict.fromkeys(rounds)):
-        hits = survivors(refine(texts, size, length), ["_name"], KEY, "_name", "_known")
+        hits = survivors(refine(texts, size, length, unit), ["_name"], KEY, "_name", "_known", across)
         # copies become one text before they are shuffled
         one = texts if k else texts.groupBy(*KEY).agg(F.first("_t").alias("_t"))
-        texts = materialize(narrowed(one.join(hits, KEY), size, length), "texts")
+        texts = materialize(narrowed(one.join(hits, KEY), size, length, unit), "texts")
     texts = materialize(texts.withColumn("_u", F.monotonically_increasing_id()), "texts")
 
     def contexts(batches):
         def rows(batch):
-            for i, data in enumerate(blobs(batch.column("_t"))):
+            for i, data in enumerate(symbols(batch.column("_t"), unit)):
                 found = [(x[3], *x[4]) for x in Text(data, length, runs_of(batch, i)).chunks(chunk)]
                 cls, c1, c2 = (np.concatenate([f[j] for f in found]) if found else np.zeros(0, U64) for j in range(3))
                 _, first, n = np.unique(c1, return_index=True, return_counts=True)
@@ -254,17 +277,20 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, ro
             yield from flats(batch, ["_u"], rows(batch), ["_class", "_c1", "_c2", "_n"])
 
     parts = materialize(texts.mapInArrow(contexts, "_u long, _class long, _c1 long, _c2 long, _n long"), "chunks")
-    each = materialize(parts.groupBy("_class", "_c1", "_c2").agg(F.sum("_n").alias("_n"), F.min("_u").alias("_u")), "contexts")
-    whole = each.where("_n > 1").select("_class", "_c1", "_c2")
+    each = parts.groupBy("_class", "_c1", "_c2").agg(F.sum("_n").alias("_n"), F.min("_u").alias("_u"), F.max("_u").alias("_v"))
+    each = materialize(each.withColumn("_again", (F.col("_u") != F.col("_v")) | (F.lit(not across) & (F.col("_n") > 1))), "contexts")
+    whole = each.where("_again").select("_class", "_c1", "_c2")
     done = parts.join(whole, ["_class", "_c1", "_c2"]).groupBy("_u").agg(F.collect_set("_c1").alias("_whole"))
     unclear = materialize(
-        each.groupBy("_class").agg(F.count("*").alias("m"), F.count_if(F.col("_n") == 1).alias("alone")).where("m > 1 AND alone > 0").select("_class"), "classes",
+        each.groupBy("_class").agg(F.count("*").alias("m"), F.count_if(~F.col("_again")).alias("alone")).where("m > 1 AND alone > 0").select("_class"), "classes",
     )
-    look = each.join(unclear, "_class").groupBy("_u").agg(F.collect_set("_c1").alias("_look"))
+    # of a repeated context, two texts show that its windows stand in two
+    shown = F.array_distinct(F.array("_u", "_v")) if across else F.array("_u")
+    look = each.join(unclear, "_class").select(F.explode(shown).alias("_u"), "_c1").groupBy("_u").agg(F.collect_set("_c1").alias("_look"))
 
     def windows(batches):
         def rows(batch):
-            for i, data in enumerate(blobs(batch.column("_t"))):
+            for i, data in enumerate(symbols(batch.column("_t"), unit)):
                 wanted, found = as_names(batch.column("_look"), i), []
                 for _, begin, last, _, (c1, _), (w1, w2) in Text(data, length, runs_of(batch, i)).chunks(chunk):
                     some = found_in(c1, wanted)
@@ -278,19 +304,19 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, ro
             yield from flats(batch, ["_u"], rows(batch), ["_w1", "_w2", "_n"])
 
     single = materialize(texts.join(look, "_u").mapInArrow(windows, "_u long, _w1 long, _w2 long, _n long"), "windows")
-    exact = survivors(single, ["_w1", "_w2"], ["_u"], "_w1", "_exact")
+    exact = survivors(single, ["_w1", "_w2"], ["_u"], "_w1", "_exact", across)
 
     def cut(batches):
         def given(batch, first, out):
             some = batch.slice(first, len(out))
             return pa.RecordBatch.from_arrays(
-                [some.column("_k1"), some.column("_k2"), pa.array([x[0] for x in out], SPANS), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.string())],
-                ["_k1", "_k2", "_spans", "_kept", "_sha"],
+                [some.column("_k1"), some.column("_k2"), pa.array([x[0] for x in out], SPANS), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.string()), pa.array([x[3] for x in out], pa.int64())],
+                ["_k1", "_k2", "_spans", "_kept", "_sha", "_words"],
             )
 
         for batch in batches:
             out, first, size = [], 0, 0
-            for i, data in enumerate(blobs(batch.column("_t"))):
+            for i, (raw, data) in enumerate(zip(blobs(batch.column("_t")), symbols(batch.column("_t"), unit), strict=True)):
                 whole_, exact_ = as_names(batch.column("_whole"), i), as_names(batch.column("_exact"), i)
                 gone = np.zeros(len(data) + 1, np.int32)
                 for at, begin, last, _, (c1,), (w1,) in Text(data, length, runs_of(batch, i)).chunks(chunk, lanes=1):
@@ -301,8 +327,8 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, ro
                     np.add.at(gone, at + last[some] + length, -1)
                     np.add.at(gone, at + rest, 1)
                     np.add.at(gone, at + rest + length, -1)
-                out.append(cut_one(data, np.cumsum(gone[:-1]) > 0))
-                size += len(data)
+                out.append(cut_one(raw, np.cumsum(gone[:-1]) > 0, unit))
+                size += len(raw)
                 if size >= FLUSH_BYTES:
                     yield given(batch, first, out)
                     out, first, size = [], i + 1, 0
@@ -310,42 +336,63 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, ro
                 yield given(batch, first, out)
 
     found = texts.join(done.join(exact, "_u", "full"), "_u")
-    result = found.mapInArrow(cut, "_k1 long, _k2 long, _spans array<struct<start:long,end:long>>, _kept binary, _sha string")
+    result = found.mapInArrow(cut, "_k1 long, _k2 long, _spans array<struct<start:long,end:long>>, _kept binary, _sha string, _words long")
     return materialize(result.where(F.size("_spans") > 0), "spans")
 
 
 SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def cut_one(data: np.ndarray, gone: np.ndarray) -> tuple[list[dict], bytes, str]:
+def least_bytes(length: int, unit: str) -> int:
+    """Of a text that holds so many symbols."""
+    return length if unit == "byte" else 2 * length - 1
+
+
+def cut_one(data: np.ndarray, gone: np.ndarray, unit: str) -> tuple[list[dict], bytes, str, int]:
     edge = np.diff(np.concatenate([[0], gone.view(np.int8), [0]]))
-    spans = [{"start": int(a), "end": int(b)} for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True)]
+    begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    words = 0
+    if unit == "word":
+        words = int((end - begin).sum())
+        starts, ends = class_bounds(data, WS)
+        begin, end = starts[begin], ends[end - 1]
+        gone = np.zeros(len(data), bool)
+        gone[ranges(begin, end)] = True
+    spans = [{"start": int(a), "end": int(b)} for a, b in zip(begin, end, strict=True)]
     kept = data[~gone].tobytes()
-    return spans, kept, hashlib.sha256(kept).hexdigest()
+    return spans, kept, hashlib.sha256(kept).hexdigest(), words
 
 
-def deduplicated(docs: DataFrame, text: str = "text", length: int = LENGTH, keep_text: bool = True) -> DataFrame:
+def deduplicated(docs: DataFrame, text: str = "text", length: int = LENGTH, keep_text: bool = True, unit: str = "byte", across: bool = False) -> DataFrame:
     """``docs`` with _n_bytes, _n_removed, _n_spans, _sha and, if asked for, _kept (binary).
 
-    A text of which there are copies is removed as a whole.  The rows of ``docs`` are joined to the
-    distinct texts through plain exchanges on both sides, so that a hot text can be split."""
+    A text of which there are copies is removed as a whole (with words, from its first to its last).  The rows of
+    ``docs`` are joined to the distinct texts through plain exchanges on both sides, so that a hot text can be split."""
     packed = pack(docs, text)
-    spans = repeated_spans(packed, TEXT, length)
-    copies = materialize(keyed(packed.where(F.octet_length(TEXT) >= length).select(TEXT), TEXT).groupBy(*KEY).count().where("count > 1").select(*KEY), "copies")
+    spans = repeated_spans(packed, TEXT, length, unit, across)
+    copies = materialize(keyed(packed.where(F.octet_length(TEXT) >= least_bytes(length, unit)).select(TEXT), TEXT).groupBy(*KEY).count().where("count > 1").select(*KEY), "copies")
     cut = spans.select(*KEY, F.size("_spans").cast("long").alias("_s"), F.aggregate("_spans", F.lit(0).cast("long"), lambda a, x: a + x.end - x.start).alias("_r"), F.col("_sha").alias("_h"), *([F.col("_kept").alias("_b")] if keep_text else []))
     change = materialize(copies.withColumn("_all", F.lit(True)).join(cut, KEY, "full"), "changes")
     size = F.coalesce(F.octet_length(TEXT), F.lit(0)).cast("long")
     full = F.coalesce("_all", F.lit(False))
+    left, gone = F.lit(""), F.col("_n_bytes")
+    if unit == "word":
+        full = full & (F.regexp_count(TEXT, F.lit(WORD)) >= length)
+        left = F.regexp_replace(TEXT, rf"(?s)^({SPACE}*).*[^\x20\x09-\x0D]({SPACE}*)$", "$1$2")
+        gone = gone - F.octet_length(left)
     out = keyed(packed, TEXT).withColumns({"_n_bytes": size, "_own": F.sha2(F.coalesce(F.col(TEXT), F.lit("")).cast("binary"), 256)})
-    if not keep_text:
+    if not keep_text and unit == "byte":
         out = out.drop(TEXT)
     out = out.join(change, KEY, "left").withColumns({
-        "_n_removed": F.when(full, F.col("_n_bytes")).otherwise(F.coalesce("_r", F.lit(0).cast("long"))),
+        "_n_removed": F.when(full, gone).otherwise(F.coalesce("_r", F.lit(0).cast("long"))),
         "_n_spans": F.when(full, F.lit(1).cast("long")).otherwise(F.coalesce("_s", F.lit(0).cast("long"))),
-        "_sha": F.when(full, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.coalesce("_h", "_own")),
+        "_sha": F.when(full, F.sha2(left.cast("binary"), 256)).otherwise(F.coalesce("_h", "_own")),
     })
     added = ["_n_bytes", "_n_removed", "_n_spans", "_sha"]
     if keep_text:
-        out = out.withColumn("_kept", F.when(full, F.lit("").cast("binary")).otherwise(F.coalesce("_b", F.col(TEXT).cast("binary"))))
+        out = out.withColumn("_kept", F.when(full, left.cast("binary")).otherwise(F.coalesce("_b", F.col(TEXT).cast("binary"))))
         added.append("_kept")
     return unpack(out, docs.columns, text, keep_text, added)
+
+
+SPACE, WORD = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]+"

@@ -70,6 +70,38 @@ def test_suffix_array(docs, length):
     assert all(r._k1 == "own" and r._n == 5 and hashlib.sha256(bytes(r._kept or b"")).hexdigest() == r._sha for r in found)
 
 
+def removed_words(texts, length, across):
+    """Runs of words in windows that stand elsewhere too (with across: in another row)."""
+    split = [[m.span() for m in re.finditer(b"[^\x20\x09-\x0d]+", b)] for b in texts]
+    windows = [[tuple(b[x:y] for x, y in w[p : p + length]) for p in range(len(w) - length + 1)] for b, w in zip(texts, split, strict=True)]
+    seen = Counter(x for own in windows for x in (set(own) if across else own))
+    out = []
+    for b, w, own in zip(texts, split, windows, strict=True):
+        gone = {q for p, x in enumerate(own) if seen[x] > 1 for q in range(p, p + length)}
+        spans = [(w[q][0], w[q][1] if q + 1 not in gone else w[q + 1][0]) for q in sorted(gone)]
+        cut = bytearray(len(b))
+        for x, y in spans:
+            cut[x:y] = b"\1" * (y - x)
+        kept = bytes(x for x, g in zip(b, cut, strict=True) if not g)
+        out.append((len(b), sum(cut), len(re.findall(b"\1+", bytes(cut))), hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize(("length", "across"), [(50, True), (50, False), (7, True), (7, False)])
+def test_suffix_array_of_words(spark, length, across):
+    from quarry.llm.suffix_array import deduplicated
+
+    passages = [prose(n) for n in (7, 49, 50, 53, 80)]
+    texts = [None, "", " \n", "one", " \n" + " ".join("abcdefg" * 8) + "\t\n", prose(90) + "\n" + passages[4], *[prose(R.randrange(60)) + " " + p + "\n\n" + prose(R.randrange(60)) for p in passages for _ in range(3)]]
+    texts += [passages[3] + " " + passages[3], "x y z " * 40, prose(60), "  " + texts[5] + " ", texts[4], texts[4], passages[2], "Ünïcödé wörds " * 30, prose(40) + " " + passages[2].replace(" ", "\n")]
+    docs = spark.createDataFrame([(i, t, "own") for i, t in enumerate(texts)], "doc_id long, text string, _words string").repartition(3)
+    found = {r.doc_id: r for r in deduplicated(docs, length=length, unit="word", across=across).collect()}
+    want = removed_words([(t or "").encode() for t in texts], length, across)
+    assert {i: (r._n_bytes, r._n_removed, r._n_spans, r._sha) for i, r in found.items()} == dict(enumerate(want))
+    assert all(r._words == "own" and hashlib.sha256(bytes(r._kept or b"")).hexdigest() == r._sha for r in found.values())
+    assert any(w[1] for w in want)
+
+
 def test_suffix_array_on_tiles(monkeypatch):
     """Long texts are looked at in tiles; the places of tiles make no difference."""
     import numpy as np
