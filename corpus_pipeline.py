@@ -16,6 +16,7 @@ from quarry.llm.language import held_out, identified, trained
 from quarry.llm.minhash import deduplicated
 from quarry.llm.pieces import Vocabulary, encoded
 from quarry.llm.queries import table
+from quarry.llm.suffix_array import PASSAGE, WORD
 from quarry.llm.suffix_array import deduplicated as without_repeats
 
 #: SQL can't express the language model, the removal of byte strings or the segmentation; tests hold run() against brute force.
@@ -37,11 +38,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes of strings of 400 bytes that stand elsewhere too are removed; characters that were cut apart go."""
-    out = without_repeats(docs)
-    whole = F.replace(F.make_valid_utf8(F.col("_kept").cast("string")), F.lit("\ufffd"), F.lit(""))
-    out = out.withColumn("text", F.when(F.col("_n_removed") == 0, F.col("text")).otherwise(whole))
-    out = out.where((F.col("_n_removed") == 0) | (F.col("text") != ""))
+    """Passages of 50 words or more that stand in another document too are removed; documents with no word left go."""
+    out = without_repeats(docs, length=PASSAGE, unit="word", across=True)
+    out = out.withColumn("text", F.when(F.col("_n_removed") == 0, F.col("text")).otherwise(F.col("_kept").cast("string")))
+    out = out.where((F.col("_n_removed") == 0) | F.col("text").rlike(WORD))
     return out.withColumn("n_chars", F.when(F.col("_n_removed") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
 
 
