@@ -11,9 +11,14 @@ left out with certainty.  All others are confirmed on their full shingle sets.
 
 No bucket is spelled out into pairs.  Its members are first linked to its smallest
 member: each class tries its most similar leader, then the other leaders of
-components that it isn't in.  Where a bucket still has members of several
-components, blocks of 256 members meet in a join whose condition holds the
-sketches, so only pairs of different components that pass them leave the join.
+components that it isn't in.  Large buckets with several components then go through
+rounds: each takes a few leaders by hash, and each member tries the most similar of
+those in other components.  What is left of any bucket with several components is
+compared in blocks, each member outside the bucket's largest component with all
+members of other components: one pass over the sketches finds the members that have a
+candidate at all, a second holds their shingle sets and confirms pairs of blocks in the
+task, best candidates first, passing over those that its links already join.  So a pair
+of blocks gives fewer links than it has members, and no list of pairs leaves a task.
 A pair at the threshold shares no band with probability (1 - 0.8**5)**40 < 2e-7.
 
 Defined cases: null and empty texts have empty sets and are linked with nothing;
@@ -35,6 +40,9 @@ from .common import LOWER, ROW, TEXT, U64, WS, class_bounds, groups_of, material
 from .components import components
 
 BANDS, ROWS, BITS, SET_BITS, BLOCK = 40, 5, 1024, 2048, 256
+#: Shingles of a block, so that long texts make smaller blocks; members of a bucket that goes through rounds first; its
+#: leaders in each; rounds at most.
+HEAVY, LARGE, LEADERS, ROUNDS = 1 << 20, 1 << 12, 2, 5
 _R = np.random.default_rng(20240817)
 A = _R.integers(1, 2**63, BANDS * ROWS, dtype=U64) * U64(2) + U64(1)
 B = _R.integers(0, 2**63, BANDS * ROWS, dtype=U64)
@@ -136,6 +144,77 @@ def confirmed(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataF
     return materialize(two.select("a", "b", "_ta", "_tb").mapInArrow(run, "a long, b long"), "links")
 
 
+def candidates(rows: pa.Table, percent: int, limit: int) -> tuple[np.ndarray, ...]:
+    """(left row, right row, ones) of pairs of a group in different components that the sketches let through, in the first
+    band they share only.  Rows of the left side are compared with those of the right; pairs that stand on both sides once."""
+    column = {c: rows.column(c).to_numpy() for c in ("node", "comp", "_n", "left", "minor", "band")}
+    grid = {c: np.concatenate([x.values.to_numpy(zero_copy_only=False)[x.offsets[0].as_py() : x.offsets[-1].as_py()] for x in rows.column(c).chunks]).reshape(rows.num_rows, -1).view(U64) for c in ("_sketch", "_bands")}
+    a, b = np.flatnonzero(column["left"]), np.flatnonzero(~column["left"])
+    n, comp, node = column["_n"], column["comp"], column["node"]
+    fits = comp[a][:, None] != comp[b][None, :]
+    fits &= 100 * np.minimum(n[a][:, None], n[b][None, :]) >= percent * np.maximum(n[a][:, None], n[b][None, :])
+    fits &= ~column["minor"][b][None, :] | (node[a][:, None] < node[b][None, :])
+    x, y = np.nonzero(fits)
+    out = [np.zeros((3, 0), np.int64)]
+    for k in range(0, len(x), 1 << 14):
+        i, j = a[x[k : k + (1 << 14)]], b[y[k : k + (1 << 14)]]
+        ones = np.bitwise_count(grid["_sketch"][i] ^ grid["_sketch"][j]).astype(np.int64)
+        few, surely = ones[:, :LANES].sum(axis=1), ones[:, LANES:].sum(axis=1)
+        ok = (surely * (100 + percent) <= (n[i] + n[j]) * (100 - percent)) & (few <= limit)
+        i, j, few = i[ok], j[ok], few[ok]
+        ok = (grid["_bands"][i] == grid["_bands"][j]).argmax(axis=1) == column["band"][i]
+        out.append(np.stack([i[ok], j[ok], few[ok]]))
+    i, j, few = np.concatenate(out, axis=1)
+    order = np.argsort(few, kind="stable")
+    return i[order], j[order], few[order]
+
+
+GROUP = ["key", "i", "j"]
+PLACED = "key long, i int, j int, left boolean, minor boolean, band int, node long, comp long, _n long, _bands array<long>, _sketch array<long>"
+
+
+def settled(at: DataFrame, texts: DataFrame, n: int, percent: int, limit: int) -> DataFrame:
+    """Links (a, b) that join all components of each bucket whose members are similar.  at: (band, key, node, comp, _n, _bands,
+    _sketch) of buckets with several components."""
+    top = at.groupBy("key", "comp").agg(F.count("*").alias("m"), F.sum("_n").alias("w")).groupBy("key")
+    top = top.agg(F.max_by("comp", F.struct("m", "comp")).alias("top"), F.sum("m").alias("m"), F.sum("w").alias("w"), F.max("m").alias("tm"), F.max_by("w", F.struct("m", "comp")).alias("tw"))
+    parts = lambda m, w: F.greatest(F.lit(1), F.ceil(F.col(m) / BLOCK), F.ceil(F.col(w) / HEAVY)).cast("int")
+    top = materialize(top.withColumns({"m1": F.col("m") - F.col("tm"), "w1": F.col("w") - F.col("tw")}).select("key", "top", parts("m", "w").alias("all"), parts("m1", "w1").alias("few")), "tops")
+    at = at.join(top, "key").withColumn("minor", F.col("comp") != F.col("top"))
+    spot = F.xxhash64(F.lit(3), "node")
+    rest = ["minor", "band", "node", "comp", "_n", "_bands", "_sketch"]
+    left = at.where("minor").select("key", F.pmod(spot, "few").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("all") - 1)).alias("j"), F.lit(True).alias("left"), *rest)
+    right = at.select("key", F.explode(F.sequence(F.lit(0), F.col("few") - 1)).alias("i"), F.pmod(spot, "all").cast("int").alias("j"), F.lit(False).alias("left"), *rest)
+    both = left.unionByName(right)
+
+    def some(group: pa.Table) -> pa.Table:
+        i, j, _ = candidates(group, percent, limit)
+        return group.take(pa.array(np.unique(np.concatenate([i, j]))))
+
+    some_left = materialize(both.groupBy(*GROUP).applyInArrow(some, PLACED), "candidates")
+
+    def joined(group: pa.Table) -> pa.Table:
+        i, j, _ = candidates(group, percent, limit)
+        node, comp = group.column("node").to_numpy(), group.column("comp").to_numpy()
+        sets = [shingles(words, n) for chunk in group.column("_t").chunks for words in word_lists(chunk)]
+        up = {int(c): int(c) for c in comp}
+
+        def root(c: int) -> int:
+            while up[c] != c:
+                up[c] = c = up[up[c]]
+            return c
+
+        links = []
+        for x, y in zip(i.tolist(), j.tolist(), strict=True):
+            one, two = root(int(comp[x])), root(int(comp[y]))
+            if one != two and 100 * (both := len(np.intersect1d(sets[x], sets[y], assume_unique=True))) >= percent * (len(sets[x]) + len(sets[y]) - both):
+                up[one] = two
+                links.append((int(node[x]), int(node[y])))
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+    return materialize(some_left.join(texts, "node").groupBy(*GROUP).applyInArrow(joined, "a long, b long"), "links")
+
+
 def with_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs``."""
     out = placed(docs, text, doc_id, n, percent)
@@ -201,20 +280,26 @@ def placed(docs: DataFrame, text: str, doc_id: str, n: int, percent: int) -> Dat
     links = links.unionByName(more)
     label = components(links)
 
-    at = members.join(label, "node", "left").select("band", "key", "node", "size", F.coalesce("comp", "node").alias("comp"))
-    at = materialize(at, "members")
-    mixed = materialize(at.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key"), "mixed")
-    at = at.join(mixed, "key").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    at = materialize(at.join(sketch.join(classes.select("node", "_bands"), "node"), "node"), "blocks")
-    left = at.select("key", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"), "band", *(F.col(c).alias(f"a{c}") for c in ("node", "comp", "_bands", *sketch.columns[1:])))
-    right = at.select("key", F.col("block").alias("j"), F.explode(F.sequence(F.lit(0), "block")).alias("i"), *(F.col(c).alias(f"b{c}") for c in ("node", "comp", "_bands", *sketch.columns[1:])))
-    # a pair leaves the join in the first band that it shares
-    here = F.array_position(F.zip_with("a_bands", "b_bands", lambda x, y: x == y), True) == F.col("band") + 1
-    met = left.join(right, (left.key == right.key) & (left.i == right.i) & (left.j == right.j) & (F.col("acomp") != F.col("bcomp")) & ((left.i < right.j) | (F.col("anode") < F.col("bnode"))) & near_size & alike() & here)
-    met = met.select(F.least("anode", "bnode").alias("a"), F.greatest("anode", "bnode").alias("b")).distinct()
-    tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    last = confirmed(met.join(tried, ["a", "b"], "left_anti"), texts, n, percent)
-    label = components(links.unionByName(last))
+    def mixed(some: DataFrame, label: DataFrame) -> DataFrame:
+        """Members of the buckets that have several components, with these."""
+        at = materialize(some.join(label, "node", "left").select("band", "key", "node", F.coalesce("comp", "node").alias("comp")), "members")
+        return at.join(at.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key"), "key")
+
+    large = members.where(F.col("size") > LARGE)
+    for k in range(0 if buckets.where(F.col("size") > LARGE).isEmpty() else ROUNDS):
+        at = materialize(mixed(large, label).select("key", "node", "comp"), "large")
+        lead = at.groupBy("key", F.pmod(F.xxhash64(F.lit(k), "node"), F.lit(LEADERS)).alias("slice")).agg(F.min_by(F.struct("node", "comp"), F.xxhash64(F.lit(-1 - k), "node")).alias("lead"))
+        tried = at.join(lead, "key").where("comp <> lead.comp").select(F.col("node").alias("anode"), F.col("lead.node").alias("bnode")).distinct()
+        tried = tried.join(side("a"), "anode").join(side("b"), "bnode").where(near_size & alike())
+        tried = tried.groupBy(F.col("anode").alias("a")).agg(F.min_by(F.col("bnode"), F.struct(ones(0, LANES), "bnode")).alias("b"))
+        new = confirmed(tried, texts, n, percent)
+        if new.isEmpty():
+            break
+        links = links.unionByName(new)
+        label = components(links)
+
+    left = materialize(mixed(members.where("size > 2"), label).join(classes.select("node", "_n", "_bands", "_sketch"), "node"), "blocks")
+    label = components(links.unionByName(settled(left, texts, n, percent, limit)))
 
     named = classes.join(label, "node", "left").select("_s1", "_s2", "_doc", F.coalesce("comp", "node").alias("comp"))
     least = named.groupBy("comp").agg(F.min(F.struct(F.col("_doc").isNull().alias("none"), F.col("_doc").alias("doc"), "_s1", "_s2")).alias("_least"))
