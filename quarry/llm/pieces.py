@@ -1,9 +1,11 @@
 """SentencePiece merges with seeded dropout, and lossless decoding.
 
 A text is cut into words where a space mark follows another character (no piece of
-the vocabulary may reach across; this is checked).  The words of a block are
-encoded together: each round takes every unfinished word's best candidate from its
-agenda, the one with the highest score, leftmost first, and merges it.  A candidate
+the vocabulary may reach across; this is checked).  The words of a block that have
+as many characters are rows of one table: each round takes every row's best candidate,
+the one with the highest score, leftmost first, and merges it.  Words of more than 48
+characters have an agenda of their own, so that texts without spaces take n log n
+steps.  A candidate
 whose keyed hash falls under the dropout rate is skipped; it is identified by the
 seed, the whole hash of the text's key, the word, the byte where it begins in the
 text, and its place and length in the word, so every occurrence draws on its own and
@@ -23,6 +25,7 @@ in blocks of words, one block at a time; other columns are carried unchanged.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import os
 from dataclasses import dataclass
 
@@ -42,6 +45,30 @@ SLOTS = 21
 LONG = 1 << 22
 #: Occurrences whose candidates are drawn at once, for bounded memory.
 DRAWN = 1 << 16
+#: Characters of a word beyond which it has an agenda of its own; words that are merged together.
+LONGEST, ROWS = 48, 1 << 15
+
+
+def spots_of(a: np.ndarray, b: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The name of a candidate in its word: where its two symbols begin, and where it ends."""
+    return (a.astype(U64) << U64(32)) ^ (b.astype(U64) << U64(16)) ^ end.astype(U64)
+
+
+_ALL = 2**64 - 1
+
+
+def hashed(a: int, b: int) -> int:
+    """mix(pair(a, b)) of single numbers."""
+    b_ = b & _ALL
+    x = ((a ^ b_ >> 31) * 0x9E3779B97F4A7C15 + (b_ ^ a << 17 & _ALL) * 0xD6E8FEB86659FD93) & _ALL
+    x ^= x >> 32
+    x = x * 0xBF58476D1CE4E5B9 & _ALL
+    x ^= x >> 29
+    x ^= x >> 33
+    x = x * 0xFF51AFD7ED558CCD & _ALL
+    x ^= x >> 33
+    x = x * 0xC4CEB9FE1A85EC53 & _ALL
+    return x ^ x >> 33
 
 
 @dataclass(frozen=True)
@@ -100,6 +127,7 @@ class Merges:
                 if a is not None and b is not None:
                     keys.append(a << 20 | b)
                     made.append(rank[i] << 20 | i)
+        self.known = dict(zip(keys, made, strict=True))
         keys_, made_ = np.array(keys, np.int64), np.array(made, np.int64)
         slot = self.slot(keys_)
         _, first = np.unique(slot, return_index=True)
@@ -132,72 +160,119 @@ class Merges:
         return out
 
     def words(self, symbols: np.ndarray, first: np.ndarray, own: np.ndarray, rate: float, met: list[tuple[np.ndarray, np.ndarray]] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Merge all words together.  first: bounds of the words among the symbols; own: each word's key;
+        """Merge all words.  first: bounds of the words among the symbols; own: each word's key;
         met: gets (word, name in the word) of the candidates.
         Gives the symbols that are left, their first characters, and their bounds."""
-        n = len(first) - 1
         size = np.diff(first)
+        symbol, alive = symbols.astype(np.int64), np.ones(len(symbols), bool)
+        order = np.argsort(np.minimum(size, LONGEST + 1), kind="stable")
+        cut = np.searchsorted(size[order], np.arange(2, LONGEST + 2))
+        for width, lo, hi in zip(range(2, LONGEST + 1), cut[:-1], cut[1:], strict=True):
+            for k in range(lo, hi, ROWS):
+                self.merge_rows(symbol, alive, first, order[k : min(hi, k + ROWS)], width, own, rate, met)
+        for w in order[cut[-1] :]:
+            self.merge_one(symbol, alive, int(first[w]), int(size[w]), int(w), int(own[w]), rate, met)
         place = np.arange(len(symbols)) - np.repeat(first[:-1], size)
-        done_symbol, done_place, done_word = [], [], []
-        word = np.repeat(np.arange(n), size)
-        length = np.repeat(size, size)
+        return symbol[alive], place[alive], np.concatenate([[0], np.cumsum(alive)])[first]
+
+    def merge_rows(self, symbol: np.ndarray, alive: np.ndarray, first: np.ndarray, which: np.ndarray, width: int, own: np.ndarray, rate: float, met: list | None) -> None:
+        """Merge words of one width, a row for each: every round takes each row's best candidate."""
         limit = U64(min(int(rate * 2**64), 2**64 - 1))
-        sym = symbols.astype(np.int64)
-        value = None
-        while len(sym):
-            last = np.ones(len(sym), bool)
-            last[:-1] = word[1:] != word[:-1]
-            if value is None:
-                value = np.full(len(sym), NONE)
-                fresh = np.flatnonzero(~last)
-            if len(fresh):
-                value[fresh] = self.candidate(sym[fresh], sym[fresh + 1])
-                if rate or met is not None:
-                    real = fresh[value[fresh] != NONE]
-                    nxt = np.where(real + 2 < len(sym), place[np.minimum(real + 2, len(sym) - 1)], 0)
-                    end = np.where(last[real + 1], length[real], nxt)
-                    spot = (place[real].astype(U64) << U64(32)) ^ (place[real + 1].astype(U64) << U64(16)) ^ end.astype(U64)
-                    if met is not None:
-                        met.append((word[real], spot))
-                    if rate:
-                        value[real[mix(pair(own[word[real]], spot)) < limit]] = NONE
-            begin = np.flatnonzero(np.concatenate([[True], last[:-1]]))
-            low = np.minimum.reduceat(value, begin)
-            ready = low == NONE
-            width = np.diff(np.concatenate([begin, [len(sym)]]))
-            if ready.any():
-                out = np.repeat(ready, width)
-                done_symbol.append(sym[out])
-                done_place.append(place[out])
-                done_word.append(word[out])
-                keep = ~out
-                sym, place, word, length, value, low, width = sym[keep], place[keep], word[keep], length[keep], value[keep], low[~ready], width[~ready]
-                if not len(sym):
-                    break
-                begin = np.concatenate([[0], np.cumsum(width)[:-1]])
-            hit = np.flatnonzero(value == np.repeat(low, width))
-            one = np.ones(len(hit), bool)
-            one[1:] = word[hit[1:]] != word[hit[:-1]]
-            hit = hit[one]
-            sym[hit] = value[hit] & ((1 << 20) - 1)
-            keep = np.ones(len(sym), bool)
-            keep[hit + 1] = False
-            shift = np.cumsum(~keep)
-            value[hit] = NONE
+        at = first[which][:, None] + np.arange(width)
+        sym = symbol[at].ravel()
+        left = np.ones(len(sym), bool)
+        nxt = np.tile(np.arange(1, width + 1), len(which))
+        prv = np.tile(np.arange(-1, width - 1), len(which))
+        key = own[which]
+
+        def drawn(row: np.ndarray, a: np.ndarray) -> np.ndarray:
+            """Values of the candidates that begin at places ``a`` of the rows."""
+            base = row * width
+            b = nxt[base + a]
+            out = self.candidate(sym[base + a], sym[base + b])
+            if rate or met is not None:
+                real = np.flatnonzero(out != NONE)
+                a, b, row, base = a[real], b[real], row[real], base[real]
+                spot = spots_of(a, b, nxt[base + b])
+                if met is not None:
+                    met.append((which[row], spot))
+                if rate:
+                    out[real[mix(pair(key[row], spot)) < limit]] = NONE
+            return out
+
+        value = np.full((len(which), width), NONE)
+        rows = np.arange(len(which))
+        value[:, :-1] = drawn(np.repeat(rows, width - 1), np.tile(np.arange(width - 1), len(which))).reshape(len(which), -1)
+        live = rows  # the row of each line of ``value``
+        while True:
+            a = value.argmin(axis=1)
+            best = value[np.arange(len(live)), a]
+            go = np.flatnonzero(best != NONE)
+            if not len(go):
+                break
+            if len(go) < 0.7 * len(live):
+                value, live, a, best = value[go], live[go], a[go], best[go]
+                go = np.arange(len(live))
+            else:
+                a, best = a[go], best[go]
+            row = live[go]
+            base = row * width
+            b = nxt[base + a]
+            end = nxt[base + b]
+            sym[base + a] = best & ((1 << 20) - 1)
+            left[base + b] = False
+            nxt[base + a] = end
+            value[go, a] = value[go, b] = NONE
             # the merged symbol's two neighbours make new candidates
-            inner = np.ones(len(sym), bool)
-            inner[begin] = False
-            before = hit[inner[hit]] - 1
-            value[before] = NONE
-            sym, place, word, length, value = sym[keep], place[keep], word[keep], length[keep], value[keep]
-            moved = hit - (shift[hit])
-            at = np.unique(np.concatenate([moved, before - shift[before]]))
-            ends = np.ones(len(sym), bool)
-            ends[:-1] = word[1:] != word[:-1]
-            fresh = at[~ends[at]]
-        symbol, where, which = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (done_symbol, done_place, done_word))
-        order = np.argsort(which, kind="stable")
-        return symbol[order], where[order], np.searchsorted(which[order], np.arange(n + 1))
+            some = np.flatnonzero(end < width)
+            prv[base[some] + end[some]] = a[some]
+            before = prv[base + a]
+            more = np.flatnonzero(before >= 0)
+            value[go[more], before[more]] = NONE
+            line, place = np.concatenate([go[some], go[more]]), np.concatenate([a[some], before[more]])
+            value[line, place] = drawn(live[line], place)
+        symbol[at] = sym.reshape(at.shape)
+        alive[at] = left.reshape(at.shape)
+
+    def merge_one(self, symbol: np.ndarray, alive: np.ndarray, first: int, size: int, which: int, own: int, rate: float, met: list | None) -> None:
+        """Merge a long word by an agenda of its candidates, in n log n steps."""
+        limit = min(int(rate * 2**64), 2**64 - 1) if rate else 0
+        sym = symbol[first : first + size].tolist()
+        found = self.candidate(symbol[first : first + size - 1], symbol[first + 1 : first + size])
+        real = np.flatnonzero(found != NONE)
+        spot = spots_of(real, real + 1, real + 2)
+        spots = [spot]
+        if rate:
+            real = real[mix(pair(np.full(len(spot), own, U64), spot)) >= U64(limit)]
+        agenda = list(zip(found[real].tolist(), real.tolist(), (real + 1).tolist(), (real + 2).tolist(), strict=True))
+        heapq.heapify(agenda)
+        nxt, prv = list(range(1, size + 1)), list(range(-1, size - 1))
+        left, more, known = [True] * size, [], self.known
+
+        def offer(a: int) -> None:
+            b = nxt[a]
+            value = known.get(sym[a] << 20 | sym[b]) if sym[a] >= 0 and sym[b] >= 0 else None
+            if value is not None:
+                name = a << 32 ^ b << 16 ^ nxt[b]
+                if met is not None:
+                    more.append(name)
+                if not rate or hashed(own, name) >= limit:
+                    heapq.heappush(agenda, (value, a, b, nxt[b]))
+
+        while agenda:
+            value, a, b, end = heapq.heappop(agenda)
+            if not left[a] or nxt[a] != b or nxt[b] != end:  # not the two symbols that were offered
+                continue
+            sym[a], left[b], nxt[a] = value & ((1 << 20) - 1), False, end
+            if end < size:
+                prv[end] = a
+                offer(a)
+            if prv[a] >= 0:
+                offer(prv[a])
+        if met is not None:
+            spots.append(np.array(more, U64))
+            met.append((np.full(sum(map(len, spots)), which), np.concatenate(spots)))
+        symbol[first : first + size], alive[first : first + size] = sym, left
 
     def touched(self, own: np.ndarray, back: np.ndarray, word: np.ndarray, spot: np.ndarray, rate: float) -> np.ndarray:
         """The occurrences (own: their keys, back: their words) that skip one of their word's candidates at least."""
@@ -216,13 +291,11 @@ class Merges:
         before: bytes of the text that stand before the block."""
         n = len(at) - 1
         # each text with a space before it and without the one after it
-        inside = np.ones(len(data) + 1, np.uint8)
         body = np.concatenate([[np.uint8(32)], data])[:-1]
         lead = np.zeros(len(body), bool)
         lead[at[:-1]] = True
         empty = np.zeros(n, bool)
         empty[np.diff(at) == 1] = True
-        del inside
         head = (body & 0xC0) != 0x80
         begin = np.flatnonzero(head)
         code = codes(body, begin)
@@ -236,8 +309,8 @@ class Merges:
         symbol = self.char[np.where(space, MARK, np.where(code == MARK, 0, code))]
         word = np.flatnonzero(cut)
         bounds = np.concatenate([word, [len(begin)]])
-        byte_end = np.concatenate([begin[word[1:]], [len(body)]]) if len(word) else np.zeros(0, np.int64)
         text_of = np.searchsorted(at, begin[word], side="right") - 1
+        byte_end = np.minimum(np.concatenate([begin[word[1:]], [len(body)]]), at[text_of + 1]) if len(word) else np.zeros(0, np.int64)
         spelled = span_hashes(body, begin[word], byte_end) if len(word) else np.zeros(0, U64)
         distinct, pick, back = np.unique(spelled, return_index=True, return_inverse=True)
         size = np.diff(bounds)[pick]
