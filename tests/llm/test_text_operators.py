@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 R = random.Random(7)
@@ -173,6 +174,33 @@ def test_minhash_groups_without_a_centre(spark):
     assert {r.doc_id: r.component_id for r in found} == {i: min(comp[i]) for i in comp}
 
 
+def test_minhash_large_buckets(spark, monkeypatch):
+    """Groups whose members are near the threshold to each other, in buckets of many blocks: rounds and blocks lose no link,
+    and give fewer links than a pair of blocks has members."""
+    import quarry.llm.minhash as m
+
+    monkeypatch.setattr(m, "BLOCK", 8)
+    monkeypatch.setattr(m, "LARGE", 16)
+    monkeypatch.setattr(m, "HEAVY", 3000)
+    found_links = []
+    settled = m.settled
+    monkeypatch.setattr(m, "settled", lambda *a: found_links.append(settled(*a)) or found_links[-1])
+    texts = [near(BASE, R.randrange(2, 5)) for _ in range(150)] + [near(PASSAGE + " " + BASE, R.randrange(3, 6)) for _ in range(60)] + [BASE + " " + prose(150) for _ in range(40)] + [None, "", "one"]
+    sets = [sets_of(t, 5) for t in texts]
+    comp = {i: {i} for i in range(len(texts))}
+    for i in range(len(texts)):
+        for j in range(i):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]) and comp[i] is not comp[j]:
+                both = comp[i] | comp[j]
+                for k in both:
+                    comp[k] = both
+    for rounds in (0, 2):
+        monkeypatch.setattr(m, "ROUNDS", rounds)
+        found = m.with_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+        assert {r.doc_id: r.component_id for r in found} == {i: min(comp[i]) for i in comp}
+    assert found_links[0].count() > found_links[1].count() and found_links[0].distinct().count() < 10 * len(texts)
+
+
 def test_language(spark, docs):
     from quarry.llm.language import Model, held_out, identified, trained
 
@@ -241,15 +269,18 @@ def test_decontamination(spark, docs, texts):
     assert len(none) == docs.count() and not any(r._bad or r._items for r in none)
 
 
-def test_decontamination_in_blocks(spark, docs, monkeypatch):
+def test_decontamination_with_a_full_filter(spark, docs, monkeypatch):
+    """A filter whose bits are all set loses nothing and adds nothing."""
     import quarry.llm.decontaminate as d
 
-    items = [(i, " ".join(BASE.split(" ")[i : i + 12])) for i in range(0, 120, 10)]
+    items = [(i, " ".join(BASE.split(" ")[i : i + 12])) for i in range(0, 120, 10)] + [(900, "one"), (901, "two words")]
     bench = spark.createDataFrame(items, "item_id long, text string")
+    small = docs.where("text IS NULL OR length(text) < 3000")
     key = lambda df: sorted((str(r.doc_id), r._hit, r._items) for r in df.collect())
-    one = key(d.contaminated(docs, bench))
-    monkeypatch.setattr(d, "INDEX_BYTES", 100)
-    assert key(d.contaminated(docs, bench)) == one
+    one = key(d.contaminated(small, bench))
+    assert any(items for _, _, items in one)
+    monkeypatch.setattr(d, "bloom", lambda index: np.full(1, 2**64 - 1, np.uint64))
+    assert key(d.contaminated(small, bench)) == one
 
 
 def test_repetition(docs):
@@ -284,16 +315,37 @@ def test_repetition(docs):
             assert (row.n_words, row.word_chars, row.n_symbols, row.n_dup_lines, row.n_repeat_words, row.base_failed, row.kept) == (len(words), chars, len(re.findall(r"[#*$%&|<>]", text)), dup, len(repeated), base, not base and not over)
 
 
-def merges(vocabulary, text, rate=0.0):
-    """Plain agenda: the best pair first, leftmost first."""
-    own = {p: (s, i) for i, (p, s, k) in enumerate(zip(vocabulary.pieces, vocabulary.scores, vocabulary.kinds, strict=True)) if not k}
-    parts = list(("▁" + text.replace(" ", "▁")) if text else "")
+def agenda(own, parts, skipped=lambda a, b, end: False):
+    """The best pair first, leftmost first."""
     while True:
-        best = max(((own[a + b][0], -i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in own), default=None)
+        at = [sum(map(len, parts[:i])) for i in range(len(parts) + 1)]
+        best = max(((own[a + b][0], -i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in own and not skipped(*at[i : i + 3])), default=None)
         if best is None:
-            break
+            return parts
         i = -best[1]
         parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+
+def merges(vocabulary, text, rate=0.0, seed=0, row=0):
+    """Piece after piece by the definition; with a rate, each candidate of each occurrence of a word is drawn by its keyed hash."""
+    import numpy as np
+
+    from quarry.llm.common import U64, mix, pair, span_hashes
+
+    own = {p: (s, i) for i, (p, s, k) in enumerate(zip(vocabulary.pieces, vocabulary.scores, vocabulary.kinds, strict=True)) if not k}
+    marked = (" " + text) if text else ""
+    salt, parts = mix(np.array([row], np.int64).astype(U64) + mix(np.array([seed], U64))), []
+    for word in re.finditer(" *[^ ]+| +$", marked) if rate else [re.match("(?s).*", marked)]:
+        raw = np.frombuffer(word[0].encode(), np.uint8)
+        name = span_hashes(raw, np.array([0]), np.array([len(raw)])) if rate else None
+        key = pair(pair(name, salt), np.array([len(marked[: word.start()].encode())], U64)) if rate else None
+
+        def skipped(a, b, end, key=key):
+            spot = np.array([a << 32 ^ b << 16 ^ end], U64)
+            return bool(rate) and int(mix(pair(key, spot))[0]) < int(rate * 2**64)
+
+        parts += agenda(own, list(word[0].replace("▁", "\0").replace(" ", "▁")), skipped)
+    parts = ["▁" if p == "\0" else p for p in parts] if "▁" not in text else parts
     ids = []
     for p in parts:
         ids += [own[p][1]] if p in own else [vocabulary.pieces.index(f"<0x{b:02X}>") for b in p.encode()]
@@ -323,6 +375,36 @@ def test_pieces(docs, texts):
     assert sum(len(r._ids) for r in varied) > sum(len(r._ids) for r in encoded(docs, v, rate=0.0).collect())
 
 
+def test_dropout_follows_the_agenda(spark, monkeypatch):
+    """Against the plain agenda with the same draws, in tables of words and with an agenda for each word."""
+    from quarry.llm import pieces
+
+    v = pieces.Vocabulary.load()
+    texts = ["the wonderful  unbelievable antidisestablishmentarianism of Zürich ", "日本語テキスト und übermäßige Übertreibungen", "aaaaaaaaaaaaaaaaaaaaaa banana", "", " ", "x", "internationalization " * 8, "nospace" * 12, "  two  spaces  "]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    rows = {r.doc_id: r.k for r in docs.selectExpr("doc_id", "xxhash64(7, doc_id) AS k").collect()}
+    for longest in (48, 3):
+        monkeypatch.setattr(pieces, "LONGEST", longest)
+        found = {r.doc_id: r._ids for r in pieces.encoded(docs, v, rate=0.3, seed=7).collect()}
+        for i, t in enumerate(texts):
+            assert found[i] == merges(v, t, 0.3, 7, rows[i]), (longest, t)
+
+
+def test_long_words_take_few_steps():
+    import time
+
+    import numpy as np
+
+    from quarry.llm import pieces
+
+    m = pieces.Merges.of(pieces.Vocabulary.load())
+    for raw in (b"a" * 100_000, bytes(R.choice(b"abcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(100_000)), "日本語の文章".encode() * 6000):
+        data = np.frombuffer(raw + b" ", np.uint8)
+        began = time.process_time()
+        ids, bounds = m.block(data, np.array([0, len(data)]), np.array([3]), 0.1, 5)
+        assert time.process_time() - began < 20 and m.decoded(ids, bounds)[0].tobytes() == raw
+
+
 def test_long_texts_are_encoded_in_pieces(docs, texts, monkeypatch):
     import numpy as np
 
