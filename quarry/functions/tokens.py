@@ -5,7 +5,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+#: An identifier, for counts that need neither place nor context.
+IDENTIFIER = "[A-Za-z_][A-Za-z0-9_]*"
 WORD = np.zeros(256, bool)
 WORD[48:58] = WORD[65:91] = WORD[97:123] = True
 WORD[95] = True
@@ -60,8 +63,32 @@ def occurrences(data: np.ndarray) -> tuple[np.ndarray, ...]:
     return start, end, row, start - begin, context
 
 
-def with_occurrences(texts: DataFrame, key: str = "file_id", text: str = "text") -> DataFrame:
-    """(file_id, name, start_row, start_col, end_row, end_col, context) of all identifiers."""
+def named(data: np.ndarray, start: np.ndarray, end: np.ndarray, names: list[bytes]) -> np.ndarray:
+    """Which of the identifiers have one of the names."""
+    out = []
+    for name in names:
+        some = np.flatnonzero(end - start == len(name))
+        for k, c in enumerate(name):
+            some = some[data[start[some] + k] == c]
+        out.append(some)
+    return np.sort(np.concatenate(out))
+
+
+def name_counts(texts: DataFrame, key: str = "file_id", text: str = "text") -> DataFrame:
+    """(file_id, name, n): how often each name stands in each text, without leaving the JVM."""
+    each = texts.select(key, F.explode(F.regexp_extract_all(text, F.lit(IDENTIFIER), 0)).alias("name"))
+    return each.groupBy("name", key).agg(F.count("*").alias("n"))
+
+
+def with_occurrences(texts: DataFrame, key: str = "file_id", text: str = "text", names: list[str] | None = None) -> DataFrame:
+    """(file_id, name, start_row, start_col, end_row, end_col, context) of all identifiers, or of those with the names:
+    then texts without any of them stay below the scanner, and other identifiers inside it."""
+    wanted = [n.encode() for n in dict.fromkeys(names)] if names is not None else None
+    if names is not None:
+        holds = F.lit(False)
+        for name in names:
+            holds = holds | F.col(text).contains(name)
+        texts = texts.where(holds)
 
     def run(batches):
         for batch in batches:
@@ -69,6 +96,9 @@ def with_occurrences(texts: DataFrame, key: str = "file_id", text: str = "text")
             rows, names, parts, size = [], [], [], 0
             for i, data in enumerate(text_bytes(batch.column(1))):
                 start, end, row, col, context = occurrences(data)
+                if wanted is not None:
+                    some = named(data, start, end, wanted)
+                    start, end, row, col, context = start[some], end[some], row[some], col[some], context[some]
                 raw = data.tobytes()
                 names += [raw[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)]
                 rows.append((np.full(len(start), keys[i]), row, col, row, col + end - start, context))

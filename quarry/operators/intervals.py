@@ -27,20 +27,29 @@ def innermost() -> list[Column]:
     return [F.col("end_row") - F.col("start_row"), F.desc("start_row"), F.desc("start_col"), F.asc("end_row"), F.asc("end_col"), F.asc("symbol_id")]
 
 
+#: Rows of a file that share a join key, so that a large file isn't one product of positions and symbols.
+STRIPE = 256
+
+
+def striped(symbols: DataFrame) -> DataFrame:
+    """A row for each stripe that a symbol reaches into."""
+    return symbols.withColumn("_stripe", F.explode(F.sequence(F.expr(f"start_row div {STRIPE}"), F.expr(f"end_row div {STRIPE}"))))
+
+
 def enclosing(positions: DataFrame, symbols: DataFrame, depth: int = 1) -> DataFrame:
     """positions (position_id, file_id, row[, col]) -> the ``depth`` innermost symbols, ``level`` 1 innermost."""
     col = F.col("col") if "col" in positions.columns else None
-    at = positions.join(symbols, "file_id").where(contains(F.col("row"), col))
+    at = positions.withColumn("_stripe", F.expr(f"row div {STRIPE}")).join(striped(symbols), ["file_id", "_stripe"]).where(contains(F.col("row"), col)).drop("_stripe")
     level = F.row_number().over(Window.partitionBy("position_id").orderBy(*innermost()))
     return at.withColumn("level", level.cast("long")).where(F.col("level") <= depth)
 
 
 def outside(positions: DataFrame, symbols: DataFrame) -> DataFrame:
     """Positions that no symbol encloses."""
-    s = symbols.select("file_id", "start_row", "start_col", "end_row", "end_col")
+    s = striped(symbols.select("file_id", "start_row", "start_col", "end_row", "end_col"))
     col = positions["col"] if "col" in positions.columns else None
-    inside = contains(positions["row"], col)
-    return positions.join(s, (positions.file_id == s.file_id) & inside, "left_anti")
+    at = positions.withColumn("_at", F.expr(f"row div {STRIPE}"))
+    return at.join(s, (at.file_id == s.file_id) & (at["_at"] == s["_stripe"]) & contains(positions["row"], col), "left_anti").drop("_at")
 
 
 def nested(symbols: DataFrame, containers: Column | None = None) -> DataFrame:
@@ -68,7 +77,8 @@ def nested(symbols: DataFrame, containers: Column | None = None) -> DataFrame:
 
 
 def nested_by_stack(symbols: DataFrame, containers: tuple[str, ...] | None = None, skip: tuple[str, ...] = ("import",)) -> DataFrame:
-    """The same in linear time with a stack for each file, over sorted partitions of whole files."""
+    """The same in linear time with a stack for each file, over sorted partitions of whole files: the symbols' places,
+    kinds and names with ``parent_id``, ``depth``, ``root_id`` and ``qualified``."""
     rows = symbols.select("file_id", "symbol_id", "kind", "name", "start_row", "start_col", "end_row", "end_col").repartition("file_id").sortWithinPartitions("file_id", "start_row", "start_col", F.desc("end_row"), F.desc("end_col"), "symbol_id")
 
     def run(batches):
@@ -87,9 +97,10 @@ def nested_by_stack(symbols: DataFrame, containers: tuple[str, ...] | None = Non
                 qualified.append(".".join([x[3] for x in stack] + [name]) if stack else None)
                 if kind not in skip:
                     stack.append((er, ec, i, name))
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(parent, pa.int64()), pa.array(depth, pa.int64()), pa.array(root, pa.int64()), pa.array(qualified, pa.string())], ["symbol_id", "parent_id", "depth", "root_id", "qualified"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(parent, pa.int64()), pa.array(depth, pa.int64()), pa.array(root, pa.int64()), pa.array(qualified, pa.string())], [*batch.schema.names, "parent_id", "depth", "root_id", "qualified"])
 
-    return rows.mapInArrow(run, "symbol_id long, parent_id long, depth long, root_id long, qualified string")
+    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInArrow(run, f"{kept}, parent_id long, depth long, root_id long, qualified string")
 
 
 def outline_roots(nested_symbols: DataFrame) -> DataFrame:

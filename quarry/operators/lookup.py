@@ -15,6 +15,11 @@ def distinct_in_order(values: list[str]) -> list[str]:
     return list(dict.fromkeys(values))
 
 
+def first_of_each(rows: DataFrame, value: str, place: str) -> DataFrame:
+    """Each value once, with the place where it stands first."""
+    return rows.groupBy(value).agg(F.min(place).alias("first"))
+
+
 def joined(rows: DataFrame, files: DataFrame, repos: DataFrame, names: list[str] | None = None, repo: str | None = None) -> DataFrame:
     """Symbols or references with their file and repository; predicates reach the scans."""
     if names is not None:
@@ -49,6 +54,15 @@ def fair_page(rows: DataFrame, limit: int, names: int, offset: int = 0, by: list
     return ranked(rows, by).where((F.col("rank") > offset) & (F.col("rank") <= offset + most))
 
 
+def lookahead(rows: DataFrame, by: list[str | Column], limit: int, offset: int = 0) -> DataFrame:
+    """A page of a stream with each row's ``position`` in it (0-based) and ``more``: is there a row after the page?  One
+    row beyond the page is taken, never the whole stream."""
+    some = rows.orderBy(*by).offset(offset).limit(limit + 1)
+    # at most limit + 1 rows come here
+    some = some.withColumn("position", F.row_number().over(Window.orderBy(*by)).cast("long") - 1 + offset)
+    return some.withColumn("more", F.max("position").over(Window.partitionBy()) >= offset + limit).where(F.col("position") < offset + limit)
+
+
 def truncated_names(rows: DataFrame, limit: int, names: int, offset: int = 0) -> DataFrame:
     """Names with more rows than their page shows, and how many there are."""
     most = quota(limit, names)

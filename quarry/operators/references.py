@@ -25,6 +25,14 @@ def counts_by_name(refs: DataFrame) -> DataFrame:
     return refs.groupBy("name").agg(F.count("*").alias("n"))
 
 
+def tagged(refs: DataFrame, names: DataFrame) -> DataFrame:
+    """References that stand where a definition spells its name (file_id, start_row, start_col, end_row, end_col) are declarations."""
+    span = ["file_id", "start_row", "start_col", "end_row", "end_col"]
+    own = names.select(*span).distinct().withColumn("_own", F.lit(True))
+    out = refs.join(own, span, "left")
+    return out.withColumn("context", F.when(F.col("_own"), "declaration").otherwise(F.col("context"))).drop("_own")
+
+
 def page(refs: DataFrame, limit: int, offset: int = 0) -> DataFrame:
     """One window over all names, in the stable order."""
     return refs.orderBy(*ORDER, "end_row", "end_col").offset(offset).limit(limit)

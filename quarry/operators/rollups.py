@@ -85,3 +85,9 @@ def fingerprint(rows: DataFrame, columns: list[str]) -> DataFrame:
     h = F.sha2(text, 256)
     part = lambda i: F.conv(F.substring(h, i, 8), 16, 10).cast("long")
     return rows.agg(F.count("*").alias("rows"), *(F.coalesce(F.sum(part(1 + 8 * k)), zero()).alias(f"h{k}") for k in range(4)))
+
+
+def adoption(calls: DataFrame) -> DataFrame:
+    """calls (tool, used): the whole percentage of tools that were used at least once."""
+    own = calls.groupBy("tool").agg(F.bool_or("used").alias("used"))
+    return own.agg(F.expr("count_if(used) * 100 div count(*)").alias("percent"))

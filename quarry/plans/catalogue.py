@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..functions.tokens import IDENTIFIER, name_counts
 from ..operators import intervals, lookup, maintain, overlay, references, rollups
 from . import derived as D
 
@@ -128,11 +129,11 @@ def verified_sources(spark, d):
     return lookup.verified(D.files(spark, d), live).select("file_id", "stale")
 
 
-@register("manifest_depth", "SELECT path, len(string_split(path, '/')) - 1 AS depth FROM files WHERE len(string_split(path, '/')) - 1 <= 3 AND regexp_matches(path, '/[0-9]*7\\.txt$')", "files")
+@register("manifest_depth", "SELECT path, len(string_split(path, '/')) - 1 AS depth FROM files WHERE len(string_split(path, '/')) - 1 <= 3", "files")
 def manifest_depth(spark, d):
     from ..sources.manifests import within_depth
 
-    return within_depth(D.files(spark, d), 3).where(F.col("path").rlike(r"/[0-9]*7\.txt$")).select("path", LONG("depth").alias("depth"))
+    return within_depth(D.files(spark, d), 3).select("path", LONG("depth").alias("depth"))
 
 
 # --- symbols -----------------------------------------------------------------------------------------------------
@@ -178,12 +179,13 @@ def kinds_top12(spark, d):
     return rollups.symbol_kinds(D.symbols(spark, d))
 
 
-POSITIONS = "pos AS (SELECT event_id AS position_id, user_id % 40 + 1 AS file_id, event_id % 60 AS row, event_id % 90 AS col FROM events WHERE event_id % 3 = 0)"
+#: Every row of every file, and two rows after its end.
+POSITIONS = "whole AS (SELECT file_id, end_row FROM symbols WHERE kind = 'conversation'), pos AS (SELECT file_id * 1048576 + row AS position_id, file_id, row, (file_id + row * 7) % 90 AS col FROM (SELECT file_id, unnest(generate_series(0, end_row + 2)) AS row FROM whole))"
 
 
 def positions(spark, d):
-    e = D.table(spark, d, "events").where("event_id % 3 = 0")
-    return e.select(F.col("event_id").alias("position_id"), (F.col("user_id") % 40 + 1).alias("file_id"), (F.col("event_id") % 60).alias("row"), (F.col("event_id") % 90).alias("col"))
+    rows = D.symbols(spark, d).where("kind = 'conversation'").select("file_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("end_row") + 2)).alias("row"))
+    return rows.select((F.col("file_id") * 1048576 + F.col("row")).alias("position_id"), "file_id", "row", ((F.col("file_id") + F.col("row") * 7) % 90).alias("col"))
 
 
 def enclosing_sql(inside: str, depth: int) -> str:
@@ -232,12 +234,12 @@ def outline_parent(spark, d):
 
 @register("outline_depth", NESTED + "SELECT symbol_id, kind, depth FROM nest WHERE depth <= 2", "symbols")
 def outline_depth(spark, d):
-    return intervals.nested(D.symbols(spark, d)).where("depth <= 2").select("symbol_id", "kind", "depth")
+    return intervals.nested_by_stack(D.symbols(spark, d)).where("depth <= 2").select("symbol_id", "kind", "depth")
 
 
 @register("outline_roots_page", NESTED + ", roots AS (SELECT file_id, symbol_id AS root_id, row_number() OVER (PARTITION BY file_id ORDER BY start_row, start_col, end_row DESC, end_col DESC, symbol_id) - 1 AS root FROM nest WHERE depth = 1) SELECT symbol_id, root FROM nest JOIN roots USING (file_id, root_id) WHERE root BETWEEN 1 AND 3", "symbols")
 def outline_roots_page(spark, d):
-    return intervals.outline_roots(intervals.nested(D.symbols(spark, d))).where("root BETWEEN 1 AND 3").select("symbol_id", "root")
+    return intervals.outline_roots(intervals.nested_by_stack(D.symbols(spark, d))).where("root BETWEEN 1 AND 3").select("symbol_id", "root")
 
 
 @register("qualified_names", NESTED + "SELECT symbol_id, qualified FROM nest", "symbols")
@@ -245,13 +247,13 @@ def qualified_names(spark, d):
     return intervals.nested_by_stack(D.symbols(spark, d)).select("symbol_id", "qualified")
 
 
-HEADS = "heads AS (SELECT file_id, unnest(generate_series(0, len(lines) - 1)) AS row, len(lines) - 1 AS last_row FROM lines WHERE len(lines) > 0), lev AS (SELECT *, (row * 7 + file_id) % 3 + 1 AS level FROM heads WHERE (row + file_id) % 2 = 0)"
+HEADS = "heads AS (SELECT file_id, unnest(generate_series(0, len(lines) - 1)) AS row, len(lines) - 1 AS last_row FROM lines WHERE len(lines) > 0), lev AS (SELECT *, (row * 7 + file_id) % 3 + 1 AS level FROM heads)"
 
 
 @register("nearest_boundary", f", {HEADS} SELECT a.file_id, a.row, a.level, coalesce((SELECT min(b.row) - 1 FROM lev b WHERE b.file_id = a.file_id AND b.row > a.row AND b.level <= a.level), a.last_row) AS end_row FROM lev a", "lines")
 def nearest_boundary(spark, d):
     own = D.lines(spark, d).where(F.size("lines") > 0)
-    rows = own.select("file_id", F.explode(F.sequence(F.lit(0), F.size("lines") - 1)).alias("r")).select("file_id", LONG("r").alias("row")).where("(row + file_id) % 2 = 0")
+    rows = own.select("file_id", F.explode(F.sequence(F.lit(0), F.size("lines") - 1)).alias("r")).select("file_id", LONG("r").alias("row"))
     heads = rows.withColumn("level", (F.col("row") * 7 + F.col("file_id")) % 3 + 1)
     return intervals.nearest_boundary(heads, own.select("file_id", (F.size("lines") - 1).cast("long").alias("last_row"))).select("file_id", "row", "level", "end_row")
 
@@ -269,7 +271,7 @@ def relocate_nearest(spark, d):
 
 
 def ref_rows_of(spark, d):
-    return lookup.joined(D.refs(spark, d), D.files(spark, d), D.repos(spark, d), NAMES)
+    return lookup.joined(D.refs(spark, d, NAMES), D.files(spark, d), D.repos(spark, d), NAMES)
 
 
 REFS_AT = f"refs JOIN files USING (file_id) JOIN repos USING (repo_id) WHERE refs.name IN ({quoted(NAMES)}) AND context <> 'declaration'"
@@ -294,7 +296,7 @@ def ref_counts_by_file(spark, d):
 
 @register("ref_counts_all_names", "SELECT name, count(*) AS n, count(DISTINCT file_id) AS files FROM refs GROUP BY name", "refs")
 def ref_counts_all_names(spark, d):
-    by_file = D.refs(spark, d).groupBy("name", "file_id").agg(F.count("*").alias("n"))
+    by_file = name_counts(D.texts(spark, d))
     return by_file.groupBy("name").agg(F.sum("n").alias("n"), F.count("*").alias("files"))
 
 
@@ -314,15 +316,15 @@ def ref_groups_page(spark, d):
     return references.grouped(page).select("repo", "path", "n", F.array_min(F.transform("refs", lambda x: x.start_row)).alias("first_row"))
 
 
-@register("ref_snippet_one", "SELECT file_id, start_row, start_col, trim(lines[start_row + 1], ' ') AS snippet FROM refs JOIN lines USING (file_id) WHERE name = 'thing'", "refs", "lines")
+@register("ref_snippet_one", "SELECT file_id, start_row, start_col, trim(lines[start_row + 1], ' ') AS snippet FROM refs JOIN lines USING (file_id)", "refs", "lines")
 def ref_snippet_one(spark, d):
-    found = references.with_snippets(D.refs(spark, d).where("name = 'thing'"), D.lines(spark, d))
+    found = references.with_snippets(D.refs(spark, d), D.lines(spark, d))
     return found.select("file_id", "start_row", "start_col", "snippet")
 
 
-@register("ref_snippet_block", "SELECT file_id, start_row, start_col, array_to_string(lines[greatest(start_row - 1, 1):least(start_row + 3, len(lines))], chr(10)) AS snippet, greatest(start_row - 2, 0) AS snippet_start_row FROM refs JOIN lines USING (file_id) WHERE name = 'thing'", "refs", "lines")
+@register("ref_snippet_block", "SELECT file_id, start_row, start_col, array_to_string(lines[greatest(start_row - 1, 1):least(start_row + 3, len(lines))], chr(10)) AS snippet, greatest(start_row - 2, 0) AS snippet_start_row FROM refs JOIN lines USING (file_id)", "refs", "lines")
 def ref_snippet_block(spark, d):
-    found = references.with_snippets(D.refs(spark, d).where("name = 'thing'"), D.lines(spark, d), 3)
+    found = references.with_snippets(D.refs(spark, d), D.lines(spark, d), 3)
     return found.select("file_id", "start_row", "start_col", "snippet", "snippet_start_row")
 
 
@@ -429,8 +431,7 @@ def economics(spark, d):
 
 @register("adoption_coverage", "SELECT count(*) FILTER (n > 0) * 100 // count(*) AS percent FROM (SELECT event_type, count(*) FILTER (value > 50) AS n FROM events GROUP BY event_type)")
 def adoption_coverage(spark, d):
-    own = D.table(spark, d, "events").groupBy("event_type").agg(F.count_if(F.col("value") > 50).alias("n"))
-    return own.agg(F.expr("count_if(n > 0) * 100 div count(*)").alias("percent"))
+    return rollups.adoption(D.table(spark, d, "events").select(F.col("event_type").alias("tool"), (F.col("value") > 50).alias("used")))
 
 
 @register("fingerprint_noop", "SELECT count(*) AS rows, " + ", ".join(f"CAST(sum(CAST('0x' || h[{1 + 8 * k}:{8 + 8 * k}] AS BIGINT)) AS BIGINT) AS h{k}" for k in range(4)) + " FROM (SELECT sha256(concat_ws('␟', CAST(file_id AS VARCHAR), path, sha)) AS h FROM files)", "files")
@@ -542,9 +543,11 @@ def overlay_files(spark, d):
 @register("overlay_refs", f", {OVERLAY} SELECT file_id, count(*) AS n FROM (SELECT file_id FROM refs WHERE file_id IN (SELECT file_id FROM private) UNION ALL SELECT -file_id FROM refs WHERE file_id IN (SELECT file_id FROM vis)) GROUP BY file_id", "files", "refs")
 def overlay_refs(spark, d):
     base, private, state = overlay_parts(spark, d)
-    rows = D.refs(spark, d).select("file_id", F.col("start_row").alias("ref_id"))
+    # the texts of both arms are merged before they are scanned, so each is scanned once
+    rows = D.texts(spark, d).withColumn("ordinal", F.lit(1))
     own = rows.join(private.select("file_id"), "file_id", "left_semi")
-    return overlay.merged_rows(rows, own, overlay.visible_base(base, private, state), "ref_id").groupBy("file_id").agg(F.count("*").alias("n"))
+    merged = overlay.merged_rows(rows, own, overlay.visible_base(base, private, state), "ordinal")
+    return merged.select("file_id", F.regexp_count("text", F.lit(IDENTIFIER)).cast("long").alias("n")).where("n > 0")
 
 
 @register("overlay_symbols", f", {OVERLAY} SELECT file_id, symbol_id, name FROM symbols WHERE file_id IN (SELECT file_id FROM private) UNION ALL SELECT -file_id, -symbol_id, name FROM symbols WHERE file_id IN (SELECT file_id FROM vis)", "files", "symbols")
@@ -602,7 +605,7 @@ def event_overflow(spark, d):
 
 @register("distinct_in_order", "SELECT kind AS value, min(symbol_id) AS first FROM symbols GROUP BY kind", "symbols")
 def distinct_in_order(spark, d):
-    return D.symbols(spark, d).groupBy(F.col("kind").alias("value")).agg(F.min("symbol_id").alias("first"))
+    return lookup.first_of_each(D.symbols(spark, d), "kind", "symbol_id").select(F.col("kind").alias("value"), "first")
 
 
 @register("worktree_names", "SELECT source || CASE WHEN row_number() OVER (PARTITION BY lang ORDER BY source) > 1 THEN '@' || row_number() OVER (PARTITION BY lang ORDER BY source) ELSE '' END AS name FROM (SELECT DISTINCT source, lang FROM documents)")
@@ -610,3 +613,48 @@ def worktree_names(spark, d):
     n = F.row_number().over(Window.partitionBy("lang").orderBy("source"))
     own = D.table(spark, d, "documents").select("source", "lang").distinct().withColumn("n", n)
     return own.select(F.when(F.col("n") > 1, F.concat("source", F.lit("@"), F.col("n").cast("string"))).otherwise(F.col("source")).alias("name"))
+
+
+@register("relative_paths", "SELECT file_id, path AS relative FROM files", "files")
+def relative_paths(spark, d):
+    full = F.replace(F.concat(F.lit("/srv/app/"), "path"), F.lit("/"), F.lit("\\"))
+    return D.files(spark, d).select("file_id", tx.relative(full, "/srv/app").alias("relative"))
+
+
+@register("overlay_one_repo", f", {OVERLAY} SELECT file_id, 77 AS repo_id, path FROM private UNION ALL SELECT -file_id, 77, path FROM vis", "files")
+def overlay_one_repo(spark, d):
+    base, private, state = overlay_parts(spark, d)
+    return overlay.merged_files(base, private.withColumn("repo_id", F.lit(77).cast("long")), state, 77).select("file_id", "repo_id", "path")
+
+
+@register("overlay_observe", f", {OVERLAY}, s AS (SELECT path, mtime_ns + 9 AS mtime_ns, byte_size FROM files WHERE file_id % 8 = 0) SELECT path, hidden, mtime_ns FROM state WHERE path NOT IN (SELECT path FROM s) UNION ALL SELECT path, FALSE, mtime_ns FROM s", "files")
+def overlay_observe(spark, d):
+    base, _, state = overlay_parts(spark, d)
+    return overlay.observe(state, base.where("file_id % 8 = 0").withColumn("mtime_ns", F.col("mtime_ns") + 9)).select("path", "hidden", "mtime_ns")
+
+
+@register("overlay_restore", f", {OVERLAY}, h AS (SELECT path FROM files WHERE file_id % 4 = 0) SELECT 'state' AS part, path FROM state WHERE path NOT IN (SELECT path FROM h) UNION ALL SELECT 'private', path FROM private WHERE path NOT IN (SELECT path FROM h)", "files")
+def overlay_restore(spark, d):
+    base, private, state = overlay_parts(spark, d)
+    left = overlay.restore(state, private, base.where("file_id % 4 = 0"))
+    return left[0].select(F.lit("state").alias("part"), "path").union(left[1].select(F.lit("private").alias("part"), "path"))
+
+
+@register("declarations_tagged", ", n AS (SELECT DISTINCT file_id, start_row, start_col, end_row, end_col FROM refs WHERE start_col = 0) SELECT r.file_id, r.start_row, r.start_col, CASE WHEN n.file_id IS NOT NULL THEN 'declaration' ELSE context END AS context FROM refs r LEFT JOIN n ON n.file_id = r.file_id AND n.start_row = r.start_row AND n.start_col = r.start_col AND n.end_row = r.end_row AND n.end_col = r.end_col", "refs")
+def declarations_tagged(spark, d):
+    rows = D.refs(spark, d)
+    return references.tagged(rows, rows.where("start_col = 0")).select("file_id", "start_row", "start_col", "context")
+
+
+@register("stream_page", "SELECT position, symbol_id, more FROM (SELECT symbol_id, row_number() OVER (ORDER BY file_id, start_row, symbol_id) - 1 AS position, count(*) OVER () > 120 + 50 AS more FROM symbols) WHERE position >= 120 AND position < 120 + 50", "symbols")
+def stream_page(spark, d):
+    return lookup.lookahead(D.symbols(spark, d), ["file_id", "start_row", "symbol_id"], 50, 120).select("position", "symbol_id", "more")
+
+
+@register("stream_last_page", ", n AS (SELECT symbol_id, row_number() OVER (ORDER BY file_id DESC, start_row DESC, symbol_id DESC) - 1 AS position FROM symbols WHERE kind = 'conversation'), c AS (SELECT count(*) AS c FROM n) SELECT position, symbol_id, FALSE AS more FROM n, c WHERE position >= 3 AND c <= 3 + 1000000", "symbols")
+def stream_last_page(spark, d):
+    own = D.symbols(spark, d).where("kind = 'conversation'")
+    return lookup.lookahead(own, [F.desc("file_id"), F.desc("start_row"), F.desc("symbol_id")], 1_000_000, 3).select("position", "symbol_id", "more")
+
+
+from . import catalogue_tools  # noqa: E402, F401  registers its queries here

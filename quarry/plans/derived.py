@@ -38,8 +38,8 @@ def lines(spark: SparkSession, d: str) -> DataFrame:
     return texts(spark, d).select("file_id", tx.lines(F.col("text")).alias("lines"))
 
 
-def refs(spark: SparkSession, d: str) -> DataFrame:
-    return with_occurrences(texts(spark, d))
+def refs(spark: SparkSession, d: str, names: list[str] | None = None) -> DataFrame:
+    return with_occurrences(texts(spark, d), names=names)
 
 
 def symbols(spark: SparkSession, d: str) -> DataFrame:
@@ -94,7 +94,7 @@ conv_rows AS (SELECT *, CAST(coalesce(sum(len(lines)) OVER (PARTITION BY conv_id
 turns AS (SELECT conv_id * 1000000 + turn * 1000 + 1000 AS symbol_id, conv_id + 1 AS file_id, role AS kind, 't' || turn AS name, first AS start_row, first + len(lines) - 1 AS end_row, CAST(octet_length(encode(lines[-1])) AS BIGINT) AS end_col FROM conv_rows),
 convs AS (SELECT (file_id - 1) * 1000000 AS symbol_id, file_id, 'conversation' AS kind, 'c' || (file_id - 1) AS name, 0 AS start_row, max(end_row) AS end_row, arg_max(end_col, end_row) AS end_col FROM turns GROUP BY file_id),
 line_each AS (SELECT conv_id, turn, first, unnest(lines) AS line, generate_subscripts(lines, 1) - 1 AS pos FROM conv_rows),
-line_syms AS (SELECT conv_id * 1000000 + turn * 1000 + 1001 + pos AS symbol_id, conv_id + 1 AS file_id, 'line' AS kind, 'l' || pos AS name, first + pos AS start_row, first + pos AS end_row, CAST(octet_length(encode(line)) AS BIGINT) AS end_col FROM line_each WHERE pos < 999 AND line <> ''),
+line_syms AS (SELECT CASE WHEN pos < 999 THEN conv_id * 1000000 + turn * 1000 + 1001 + pos ELSE -(conv_id * 4294967296 + first + pos) END AS symbol_id, conv_id + 1 AS file_id, 'line' AS kind, 'l' || pos AS name, first + pos AS start_row, first + pos AS end_row, CAST(octet_length(encode(line)) AS BIGINT) AS end_col FROM line_each WHERE line <> ''),
 symbols AS (SELECT symbol_id, file_id, kind, name, start_row, 0 AS start_col, end_row, end_col FROM (SELECT * FROM convs UNION ALL SELECT * FROM turns UNION ALL SELECT * FROM line_syms))""",
     "symbol_files": "symbol_files AS (SELECT conv_id + 1 AS file_id, conv_id % 4 AS repo_id, CASE WHEN conv_id % 5 = 0 THEN 'tests/c' ELSE 'src/c' END || conv_id || '.py' AS path, CAST(sum(octet_length(encode(text))) AS BIGINT) AS byte_size FROM conversations GROUP BY conv_id)",
 }
