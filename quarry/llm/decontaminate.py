@@ -137,6 +137,20 @@ def met(docs: DataFrame, filled: np.ndarray, sizes: list[int], window: int) -> D
     return docs.mapInArrow(run, "_k1 long, _k2 long, name long, at long, around string, before int")
 
 
+def counted(packed: DataFrame) -> DataFrame:
+    """With ``_n``, the number of words of each text."""
+
+    def run(batches):
+        for batch in batches:
+            n = [np.zeros(0, np.int64)]
+            for _, _, data, at in groups_of(batch.column(TEXT)):
+                starts, _ = class_bounds(LOWER[data], ALNUM)
+                n.append(np.diff(np.searchsorted(starts, at)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(n))], [*batch.schema.names, "_n"])
+
+    return packed.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in packed.schema) + ", _n long")
+
+
 def united(spans: DataFrame) -> DataFrame:
     """Each text's spans as maximal runs."""
 
@@ -164,9 +178,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item
     spans = united(hits.groupBy(*KEY).agg(F.collect_set(F.struct("start", "end")).alias("_hit")))
     own = hits.select(*KEY, "window").distinct().join(windows, "window").groupBy(*KEY).agg(F.sort_array(F.collect_set("item")).alias("_items"))
     result = materialize(spans.join(own, KEY), "contaminated")
-    out = packed.withColumns(keys).join(result, KEY, "left")
+    out = counted(packed).withColumns(keys).join(result, KEY, "left")
     out = out.withColumns({
-        "_n": F.coalesce(F.regexp_count(TEXT, F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")), F.lit(0)).cast("long"),
         "_hit": F.coalesce("_hit", F.array().cast("array<struct<start:long,end:long>>")), "_items": F.coalesce("_items", F.array().cast("array<string>")),
     })
     return unpack(out.withColumn("_bad", F.size("_items") >= least_items), docs.columns, text, True, ["_n", "_hit", "_items", "_bad"])
