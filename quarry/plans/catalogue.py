@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..functions.tokens import IDENTIFIER, name_counts
+from ..functions.tokens import IDENTIFIER, name_counts, spread
 from ..operators import intervals, lookup, maintain, overlay, references, rollups
 from . import derived as D
 
@@ -375,6 +375,11 @@ def syntax_query_html_attrs(spark, d):
     return found.where("capture = 'v'").select("page_id", "text")
 
 
+def ref_ids(spark, d):
+    """The file of each reference: what counts need, without its name and place."""
+    return spread(D.texts(spark, d)).select("file_id", F.explode(F.regexp_extract_all("text", F.lit(IDENTIFIER), 0)).alias("_")).select("file_id")
+
+
 # --- dashboard ---------------------------------------------------------------------------------------------------
 
 
@@ -385,7 +390,7 @@ def dashboard_totals(spark, d):
 
 @register("repo_details", "SELECT repos.name AS repo, (SELECT count(*) FROM files f WHERE f.repo_id = repos.repo_id) AS files, (SELECT CAST(coalesce(sum(byte_size), 0) AS BIGINT) FROM files f WHERE f.repo_id = repos.repo_id) AS bytes, (SELECT count(*) FROM symbols s JOIN files f USING (file_id) WHERE f.repo_id = repos.repo_id) AS symbols, (SELECT count(*) FROM refs r JOIN files f USING (file_id) WHERE f.repo_id = repos.repo_id) AS refs FROM repos", "repos", "files", "symbols", "refs")
 def repo_details(spark, d):
-    return rollups.repo_details(D.repos(spark, d), D.files(spark, d), D.symbols(spark, d), D.refs(spark, d))
+    return rollups.repo_details(D.repos(spark, d), D.files(spark, d), D.symbols(spark, d), ref_ids(spark, d))
 
 
 @register("languages_top20", "SELECT language, count(DISTINCT files.file_id) AS files, count(symbols.symbol_id) AS symbols FROM files LEFT JOIN symbols USING (file_id) GROUP BY language ORDER BY files DESC, language LIMIT 20", "files", "symbols")
