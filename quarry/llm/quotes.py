@@ -43,15 +43,21 @@ def lines_of(text: F.Column) -> F.Column:
 
 def passages_of(lines: F.Column) -> F.Column:
     """Array of (level, text): runs of lines of one level, joined by newlines."""
-    step = F.struct(F.lit(-1).alias("level"), F.lit("").alias("text"))
-    start = F.array().cast("array<struct<level:int,text:string>>")
 
-    def add(done: F.Column, x: F.Column) -> F.Column:
-        last = F.coalesce(F.try_element_at(done, F.lit(-1)), step)
-        grown = F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.struct(x.level.cast("int").alias("level"), F.concat_ws("\n", last.text, x.line).alias("text"))))
-        return F.when(last.level == x.level, grown).otherwise(F.concat(done, F.array(F.struct(x.level.cast("int").alias("level"), x.line.alias("text")))))
+    # arrays of one element bind what would otherwise be computed again for every line
+    def of(every: F.Column) -> F.Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(every) - 1), lambda i: (i == 0) | (F.get(every, i).level != F.get(every, i - 1).level))
 
-    return F.aggregate(lines, start, add)
+        def cut(begin: F.Column) -> F.Column:
+            def run(at: F.Column, k: F.Column) -> F.Column:
+                own = F.slice(every, at + 1, F.coalesce(F.get(begin, k + 1), F.size(every)) - at)
+                return F.struct(F.get(every, at).level.cast("int").alias("level"), F.array_join(F.transform(own, lambda x: x.line), "\n").alias("text"))
+
+            return F.transform(begin, run)
+
+        return F.flatten(F.transform(F.array(starts), cut))
+
+    return F.flatten(F.transform(F.array(lines), of))
 
 
 def normal(text: F.Column) -> F.Column:

@@ -38,21 +38,23 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
 
-def record_id(page_id: int | None) -> str:
-    return f"<urn:uuid:{uuid.UUID(bytes=hashlib.md5(f'page:{page_id}'.encode()).digest())}>"
+def record_id(page_id: int | None, place: tuple = ()) -> str:
+    """Of a page whose id no other row has; of others with the record's place, which no other record has."""
+    return f"<urn:uuid:{uuid.UUID(bytes=hashlib.md5(':'.join(map(str, ('page', page_id, *place))).encode()).digest())}>"
 
 
 def safe(url: str) -> str:
     return "".join(f"%{ord(c):02X}" if ord(c) < 32 or ord(c) == 127 else c for c in url)
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool) -> bytes:
+def record(own: str, url: str | None, payload: bytes, refers_to: int | None, revisit: bool, sure: bool) -> bytes:
+    """sure: only one row has the id that is referred to, so its record has the id that follows from it."""
     block = HTTP if revisit else HTTP + payload
     head = [
-        "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_id(page_id)}", f"WARC-Date: {DATE}",
+        "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {own}", f"WARC-Date: {DATE}",
         *([f"WARC-Target-URI: {safe(url)}"] if url is not None else []),
         f"WARC-Payload-Digest: sha1:{base64.b32encode(hashlib.sha1(payload).digest()).decode()}", f"X-Payload-Length: {len(payload)}",
-        *([f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(refers_to)}", f"X-Refers-To-Page: {refers_to}"] if revisit else []),
+        *([f"WARC-Profile: {PROFILE}", *([f"WARC-Refers-To: {record_id(refers_to)}"] if sure else []), f"X-Refers-To-Page: {refers_to}"] if revisit else []),
         "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}",
     ]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
@@ -87,7 +89,12 @@ class Bundle:
         self.out = files.open_output_stream(f"{path}/{self.name}", compression=None)
         self.pack = zstandard.ZstdCompressor(level=LEVEL)
         self.frames: list[tuple[int, int]] = []
-        self.size, self.held = 0, bytearray()
+        self.size, self.count, self.held = 0, 0, bytearray()
+
+    def place(self) -> tuple[str, int]:
+        """No two records have the same: the bundle, and how many records it has."""
+        self.count += 1
+        return self.name, self.count
 
     def add(self, raw: bytes) -> tuple[str, int, int, int]:
         """Where the record lies: bundle, frame, offset inside the frame, length."""
@@ -147,14 +154,19 @@ INDEX = "page_id long, record_id string, bundle string, frame long, offset long,
 
 
 def with_roles(pages: DataFrame, page_id: str = "page_id", payload: str = "html") -> DataFrame:
-    """``pages`` with ``_revisit`` and ``_refers_to``.  A hot payload is counted before the shuffle; the join that
+    """``pages`` with ``_revisit``, ``_refers_to``, ``_again`` (other rows have the same id, or it's null) and ``_sure``
+    (one row has the id that is referred to).  A hot payload is counted before the shuffle; the join that
     brings the roles back has plain exchanges on both sides, so that it can be split."""
     body = F.coalesce(F.col(payload).cast("binary"), F.lit("").cast("binary"))
     keyed = pages.withColumn("_sha", F.when(F.octet_length(body) >= REVISIT_BYTES, F.sha2(body, 256)))
     first = keyed.where("_sha IS NOT NULL").groupBy("_sha").agg(F.max(page_id).alias("_first"), F.count("*").alias("_copies")).where("_copies > 1 AND _first IS NOT NULL")
-    out = keyed.join(materialize(first.select("_sha", "_first"), "payloads"), "_sha", "left")
+    again = materialize(pages.where(F.col(page_id).isNotNull()).groupBy(F.col(page_id).alias("_id")).count().where("count > 1").select("_id"), "repeated-ids")
+    first = first.join(again.select(F.col("_id").alias("_first"), F.lit(True).alias("_several")), "_first", "left")
+    out = keyed.join(materialize(first.select("_sha", "_first", F.col("_several").isNull().alias("_sure")), "payloads"), "_sha", "left")
+    out = out.join(again.withColumn("_again", F.lit(True)), F.col(page_id) == F.col("_id"), "left")
     revisit = F.col("_first").isNotNull() & (F.col(page_id).isNull() | (F.col(page_id) != F.col("_first")))
-    return out.withColumns({"_revisit": revisit, "_refers_to": F.when(revisit, F.col("_first"))}).drop("_sha", "_first")
+    out = out.withColumns({"_revisit": revisit, "_refers_to": F.when(revisit, F.col("_first")), "_again": F.coalesce("_again", F.col(page_id).isNull()), "_sure": F.coalesce("_sure", F.lit(False))})
+    return out.drop("_sha", "_first", "_id")
 
 
 def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", payload: str = "html") -> DataFrame:
@@ -164,10 +176,12 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
         bundle = None
         for batch in batches:
             rows = []
-            for page, link, body, refers, revisit in zip(*(batch.column(i) for i in range(5)), strict=True):
+            for page, link, body, refers, revisit, again, sure in zip(*(batch.column(i) for i in range(7)), strict=True):
                 bundle = bundle or Bundle(folder)
                 raw = body.as_buffer() if body.is_valid else None
-                rows.append((page.as_py(), record_id(page.as_py()), *bundle.add(record(page.as_py(), link.as_py(), raw.to_pybytes() if raw is not None else b"", refers.as_py(), revisit.as_py()))))
+                place = bundle.place()
+                own = record_id(page.as_py(), place if again.as_py() else ())
+                rows.append((page.as_py(), own, *bundle.add(record(own, link.as_py(), raw.to_pybytes() if raw is not None else b"", refers.as_py(), revisit.as_py(), sure.as_py()))))
                 if bundle.size >= BUNDLE_BYTES:
                     bundle.close()
                     bundle = None
@@ -178,7 +192,7 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
             bundle.close()
 
     roles = with_roles(pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.col(payload).alias("html")))
-    return materialize(roles.select("page_id", "url", "html", "_refers_to", "_revisit").mapInArrow(run, INDEX), "warc-index")
+    return materialize(roles.select("page_id", "url", "html", "_refers_to", "_revisit", "_again", "_sure").mapInArrow(run, INDEX), "warc-index")
 
 
 def read_archives(index: DataFrame, folder: str, payloads: bool = False) -> DataFrame:

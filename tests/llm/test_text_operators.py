@@ -72,7 +72,11 @@ def test_suffix_array(docs, length):
 
 
 def removed_words(texts, length, across):
-    """Runs of words in windows that stand elsewhere too (with across: in another row)."""
+    return [(n, gone, spans, hashlib.sha256(kept).hexdigest()) for n, gone, spans, kept in kept_words(texts, length, across)]
+
+
+def kept_words(texts, length, across):
+    """Without the runs of words in windows that stand elsewhere too (with across: in another row)."""
     split = [[m.span() for m in re.finditer(b"[^\x20\x09-\x0d]+", b)] for b in texts]
     windows = [[tuple(b[x:y] for x, y in w[p : p + length]) for p in range(len(w) - length + 1)] for b, w in zip(texts, split, strict=True)]
     seen = Counter(x for own in windows for x in (set(own) if across else own))
@@ -84,7 +88,7 @@ def removed_words(texts, length, across):
         for x, y in spans:
             cut[x:y] = b"\1" * (y - x)
         kept = bytes(x for x, g in zip(b, cut, strict=True) if not g)
-        out.append((len(b), sum(cut), len(re.findall(b"\1+", bytes(cut))), hashlib.sha256(kept).hexdigest()))
+        out.append((len(b), sum(cut), len(re.findall(b"\1+", bytes(cut))), kept))
     return out
 
 
