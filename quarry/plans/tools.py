@@ -338,7 +338,9 @@ class Navigator:
 
     def counts(self, rows: DataFrame, sums, several: bool, diagnostics: list[dict]) -> dict:
         """Exact counts; sources aren't verified and paging doesn't apply.  The most frequent files are listed."""
-        by_file = references.counts_by_file(rows).orderBy(F.desc("n"), "repo", "path").limit(max(1, self.limits.max_response_chars // 20) if self.limits.max_response_chars else 1 << 20).collect()
+        ordered = references.counts_by_file(rows).orderBy(F.desc("n"), "repo", "path")
+        # a file takes 20 bytes at least; without a budget all files were asked for
+        by_file = (ordered.limit(max(1, self.limits.max_response_chars // 20)) if self.limits.max_response_chars else ordered).collect()
         names = [{"name": r.name, "count": r.n} for r in references.counts_by_name(rows).orderBy(F.desc("n"), "name").collect()] if several else []
 
         def build(n: int) -> dict:
