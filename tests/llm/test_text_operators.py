@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 R = random.Random(7)
 WORDS = [f"w{i}" for i in range(400)]
@@ -441,6 +442,58 @@ def test_licenses(spark):
     assert found[503][0]._license == "MIT" and found[503][0]._coverage < 100 and len(found[505]) == 2
 
 
+def test_license_alignment():
+    """Against the longest chain of equal words within the band, by trying every chain's end."""
+    from quarry.llm.licenses import COVERAGE, Templates, hashed
+
+    vocabulary = [f"v{i}" for i in range(14)]
+    seen = 0
+    for size in (9, 30, 90):
+        template = [R.choice(vocabulary) for _ in range(size)]
+        t = Templates({"X": (" ".join(template),)})
+        band = t.band(0)
+        for _ in range(40):
+            edited = [y for w in template for y in ([] if R.random() < 0.07 else [R.choice(vocabulary)] if R.random() < 0.07 else [w, R.choice(vocabulary)] if R.random() < 0.07 else [w])]
+            before = [R.choice(vocabulary) for _ in range(R.randrange(12))]
+            words = hashed(" ".join(before + edited + [R.choice(vocabulary) for _ in range(R.randrange(12))]))
+            start, lo, hi = len(before) + R.randrange(-3, 4), R.randrange(3), len(words) - R.randrange(3)
+            best = {}
+            for i in range(size):
+                for p in range(max(lo, start - band + i), min(hi, start + 2 * band + i + 1)):
+                    if words[p] == t.words[0][i]:
+                        best[i, p] = 1 + max((n for (a, b), n in best.items() if a < i and b < p), default=0)
+            most = max(best.values(), default=0)
+            found = t.aligned(0, words, np.array([start]), np.array([lo]), np.array([hi]))
+            assert bool(found) == (100 * most >= COVERAGE * size)
+            if found:
+                matched, first, last, _ = found[0]
+                chain = {}
+                for (i, p), _ in sorted(best.items()):
+                    if first <= p <= last:
+                        chain[i, p] = 1 + max((n for (a, b), n in chain.items() if a < i and b < p), default=0)
+                assert matched == most == max(chain.values()) and lo <= first <= last < hi
+                seen += 1
+    assert seen > 30
+
+
+def test_clashing_columns(spark):
+    """Given columns with the names of our own: those that we return take their place, all others stay."""
+    from quarry.llm import decontaminate, language, pieces, quotes, url_filter
+
+    names = ["_sha", "_lang", "_score", "_n", "_ids", "_hit", "_k1", "_k2", "_text_in", "_row_in", "_key", "host", "_url"]
+    frame = spark.createDataFrame([(1, "one two three four five six seven eight nine", *["own"] * len(names))], ["doc_id", "text", *names])
+    bench = frame.select(F.lit("a").alias("item_id"), "text")
+    own = {
+        "decontaminate": (decontaminate.contaminated(frame, bench), {"_n", "_hit"}), "language": (language.identified(frame, language.trained(frame.withColumn("lang", F.lit("en")))), {"_lang", "_score"}),
+        "pieces": (pieces.encoded(frame, pieces.Vocabulary.load()), {"_n", "_sha", "_ids"}), "url": (url_filter.judged(frame.withColumns({"url": F.lit("http://a.b/c"), "html": F.lit("")})), {"host"}),
+        "quotes": (quotes.linked(frame.withColumns({"conv_id": F.lit(1), "turn": F.lit(0)})), set()),
+    }
+    for what, (out, ours) in own.items():
+        row = out.first().asDict()
+        assert all(row[n] == "own" for n in names if n not in ours), what
+        assert all(row[n] != "own" for n in ours), what
+
+
 def test_empty_tables(spark, docs):
     from quarry.llm import decontaminate, language, licenses, minhash, pieces, repetition, suffix_array
 
