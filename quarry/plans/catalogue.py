@@ -237,9 +237,12 @@ def outline_depth(spark, d):
     return intervals.nested_by_stack(D.symbols(spark, d)).where("depth <= 2").select("symbol_id", "kind", "depth")
 
 
-@register("outline_roots_page", NESTED + ", roots AS (SELECT file_id, symbol_id AS root_id, row_number() OVER (PARTITION BY file_id ORDER BY start_row, start_col, end_row DESC, end_col DESC, symbol_id) - 1 AS root FROM nest WHERE depth = 1) SELECT symbol_id, root FROM nest JOIN roots USING (file_id, root_id) WHERE root BETWEEN 1 AND 3", "symbols")
+TURNS = NESTED.replace("FROM symbols s JOIN symbols a", "FROM symbols s JOIN (SELECT * FROM symbols WHERE kind <> 'conversation') a").replace("FROM symbols s LEFT JOIN above", "FROM (SELECT * FROM symbols WHERE kind <> 'conversation') s LEFT JOIN above")
+
+
+@register("outline_roots_page", TURNS + ", roots AS (SELECT file_id, symbol_id AS root_id, row_number() OVER (PARTITION BY file_id ORDER BY start_row, start_col, end_row DESC, end_col DESC, symbol_id) - 1 AS root FROM nest WHERE depth = 1) SELECT symbol_id, root FROM nest JOIN roots USING (file_id, root_id) WHERE root BETWEEN 1 AND 3", "symbols")
 def outline_roots_page(spark, d):
-    return intervals.outline_roots(intervals.nested_by_stack(D.symbols(spark, d))).where("root BETWEEN 1 AND 3").select("symbol_id", "root")
+    return intervals.outline_roots(intervals.nested_by_stack(D.symbols(spark, d).where("kind <> 'conversation'"))).where("root BETWEEN 1 AND 3").select("symbol_id", "root")
 
 
 @register("qualified_names", NESTED + "SELECT symbol_id, qualified FROM nest", "symbols")
