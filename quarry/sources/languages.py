@@ -23,36 +23,31 @@ class Language:
 
 SLASHES = ("//", "/*", "*")
 
-
-def _language(line: str, comments: tuple[str, ...] = ()) -> Language:
-    name, extensions, manifests, kinds = (part.split() for part in line.split("|"))
-    return Language(name[0], tuple(extensions), tuple(manifests), comments, tuple(kinds))
-
-
+#: Id, extensions, manifests, comment marks, kinds.
 LANGUAGES: tuple[Language, ...] = (
-    _language("python | py pyi | pyproject.toml requirements.txt | import class function variable", ("#",)),
-    _language("javascript | js jsx mjs cjs | package.json | import class function method variable", SLASHES),
-    _language("html | html htm | | id tag", ("<!--",)),
-    _language("css | css | | import keyframes selector", ("/*", "*")),
-    _language("scss | scss | | import keyframes mixin function placeholder variable selector", SLASHES),
-    _language("typescript | ts | package.json tsconfig.json | import class namespace function method interface type enum variable", SLASHES),
-    _language("tsx | tsx | package.json tsconfig.json | import class namespace function method interface type enum variable", SLASHES),
-    _language("rust | rs | Cargo.toml | import function struct enum trait type variable", SLASHES),
-    _language("go | go | go.mod | import function method type variable", SLASHES),
-    _language("java | java | pom.xml build.gradle build.gradle.kts | import class interface enum method variable", SLASHES),
-    _language("kotlin | kt kts | build.gradle.kts settings.gradle.kts | import namespace class interface function object variable type", SLASHES),
-    _language("swift | swift | Package.swift | import actor class enum struct protocol function variable type", SLASHES),
-    _language("c | c h | CMakeLists.txt | function prototype variable", SLASHES),
-    _language("csharp | cs | *.csproj *.sln *.slnx Directory.Build.props Directory.Build.targets packages.config | import namespace class interface struct enum variable delegate event method property", SLASHES),
-    _language("cpp | cc cpp cxx hpp hh hxx | CMakeLists.txt | namespace class struct enum union import function method prototype variable", SLASHES),
-    _language("ruby | rb | Gemfile | import class module method variable", ("#",)),
-    _language("php | php phtml php3 php4 php5 phps | composer.json composer.lock | import namespace class interface trait enum function method property constant variable", ("//", "#", "/*", "*")),
-    _language("bash | sh bash | .bashrc | function variable", ("#",)),
-    _language("sql | sql | | database schema table column view index function sequence type trigger cte", ("--", "/*", "*")),
-    _language("make | mk mak | Makefile makefile GNUmakefile | import target variable", ("#",)),
-    _language("json | json | | key"),
-    _language("yaml | yaml yml | | key anchor", ("#",)),
-    _language("markdown | md markdown | | heading"),
+    Language("python", ("py", "pyi"), ("pyproject.toml", "requirements.txt"), ("#",), ("import", "class", "function", "variable")),
+    Language("javascript", ("js", "jsx", "mjs", "cjs"), ("package.json",), SLASHES, ("import", "class", "function", "method", "variable")),
+    Language("html", ("html", "htm"), (), ("<!--",), ("id", "tag")),
+    Language("css", ("css",), (), ("/*", "*"), ("import", "keyframes", "selector")),
+    Language("scss", ("scss",), (), SLASHES, ("import", "keyframes", "mixin", "function", "placeholder", "variable", "selector")),
+    Language("typescript", ("ts",), ("package.json", "tsconfig.json"), SLASHES, ("import", "class", "namespace", "function", "method", "interface", "type", "enum", "variable")),
+    Language("tsx", ("tsx",), ("package.json", "tsconfig.json"), SLASHES, ("import", "class", "namespace", "function", "method", "interface", "type", "enum", "variable")),
+    Language("rust", ("rs",), ("Cargo.toml",), SLASHES, ("import", "function", "struct", "enum", "trait", "type", "variable")),
+    Language("go", ("go",), ("go.mod",), SLASHES, ("import", "function", "method", "type", "variable")),
+    Language("java", ("java",), ("pom.xml", "build.gradle", "build.gradle.kts"), SLASHES, ("import", "class", "interface", "enum", "method", "variable")),
+    Language("kotlin", ("kt", "kts"), ("build.gradle.kts", "settings.gradle.kts"), SLASHES, ("import", "namespace", "class", "interface", "function", "object", "variable", "type")),
+    Language("swift", ("swift",), ("Package.swift",), SLASHES, ("import", "actor", "class", "enum", "struct", "protocol", "function", "variable", "type")),
+    Language("c", ("c", "h"), ("CMakeLists.txt",), SLASHES, ("function", "prototype", "variable")),
+    Language("csharp", ("cs",), ("*.csproj", "*.sln", "*.slnx", "Directory.Build.props", "Directory.Build.targets", "packages.config"), SLASHES, ("import", "namespace", "class", "interface", "struct", "enum", "variable", "delegate", "event", "method", "property")),
+    Language("cpp", ("cc", "cpp", "cxx", "hpp", "hh", "hxx"), ("CMakeLists.txt",), SLASHES, ("namespace", "class", "struct", "enum", "union", "import", "function", "method", "prototype", "variable")),
+    Language("ruby", ("rb",), ("Gemfile",), ("#",), ("import", "class", "module", "method", "variable")),
+    Language("php", ("php", "phtml", "php3", "php4", "php5", "phps"), ("composer.json", "composer.lock"), ("//", "#", "/*", "*"), ("import", "namespace", "class", "interface", "trait", "enum", "function", "method", "property", "constant", "variable")),
+    Language("bash", ("sh", "bash"), (".bashrc",), ("#",), ("function", "variable")),
+    Language("sql", ("sql",), (), ("--", "/*", "*"), ("database", "schema", "table", "column", "view", "index", "function", "sequence", "type", "trigger", "cte")),
+    Language("make", ("mk", "mak"), ("Makefile", "makefile", "GNUmakefile"), ("#",), ("import", "target", "variable")),
+    Language("json", ("json",), (), (), ("key",)),
+    Language("yaml", ("yaml", "yml"), (), ("#",), ("key", "anchor")),
+    Language("markdown", ("md", "markdown"), (), (), ("heading",)),
 )
 BY_ID = {x.id: x for x in LANGUAGES}
 #: Folders and files that never have a language.
