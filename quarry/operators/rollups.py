@@ -67,6 +67,22 @@ def savings(log: DataFrame) -> DataFrame:
     return out.withColumn("usd", F.round(F.col("saved") / 1e6 * SAVED_USD, 9))
 
 
+def savings_by_folder(log: DataFrame, earlier: DataFrame) -> DataFrame:
+    """Log rows (folder, seq, repo, session, ts, calls, avoided, returned, saved), one log to a folder, and the aggregates
+    (folder, ts, calls, avoided, returned, saved) that older versions left there: sums of both.  A folder's repository is the
+    first non-empty name by ``seq``, else what follows the last underscore of the folder's name."""
+    kept = ["folder", "ts", "calls", "avoided", "returned", "saved"]
+    none = F.lit(None)
+    before = earlier.select(*kept, none.cast("long").alias("session"), none.cast("long").alias("seq"), none.cast("string").alias("repo"))
+    named = F.when(F.col("repo") != "", F.struct("seq", "repo"))
+    out = log.select(*before.columns).unionByName(before).groupBy("folder").agg(
+        F.min(named).alias("named"), *(F.coalesce(F.sum(c), zero()).alias(c) for c in ("calls", "avoided", "returned", "saved")),
+        F.coalesce(F.max("ts"), zero()).alias("last_ts"), F.countDistinct("session").alias("sessions"),
+    )
+    repo = F.coalesce(F.col("named.repo"), F.element_at(F.split("folder", "_"), -1))
+    return out.withColumns({"repo": repo, "usd": F.round(F.col("saved") / 1e6 * SAVED_USD, 9)}).drop("named")
+
+
 def savings_overall(rolled: DataFrame) -> DataFrame:
     own = rolled.where("calls > 0")
     return own.agg(F.coalesce(F.sum("calls"), zero()).alias("calls"), F.coalesce(F.sum("saved"), zero()).alias("saved"), F.count("*").alias("repos"))

@@ -18,17 +18,20 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..model import FILES, InvalidArguments
+from ..model import FILES, SCHEMA_VERSION, InvalidArguments
 from ..operators import maintain, overlay, rollups
 from ..sources import ignore, walk
 from ..sources.config import Config, Repo, allowed_languages
 from ..sources.extract.symbols import extracted
 from ..sources.languages import BY_ID
 from ..sources.worktrees import discover
-from .store import Store
+from .store import TABLES, Store
 
 FINGERPRINTS = {"files": ["repo_id", "path", "language", "sha", "partial"], "symbols": ["file_id", "kind", "name", "start_row", "start_col", "end_row", "end_col"], "refs": ["file_id", "name", "start_row", "start_col", "context"]}
 
+#: What a generation without a base has in its manifest.
+STANDALONE = {"base": "", "base_identity": "", "directory": 0, "fingerprint": {}}
+
 
 @dataclass
 class Stats:
@@ -69,7 +72,7 @@ class Builder:
         found = walk.paths(self.spark, spaces, paths).persist(StorageLevel.DISK_ONLY)
         return walk.sources(found), found.select("repo_id", "path")
 
-    def build(self, incremental: bool = True, only: str | None = None, languages: list[str] = (), prune: bool = True) -> Stats:
+    def build(self, incremental: bool = True, only: str | None = None, languages: list[str] = (), prune: bool = True, whole: bool = False) -> Stats:
         repos = self.repos(only)
         force = not incremental
         files, symbols, refs, stored_repos = (self.store.read(t) for t in ("files", "symbols", "refs", "repos"))
@@ -82,7 +85,7 @@ class Builder:
         owned = files.join(synced.select("repo_id"), "repo_id", "left_semi")
         active = sources.where(~F.col("binary") & (F.col("byte_size") <= maintain.MOST_BYTES) | ~F.col("readable"))
         staying = maintain.purged(owned, there, active, scope, built)
-        return self.merge(sources, files, staying, symbols, refs, synced, force)
+        return self.merge(sources, files, staying, symbols, refs, synced, force, whole)
 
     def marker(self) -> dict:
         text = json.dumps(asdict(self.config), sort_keys=True)
@@ -125,7 +128,8 @@ class Builder:
         staying = files.join(gone.select("file_id"), "file_id", "left_anti")
         return self.merge(sources, files, staying, symbols, refs, stored, False)
 
-    def merge(self, sources: DataFrame, files: DataFrame, staying: DataFrame, symbols: DataFrame, refs: DataFrame, repos: DataFrame, force: bool) -> Stats:
+    def merge(self, sources: DataFrame, files: DataFrame, staying: DataFrame, symbols: DataFrame, refs: DataFrame, repos: DataFrame, force: bool, whole: bool = False) -> Stats:
+        """``whole``: publish a generation without a base, and only if every source could be read and none has changed."""
         # an older schema asks for a new extraction of everything
         known = files.withColumn("mtime_ns", F.lit(-1).cast("long")) if self.store.outdated() else files
         outcome = maintain.classified(sources, known, force=force).persist(StorageLevel.DISK_ONLY)
@@ -137,7 +141,9 @@ class Builder:
             before, after = files.count(), staying.count()
             stats = Stats(counts.get("indexed", 0) - failed, counts.get("touched", 0), counts.get("unchanged", 0), failed + counts.get("unreadable", 0))
             same_repos = repos.exceptAll(self.store.read("repos")).count() == 0 and self.store.read("repos").exceptAll(repos).count() == 0
-            if not stats.indexed and not stats.touched and before == after and same_repos and self.store.manifest().ready and not self.store.outdated():
+            if whole and stats.failed:
+                return stats
+            if not whole and not stats.indexed and not stats.touched and before == after and same_repos and self.store.manifest().ready and not self.store.outdated():
                 return stats
             good = fresh.where("NOT failed").select("file_id", "partial", "symbols", "refs")
             new = outcome.where("outcome = 'indexed'").withColumn("file_id", file_id()).join(good.select("file_id", "partial"), "file_id").select("file_id", "repo_id", "path", "language", "sha", "mtime_ns", "byte_size", "partial")
@@ -147,7 +153,9 @@ class Builder:
             keep = merged.select("file_id")
             symbols = maintain.replaced_children(symbols.join(keep, "file_id", "left_semi"), new, s)
             refs = maintain.replaced_children(refs.join(keep, "file_id", "left_semi"), new, r)
-            self.store.publish({"repos": repos, "files": merged, "symbols": symbols, "refs": refs})
+            if whole and (changed := overlay.changed_sources(merged, self.walked(self.config.repos, [])[0]).count()):
+                raise RuntimeError(f"{changed} sources changed while the index was built")
+            self.store.publish({"repos": repos, "files": merged, "symbols": symbols, "refs": refs}, **(STANDALONE if whole else {}))
             return stats
         finally:
             outcome.unpersist()
@@ -173,11 +181,43 @@ class Overlay:
             return self.spark.createDataFrame([], "path string, mtime_ns long, byte_size long, hidden boolean")
         return self.spark.read.schema("path string, mtime_ns long, byte_size long, hidden boolean").parquet(f"{self.own.root}/{m.folder}-state")
 
-    def refresh(self) -> bool:
-        """Reconcile with the checkout, by content; publish only if that changes what is seen.  True if it was published."""
+    def usable(self) -> bool:
+        """Is the base there, complete, of this schema and without files that wait for extraction?"""
+        try:
+            m = self.base.manifest()
+        except RuntimeError:  # a newer schema
+            return False
+        if not m.ready or m.schema_version != SCHEMA_VERSION or not all(self.base.holds(t, m) for t in TABLES):
+            return False
+        return self.base.read("files", m).where("mtime_ns = -1").isEmpty()
+
+    def own_checkout(self) -> bool:
+        """Does the published generation belong to the configured repository?"""
+        own = self.config.repos[0]
+        return [(r.name, r.root_path) for r in self.own.read("repos").limit(2).collect()] == [(own.name, os.path.realpath(own.root))]
+
+    def recover(self) -> Stats:
+        """Build the checkout as an index of its own.  What is published stays as it is if a source fails."""
+        return Builder(self.spark, self.own, self.config).build(incremental=False, whole=True)
+
+    def refresh(self, prune: bool = True) -> bool:
+        """Reconcile with the checkout, by content; publish only if that changes what is seen.  True if it was published.
+
+        A base that is gone, replaced or of another schema can't be derived from any more: the checkout becomes an index
+        of its own, and stays one.  So does one that is configured otherwise now; without ``prune`` that is refused, since
+        the repository that is published would be lost."""
         m = self.own.manifest()
-        if m.base_identity and m.base_identity != self.identity():
-            m = type(m)()
+        if m.folder and not m.base:
+            Builder(self.spark, self.own, self.config).build(prune=prune)
+            return self.own.manifest().generation != m.generation
+        if m.folder and not self.own_checkout():
+            if not prune:
+                raise InvalidArguments("the overlay holds another repository, which would be lost; choose another folder for the index")
+            self.recover()
+            return self.own.manifest().generation != m.generation
+        if not self.usable() or m.folder and m.base_identity != self.identity():
+            self.recover()
+            return self.own.manifest().generation != m.generation
         builder = Builder(self.spark, self.own, self.config)
         sources, there = builder.walked(builder.repos(), [])
         base_files = self.base.read("files")
@@ -188,6 +228,8 @@ class Overlay:
             state = reused.unionByName(hidden)
             fresh = outcome.where("outcome IN ('indexed', 'touched', 'unchanged')").join(base_files.select("path", "language", "sha"), ["path", "language", "sha"], "left_anti").withColumn("file_id", file_id())
             parsed = extracted(fresh).persist(StorageLevel.DISK_ONLY)
+            if not parsed.where("failed").isEmpty():
+                return False
             new = fresh.join(parsed.select("file_id", "partial"), "file_id").select("file_id", "repo_id", "path", "language", "sha", "mtime_ns", "byte_size", "partial")
             s = parsed.select("file_id", F.explode("symbols").alias("x")).select("file_id", "x.*").withColumn("symbol_id", F.xxhash64("file_id", "kind", "name", "start_row", "start_col", "end_row", "end_col"))
             r = parsed.select("file_id", F.explode("refs").alias("x")).select("file_id", "x.*").withColumn("ref_id", F.xxhash64("file_id", "name", "start_row", "start_col", "context"))
@@ -214,19 +256,28 @@ class Overlay:
         builder = Builder(self.spark, self.own, self.config)
         return builder.walked(builder.repos(), [])[0]
 
+    def directory(self) -> DataFrame | None:
+        """The resolved files, where those of this very generation stand beside it."""
+        m = self.own.manifest()
+        return self.spark.read.schema(FILES).parquet(f"{self.own.root}/{m.folder}-files") if m.directory == m.generation else None
+
     def read(self, table: str) -> DataFrame:
-        """The merged view: private rows and what shows of the base."""
-        if table == "repos":
-            return self.own.read("repos")
-        base_files, private = self.base.read("files"), self.own.read("files")
+        """The merged view: private rows and what shows of the base.  With a directory that is one semi join for symbols
+        and references, and none for files; without one, the masks are merged again."""
         m = self.own.manifest()
-        if table == "files" and m.directory == m.generation and m.base_identity == self.identity():
-            # the resolved directory of this very generation stands beside it
-            return self.spark.read.schema(FILES).parquet(f"{self.own.root}/{m.folder}-files")
+        if table == "repos" or not m.base:
+            return self.own.read(table)
+        if m.base_identity != self.identity():
+            raise RuntimeError("the base isn't the one that the overlay was built on; refresh it")
+        directory = self.directory()
+        if table == "files" and directory is not None:
+            return directory
+        base_files, private = self.base.read("files"), self.own.read("files")
         if table == "files":
             return overlay.merged_files(base_files, private, self.state(), repo_id(self.config.repos[0].name))
         key = "symbol_id" if table == "symbols" else "ref_id"
-        return overlay.merged_rows(self.base.read(table), self.own.read(table), overlay.visible_base(base_files, private, self.state()), key)
+        shown = overlay.visible_base(base_files, private, self.state()) if directory is None else directory.where("file_id < 0").select((-F.col("file_id")).alias("file_id"))
+        return overlay.merged_rows(self.base.read(table), self.own.read(table), shown, key)
 
     def manifest(self):
         return self.own.manifest()

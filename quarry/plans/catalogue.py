@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -419,6 +419,24 @@ def savings_rollup(spark, d):
     return rollups.savings(log(spark, d))
 
 
+FOLDERS = """rows AS (SELECT 'srv_' || event_type || '_' || user_id % 4 AS folder, event_id AS seq, CASE WHEN user_id % 4 = 3 THEN NULL WHEN event_id % 3 = 0 THEN '' ELSE event_type || event_id % 5 END AS repo, user_id AS session, epoch_us(ts) // 1000000 AS ts, 1 AS calls,
+  CAST(floor(value * 10) AS BIGINT) AS avoided, CAST(floor(value) AS BIGINT) AS returned, CAST(floor(value * 10) AS BIGINT) - CAST(floor(value) AS BIGINT) AS saved FROM events),
+earlier AS (SELECT 'srv_' || event_type || '_' || user_id % 5 AS folder, max(epoch_us(ts) // 1000000) + 7 AS ts, count(*) AS calls, sum(CAST(floor(value) AS BIGINT)) AS avoided, count(*) * 2 AS returned, count(*) * 3 AS saved FROM events GROUP BY ALL)"""
+
+
+@register("savings_folders", f"""WITH {FOLDERS}, both_ AS (SELECT folder, session, ts, calls, avoided, returned, saved FROM rows UNION ALL SELECT folder, NULL, ts, calls, avoided, returned, saved FROM earlier),
+  named AS (SELECT folder, arg_min(repo, seq) AS repo FROM rows WHERE repo <> '' GROUP BY folder)
+SELECT folder, coalesce(any_value(repo), split_part(folder, '_', -1)) AS repo, CAST(sum(calls) AS BIGINT) AS calls, CAST(sum(avoided) AS BIGINT) AS avoided, CAST(sum(returned) AS BIGINT) AS returned, CAST(sum(saved) AS BIGINT) AS saved, max(ts) AS last_ts, count(DISTINCT session) AS sessions, round(CAST(sum(saved) AS BIGINT) / 1e6 * 0.30, 9) AS usd
+FROM both_ LEFT JOIN named USING (folder) GROUP BY folder""")
+def savings_folders(spark, d):
+    e = D.table(spark, d, "events").withColumns({"folder": F.concat(F.lit("srv_"), "event_type", F.lit("_"), (F.col("user_id") % 4).cast("string")), "ts": F.unix_seconds(F.col("ts").cast("timestamp"))})
+    repo = F.when(F.col("user_id") % 4 == 3, None).when(F.col("event_id") % 3 == 0, "").otherwise(F.concat("event_type", (F.col("event_id") % 5).cast("string")))
+    rows = e.select("folder", F.col("event_id").alias("seq"), repo.alias("repo"), F.col("user_id").alias("session"), "ts", F.lit(1).cast("long").alias("calls"), F.floor(F.col("value") * 10).alias("avoided"), F.floor("value").alias("returned")).withColumn("saved", F.col("avoided") - F.col("returned"))
+    own = e.withColumn("folder", F.concat(F.lit("srv_"), "event_type", F.lit("_"), (F.col("user_id") % 5).cast("string"))).groupBy("folder")
+    earlier = own.agg((F.max("ts") + 7).alias("ts"), F.count("*").alias("calls"), F.sum(F.floor("value")).alias("avoided"), (F.count("*") * 2).alias("returned"), (F.count("*") * 3).alias("saved"))
+    return rollups.savings_by_folder(rows, earlier)
+
+
 @register("savings_global", f"WITH {LOG} SELECT CAST(sum(calls) AS BIGINT) AS calls, CAST(sum(saved) AS BIGINT) AS saved, count(*) AS repos FROM rolled WHERE calls > 0")
 def savings_global(spark, d):
     return rollups.savings_overall(rollups.savings(log(spark, d)))
@@ -616,11 +634,20 @@ def distinct_in_order(spark, d):
     return lookup.first_of_each(D.symbols(spark, d), "kind", "symbol_id").select(F.col("kind").alias("value"), "first")
 
 
-@register("worktree_names", "SELECT source || CASE WHEN row_number() OVER (PARTITION BY lang ORDER BY source) > 1 THEN '@' || row_number() OVER (PARTITION BY lang ORDER BY source) ELSE '' END AS name FROM (SELECT DISTINCT source, lang FROM documents)")
+@register("worktree_names", """SELECT lang AS repo, path, CASE WHEN often = 1 THEN name WHEN k = 1 THEN name || '@' || id ELSE name || '@' || id || '@' || k END AS name
+FROM (SELECT *, count(*) OVER (PARTITION BY lang, name) AS often, row_number() OVER (PARTITION BY lang, name, id ORDER BY path) AS k FROM (SELECT DISTINCT lang, source AS path, 'c' || length(source) AS name, right(source, 1) AS id FROM documents))""")
 def worktree_names(spark, d):
-    n = F.row_number().over(Window.partitionBy("lang").orderBy("source"))
-    own = D.table(spark, d, "documents").select("source", "lang").distinct().withColumn("n", n)
-    return own.select(F.when(F.col("n") > 1, F.concat("source", F.lit("@"), F.col("n").cast("string"))).otherwise(F.col("source")).alias("name"))
+    """The languages stand for repositories and their sources for checkouts, a bounded number each."""
+    from ..sources.worktrees import named
+
+    def run(rows):
+        rows = rows.sort_values("path")
+        found = named(list(rows[["path", "name", "id"]].itertuples(index=False, name=None)))
+        return rows[["repo", "path"]].assign(name=[c.name for c in found])
+
+    own = D.table(spark, d, "documents").select(F.col("lang").alias("repo"), F.col("source").alias("path")).distinct()
+    own = own.withColumns({"name": F.concat(F.lit("c"), F.length("path").cast("string")), "id": F.right("path", F.lit(1))})
+    return own.groupBy("repo").applyInPandas(run, "repo string, path string, name string")
 
 
 @register("relative_paths", "SELECT file_id, path AS relative FROM files", "files")

@@ -78,6 +78,10 @@ class Store:
             return self.spark.createDataFrame([], TABLES[table])
         return self.spark.read.schema(TABLES[table]).parquet(f"{self.root}/{m.folder}/{table}")
 
+    def holds(self, table: str, manifest: Manifest) -> bool:
+        """Are the table's files there?"""
+        return self._fs.exists(self._path(f"{self.root}/{manifest.folder}/{table}"))
+
     def publish(self, tables: dict[str, DataFrame], folder: str | None = None, **more) -> Manifest:
         """Write the tables as the next generation and point to it."""
         old = self.manifest()

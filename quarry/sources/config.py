@@ -67,6 +67,41 @@ def allowed_languages(asked: list[str], repo: Repo | None, config: Config) -> li
     return list(chosen)
 
 
+#: Folders of a root that hold commands and settings of agents, and folders below them that are passed over.
+AGENT_FOLDERS = (".claude", ".codex", ".gemini", ".quarry")
+PASSED_OVER = ("target", "node_modules", ".git")
+
+
+def command_uses(root: str, command: str, files: tuple[str, ...] = ()) -> int:
+    """How often the agents' folders of a root, and further files, name a command in one of four ways.  Links aren't
+    followed, hidden entries (but for our own folder) are passed over, and what can't be read as UTF-8 counts nothing.
+    These folders are settings beside the driver, not data."""
+    needles = (f"quarry {command}", f"/{command}", f"${command}", f'"command":"{command}"')
+
+    def uses(path: str) -> int:
+        try:
+            with open(path, encoding="utf-8", newline="") as f:
+                text = f.read()
+        except (OSError, UnicodeDecodeError):
+            return 0
+        return sum(text.count(n) for n in needles)
+
+    def wanted(name: str) -> bool:
+        return name not in PASSED_OVER and (not name.startswith(".") or name == ".quarry")
+
+    total = sum(uses(f) for f in files)
+    for top in (os.path.join(root, name) for name in AGENT_FOLDERS):
+        if os.path.islink(top):
+            continue
+        if os.path.isfile(top):
+            total += uses(top)
+        for folder, below, names in os.walk(top):
+            below[:] = [b for b in below if wanted(b)]
+            own = (os.path.join(folder, n) for n in names if wanted(n))
+            total += sum(uses(p) for p in own if os.path.isfile(p) and not os.path.islink(p))
+    return total
+
+
 def append_log(path: str, row: dict) -> None:
     with open(path, "a", encoding="utf-8") as f:
         f.write(json.dumps(row, separators=(",", ":"), ensure_ascii=False) + "\n")

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+from collections import Counter
 from dataclasses import dataclass
+from itertools import chain, count
 
 
 @dataclass(frozen=True)
@@ -53,15 +55,13 @@ def discover(root: str) -> list[Checkout]:
 
 
 def named(found: list[tuple[str, str, str]]) -> list[Checkout]:
-    """(path, name, id): a name that is taken gets ``@id``, and then a number."""
+    """(path, name, id): checkouts that share a name all get ``@id``; what still is taken then gets a number from 2 on."""
+    often = Counter(name for _, name, _ in found)
     taken: set[str] = set()
     out = []
     for path, name, own in found:
-        choice = name if name not in taken else f"{name}@{own or 'main'}"
-        n = 2
-        while choice in taken:
-            choice = f"{name}@{n}"
-            n += 1
+        base = name if often[name] == 1 else f"{name}@{own or 'main'}"
+        choice = next(c for c in chain([base], (f"{base}@{n}" for n in count(2))) if c not in taken)
         taken.add(choice)
         out.append(Checkout(choice, path))
     return out

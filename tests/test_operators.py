@@ -146,6 +146,8 @@ def test_worktrees(tmp_path):
     for start in ("main", "alpha"):
         assert [c.name for c in discover(str(tmp_path / start))] == ["alpha", "main"]
     assert [c.name for c in named([("/a/x", "x", "1"), ("/b/x", "x", "2"), ("/c/x", "x", "2")])] == ["x", "x@2", "x@2"] or [c.name for c in named([("/a/x", "x", "1"), ("/b/x", "x", "2"), ("/c/x", "x", "2")])][2] != "x@2"
+    assert [c.name for c in named([("/a/x", "x", "1"), ("/b/x", "x", "2"), ("/c/x", "x", "2"), ("/d/y", "y", "")])] == ["x@1", "x@2", "x@2@2", "y"]
+    assert [c.name for c in named([("/a/x", "x", ""), ("/b/x", "x", "main"), ("/c/x@main", "x@main", "3")])] == ["x@main", "x@main@2", "x@main@3"]
     with pytest.raises(ValueError):
         selected(discover(str(tmp_path / "main")), "nope")
     assert discover(str(tmp_path)) == []
@@ -208,6 +210,77 @@ def test_overlay_follows_a_sequence(spark, tmp_path):
     assert check() == 0
 
 
+def rows_of(frame, *columns):
+    return sorted(tuple(r) for r in frame.select(*columns).collect())
+
+
+def test_overlay_directory_and_recovery(spark, tmp_path):
+    """Reads with and without the directory agree; a base that is gone, replaced or old makes the checkout stand alone."""
+    import shutil
+
+    from quarry.model import InvalidArguments
+    from quarry.plans.build import Builder, Overlay
+    from quarry.plans.store import Store
+    from quarry.sources.config import Config, Repo
+
+    tree = {"a.py": "def one():\n    return 1\n", "b.py": "def two():\n    return one()\n", "c.py": "def three(): pass\n"}
+    store = lambda n: (os.makedirs(tmp_path / n, exist_ok=True), Store(spark, "file://" + str(tmp_path / n)))[1]
+    columns = {"files": ["path", "sha"], "symbols": ["name", "kind", "start_row"], "refs": ["name", "context", "start_row"]}
+    main, alpha = Config([Repo("main", str(tmp_path / "main"))]), Config([Repo("alpha", str(tmp_path / "alpha"))])
+    write_tree(tmp_path / "main", tree)
+    write_tree(tmp_path / "alpha", tree | {"b.py": "def deux():\n    return one()\n"})
+
+    def derived(name, before):
+        base = store("base-" + name)
+        Builder(spark, base, main).build()
+        over = Overlay(spark, base, store("over-" + name), alpha)
+        assert over.refresh()
+        seen = {t: rows_of(over.read(t), *c) for t, c in columns.items()}
+        if before:
+            m = json.loads(over.own._text("CURRENT"))
+            over.own._write("CURRENT", json.dumps(m | {"directory": 0}))
+            assert over.directory() is None and seen == {t: rows_of(over.read(t), *c) for t, c in columns.items()}
+            over.own._write("CURRENT", json.dumps(m))
+        return base, over, seen
+
+    def alone(over, seen):
+        assert over.refresh() and over.manifest().base == "" and over.read("files").where("file_id < 0").count() == 0
+        assert seen == {t: rows_of(over.read(t), *c) for t, c in columns.items()}
+        assert not over.refresh() and over.directory() is None
+
+    base, over, seen = derived("gone", True)
+    with pytest.raises(InvalidArguments):
+        Overlay(spark, base, over.own, Config([Repo("beta", str(tmp_path / "alpha"))])).refresh(prune=False)
+    assert over.manifest().base and not over.refresh()
+    shutil.rmtree(tmp_path / "base-gone")
+    alone(over, seen)
+
+    base, over, seen = derived("replaced", False)
+    write_tree(tmp_path / "main", {"d.py": "def four(): pass\n"})
+    Builder(spark, base, main).build()
+    with pytest.raises(RuntimeError, match="refresh"):
+        over.read("files")
+    alone(over, seen)
+
+    base, over, seen = derived("old", False)
+    base._write("CURRENT", json.dumps(json.loads(base._text("CURRENT")) | {"schema_version": 4}))
+    alone(over, seen)
+
+
+def test_savings_of_folders_and_command_uses(spark, tmp_path):
+    from quarry.sources.config import command_uses
+
+    log = spark.createDataFrame([("h_x", 2, "late", 1, 9, 1, 5, 1, 4), ("h_x", 1, "", 1, 3, 1, 5, 1, 4), ("h_x", 3, "x", 2, 4, 2, 0, 0, 0), ("g_y", 1, None, None, 1, 1, 1, 1, 1)], "folder string, seq long, repo string, session long, ts long, calls long, avoided long, returned long, saved long")
+    earlier = spark.createDataFrame([("h_x", 20, 10, 1, 1, 1000), ("only_z", 7, 1, 2, 3, 4)], "folder string, ts long, calls long, avoided long, returned long, saved long")
+    found = {r.folder: (r.repo, r.calls, r.avoided, r.returned, r.saved, r.last_ts, r.sessions) for r in rollups.savings_by_folder(log, earlier).collect()}
+    assert found == {"h_x": ("late", 14, 11, 3, 1008, 20, 2), "g_y": ("y", 1, 1, 1, 1, 1, 0), "only_z": ("z", 1, 2, 3, 4, 7, 0)}
+    assert rollups.savings_by_folder(log.limit(0), earlier.limit(0)).count() == 0
+    write_tree(tmp_path, {".claude/a.md": "/find $find quarry find find", ".claude/.hidden/x": "/find", ".claude/target/x": "/find", ".quarry/log": '{"command":"find"}', ".quarry/b.bin": b"\xff/find", ".gemini": "$find", "other/x": "/find", "more": "/find"})
+    os.symlink(tmp_path / "other", tmp_path / ".codex")
+    os.symlink(tmp_path / "other/x", tmp_path / ".claude/link")
+    assert command_uses(str(tmp_path), "find") == 5 and command_uses(str(tmp_path), "find", (str(tmp_path / "more"), str(tmp_path / "none"))) == 6
+
+
 def test_store_and_old_schema(spark, make_index):
     nav, builder, _ = make_index({"a": {"x.py": "def f(): pass\n"}})
     m = json.loads(nav.index._text("CURRENT"))
