@@ -256,6 +256,42 @@ FROM body LEFT JOIN sums ON sums.rid = body.rid LEFT JOIN best ON best.rid = bod
 """
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .filter_audit import audited, masks
+
+    return audited(masks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
+QUERIES["op13_filter_audit"] = op13_filter_audit
+# step by step over every document, instead of differences of subsets
+SQL["op13_filter_audit"] = r"""
+WITH RECURSIVE t AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM t),
+lab AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id),
+f AS (
+  SELECT rid, part, coalesce(quality, 0) = 1 AS good, coalesce(toxic, 0) = 1 AS bad,
+    concat(CASE WHEN len(words) < 200 THEN 'A' END, CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 'B' END,
+      CASE WHEN 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 2 * length(text) THEN 'C' END, CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' END,
+      CASE WHEN w.doc_id > min(w.doc_id) OVER (PARTITION BY text) THEN 'E' END) AS fails
+  FROM w LEFT JOIN lab ON lab.doc_id = w.doc_id),
+g AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (bad) AS toxic FROM f GROUP BY part, fails),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT x AS o FROM l UNION ALL SELECT o || x FROM o JOIN l ON NOT contains(o, x)),
+s AS (SELECT o.o, k, substring(o.o, k, 1) AS x, substring(o.o, 1, k - 1) AS before FROM o, unnest(range(1, 6)) AS r(k) WHERE length(o.o) = 5),
+a AS (
+  SELECT part, s.o, k, x, n, good, toxic, contains(fails, x) AS hit, fails = x AS only_,
+    EXISTS (SELECT 1 FROM l WHERE contains(before, l.x) AND contains(fails, l.x)) AS gone
+  FROM g, s),
+r AS (
+  SELECT part, o, k, x, coalesce(sum(n) FILTER (NOT gone AND NOT hit), 0) AS kept, coalesce(sum(n) FILTER (NOT gone AND hit), 0) AS removed, coalesce(sum(n) FILTER (gone AND hit), 0) AS redundant,
+    coalesce(sum(n) FILTER (only_), 0) AS unique_fails, coalesce(sum(good) FILTER (NOT gone AND hit), 0) AS good_lost, coalesce(sum(toxic) FILTER (NOT gone AND hit), 0) AS toxic_lost
+  FROM a GROUP BY part, o, k, x)
+SELECT part, o AS filter_order, CAST(k AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, x) AS BIGINT) AS shapley
+FROM r
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
