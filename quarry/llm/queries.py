@@ -256,6 +256,30 @@ FROM body LEFT JOIN sums ON sums.rid = body.rid LEFT JOIN best ON best.rid = bod
 """
 
 
+def op11_block_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .search import search
+
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).withColumnRenamed("item", "item_id")
+
+
+QUERIES["op11_block_max"] = op11_block_max
+SQL["op11_block_max"] = r"""
+WITH b AS (SELECT row_number() OVER () AS q, item_id, text FROM benchmark),
+d AS (SELECT row_number() OVER () AS rid, doc_id, text FROM documents),
+dt AS (SELECT rid, doc_id, unnest(list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '')) AS term FROM d),
+bt AS (SELECT q, item_id, unnest(list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '')) AS term FROM b),
+tf AS (SELECT rid, doc_id, term, count(*) AS tf FROM dt GROUP BY ALL),
+s AS (SELECT count(DISTINCT rid) AS n_docs, CAST(count(*) AS BIGINT) AS n_terms FROM dt),
+m AS (SELECT rid, 75 + (25 * count(*) * any_value(n_docs)) // any_value(n_terms) AS m FROM dt, s GROUP BY rid),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, s GROUP BY term),
+x AS (
+  SELECT q, item_id, tf.rid, tf.doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS score
+  FROM bt JOIN tf ON tf.term = bt.term JOIN m ON m.rid = tf.rid JOIN w ON w.term = bt.term GROUP BY q, item_id, tf.rid, tf.doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, CAST(score AS BIGINT) AS score
+FROM x WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) <= 20
+"""
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .filter_audit import audited, masks
 
