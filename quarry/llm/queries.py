@@ -280,6 +280,17 @@ FROM x WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY q ORDER BY score
 """
 
 
+def op12_neighbour_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import LEAST_SCORE, fitted, held_out, scored
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    space = fitted(docs, table(spark, sf_dir, "labels"), learn=~held_out())
+    return scored(docs, space).select("doc_id", held_out().alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= LEAST_SCORE).cast("int").alias("predicted"))
+
+
+QUERIES["op12_neighbour_votes"] = op12_neighbour_votes
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .filter_audit import audited, masks
 
