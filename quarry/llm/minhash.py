@@ -173,6 +173,18 @@ GROUP = ["key", "i", "j"]
 PLACED = "key long, i int, j int, left boolean, minor boolean, band int, node long, comp long, _n long, _bands array<long>, _sketch array<long>"
 
 
+def dealt_out(at: DataFrame, top: DataFrame) -> DataFrame:
+    """The members of each bucket in pairs of blocks (key, i, j).  They are dealt out by all three: after the join with
+    ``top`` the rows of a bucket lie together, which is enough for a grouping by (key, i, j), so that without an exchange
+    of its own every pair of blocks of a large bucket would be compared in one task."""
+    at = at.join(top, "key").withColumn("minor", F.col("comp") != F.col("top"))
+    spot = F.xxhash64(F.lit(3), "node")
+    rest = ["minor", "band", "node", "comp", "_n", "_bands", "_sketch"]
+    left = at.where("minor").select("key", F.pmod(spot, "few").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("all") - 1)).alias("j"), F.lit(True).alias("left"), *rest)
+    right = at.select("key", F.explode(F.sequence(F.lit(0), F.col("few") - 1)).alias("i"), F.pmod(spot, "all").cast("int").alias("j"), F.lit(False).alias("left"), *rest)
+    return left.unionByName(right).repartition(*GROUP)
+
+
 def settled(at: DataFrame, texts: DataFrame, n: int, percent: int, limit: int) -> DataFrame:
     """Links (a, b) that join all components of each bucket whose members are similar.  at: (band, key, node, comp, _n, _bands,
     _sketch) of buckets with several components."""
@@ -180,12 +192,7 @@ def settled(at: DataFrame, texts: DataFrame, n: int, percent: int, limit: int) -
     top = top.agg(F.max_by("comp", F.struct("m", "comp")).alias("top"), F.sum("m").alias("m"), F.sum("w").alias("w"), F.max("m").alias("tm"), F.max_by("w", F.struct("m", "comp")).alias("tw"))
     parts = lambda m, w: F.greatest(F.lit(1), F.ceil(F.col(m) / BLOCK), F.ceil(F.col(w) / HEAVY)).cast("int")
     top = materialize(top.withColumns({"m1": F.col("m") - F.col("tm"), "w1": F.col("w") - F.col("tw")}).select("key", "top", parts("m", "w").alias("all"), parts("m1", "w1").alias("few")), "tops")
-    at = at.join(top, "key").withColumn("minor", F.col("comp") != F.col("top"))
-    spot = F.xxhash64(F.lit(3), "node")
-    rest = ["minor", "band", "node", "comp", "_n", "_bands", "_sketch"]
-    left = at.where("minor").select("key", F.pmod(spot, "few").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("all") - 1)).alias("j"), F.lit(True).alias("left"), *rest)
-    right = at.select("key", F.explode(F.sequence(F.lit(0), F.col("few") - 1)).alias("i"), F.pmod(spot, "all").cast("int").alias("j"), F.lit(False).alias("left"), *rest)
-    both = left.unionByName(right)
+    both = dealt_out(at, top)
 
     def some(group: pa.Table) -> pa.Table:
         i, j, _ = candidates(group, percent, limit)

@@ -104,3 +104,24 @@ def test_symbols_of_long_turns(spark, tmp_path):
     rows = {r.symbol_id: (r.file_id, r.start_row) for r in found if r.kind == "line"}
     up = {r.symbol_id: r.parent_id for r in catalogue.QUERIES["outline_parent"](spark, str(tmp_path)).collect()}
     assert all(turns[up[i]][0] == f and turns[up[i]][1] <= row <= turns[up[i]][2] for i, (f, row) in rows.items())
+
+
+def test_blocks_of_a_bucket_are_dealt_out(spark):
+    """Also where the bucket's rows already lie together: a plan without an exchange by (key, i, j) compares them in one task."""
+    import re
+
+    from quarry.llm import minhash as m
+
+    at = spark.range(3000).selectExpr("1L AS key", "0 AS band", "id AS node", "id % 7 AS comp", "9L AS _n", "array(1L) AS _bands", "array(1L) AS _sketch")
+    top = spark.createDataFrame([(1, 0, 12, 11)], "key long, top long, all int, few int")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        both = m.dealt_out(at, top)
+        grouped = both.groupBy(*m.GROUP).applyInArrow(lambda t: t, both.schema)
+        plan = grouped._jdf.queryExecution().executedPlan().toString()
+        above = plan[: plan.index("Union")]
+        assert re.search(r"Exchange hashpartitioning\(key#\d+L?, i#\d+, j#\d+", above)
+        assert both.groupBy(*m.GROUP).count().count() == 12 * 11
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
