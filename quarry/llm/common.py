@@ -53,7 +53,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     finally:
         spark.conf.set(BATCH, before) if before else spark.conf.unset(BATCH)
     spark.sparkContext._jvm.System.gc()  # lets Spark remove the shuffle files that this table replaces
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove scratch tables, as ``materialize`` gave them, that nothing reads any more: what came of them is written."""
+    for df in tables:
+        place = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df._scratch)
+        place.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 ROW, TEXT = "_row_in", "_text_in"

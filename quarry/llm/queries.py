@@ -15,8 +15,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix_array import deduplicated
 
-    found = deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
-    return found.select("doc_id", F.col("_n_bytes").alias("n_bytes"), F.col("_n_removed").alias("n_removed"), F.col("_n_spans").alias("n_spans"), F.col("_sha").alias("kept_sha256"))
+    found = deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False, passages=True)
+    return found.select("doc_id", F.col("_n_bytes").alias("n_bytes"), F.col("_n_removed").alias("n_removed"), F.col("_n_spans").alias("n_spans"), F.col("_sha").alias("kept_sha256"), F.col("_n_shared").alias("n_shared_words"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_suffix_array": op1_suffix_array}
@@ -33,9 +33,14 @@ gaps AS (
   SELECT rid, a, b, coalesce(lag(b) OVER (PARTITION BY rid ORDER BY a), 0) AS before FROM spans
   UNION ALL SELECT d.rid, n, n, coalesce(m, 0) FROM d LEFT JOIN (SELECT rid, max(b) AS m FROM spans GROUP BY rid) t ON t.rid = d.rid),
 kept AS (SELECT d.rid, string_agg(substring(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS h FROM gaps JOIN d ON d.rid = gaps.rid GROUP BY d.rid),
-removed AS (SELECT rid, sum(b - a) AS r, count(*) AS s FROM spans GROUP BY rid)
-SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(r, 0) AS BIGINT) AS n_removed, CAST(coalesce(s, 0) AS BIGINT) AS n_spans, sha256(unhex(kept.h)) AS kept_sha256
-FROM d JOIN kept ON kept.rid = d.rid LEFT JOIN removed ON removed.rid = d.rid
+removed AS (SELECT rid, sum(b - a) AS r, count(*) AS s FROM spans GROUP BY rid),
+t AS (SELECT rid, list_filter(regexp_split_to_array(decode(unhex(h)), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words FROM d),
+passage AS (SELECT rid, p, md5_number(array_to_string(words[p:p + 49], ' ')) AS m FROM (SELECT rid, words, unnest(range(1, len(words) - 48)) AS p FROM t WHERE len(words) >= 50)),
+shared AS (SELECT rid, p FROM passage QUALIFY min(rid) OVER (PARTITION BY m) <> max(rid) OVER (PARTITION BY m)),
+covered AS (SELECT rid, count(DISTINCT q) AS w FROM (SELECT rid, unnest(range(p, p + 50)) AS q FROM shared) GROUP BY rid)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(r, 0) AS BIGINT) AS n_removed, CAST(coalesce(s, 0) AS BIGINT) AS n_spans, sha256(unhex(kept.h)) AS kept_sha256,
+  CAST(coalesce(w, 0) AS BIGINT) AS n_shared_words
+FROM d JOIN kept ON kept.rid = d.rid LEFT JOIN removed ON removed.rid = d.rid LEFT JOIN covered ON covered.rid = d.rid
 """
 
 

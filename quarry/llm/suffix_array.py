@@ -8,7 +8,7 @@ text at every doubling.  Here the early rounds send one name for each run of
 windows that share their smallest name (a minimizer): equal windows have equal
 smallest names, so a window whose smallest name is unique is itself unique.
 
-1. Rounds of growing length (100, 200) drop the windows that are unique.
+1. Rounds of growing length (100, 200; with words only half of the length) drop the windows that are unique.
 2. What is left is cut into chunks of windows with the same smallest name of 352
    bytes.  A chunk whose whole context occurs twice is repeated throughout.
 3. Other chunks, and one chunk of each repeated context with the same smallest
@@ -39,13 +39,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_CODE, TEXT, U64, WS, blobs, class_bounds, found_in, groups_of, materialize, mix, pack, pair, powers, ranges, sliding, span_hashes, unpack
+from .common import BYTE_CODE, TEXT, U64, WS, blobs, class_bounds, discard, found_in, groups_of, materialize, mix, pack, pair, powers, ranges, sliding, span_hashes, unpack
 
 LENGTH = 400
 #: Of a passage, in words.
 PASSAGE = 50
 #: Names, and bytes of kept text, that are given to Spark at once.
 FLUSH, FLUSH_BYTES = 1 << 17, 4 << 20
+#: Of 400ths of the length, the names of each round; words are few, so one round does.
+ROUNDS = {"byte": (100, 200), "word": (200,)}
 #: Symbols of the first names.
 FIRST = 25
 #: Windows that are looked at together, for bounded memory with very long texts.
@@ -255,15 +257,19 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, un
     its key, the removed runs (array of start and end byte), the words in them (0 for bytes), the bytes kept and their SHA-256."""
     if length < 4:
         raise ValueError("length must be 4 or more")
-    rounds, chunk = [length * share // 400 or 1 for share in (100, 200)], max((length + 1) // 2, length * 352 // 400)
+    rounds, chunk = [length * share // 400 or 1 for share in ROUNDS[unit]], max((length + 1) // 2, length * 352 // 400)
     all_texts = keyed(docs.select(F.col(text).alias("_t")), "_t").where(F.octet_length("_t") >= least_bytes(length, unit))
     texts = all_texts
-    for k, size in enumerate(dict.fromkeys(rounds)):
-        hits = survivors(refine(texts, size, length, unit), ["_name"], KEY, "_name", "_known", across)
+    sizes = list(dict.fromkeys(rounds))
+    for k, size in enumerate(sizes):
+        seen = refine(texts, size, length, unit)
+        hits = survivors(seen, ["_name"], KEY, "_name", "_known", across)
         # copies become one text before they are shuffled
         one = texts if k else texts.groupBy(*KEY).agg(F.first("_t").alias("_t"))
-        texts = materialize(narrowed(one.join(hits, KEY), size, length, unit), "texts")
-    texts = materialize(texts.withColumn("_u", F.monotonically_increasing_id()), "texts")
+        left = narrowed(one.join(hits, KEY), size, length, unit)
+        new = materialize(left.withColumn("_u", F.monotonically_increasing_id()) if size == sizes[-1] else left, "texts")
+        discard(seen, *[texts] * (k > 0))
+        texts = new
 
     def contexts(batches):
         def rows(batch):
@@ -337,7 +343,9 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, un
 
     found = texts.join(done.join(exact, "_u", "full"), "_u")
     result = found.mapInArrow(cut, "_k1 long, _k2 long, _spans array<struct<start:long,end:long>>, _kept binary, _sha string, _words long")
-    return materialize(result.where(F.size("_spans") > 0), "spans")
+    result = materialize(result.where(F.size("_spans") > 0), "spans")
+    discard(texts, parts, each, unclear, single)
+    return result
 
 
 SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -363,16 +371,23 @@ def cut_one(data: np.ndarray, gone: np.ndarray, unit: str) -> tuple[list[dict],
     return spans, kept, hashlib.sha256(kept).hexdigest(), words
 
 
-def deduplicated(docs: DataFrame, text: str = "text", length: int = LENGTH, keep_text: bool = True, unit: str = "byte", across: bool = False) -> DataFrame:
-    """``docs`` with _n_bytes, _n_removed, _n_spans, _sha and, if asked for, _kept (binary).
+def deduplicated(docs: DataFrame, text: str = "text", length: int = LENGTH, keep_text: bool = True, unit: str = "byte", across: bool = False, passages: bool = False) -> DataFrame:
+    """``docs`` with _n_bytes, _n_removed, _n_spans, _sha and, if asked for, _kept (binary) and _n_shared: how many words of
+    the input lie in strings of ``PASSAGE`` words that stand in another row too, whatever is removed.
 
     A text of which there are copies is removed as a whole (with words, from its first to its last).  The rows of
     ``docs`` are joined to the distinct texts through plain exchanges on both sides, so that a hot text can be split."""
     packed = pack(docs, text)
     spans = repeated_spans(packed, TEXT, length, unit, across)
-    copies = materialize(keyed(packed.where(F.octet_length(TEXT) >= least_bytes(length, unit)).select(TEXT), TEXT).groupBy(*KEY).count().where("count > 1").select(*KEY), "copies")
+    least = min(least_bytes(length, unit), least_bytes(PASSAGE, "word")) if passages else least_bytes(length, unit)
+    words = F.regexp_count(TEXT, F.lit(WORD)).cast("long") if passages else F.lit(None)
+    copies = keyed(packed.where(F.octet_length(TEXT) >= least).select(TEXT, F.octet_length(TEXT).alias("_l"), words.alias("_w")), TEXT).groupBy(*KEY).agg(F.count("*").alias("n"), F.first("_w").alias("_w"), F.first("_l").alias("_l"))
+    copies = materialize(copies.where("n > 1").select(*KEY, (F.col("_l") >= least_bytes(length, unit)).alias("_all"), "_w"), "copies")
     cut = spans.select(*KEY, F.size("_spans").cast("long").alias("_s"), F.aggregate("_spans", F.lit(0).cast("long"), lambda a, x: a + x.end - x.start).alias("_r"), F.col("_sha").alias("_h"), *([F.col("_kept").alias("_b")] if keep_text else []))
-    change = materialize(copies.withColumn("_all", F.lit(True)).join(cut, KEY, "full"), "changes")
+    change = copies.join(cut, KEY, "full")
+    if passages:
+        change = change.join(repeated_spans(packed, TEXT, PASSAGE, "word", True).select(*KEY, F.col("_words").alias("_p")), KEY, "full")
+    change = materialize(change, "changes")
     size = F.coalesce(F.octet_length(TEXT), F.lit(0)).cast("long")
     full = F.coalesce("_all", F.lit(False))
     left, gone = F.lit(""), F.col("_n_bytes")
@@ -389,6 +404,9 @@ def deduplicated(docs: DataFrame, text: str = "text", length: int = LENGTH, keep
         "_sha": F.when(full, F.sha2(left.cast("binary"), 256)).otherwise(F.coalesce("_h", "_own")),
     })
     added = ["_n_bytes", "_n_removed", "_n_spans", "_sha"]
+    if passages:
+        out = out.withColumn("_n_shared", F.coalesce(F.when(F.col("_w") >= PASSAGE, F.col("_w")).otherwise(F.col("_p")), F.lit(0).cast("long")))
+        added.append("_n_shared")
     if keep_text:
         out = out.withColumn("_kept", F.when(full, left.cast("binary")).otherwise(F.coalesce("_b", F.col(TEXT).cast("binary"))))
         added.append("_kept")

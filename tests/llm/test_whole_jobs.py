@@ -125,3 +125,30 @@ def test_blocks_of_a_bucket_are_dealt_out(spark):
         assert both.groupBy(*m.GROUP).count().count() == 12 * 11
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_words_in_shared_passages(spark):
+    """Of strings of 50 words that stand in another row; by definition."""
+    from quarry.llm.suffix_array import deduplicated
+
+    word = lambda: R.choice("abcdefgh") + str(R.randint(0, 400))
+    passage = [word() for _ in range(61)]
+    texts = [" ".join(word() for _ in range(R.randint(0, 90))).split() for _ in range(40)]
+    texts += [t[:k] + passage[a:b] + t[k:] for t, k, a, b in ((texts[1], 3, 0, 61), (texts[2], 0, 0, 61), (texts[3], 5, 11, 61), (texts[4], 0, 12, 61), (texts[5], 2, 0, 50))]
+    texts += [texts[40]] * 2 + [passage * 3, ["x"] * 200, ["x"] * 49, ["y"] * 120]
+    rows = [(i, R.choice([" ", "\n", "  "]).join(t), "c") for i, t in enumerate(texts)] + [(900, None, "c"), (901, "", "c"), (902, "z " * 300_000, "c"), (903, "z " * 60, "c")]
+    at = {}
+    lists = [(t or "").split() for _, t, _ in rows]
+    for i, w in enumerate(lists):
+        for p in range(len(w) - 49):
+            at.setdefault(tuple(w[p : p + 50]), set()).add(i)
+    expected = {}
+    for i, w in enumerate(lists):
+        own, end = 0, 0
+        for p in range(len(w) - 49):
+            if len(at[tuple(w[p : p + 50])]) > 1:
+                own, end = own + p + 50 - max(p, end), p + 50
+        expected[rows[i][0]] = own
+    found = {r.doc_id: r for r in deduplicated(spark.createDataFrame(rows, "doc_id long, text string, _words string").repartition(3), keep_text=False, passages=True).collect()}
+    assert {i: r._n_shared for i, r in found.items()} == expected and all(r._words == "c" for r in found.values())
+    assert sum(v > 0 for v in expected.values()) > 8 and found[903]._n_shared == 60
