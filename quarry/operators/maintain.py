@@ -93,6 +93,15 @@ def vanished(stored: DataFrame, resolved: DataFrame) -> DataFrame:
     return stored.join(resolved.select(*KEY), KEY, "left_anti")
 
 
+def below(files: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """Files at or below one of the prefixes (repo_id, prefix; the empty one is the whole repository).  A file is joined to its
+    own prefixes, by equality, so that many changed paths are one join and no long condition."""
+    parts = F.split("path", "/")
+    own = F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/")))
+    hit = files.select("repo_id", "path", F.explode(own).alias("prefix")).join(prefixes.select("repo_id", "prefix").distinct(), ["repo_id", "prefix"]).select("repo_id", "path").distinct()
+    return files.join(hit, ["repo_id", "path"], "left_semi")
+
+
 def owning_repo(paths: DataFrame, repos: DataFrame) -> DataFrame:
     """The repository with the deepest root above each path.  A path is joined to its own prefixes, by equality."""
     parts = F.split("path", "/")

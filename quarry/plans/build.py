@@ -1,8 +1,9 @@
 """Builds: full, incremental and of changed paths, and overlays over a base.
 
 One left join decides what happens to each file; only files that need it reach the
-extractor; the result is merged by key into a new generation.  Nothing is written
-if nothing changed.
+extractor; the result becomes a layer above the generation, in proportion to the change, or a new
+generation where there is none or most of it changes.  Nothing is published if nothing changed.
+What a build has seen of the sources is written beside the index before it is used.
 """
 
 from __future__ import annotations
@@ -14,7 +15,6 @@ import time
 import uuid
 from dataclasses import asdict, dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +25,7 @@ from ..sources.config import Config, Repo, allowed_languages
 from ..sources.extract.symbols import extracted
 from ..sources.languages import BY_ID
 from ..sources.worktrees import discover
-from .store import TABLES, Store
+from .store import TABLES, WHOLE_SHARE, Store
 
 FINGERPRINTS = {"files": ["repo_id", "path", "language", "sha", "partial"], "symbols": ["file_id", "kind", "name", "start_row", "start_col", "end_row", "end_col"], "refs": ["file_id", "name", "start_row", "start_col", "context"]}
 
@@ -69,13 +69,13 @@ class Builder:
     def walked(self, repos: list[Repo], languages: list[str], paths: dict[str, list[str]] | None = None) -> tuple[DataFrame, DataFrame]:
         """(sources that are to be indexed, all paths that are there)."""
         spaces = [(repo_id(r.name), self.workspace(r, allowed_languages(languages, r, self.config))) for r in repos]
-        found = walk.paths(self.spark, spaces, paths).persist(StorageLevel.DISK_ONLY)
+        found = self.store.land(walk.paths(self.spark, spaces, paths), "walk")
         return walk.sources(found), found.select("repo_id", "path")
 
     def build(self, incremental: bool = True, only: str | None = None, languages: list[str] = (), prune: bool = True, whole: bool = False) -> Stats:
         repos = self.repos(only)
         force = not incremental
-        files, symbols, refs, stored_repos = (self.store.read(t) for t in ("files", "symbols", "refs", "repos"))
+        files, stored_repos = self.store.read("files"), self.store.read("repos")
         configured = self.spark.createDataFrame([(repo_id(r.name), r.name, os.path.realpath(r.root)) for r in self.config.repos], "repo_id long, name string, root_path string")
         synced = maintain.synced_repos(stored_repos, configured, prune=prune and only is None)
         synced = synced.join(configured.select("name", F.col("repo_id").alias("c_id")), "name", "left").select(F.coalesce("c_id", "repo_id").alias("repo_id"), "name", "root_path")
@@ -85,7 +85,7 @@ class Builder:
         owned = files.join(synced.select("repo_id"), "repo_id", "left_semi")
         active = sources.where(~F.col("binary") & (F.col("byte_size") <= maintain.MOST_BYTES) | ~F.col("readable"))
         staying = maintain.purged(owned, there, active, scope, built)
-        return self.merge(sources, files, staying, symbols, refs, synced, force, whole)
+        return self.merge(sources, files, files.join(staying.select("file_id"), "file_id", "left_anti"), synced, force, whole)
 
     def marker(self) -> dict:
         text = json.dumps(asdict(self.config), sort_keys=True)
@@ -117,50 +117,52 @@ class Builder:
         repos = [r for r in self.config.repos if r.name in paths]
         if not repos:
             return Stats()
-        files, symbols, refs, stored = (self.store.read(t) for t in ("files", "symbols", "refs", "repos"))
+        files, stored = self.store.read("files"), self.store.read("repos")
         sources, there = self.walked(repos, [], paths)
-        under = F.lit(False)
-        for r in repos:
-            for p in paths[r.name]:
-                below = F.lit(True) if p == "" else (F.col("path") == p) | F.col("path").startswith(p + "/")
-                under = under | ((F.col("repo_id") == repo_id(r.name)) & below)
-        gone = maintain.vanished(files.where(under), there)
-        staying = files.join(gone.select("file_id"), "file_id", "left_anti")
-        return self.merge(sources, files, staying, symbols, refs, stored, False)
-
-    def merge(self, sources: DataFrame, files: DataFrame, staying: DataFrame, symbols: DataFrame, refs: DataFrame, repos: DataFrame, force: bool, whole: bool = False) -> Stats:
-        """``whole``: publish a generation without a base, and only if every source could be read and none has changed."""
+        prefixes = self.spark.createDataFrame([(repo_id(r.name), p) for r in repos for p in paths[r.name]], "repo_id long, prefix string")
+        return self.merge(sources, files, maintain.vanished(maintain.below(files, prefixes), there), stored, False)
+
+    def merge(self, sources: DataFrame, files: DataFrame, gone: DataFrame, repos: DataFrame, force: bool, whole: bool = False) -> Stats:
+        """``gone``: stored files that go.  ``whole``: publish a generation without a base, and only if every source could be
+        read and none has changed."""
+        store = self.store
         # an older schema asks for a new extraction of everything
-        known = files.withColumn("mtime_ns", F.lit(-1).cast("long")) if self.store.outdated() else files
-        outcome = maintain.classified(sources, known, force=force).persist(StorageLevel.DISK_ONLY)
-        fresh = None
+        known = files.withColumn("mtime_ns", F.lit(-1).cast("long")) if store.outdated() else files
         try:
+            outcome = store.land(maintain.classified(sources, known, force=force), "outcome")
             counts = {r.outcome: r.n for r in maintain.build_stats(outcome).collect()}
-            fresh = extracted(outcome.where("outcome = 'indexed'").withColumn("file_id", file_id())).persist(StorageLevel.DISK_ONLY)
+            fresh = store.land(extracted(outcome.where("outcome = 'indexed'").withColumn("file_id", file_id())), "fresh")
+            lost = store.land(gone.select("file_id", F.lit(True).alias("rows")), "lost")
             failed = fresh.where("failed").count() if counts.get("indexed") else 0
-            before, after = files.count(), staying.count()
+            n_lost, m = lost.count(), store.manifest()
             stats = Stats(counts.get("indexed", 0) - failed, counts.get("touched", 0), counts.get("unchanged", 0), failed + counts.get("unreadable", 0))
-            same_repos = repos.exceptAll(self.store.read("repos")).count() == 0 and self.store.read("repos").exceptAll(repos).count() == 0
+            same_repos = repos.exceptAll(store.read("repos")).count() == 0 and store.read("repos").exceptAll(repos).count() == 0
             if whole and stats.failed:
                 return stats
-            if not whole and not stats.indexed and not stats.touched and before == after and same_repos and self.store.manifest().ready and not self.store.outdated():
+            if not whole and not stats.indexed and not stats.touched and not n_lost and same_repos and m.ready and not store.outdated():
                 return stats
             good = fresh.where("NOT failed").select("file_id", "partial", "symbols", "refs")
             new = outcome.where("outcome = 'indexed'").withColumn("file_id", file_id()).join(good.select("file_id", "partial"), "file_id").select("file_id", "repo_id", "path", "language", "sha", "mtime_ns", "byte_size", "partial")
-            merged = maintain.upserted(maintain.touched(staying, outcome.where("outcome = 'touched'")), new)
+            seen = outcome.where("outcome = 'touched'")
             s = good.select("file_id", F.explode("symbols").alias("x")).select("file_id", "x.*").withColumn("symbol_id", F.xxhash64("file_id", "kind", "name", "start_row", "start_col", "end_row", "end_col"))
             r = good.select("file_id", F.explode("refs").alias("x")).select("file_id", "x.*").withColumn("ref_id", F.xxhash64("file_id", "name", "start_row", "start_col", "context"))
+            if m.folder and not whole and not store.outdated() and WHOLE_SHARE * (stats.indexed + stats.touched + n_lost) <= store.base_files():
+                here = files.join(seen.select(*maintain.KEY), maintain.KEY, "left_semi").join(lost, "file_id", "left_anti")
+                replaced = files.join(new.select(*maintain.KEY), maintain.KEY, "left_semi").select("file_id", F.lit(True).alias("rows"))
+                hidden = lost.unionByName(replaced).unionByName(here.select("file_id", F.lit(False).alias("rows")))
+                store.publish_delta({"repos": repos, "files": maintain.touched(here, seen).unionByName(new), "symbols": s, "refs": r}, hidden)
+                return stats
+            staying = files.join(lost, "file_id", "left_anti")
+            merged = maintain.upserted(maintain.touched(staying, seen), new)
             keep = merged.select("file_id")
-            symbols = maintain.replaced_children(symbols.join(keep, "file_id", "left_semi"), new, s)
-            refs = maintain.replaced_children(refs.join(keep, "file_id", "left_semi"), new, r)
+            symbols = maintain.replaced_children(store.read("symbols").join(keep, "file_id", "left_semi"), new, s)
+            refs = maintain.replaced_children(store.read("refs").join(keep, "file_id", "left_semi"), new, r)
             if whole and (changed := overlay.changed_sources(merged, self.walked(self.config.repos, [])[0]).count()):
                 raise RuntimeError(f"{changed} sources changed while the index was built")
-            self.store.publish({"repos": repos, "files": merged, "symbols": symbols, "refs": refs}, **(STANDALONE if whole else {}))
+            store.publish({"repos": repos, "files": merged, "symbols": symbols, "refs": refs}, **(STANDALONE if whole else {}))
             return stats
         finally:
-            outcome.unpersist()
-            if fresh is not None:
-                fresh.unpersist()
+            store.sweep()
 
 
 class Overlay:
@@ -221,13 +223,14 @@ class Overlay:
         builder = Builder(self.spark, self.own, self.config)
         sources, there = builder.walked(builder.repos(), [])
         base_files = self.base.read("files")
-        outcome = maintain.classified(sources.where("readable AND NOT binary"), self.own.read("files") if m.folder else self.spark.createDataFrame([], base_files.schema), base=base_files, force=True).persist(StorageLevel.DISK_ONLY)
+        outcome = maintain.classified(sources.where("readable AND NOT binary"), self.own.read("files") if m.folder else self.spark.createDataFrame([], base_files.schema), base=base_files, force=True)
         try:
+            outcome = self.own.land(outcome, "outcome")
             reused = outcome.where("outcome = 'reused'").select("path", "mtime_ns", "byte_size", F.lit(False).alias("hidden"))
             hidden = base_files.join(sources.where("readable AND NOT binary").select("path"), "path", "left_anti").select("path", F.lit(-2).cast("long").alias("mtime_ns"), F.lit(0).cast("long").alias("byte_size"), F.lit(True).alias("hidden"))
             state = reused.unionByName(hidden)
             fresh = outcome.where("outcome IN ('indexed', 'touched', 'unchanged')").join(base_files.select("path", "language", "sha"), ["path", "language", "sha"], "left_anti").withColumn("file_id", file_id())
-            parsed = extracted(fresh).persist(StorageLevel.DISK_ONLY)
+            parsed = self.own.land(extracted(fresh), "fresh")
             if not parsed.where("failed").isEmpty():
                 return False
             new = fresh.join(parsed.select("file_id", "partial"), "file_id").select("file_id", "repo_id", "path", "language", "sha", "mtime_ns", "byte_size", "partial")
@@ -241,16 +244,12 @@ class Overlay:
                 raise RuntimeError(f"{changed} sources changed while the overlay was built")
             name = self.config.repos[0]
             repos = self.spark.createDataFrame([(repo_id(name.name), name.name, os.path.realpath(name.root))], "repo_id long, name string, root_path string")
-            state.persist(StorageLevel.DISK_ONLY)
-            state.count()
             # the masks are written first: the pointer is replaced last
             merged = overlay.merged_files(base_files, new, state, repo_id(name.name))
             published = _publish_with_state(self.own, merged, {"repos": repos, "files": new, "symbols": s, "refs": r}, state, base=self.base.root, base_identity=self.identity(), fingerprint=prints)
-            state.unpersist()
-            parsed.unpersist()
             return bool(published)
         finally:
-            outcome.unpersist()
+            self.own.sweep()
 
     def live(self) -> DataFrame:
         builder = Builder(self.spark, self.own, self.config)

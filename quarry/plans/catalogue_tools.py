@@ -224,6 +224,40 @@ def stored_generations(spark, d):
     return store.read("symbols").groupBy("kind").agg(F.count("*").alias("n")).withColumn("generation", F.lit(m.generation))
 
 
+@register("delta_merge", """, own AS (
+  SELECT file_id, CASE WHEN file_id % 60 = 0 THEN 'chat3' WHEN file_id % 20 = 1 THEN 'chat2' ELSE 'chat' END AS language,
+    CASE WHEN file_id % 60 = 0 THEN 4 WHEN file_id % 20 = 1 THEN 3 WHEN file_id % 15 = 0 THEN 2 ELSE 1 END AS mtime_ns
+  FROM symbol_files WHERE (file_id % 30 <> 0 OR file_id % 60 = 0) AND file_id % 40 <> 2),
+held AS (
+  SELECT file_id, CASE WHEN language = 'chat2' THEN name || '_v2' ELSE name END AS name, end_row FROM symbols JOIN own USING (file_id)
+  WHERE language = 'chat' OR language = 'chat2' AND kind <> 'line' OR kind = 'conversation')
+SELECT file_id, any_value(language) AS language, CAST(any_value(mtime_ns) AS BIGINT) AS mtime_ns, count(name) AS n_symbols, count(*) FILTER (ends_with(name, '_v2')) AS n_new, max(end_row) AS last_row
+FROM own LEFT JOIN held USING (file_id) GROUP BY file_id""", "symbols", "symbol_files")
+def delta_merge(spark, d):
+    """A sequence of updates (replaced, deleted, touched, added again, compacted, deleted), each a layer, read as one index."""
+    store = chat_store(spark, d)
+    none, all_rows, entry = store.read("symbols").where("false"), F.lit(True).alias("rows"), F.lit(False).alias("rows")
+    refs = store.read("refs").where("false")
+
+    def change(files: DataFrame, symbols: DataFrame, gone: DataFrame) -> None:
+        store.publish_delta({"repos": store.read("repos"), "files": files, "symbols": symbols, "refs": refs}, gone)
+
+    some = store.read("files").where("file_id % 20 = 1").withColumns({"language": F.lit("chat2"), "mtime_ns": F.lit(3)})
+    change(some, store.read("symbols").where("file_id % 20 = 1 AND kind <> 'line'").withColumn("name", F.concat("name", F.lit("_v2"))), some.select("file_id", all_rows))
+    before = store.manifest()
+    again = (store._merged(t, [before.folder]) for t in ("files", "symbols"))
+    files, symbols = (t.where("file_id % 60 = 0") for t in again)
+    change(some.where("false"), none, store.read("files").where("file_id % 30 = 0").select("file_id", all_rows))
+    seen = store.read("files").where("file_id % 15 = 0")
+    change(seen.withColumn("mtime_ns", F.lit(2)), none, seen.select("file_id", entry))
+    change(files.withColumns({"language": F.lit("chat3"), "mtime_ns": F.lit(4)}), symbols.where("kind = 'conversation'"), files.select("file_id", all_rows))
+    store.compact()
+    change(some.where("false"), none, store.read("files").where("file_id % 40 = 2").select("file_id", all_rows))
+    names = store.read("symbols").groupBy("file_id").agg(F.count("*").alias("n"), F.count_if(F.col("name").endswith("_v2")).alias("v"), F.max("end_row").alias("last_row"))
+    zero = F.lit(0).cast("long")
+    return store.read("files").join(names, "file_id", "left").select("file_id", "language", "mtime_ns", F.coalesce("n", zero).alias("n_symbols"), F.coalesce("v", zero).alias("n_new"), "last_row")
+
+
 # --- the public query operators ----------------------------------------------------------------------------------
 
 RANGES = "start_row + 1 AS first, start_col, end_row + 1 AS last, end_col"
