@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ordered
 
 def contains(row: Column, col: Column | None = None, prefix: str = "") -> Column:
     """Rows include the last one; with a column the end is exclusive."""
@@ -122,14 +123,23 @@ def nearest_boundary(heads: DataFrame, last_rows: DataFrame) -> DataFrame:
 
 def relocated(stale: DataFrame, live: DataFrame) -> DataFrame:
     """Each stale symbol's place in live source: the same name, the same kind if any has it, and the nearest
-    middle; none if two are equally near."""
-    a = stale.select("symbol_id", "file_id", "name", F.col("kind").alias("old_kind"), (F.col("start_row") + F.col("end_row")).alias("old_mid"))
-    b = live.select("file_id", "name", "kind", "start_row", "end_row", F.col("symbol_id").alias("live_id"))
-    both = a.join(b, ["file_id", "name"]).withColumns({"other": (F.col("kind") != F.col("old_kind")).cast("int"), "far": F.abs(F.col("start_row") + F.col("end_row") - F.col("old_mid"))})
-    best = both.groupBy("symbol_id").agg(F.min(F.struct("other", "far")).alias("best"))
-    near = both.join(best, "symbol_id").where((F.col("other") == F.col("best.other")) & (F.col("far") == F.col("best.far")))
-    one = near.groupBy("symbol_id").agg(F.count("*").alias("n"), F.first("live_id").alias("live_id"), F.first("start_row").alias("start_row"), F.first("end_row").alias("end_row"))
-    return one.where("n = 1").drop("n")
+    middle; none if two are equally near.  The sides are merged by middle, not joined by name: a file in which very
+    many symbols share a name costs a sort."""
+    mid = (F.col("start_row") + F.col("end_row")).alias("mid")
+    a = stale.select("symbol_id", "file_id", "name", "kind", mid)
+    each = live.select("file_id", "name", "kind", mid, F.col("symbol_id").alias("live_id"), "start_row", "end_row")
+
+    def nearest(rows: DataFrame, keys: list[str]) -> DataFrame:
+        places = each.groupBy(*keys, "mid").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("live_id", "start_row", "end_row")))
+        out = ordered.neighbours(rows, places, keys, "mid")
+        down, up = F.col("mid") - F.col("below.mid"), F.col("above.mid") - F.col("mid")
+        one = F.when(F.col("below").isNull() | (up < down), F.col("above")).when(F.col("above").isNull() | (down < up) | (down == 0), F.col("below"))
+        some = F.col("below").isNotNull() | F.col("above").isNotNull()
+        place = F.when(some, F.struct(F.when(one["n"] == 1, F.struct(one["live_id"].alias("live_id"), one["start_row"].alias("start_row"), one["end_row"].alias("end_row"))).alias("at")))
+        return out.select(*rows.columns, place.alias("own" if "kind" in keys else "any"))
+
+    both = nearest(nearest(a, ["file_id", "name", "kind"]), ["file_id", "name"])
+    return both.select("symbol_id", F.coalesce("own", "any")["at"].alias("x")).where("x IS NOT NULL").select("symbol_id", "x.*")
 
 
 def union_lines(ranges: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from . import ordered
 
 #: The order of symbols and references; ids break ties.
 ORDER = ["name", "repo", "path", "start_row", "start_col"]
@@ -55,11 +56,12 @@ def fair_page(rows: DataFrame, limit: int, names: int, offset: int = 0, by: list
 
 
 def lookahead(rows: DataFrame, by: list[str | Column], limit: int, offset: int = 0) -> DataFrame:
-    """A page of a stream with each row's ``position`` in it (0-based) and ``more``: is there a row after the page?  One
-    row beyond the page is taken, never the whole stream."""
-    some = rows.orderBy(*by).offset(offset).limit(limit + 1)
-    # at most limit + 1 rows come here
-    some = some.withColumn("position", F.row_number().over(Window.orderBy(*by)).cast("long") - 1 + offset)
+    """A page of a stream with each row's ``position`` in it (0-based) and ``more``: is there a row after the page?  A page
+    near the top takes one row beyond it, never the whole stream; a large or deep one comes from distributed ordinals."""
+    if offset + limit >= ordered.NEAR:
+        whole = ordered.ordered(rows, by)
+        return whole.page(offset, limit, "position").withColumn("more", F.lit(whole.total > offset + limit))
+    some = ordered.page(rows, by, limit + 1, offset, "position")
     return some.withColumn("more", F.max("position").over(Window.partitionBy()) >= offset + limit).where(F.col("position") < offset + limit)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from . import ordered
 
 MOST_BYTES = 2 << 20
 KEY = ["repo_id", "path"]
@@ -129,6 +130,10 @@ def relevant(path: Column, database: str = ".quarry") -> Column:
 
 
 def changes_of(events: DataFrame, window_seconds: int) -> DataFrame:
-    """events (at long seconds, path, kind): the distinct paths of each window and whether all must be scanned again."""
-    out = events.where(~((F.col("kind") == "access"))).withColumn("window", F.expr(f"at - at % {window_seconds}"))
-    return out.groupBy("window", "path").agg(F.bool_or(F.col("kind") == "overflow").alias("rescan"))
+    """events (at long seconds, path, kind): the distinct paths of each window and whether all must be scanned again.  A window
+    opens at the first event after the one before, so steady writes can't put an update off, and an idle time has none.
+    Access isn't a change."""
+    real = events.where(F.col("kind") != "access").withColumn("_feed", F.lit(0))
+    starts = ordered.window_starts(real, window_seconds, keys=["_feed"])
+    times = ordered.neighbours(real.select("_feed", "at").distinct(), starts, ["_feed"], "at").select("at", F.col("below.at").alias("window"))
+    return real.join(times, "at").groupBy("window", "path").agg(F.bool_or(F.col("kind") == "overflow").alias("rescan"))

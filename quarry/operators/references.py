@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from . import ordered
 from .lookup import ORDER
 
 
@@ -34,8 +35,8 @@ def tagged(refs: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def page(refs: DataFrame, limit: int, offset: int = 0) -> DataFrame:
-    """One window over all names, in the stable order."""
-    return refs.orderBy(*ORDER, "end_row", "end_col").offset(offset).limit(limit)
+    """One window over all names, in the stable order.  A deep page reads the parts of the order that it lies in."""
+    return ordered.page(refs, [*ORDER, "end_row", "end_col"], limit, offset).drop("ordinal")
 
 
 def grouped(rows: DataFrame) -> DataFrame:

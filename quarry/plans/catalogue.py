@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.tokens import IDENTIFIER, name_counts, spread
-from ..operators import intervals, lookup, maintain, overlay, references, rollups
+from ..operators import budget, intervals, lookup, maintain, ordered, overlay, references, rollups
 from . import derived as D
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -123,6 +123,22 @@ def needle_occurrences(spark, d):
     return D.table(spark, d, "documents").select("doc_id", tx.occurrences(F.col("text"), "the").alias("n"))
 
 
+NEEDLES = ["the", "he", "th", " of ", "ere", "é", "aa", "absent needle"]
+
+
+@register("needles_in_folders", f"""SELECT doc_id AS file_id, needle, n FROM (
+  SELECT doc_id, needle, CAST((length(text) - length(replace(text, needle, ''))) / length(needle) AS BIGINT) AS n FROM documents, (SELECT unnest([{quoted(NEEDLES)}]) AS needle)
+  WHERE doc_id % 9 NOT IN (1, 2, 3)) WHERE n > 0""")
+def needles_in_folders(spark, d):
+    """All needles in one pass; a third of the files lies in folders that aren't looked into."""
+    from ..sources import occurrences
+
+    k = F.col("doc_id") % 9
+    top = F.when(k == 1, "web/node_modules").when(k == 2, ".hidden").when(k == 3, "target").when(k == 4, ".quarry").otherwise("targets")
+    own = D.table(spark, d, "documents").select(F.col("doc_id").alias("file_id"), F.concat(top, F.lit("/f"), F.col("doc_id").cast("string")).alias("path"), F.col("text").alias("content"))
+    return occurrences.counted(own.where(occurrences.searched(F.col("path"))), NEEDLES)
+
+
 @register("verified_sources", "SELECT file_id, doc_id % 10 = 3 AS stale FROM files, documents WHERE doc_id + 1 = file_id", "files")
 def verified_sources(spark, d):
     live = D.table(spark, d, "documents").select((F.col("doc_id") + 1).alias("file_id"), F.when(F.col("doc_id") % 10 == 3, F.concat("text", F.lit("!"))).otherwise(F.col("text")).cast("binary").alias("content"))
@@ -292,6 +308,13 @@ def ref_page(spark, d):
     return references.page(found, 200, 150).select("repo", "path", "name", "start_row", "start_col")
 
 
+@register("ref_page_deep", "SELECT ordinal, file_id, name, start_row, start_col FROM (SELECT *, row_number() OVER (ORDER BY name, file_id, start_row, start_col) - 1 AS ordinal FROM refs) WHERE ordinal >= 10000 AND ordinal < 10200", "refs")
+def ref_page_deep(spark, d):
+    """A page far into the order of all references: ordinals come from counts of ranges, other ranges aren't read."""
+    own = D.refs(spark, d).select("name", "file_id", "start_row", "start_col")
+    return ordered.page(own, ["name", "file_id", "start_row", "start_col"], 200, 10_000)
+
+
 @register("ref_counts_by_file", f"SELECT repos.name AS repo, path, count(*) AS n FROM {REFS_AT} GROUP BY repos.name, path", "refs", "files", "repos")
 def ref_counts_by_file(spark, d):
     return references.counts_by_file(lookup.matching(ref_rows_of(spark, d), include_declarations=False))
@@ -566,14 +589,19 @@ def overlay_files(spark, d):
     return overlay.merged_files(*overlay_parts(spark, d)).select("file_id", "path", "sha", "mtime_ns")
 
 
-@register("overlay_refs", f", {OVERLAY} SELECT file_id, count(*) AS n FROM (SELECT file_id FROM refs WHERE file_id IN (SELECT file_id FROM private) UNION ALL SELECT -file_id FROM refs WHERE file_id IN (SELECT file_id FROM vis)) GROUP BY file_id", "files", "refs")
+REF_ID = "(file_id * 1099511627776 + start_row * 1048576 + start_col)"
+
+
+@register("overlay_refs", f""", {OVERLAY}, own AS (SELECT file_id, {REF_ID} AS ref_id, name FROM refs),
+m AS (SELECT * FROM own WHERE file_id IN (SELECT file_id FROM private) UNION ALL SELECT -file_id, -ref_id, name FROM own WHERE file_id IN (SELECT file_id FROM vis))
+SELECT file_id, count(*) AS n, count(DISTINCT name) AS names, min(ref_id) AS first_ref, max(ref_id) AS last_ref FROM m GROUP BY file_id""", "files", "refs")
 def overlay_refs(spark, d):
+    """Private references and the base's that show, with negated ids."""
     base, private, state = overlay_parts(spark, d)
-    # the texts of both arms are merged before they are scanned, so each is scanned once
-    rows = D.texts(spark, d).withColumn("ordinal", F.lit(1))
+    rows = D.refs(spark, d).select("file_id", F.expr(REF_ID).alias("ref_id"), "name")
     own = rows.join(private.select("file_id"), "file_id", "left_semi")
-    merged = overlay.merged_rows(rows, own, overlay.visible_base(base, private, state), "ordinal")
-    return merged.select("file_id", F.regexp_count("text", F.lit(IDENTIFIER)).cast("long").alias("n")).where("n > 0")
+    merged = overlay.merged_rows(rows, own, overlay.visible_base(base, private, state), "ref_id")
+    return merged.groupBy("file_id").agg(F.count("*").alias("n"), F.count_distinct("name").alias("names"), F.min("ref_id").alias("first_ref"), F.max("ref_id").alias("last_ref"))
 
 
 @register("overlay_symbols", f", {OVERLAY} SELECT file_id, symbol_id, name FROM symbols WHERE file_id IN (SELECT file_id FROM private) UNION ALL SELECT -file_id, -symbol_id, name FROM symbols WHERE file_id IN (SELECT file_id FROM vis)", "files", "symbols")
@@ -600,6 +628,42 @@ def overlay_changed_sources(spark, d):
     return overlay.changed_sources(D.files(spark, d), walked(spark, d)).select("file_id")
 
 
+# --- byte budgets ------------------------------------------------------------------------------------------------
+
+COUNT_BUDGET, COUNT_LEAST = 3000, 20
+#: A response of counts: a name's files by falling count.
+COUNTED = """c AS (SELECT name, 'f' || file_id AS file, count(*) AS n FROM refs GROUP BY name, file_id),
+z AS (SELECT name, octet_length(encode('{"file":"' || file || '","n":' || n || '}')) AS size, row_number() OVER (PARTITION BY name ORDER BY n DESC, file) AS k FROM c),
+u AS (SELECT name, k, CAST(sum(size + 1) OVER (PARTITION BY name ORDER BY k) - 1 + 30 + octet_length(encode(name)) AS BIGINT) AS s FROM z)"""
+
+
+@register("byte_budget_counts", f""", RECURSIVE {COUNTED},
+r AS (
+  SELECT name, max(k) AS k, 0 AS step FROM u GROUP BY name
+  UNION ALL SELECT r.name, greatest(1, least(r.k * {COUNT_BUDGET} // u.s, r.k - 1)), step + 1 FROM r JOIN u USING (name, k) WHERE u.s > {COUNT_BUDGET} AND r.k > 1 AND step < 64)
+SELECT name, (SELECT max(k) FROM u x WHERE x.name = u.name) AS rows, k AS kept, s AS size, s <= {COUNT_BUDGET} AS fits FROM (SELECT name, arg_max(k, step) AS k FROM r GROUP BY name) JOIN u USING (name, k)""", "refs")
+def byte_budget_counts(spark, d):
+    """For every name: how many of its files a response within the budget lists, by the scaling rule."""
+    each = D.refs(spark, d).groupBy("name", F.concat(F.lit("f"), F.col("file_id").cast("string")).alias("file")).agg(F.count("*").alias("n"))
+    own = budget.sized(each, "name", [F.desc("n"), "file"], F.octet_length(F.to_json(F.struct("file", "n"))), COUNT_BUDGET, COUNT_LEAST)
+    return budget.scaled(own, F.octet_length("name") + 30, COUNT_BUDGET).select("name", "rows", "kept", "size", "fits")
+
+
+OUTLINE_BUDGET, OUTLINE_LEAST = 400, 20
+
+
+@register("byte_budget_outline", f""", z AS (SELECT file_id, octet_length(encode('{{"name":"' || name || '","row":' || start_row || '}}')) AS size, row_number() OVER (PARTITION BY file_id ORDER BY start_row, symbol_id) AS k FROM symbols WHERE kind <> 'conversation'),
+u AS (SELECT file_id, k, CAST(sum(size + 1) OVER (PARTITION BY file_id ORDER BY k) - 1 + 40 AS BIGINT) AS s FROM z),
+n AS (SELECT file_id, max(k) AS rows FROM u GROUP BY file_id),
+p AS (SELECT file_id, rows, max(k) FILTER (s <= {OUTLINE_BUDGET}) AS k FROM u JOIN n USING (file_id) GROUP BY file_id, rows)
+SELECT file_id, rows, p.k AS kept, s AS size, s <= {OUTLINE_BUDGET} AS fits FROM (SELECT file_id, rows, greatest(coalesce(k, 1), rows - 512) AS k FROM p) p JOIN u USING (file_id, k)""", "symbols")
+def byte_budget_outline(spark, d):
+    """For every file: how many of its entries an outline within the budget holds, taken off one by one."""
+    each = D.symbols(spark, d).where("kind <> 'conversation'")
+    own = budget.sized(each, "file_id", ["start_row", "symbol_id"], F.octet_length(F.to_json(F.struct("name", F.col("start_row").alias("row")))), max(OUTLINE_BUDGET, budget.POPPED * 64), OUTLINE_LEAST)
+    return budget.popped(own, F.lit(40), OUTLINE_BUDGET).select("file_id", "rows", "kept", "size", "fits")
+
+
 # --- change feed -------------------------------------------------------------------------------------------------
 
 FEED_PATHS = ["src/a.py", "src/node_modules/x.js", ".git/HEAD", "web/app.tsbuildinfo", "a/.DS_Store", ".claude/worktrees/w/f.py", "lib/tmp/x.c", "lib/template.c"]
@@ -619,12 +683,18 @@ def event_relevance(spark, d):
     return feed(spark, d).where(maintain.relevant(F.col("path"))).select("event_id", "path")
 
 
-@register("event_coalesce", f'WITH {FEED} SELECT sec - sec % 3600 AS "window", path FROM feed WHERE kind <> \'access\' GROUP BY ALL')
+#: Each window opens at the first change that the one before doesn't hold.
+WINDOWS = f"""WITH RECURSIVE {FEED}, real AS (SELECT * FROM feed WHERE kind <> 'access'),
+w AS (SELECT min(sec) AS start FROM real UNION ALL SELECT (SELECT min(sec) FROM real WHERE sec >= w.start + 3600) FROM w WHERE w.start IS NOT NULL),
+placed AS (SELECT real.*, w.start AS "window" FROM real ASOF JOIN (SELECT start FROM w WHERE start IS NOT NULL) w ON real.sec >= w.start)"""
+
+
+@register("event_coalesce", WINDOWS + ' SELECT DISTINCT "window", path FROM placed')
 def event_coalesce(spark, d):
     return maintain.changes_of(feed(spark, d), 3600).select("window", "path")
 
 
-@register("event_overflow", f'WITH {FEED} SELECT sec - sec % 3600 AS "window", bool_or(kind = \'overflow\') AS rescan, count(DISTINCT path) AS paths FROM feed WHERE kind <> \'access\' GROUP BY 1')
+@register("event_overflow", WINDOWS + " SELECT \"window\", bool_or(kind = 'overflow') AS rescan, count(DISTINCT path) AS paths FROM placed GROUP BY 1")
 def event_overflow(spark, d):
     return maintain.changes_of(feed(spark, d), 3600).groupBy("window").agg(F.bool_or("rescan").alias("rescan"), F.count("*").alias("paths"))
 
@@ -686,7 +756,7 @@ def stream_page(spark, d):
     return lookup.lookahead(D.symbols(spark, d), ["file_id", "start_row", "symbol_id"], 50, 120).select("position", "symbol_id", "more")
 
 
-@register("stream_last_page", ", n AS (SELECT symbol_id, row_number() OVER (ORDER BY file_id DESC, start_row DESC, symbol_id DESC) - 1 AS position FROM symbols WHERE kind = 'conversation'), c AS (SELECT count(*) AS c FROM n) SELECT position, symbol_id, FALSE AS more FROM n, c WHERE position >= 3 AND c <= 3 + 1000000", "symbols")
+@register("stream_last_page", ", n AS (SELECT symbol_id, row_number() OVER (ORDER BY file_id DESC, start_row DESC, symbol_id DESC) - 1 AS position FROM symbols WHERE kind = 'conversation'), c AS (SELECT count(*) AS c FROM n) SELECT position, symbol_id, c > 3 + 1000000 AS more FROM n, c WHERE position >= 3 AND position < 3 + 1000000", "symbols")
 def stream_last_page(spark, d):
     own = D.symbols(spark, d).where("kind = 'conversation'")
     return lookup.lookahead(own, [F.desc("file_id"), F.desc("start_row"), F.desc("symbol_id")], 1_000_000, 3).select("position", "symbol_id", "more")

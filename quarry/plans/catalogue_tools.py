@@ -8,14 +8,12 @@ are published from the derived relations.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import EnclosingArgs, Limits, OutlineArgs, ReferenceArgs, SymbolArgs
-from ..operators import intervals, lookup
+from ..operators import intervals, lookup, ordered
+from ..operators.ordered import folder
 from . import derived as D
 from .catalogue import NAMES, NESTED, REFS_AT, SYMBOL_NAMES, quoted, register
 
@@ -155,21 +153,6 @@ def syntax_query_literals(spark, d):
 # --- stored generations ------------------------------------------------------------------------------------------
 
 
-def folder(spark: SparkSession) -> str:
-    """A new folder that all executors see; one of this machine only in local mode."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not top:
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        top = "file://" + tempfile.mkdtemp(prefix="quarry-")
-    path = f"{top.rstrip('/')}/index-{uuid.uuid4().hex}"
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.mkdirs(place)
-    fs.deleteOnExit(place)
-    return path
-
-
 def chat_store(spark: SparkSession, d: str):
     """Conversations as files, their turns and lines as symbols."""
     from .store import Store
@@ -351,4 +334,4 @@ def outline_without_imports(spark, d):
 def candidate_files(spark, d):
     """Candidates of a raw query: files of the asked languages, in the stream's order."""
     own = D.files(spark, d).where(F.col("language").isin("de", "fr"))
-    return lookup.lookahead(own, ["repo_id", "path"], 1 << 30).select(F.col("position").alias("ordinal"), "path", "language")
+    return ordered.ordered(own, ["repo_id", "path"]).numbered().select("ordinal", "path", "language")

@@ -101,5 +101,7 @@ symbols AS (SELECT symbol_id, file_id, kind, name, start_row, 0 AS start_col, en
 
 
 def sql(*names: str, body: str) -> str:
-    """Bodies that begin with a comma go on with the list of expressions."""
-    return "WITH " + ",\n".join(SQL[n] for n in names) + ("" if body.startswith(",") else "\n") + body
+    """Bodies that begin with a comma go on with the list of expressions; a word after it tells that one refers to itself."""
+    recursive = body.startswith(", RECURSIVE ")
+    body = body.replace(", RECURSIVE ", ", ", 1) if recursive else body
+    return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(SQL[n] for n in names) + ("" if body.startswith(",") else "\n") + body

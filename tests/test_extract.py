@@ -15,33 +15,33 @@ def refs(language, text):
     return [(r.name, r.context) for r in parse(language, text.encode())[1]]
 
 
-MATRIX = {
-    "c": ("int foo(int a) { return a; }\nint main(void) { return foo(1); }\n", "foo", 0),
-    "cpp": ("int foo(int a) { return a; }\nint main() { return foo(1); }\n", "foo", 0),
-    "go": ("package main\ntype Thing struct { A int }\nvar x Thing\n", "Thing", 1),
-    "ruby": ("def rbfun(a)\n  a\nend\nrbfun(1)\n", "rbfun", 0),
-    "kotlin": ("class Foo(val x: Int)\nval z = Foo(1)\n", "Foo", 0),
-    "swift": ("class Foo {\n}\nlet z = Foo()\n", "Foo", 0),
-    "php": ("<?php\nfunction foo($a) { return $a; }\nfoo(1);\n", "foo", 1),
-    "javascript": ("function foo(a) { return a }\nfoo(1)\n", "foo", 0),
-    "java": ("class A {\n  int jm(int a) { return jm(a); }\n}\n", "jm", 1),
-    "python": ("def foo(a):\n    return a\nfoo(1)\n", "foo", 0),
-    "rust": ("fn foo(a: i32) -> i32 { a }\nfn main() { foo(1); }\n", "foo", 0),
-    "typescript": ("function foo(a: number) { return a }\nfoo(1)\n", "foo", 0),
-    "csharp": ("class A {\n  void Jm(int a) { Jm(a); }\n}\n", "Jm", 1),
+#: A small program for each language: the name that is defined once and used, the row of its definition, how often it is
+#: used, and another name that is only used.
+PROGRAMS = {
+    "c": ("#include <math.h>\nstatic double area(double r)\n{\n  return 3.0 * pow(r, 2);\n}\ndouble both(double x, double y) { return area(x) + area(y); }\n", "area", 1, 2, "pow"),
+    "cpp": ("#include <vector>\nstruct Meter {\n  int level = 0;\n};\nstd::vector<Meter> shelf;\nMeter spare() { return Meter{}; }\n", "Meter", 1, 3, "std"),
+    "go": ("package tide\n\nfunc rise(level int) int {\n\treturn level + 1\n}\n\nfunc Flood(days int) int {\n\tfor days > 0 {\n\t\tdays = rise(days)\n\t}\n\treturn rise(0)\n}\n", "rise", 2, 2, "days"),
+    "ruby": ("require 'set'\n\nclass Basket\n  def fill(n)\n    Set.new([n])\n  end\nend\n\nBasket.new.fill(2)\nputs Basket\n", "Basket", 2, 2, "Set"),
+    "kotlin": ("package lamp\n\nfun dim(by: Int): Int {\n  return by - 1\n}\n\nval evening = dim(dim(9))\n", "dim", 2, 2, "Int"),
+    "swift": ("import Foundation\n\nfunc knead(_ hours: Int) -> Int {\n  return hours * 2\n}\n\nlet loaf = knead(3)\n", "knead", 2, 1, "Int"),
+    "php": ("<?php\nnamespace Bakery;\n\nfunction price($grams) {\n  return round($grams / 7);\n}\n\necho price(10) + price(20);\n", "price", 3, 2, "round"),
+    "javascript": ("const fs = require('fs');\n\nfunction paint(wall) {\n  fs.log(wall);\n}\n\n[1, 2].map(paint);\npaint(0);\n", "paint", 2, 2, "log"),
+    "java": ("package harbour;\n\nclass Crane {\n  void lift(int tons) {\n    if (tons > 1) {\n      lift(tons - 1);\n      lift(1);\n    }\n  }\n}\n", "lift", 3, 2, "tons"),
+    "python": ("import heapq\n\n\ndef nearest(stops, k):\n    return heapq.nsmallest(k, stops)\n\n\nprint(nearest([3, 1], 1), nearest)\n", "nearest", 3, 2, "nsmallest"),
+    "rust": ("use std::fmt;\n\nstruct Kite {\n    line: u32,\n}\n\nfn fly(k: Kite) -> Kite {\n    k\n}\n", "Kite", 2, 2, "u32"),
+    "typescript": ("interface Seat {\n  row: number;\n}\n\nfunction free(all: Seat[]): Seat | undefined {\n  return all.pop();\n}\n", "Seat", 0, 2, "pop"),
+    "csharp": ("using System;\n\nclass Gauge {\n  int Read(int raw) { return Math.Abs(raw); }\n  int Twice(int raw) { return Read(raw) + Read(0); }\n}\n", "Read", 3, 2, "Abs"),
 }
 
 
-@pytest.mark.parametrize("language", MATRIX)
+@pytest.mark.parametrize("language", PROGRAMS)
 def test_declarations_are_told_from_uses(language):
-    text, name, row = MATRIX[language]
+    text, name, row, uses, other = PROGRAMS[language]
     found, occurrences, partial, source = parse(language, text.encode())
-    own = [r for r in occurrences if r.name == name]
-    assert [r.context for r in own].count("declaration") == 1 and len(own) == 2 and not partial
-    assert [source.point(r.start)[0] for r in own if r.context == "declaration"] == [row]
-    assert name in [s.name for s in found]
-    if language == "java":
-        assert [r.context for r in own if r.context != "declaration"] == ["call"]
+    places = [(r.context == "declaration", source.point(r.start)[0]) for r in occurrences if r.name == name]
+    assert not partial and [at for own, at in places if own] == [row] and len(places) == uses + 1
+    assert [source.point(s.start)[0] for s in found if s.name == name] == [row]
+    assert {r.context for r in occurrences if r.name == other} - {"declaration"} and all(text.encode()[r.start : r.end].decode() == r.name for r in occurrences)
 
 
 def test_kinds_by_language():
@@ -136,25 +136,40 @@ def test_sql_names_and_uses():
     assert [x for x in found if x[0] in ("table", "index", "cte")] == [("table", '"My Items"'), ("index", '"ix"'), ("table", "`t`"), ("cte", "r")]
     uses = [n for n, c in refs("sql", text) if c != "declaration"]
     assert [uses.count(n) for n in ('"My Items"', '"Item No"', '"ix"', "`t`", "`c`", '"text only"', "r", "t", "select")] == [3, 3, 0, 1, 1, 0, 1, 0, 0]
-    table = "CREATE DATABASE shop WITH OWNER = o;\n-- People.\nCREATE TABLE IF NOT EXISTS app.people (\n  id INT PRIMARY KEY,\n  boss INT REFERENCES app.people(id)\n);\n"
-    own, _, partial, source = parse("sql", table.encode())
-    people = next(s for s in own if s.name == "people")
-    assert (source.point(people.start)[0], source.point(people.end)[0], people.docstring, partial) == (2, 5, "People.", False) and own[-1].qualified == "people.boss"
-
-
-def test_values_keep_their_defining_occurrence():
-    kept = lambda language, text, name: [c for n, c in refs(language, text) if n == name]
-    php = "<?php\nclass M {\n  const LIMIT = 1;\n  public string $unit;\n}\n"
-    assert kept("php", php, "LIMIT") == ["identifier"] and kept("php", php, "unit") == ["identifier"]
-    assert kept("java", "class A {\n  int f = 1;\n}\n", "f") == ["assignment"] and kept("rust", "const C: u8 = 1;\n", "C") == ["declaration"]
-    assert kept("javascript", "const v = 1;\n", "v") == ["assignment"] and kept("kotlin", "val z = 1\n", "z") == ["identifier"] and kept("python", "v = 1\n", "v") == ["assignment"]
-    java = refs("java", "class Rec { Rec() {} void m() { Rec r = new Rec(); } }\n")
-    assert [c for n, c in java if n == "Rec"].count("declaration") == 2 and len([1 for n, _ in java if n == "Rec"]) == 4
+    ferry = "-- Where boats go.\ncreate table if not exists sea.routes (\n  code text primary key,\n  miles numeric,\n  back text references sea.routes (code)\n);\n\ncreate view sea.long_routes as select code from sea.routes where miles > 90;\n"
+    own, _, partial, source = parse("sql", ferry.encode())
+    by_name = {s.name: s for s in own}
+    assert not partial and by_name["routes"].docstring == "Where boats go." and source.point(by_name["routes"].end)[0] == 5
+    assert [s.qualified for s in own if s.kind == "column"] == ["routes.code", "routes.miles", "routes.back"] and "long_routes" in by_name
+    assert len([n for n, c in refs("sql", ferry) if n == "miles" and c != "declaration"]) == 1
+
+
+def test_names_of_values_are_occurrences_too():
+    """The place that gives a value its name stays in the occurrences, as what it is there."""
+    at = lambda language, text, name: [c for n, c in refs(language, text) if n == name]
+    for language, text, name, context in (
+        ("java", "class Oven {\n  private int degrees = 180;\n  int hotter() { return degrees + 20; }\n}\n", "degrees", "assignment"), ("rust", "static STEPS: usize = 4;\nfn half() -> usize { STEPS / 2 }\n", "STEPS", "declaration"),
+        ("javascript", "let tempo = 90;\nplay(tempo);\n", "tempo", "assignment"), ("kotlin", "val reef = 3\nprintln(reef)\n", "reef", "identifier"), ("python", "depth = 3\nshow(depth)\n", "depth", "assignment"),
+        ("php", "<?php\nclass Till {\n  const FLOAT = 50;\n  public $open;\n  function low() { return self::FLOAT; }\n}\n", "FLOAT", "identifier"),
+    ):
+        found = at(language, text, name)
+        assert found[0] == context and len(found) == 2, (language, found)
+    pump = "class Pump {\n  Pump(int bar) {}\n  static Pump strong() { return new Pump(9); }\n}\n"
+    assert at("java", pump, "Pump").count("declaration") == 2 and len(at("java", pump, "Pump")) == 4
+
+
+def test_cpp_members_defined_elsewhere():
+    """A member's name is the last part, wherever its body stands."""
+    text = b"namespace garden {\nclass Pond {\n public:\n  int fish() const;\n  ~Pond();\n};\n}\n\nint garden::Pond::fish() const { return 4; }\n\ngarden::Pond::~Pond() {}\n\ntemplate <typename Item>\nstruct Crate {\n  Item first;\n};\n"
+    found, _, _, source = parse("cpp", text)
+    rows = {}
+    for s in found:
+        rows.setdefault((s.kind, s.name), []).append(source.point(s.start)[0])
+    assert rows["method", "fish"] == [3, 8] and rows["method", "~Pond"] == [4, 10] and rows["class", "Pond"] == [1] and ("struct", "Crate") in rows
+    assert all("::" not in s.name for s in found)
 
 
-def test_cpp_methods_outside_their_class():
-    text = b"namespace A { class B { public: void m(); ~B(); }; }\nvoid A::B::m() {}\nA::B::~B() {}\nvoid Shape::draw() {}\ntemplate <typename T> class Box { public: T v; };\n"
-    found, _, _, source = parse("cpp", text)
-    got = {(s.kind, s.name, source.point(s.start)[0]) for s in found}
-    assert {("method", "m", 1), ("method", "~B", 2), ("method", "draw", 3), ("class", "Box", 4), ("method", "m", 0), ("method", "~B", 0)} <= got and not any("::" in n for _, n, _ in got)
-    assert not [r for r in refs("ruby", "class C\n  attr_reader :items\n  def t\n    items.sum\n  end\nend\n") if r[0].startswith(":")]
+def test_ruby_symbols_have_no_colon():
+    text = "class Shed\n  attr_accessor :tools\n\n  def heavy\n    tools.select { |t| t.weight > 5 }\n  end\nend\n"
+    names = [n for n, _ in refs("ruby", text)]
+    assert not [n for n in names if n.startswith(":")] and "tools" in names and "weight" in names
