@@ -1,16 +1,15 @@
 """Containment of intervals: enclosing definitions, outlines, qualified names.
 
-Every join carries ``file_id`` as an equality, so it is a hash or sort join with the
-range as a residual condition, never a nested loop over all rows.
+Bulk work sweeps files in the order of their rows; the joins carry ``file_id`` as an equality, so
+they are hash or sort joins with the range as a residual condition, never a nested loop over all rows.
 """
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import ordered
+from . import ordered, sweep
 
 def contains(row: Column, col: Column | None = None, prefix: str = "") -> Column:
     """Rows include the last one; with a column the end is exclusive."""
@@ -28,29 +27,23 @@ def innermost() -> list[Column]:
     return [F.col("end_row") - F.col("start_row"), F.desc("start_row"), F.desc("start_col"), F.asc("end_row"), F.asc("end_col"), F.asc("symbol_id")]
 
 
-#: Rows of a file that share a join key, so that a large file isn't one product of positions and symbols.
-STRIPE = 256
-
-
-def striped(symbols: DataFrame) -> DataFrame:
-    """A row for each stripe that a symbol reaches into."""
-    return symbols.withColumn("_stripe", F.explode(F.sequence(F.expr(f"start_row div {STRIPE}"), F.expr(f"end_row div {STRIPE}"))))
+def enclosing_few(positions: DataFrame, symbols: DataFrame, depth: int = 1) -> DataFrame:
+    """As ``enclosing`` for the positions of one request: these are a join's small side."""
+    col = F.col("col") if "col" in positions.columns else None
+    at = positions.join(symbols, "file_id").where(contains(F.col("row"), col))
+    level = F.row_number().over(Window.partitionBy("position_id").orderBy(*innermost()))
+    return at.withColumn("level", level.cast("long")).where(F.col("level") <= depth)
 
 
 def enclosing(positions: DataFrame, symbols: DataFrame, depth: int = 1) -> DataFrame:
     """positions (position_id, file_id, row[, col]) -> the ``depth`` innermost symbols, ``level`` 1 innermost."""
-    col = F.col("col") if "col" in positions.columns else None
-    at = positions.withColumn("_stripe", F.expr(f"row div {STRIPE}")).join(striped(symbols), ["file_id", "_stripe"]).where(contains(F.col("row"), col)).drop("_stripe")
-    level = F.row_number().over(Window.partitionBy("position_id").orderBy(*innermost()))
-    return at.withColumn("level", level.cast("long")).where(F.col("level") <= depth)
+    return sweep.enclosing(positions, symbols, depth)
 
 
 def outside(positions: DataFrame, symbols: DataFrame) -> DataFrame:
     """Positions that no symbol encloses."""
-    s = striped(symbols.select("file_id", "start_row", "start_col", "end_row", "end_col"))
-    col = positions["col"] if "col" in positions.columns else None
-    at = positions.withColumn("_at", F.expr(f"row div {STRIPE}"))
-    return at.join(s, (at.file_id == s.file_id) & (at["_at"] == s["_stripe"]) & contains(positions["row"], col), "left_anti").drop("_at")
+    found = sweep.enclosing(positions, symbols.select("file_id", "symbol_id", "start_row", "start_col", "end_row", "end_col"), 1, outer=True)
+    return found.where("level IS NULL").select(*positions.columns)
 
 
 def nested(symbols: DataFrame, containers: Column | None = None) -> DataFrame:
@@ -77,37 +70,18 @@ def nested(symbols: DataFrame, containers: Column | None = None) -> DataFrame:
     }).drop("above")
 
 
-def nested_by_stack(symbols: DataFrame, containers: tuple[str, ...] | None = None, skip: tuple[str, ...] = ("import",)) -> DataFrame:
-    """The same in linear time with a stack for each file, over sorted partitions of whole files: the symbols' places,
+def nested_by_stack(symbols: DataFrame, skip: tuple[str, ...] = ("import",)) -> DataFrame:
+    """The same in linear time by a sweep, which spreads a very large file over tasks: the symbols' places,
     kinds and names with ``parent_id``, ``depth``, ``root_id`` and ``qualified``."""
-    rows = symbols.select("file_id", "symbol_id", "kind", "name", "start_row", "start_col", "end_row", "end_col").repartition("file_id").sortWithinPartitions("file_id", "start_row", "start_col", F.desc("end_row"), F.desc("end_col"), "symbol_id")
-
-    def run(batches):
-        stack: list[tuple] = []
-        last = None
-        for batch in batches:
-            parent, depth, root, qualified = [], [], [], []
-            for f, i, kind, name, sr, sc, er, ec in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if f != last:
-                    stack, last = [], f
-                while stack and (stack[-1][0], stack[-1][1]) < (er, ec):
-                    stack.pop()
-                parent.append(stack[-1][2] if stack else None)
-                depth.append(len(stack) + 1)
-                root.append(stack[0][2] if stack else i)
-                qualified.append(".".join([x[3] for x in stack] + [name]) if stack else None)
-                if kind not in skip:
-                    stack.append((er, ec, i, name))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(parent, pa.int64()), pa.array(depth, pa.int64()), pa.array(root, pa.int64()), pa.array(qualified, pa.string())], [*batch.schema.names, "parent_id", "depth", "root_id", "qualified"])
-
-    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(run, f"{kept}, parent_id long, depth long, root_id long, qualified string")
+    return sweep.nested(symbols, skip)
 
 
 def outline_roots(nested_symbols: DataFrame) -> DataFrame:
     """Adds ``root``: the ordinal (0-based) of the top-level ancestor in its file."""
-    top = nested_symbols.where("depth = 1").select("file_id", F.col("symbol_id").alias("root_id"), (F.row_number().over(Window.partitionBy("file_id").orderBy("start_row", "start_col", F.desc("end_row"), F.desc("end_col"), "symbol_id")) - 1).cast("long").alias("root"))
-    return nested_symbols.join(top, ["file_id", "root_id"])
+    top = nested_symbols.where("depth = 1").select("file_id", F.col("symbol_id").alias("root_id"), "start_row", "start_col", "end_row", "end_col")
+    top = ordered.ordered(top, ["file_id", "start_row", "start_col", F.desc("end_row"), F.desc("end_col"), "root_id"]).numbered().select("file_id", "root_id", "ordinal")
+    first = top.groupBy("file_id").agg(F.min("ordinal").alias("first"))
+    return nested_symbols.join(top.join(first, "file_id").select("file_id", "root_id", (F.col("ordinal") - F.col("first")).alias("root")), ["file_id", "root_id"])
 
 
 def nearest_boundary(heads: DataFrame, last_rows: DataFrame) -> DataFrame:

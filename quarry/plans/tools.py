@@ -206,7 +206,7 @@ class Navigator:
             kind = "position_id long, row long" + (", col long" if col is not None else "")
             at = self.spark.createDataFrame([(i, r - 1, *([col] if col is not None else [])) for i, r in enumerate(rows)], kind).withColumn("file_id", F.lit(file["file_id"]) + F.col("position_id") * 0)
             out: dict[int, list[dict]] = {}
-            for r in intervals.enclosing(at, symbols, depth).orderBy("position_id", F.desc("level")).collect():
+            for r in intervals.enclosing_few(at, symbols, depth).orderBy("position_id", F.desc("level")).collect():
                 full = r.asDict() | {"repo": file["repo"], "path": file["path"], "language": file["language"], "sha": file["sha"], "partial": file["partial"]}
                 shaped = self.shaped(full, args.include_body, args.context_lines, most, cache)
                 out.setdefault(r.position_id, []).append({k: v for k, v in shaped.items() if k not in ("repo", "file", "language")})

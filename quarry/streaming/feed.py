@@ -9,7 +9,9 @@ harmless.
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -37,6 +39,45 @@ def changed_paths(batch: DataFrame, roots: list[str]) -> tuple[DataFrame, DataFr
     return paths, real.where("kind = 'overflow'")
 
 
+WINDOWED = "window long, paths array<string>, rescan boolean"
+
+
+def folded(held: list[tuple[int, str | None, bool]], seconds: int, until: int) -> tuple[list[tuple[int, list[str], bool]], list[tuple[int, str | None, bool]]]:
+    """(windows that end by ``until``, events that are left).  A window opens at the first event that no window holds yet."""
+    held, done, at = sorted(held, key=lambda e: (e[0], e[1] or "")), [], 0
+    while at < len(held) and held[at][0] + seconds <= until:
+        start, end = held[at][0], at
+        while end < len(held) and held[end][0] < start + seconds:
+            end += 1
+        own = held[at:end]
+        done.append((start, sorted({p for _, p, again in own if p is not None and not again}), any(again for _, _, again in own)))
+        at = end
+    return done, held[at:]
+
+
+def windowed(feed: DataFrame, seconds: int = WINDOW_SECONDS, delay: int = WINDOW_SECONDS) -> DataFrame:
+    """(window, paths, rescan) of a stream of EVENTS: each window opens at the first change that the one before doesn't hold,
+    and is given once no event that is at most ``delay`` seconds late can fall into it.  Later ones are left out of windows
+    that are given, and open one of their own if none that is open holds them.  The state is the distinct
+    changes of open windows; an idle feed closes them as its clock moves on."""
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        held = [(int(a), p, bool(r)) for a, p, r in zip(*state.get, strict=True)] if state.exists else []
+        for batch in batches:
+            held += [(int(a), p, k == "overflow") for a, p, k in zip(batch["at"], batch["path"], batch["kind"], strict=True)]
+        done, left = folded(list(set(held)), seconds, state.getCurrentWatermarkMs() // 1000)
+        if left:
+            state.update(tuple(map(list, zip(*left, strict=True))))
+            state.setTimeoutTimestamp(max(left[0][0] + seconds, state.getCurrentWatermarkMs() // 1000 + 1) * 1000)
+        elif state.exists:
+            state.remove()
+        if done:
+            yield pd.DataFrame(done, columns=["window", "paths", "rescan"])
+
+    real = feed.where("kind <> 'access' AND at IS NOT NULL").withColumn("_time", F.timestamp_seconds("at")).withWatermark("_time", f"{delay} seconds")
+    return real.withColumn("_feed", F.lit(0)).groupBy("_feed").applyInPandasWithState(run, WINDOWED, "at array<long>, path array<string>, again array<boolean>", "append", "EventTimeTimeout")
+
+
 def apply(builder: Builder, batch: DataFrame) -> Stats:
     """One window of changes."""
     roots = [os.path.realpath(r.root) for r in builder.config.repos]
