@@ -8,7 +8,7 @@ text at every doubling.  Here the early rounds send one name for each run of
 windows that share their smallest name (a minimizer): equal windows have equal
 smallest names, so a window whose smallest name is unique is itself unique.
 
-1. Rounds of growing length (100, 200; with words only half of the length) drop the windows that are unique.
+1. Rounds of growing length (100, 200) drop the windows that are unique.
 2. What is left is cut into chunks of windows with the same smallest name of 352
    bytes.  A chunk whose whole context occurs twice is repeated throughout.
 3. Other chunks, and one chunk of each repeated context with the same smallest
@@ -46,8 +46,8 @@ LENGTH = 400
 PASSAGE = 50
 #: Names, and bytes of kept text, that are given to Spark at once.
 FLUSH, FLUSH_BYTES = 1 << 17, 4 << 20
-#: Of 400ths of the length, the names of each round; words are few, so one round does.
-ROUNDS = {"byte": (100, 200), "word": (200,)}
+#: Of 400ths of the length, the names of each round.
+ROUNDS = (100, 200)
 #: Symbols of the first names.
 FIRST = 25
 #: Windows that are looked at together, for bounded memory with very long texts.
@@ -257,7 +257,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, un
     its key, the removed runs (array of start and end byte), the words in them (0 for bytes), the bytes kept and their SHA-256."""
     if length < 4:
         raise ValueError("length must be 4 or more")
-    rounds, chunk = [length * share // 400 or 1 for share in ROUNDS[unit]], max((length + 1) // 2, length * 352 // 400)
+    rounds, chunk = [length * share // 400 or 1 for share in ROUNDS], max((length + 1) // 2, length * 352 // 400)
     all_texts = keyed(docs.select(F.col(text).alias("_t")), "_t").where(F.octet_length("_t") >= least_bytes(length, unit))
     texts = all_texts
     sizes = list(dict.fromkeys(rounds))
@@ -348,6 +348,68 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, un
     return result
 
 
+def shared_words(docs: DataFrame, text: str, length: int = PASSAGE) -> DataFrame:
+    """(key, _p): of each distinct text, how many words lie in strings of ``length`` words that stand in another text too.
+
+    For counting alone, the texts are read twice instead of once a round, and aren't sorted: the first reading gives all
+    chunks of windows with the same smallest name of half the length, with their contexts; a context that two texts hold is
+    counted from its place.  The second reading is of the texts with chunks whose name two texts hold in other contexts, and
+    gives the windows of these chunks."""
+    half = (length + 1) // 2
+    given = keyed(docs.select(F.col(text).alias("_t")), "_t").where(F.octet_length("_t") >= least_bytes(length, "word"))
+
+    def chunked(words: np.ndarray, lanes: int) -> Iterator[tuple[np.ndarray, ...]]:
+        """First and last window, class and context of each chunk, and the windows' names."""
+        for at, begin, last, cls, ctx, full in Text(words, length).chunks(half, lanes):
+            yield at, begin, last, cls, ctx[0], full
+
+    def first(batches):
+        def rows(batch):
+            for words in symbols(batch.column("_t"), "word"):
+                found = [(cls, ctx, at + begin, last - begin + 1) for at, begin, last, cls, ctx, _ in chunked(words, 1)]
+                yield tuple(np.concatenate([f[j] for f in found]) if found else np.zeros(0, U64 if j < 2 else np.int64) for j in range(4))
+
+        for batch in batches:
+            yield from flats(batch, KEY, rows(batch), ["_class", "_c1", "_a", "_m"])
+
+    small = {c: F.col(c).cast("int") for c in ("_a", "_m")}
+    parts = materialize(given.mapInArrow(first, "_k1 long, _k2 long, _class long, _c1 long, _a long, _m long").withColumns(small), "chunks")
+    each = parts.groupBy("_class", "_c1").agg(F.min("_k1").alias("_x"), F.max("_k1").alias("_y"))
+    each = materialize(each.withColumn("_again", F.col("_x") != F.col("_y")), "contexts")
+    mixed = each.groupBy("_class").agg(F.count_if(~F.col("_again")).alias("alone"), F.min("_x").alias("x"), F.max("_y").alias("y"), F.count("*").alias("m"))
+    mixed = mixed.where("m > 1 AND alone > 0 AND x <> y").select("_class", F.lit(True).alias("_mixed"))
+    state = each.join(mixed, "_class", "left").where("_again OR _mixed")
+    hit = parts.join(state.withColumn("_mixed", F.coalesce("_mixed", F.lit(False))), ["_class", "_c1"]).select(*KEY, "_a", "_m", "_x", "_y", "_again", "_mixed")
+    hit = materialize(hit, "hits")
+    discard(parts, each)
+    look = hit.where(F.col("_mixed") & (~F.col("_again") | F.col("_k1").isin(F.col("_x"), F.col("_y")))).groupBy(*KEY).agg(F.collect_set("_a").alias("_look"))
+
+    def second(batches):
+        def rows(batch):
+            for i, words in enumerate(symbols(batch.column("_t"), "word")):
+                wanted, found = np.sort(batch.column("_look")[i].values.to_numpy(zero_copy_only=False)), []
+                for at, begin, last, _, _, (w1, w2) in chunked(words, 2):
+                    some = np.isin(at + begin, wanted)
+                    place = ranges(begin[some], last[some] + 1)
+                    found.append((w1[place], w2[place], at + place))
+                yield tuple(np.concatenate([f[j] for f in found]) if found else np.zeros(0, U64 if j < 2 else np.int64) for j in range(3))
+
+        for batch in batches:
+            yield from flats(batch, KEY, rows(batch), ["_w1", "_w2", "_a"])
+
+    single = materialize(given.join(look, KEY).mapInArrow(second, "_k1 long, _k2 long, _w1 long, _w2 long, _a long").withColumn("_a", small["_a"]), "windows")
+    twice = single.groupBy("_w1", "_w2").agg(F.min("_k1").alias("x"), F.max("_k1").alias("y")).where("x <> y").select("_w1", "_w2")
+    exact = single.join(twice, ["_w1", "_w2"]).select(*KEY, "_a", (F.col("_a") + length).alias("_e"))
+    runs = hit.where("_again").select(*KEY, "_a", (F.col("_a") + F.col("_m") + (length - 1)).alias("_e")).unionByName(exact)
+    covered = F.aggregate(
+        F.array_sort(F.collect_set(F.struct("_a", "_e"))), F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")),
+        lambda acc, x: F.struct(F.greatest(acc.end, x["_e"]).alias("end"), (acc.n + F.greatest(F.lit(0), x["_e"] - F.greatest(acc.end, x["_a"]))).alias("n")),
+    )
+    out = materialize(runs.groupBy(*KEY).agg(covered["n"].cast("long").alias("_p")), "shared")
+    discard(hit, single)
+    return out
+
+
 SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
@@ -386,7 +448,7 @@ def deduplicated(docs: DataFrame, text: str = "text", length: int = LENGTH, keep
     cut = spans.select(*KEY, F.size("_spans").cast("long").alias("_s"), F.aggregate("_spans", F.lit(0).cast("long"), lambda a, x: a + x.end - x.start).alias("_r"), F.col("_sha").alias("_h"), *([F.col("_kept").alias("_b")] if keep_text else []))
     change = copies.join(cut, KEY, "full")
     if passages:
-        change = change.join(repeated_spans(packed, TEXT, PASSAGE, "word", True).select(*KEY, F.col("_words").alias("_p")), KEY, "full")
+        change = change.join(shared_words(packed, TEXT), KEY, "full")
     change = materialize(change, "changes")
     size = F.coalesce(F.octet_length(TEXT), F.lit(0)).cast("long")
     full = F.coalesce("_all", F.lit(False))
