@@ -123,6 +123,41 @@ def needle_occurrences(spark, d):
     return D.table(spark, d, "documents").select("doc_id", tx.occurrences(F.col("text"), "the").alias("n"))
 
 
+GRAM_NEEDLES = [["thing", "tion"], ["theinger"], ["zusch"]]
+
+
+def grams_sql(exact: bool) -> str:
+    """Files that hold all literals of an alternative, or all of the literals' three-letter strings."""
+    parts = lambda x: [x] if exact else [x[i : i + 3] for i in range(len(x) - 2)]
+    return " OR ".join("(" + " AND ".join(f"contains(text, '{y}')" for x in own for y in parts(x)) + ")" for own in GRAM_NEEDLES)
+
+
+def gram_index(spark, d):
+    from ..sources import ngrams
+
+    return ordered.landed(ngrams.built(D.texts(spark, d), content="text"), "grams")
+
+
+@register("ngram_candidates", f"SELECT doc_id + 1 AS file_id FROM documents WHERE {grams_sql(False)}")
+def ngram_candidates(spark, d):
+    """Files that an index of three-byte strings lets through for a pattern's required literals."""
+    from ..sources import ngrams
+
+    return ngrams.candidates(gram_index(spark, d), GRAM_NEEDLES)
+
+
+@register("ngram_prefilter", f"SELECT (SELECT count(*) FROM documents) AS files_scanned, count(*) AS files_read, count(*) FILTER ({grams_sql(True)}) AS files_parsed, CAST(coalesce(sum(octet_length(encode(text))), 0) AS BIGINT) AS bytes_read FROM documents WHERE {grams_sql(False)}")
+def ngram_prefilter(spark, d):
+    """The literal prefilter with the index before it: what is scanned, read and left to parse."""
+    from ..sources import ngrams
+
+    sources = D.texts(spark, d).withColumn("content", F.col("text").cast("binary"))
+    read = sources.join(ngrams.candidates(gram_index(spark, d), GRAM_NEEDLES), "file_id", "left_semi")
+    parsed = lookup.readable(read, GRAM_NEEDLES, most=1 << 30).select("file_id", F.lit(1).alias("p"))
+    out = read.join(parsed, "file_id", "left").agg(F.count("*").alias("files_read"), F.count("p").alias("files_parsed"), F.coalesce(F.sum(F.octet_length("content")), F.lit(0)).cast("long").alias("bytes_read"))
+    return sources.agg(F.count("*").alias("files_scanned")).crossJoin(out)  # one row each
+
+
 NEEDLES = ["the", "he", "th", " of ", "ere", "é", "aa", "absent needle"]
 
 

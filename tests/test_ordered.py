@@ -202,3 +202,34 @@ def test_sweep_over_parts(spark):
         assert roots == {i: tops[x[1]].index(plain[i][2]) for i, x in ((x[0], x) for x in symbols)}
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_index_of_three_byte_strings(spark, monkeypatch):
+    import numpy as np
+
+    from quarry.operators.ordered import landed
+    from quarry.sources import ngrams, patterns
+    from quarry.sources.patterns import captures
+
+    for values in ([], [0], [5, 6, 300, 2**40, 2**62]):
+        assert ngrams.unpacked(ngrams.packed(np.array(values, np.int64))).tolist() == values
+    monkeypatch.setattr(ngrams, "SHARD", 500)
+    texts = [f"def f{i}(x):\n    return {R.choice(['alpha', 'beta', 'gämma', 'x'])}(x, {i})\n" for i in range(300)] + ["", None, "ab", "z" * 2_000_000 + "alpha"]
+    files = spark.createDataFrame([(i, None if t is None else bytearray(t.encode())) for i, t in enumerate(texts)] + [(3, bytearray(texts[3].encode()))], "file_id long, content binary").repartition(4)
+    index = landed(ngrams.built(files), "grams")
+    assert index.select("shard").distinct().count() > 10
+    for literals in ([["alpha"]], [["beta", "return"], ["gämma"]], [["nowhere"]], [["f12", "x"]]):
+        found = {r.file_id for r in ngrams.candidates(index, literals).collect()}
+        need = lambda x: x.encode() if len(x.encode()) > 2 else b""
+        strings = [[need(x)[k : k + 3] for x in own for k in range(len(need(x)) - 2)] for own in literals]
+        assert found == {i for i, t in enumerate(texts) if t is not None and any(all(s in t.encode() for s in own) for own in strings)}
+    assert ngrams.candidates(index, [["alpha"], ["ab"]]) is None
+    plan = ngrams.candidates(index, [["alpha"]])._jdf.queryExecution().executedPlan().toString()
+    assert "In(gram" in plan[plan.index("PushedFilters") :]
+    # a pattern gives the same captures from what the index lets through
+    pattern = '((call function: (identifier) @f) (#eq? @f "beta"))'
+    needles = patterns.required_literals(patterns.compiled("python", pattern))
+    small = files.where("file_id < 300").dropDuplicates(["file_id"])
+    some = small.join(ngrams.candidates(index, needles), "file_id", "left_semi")
+    key = lambda rows: sorted((r.file_id, r.text, r.start_row) for r in rows.collect())
+    assert key(captures(some, "python", pattern)) == key(captures(small, "python", pattern)) != [] and some.count() < 150
