@@ -224,35 +224,36 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(F.col(f"_{c}").alias(c) for c in ("license", "matched", "template_words", "first_word", "last_word", "start", "end", "coverage")))
 
 
-def op7_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .quotes import linked
-
-    found = linked(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
-    return found.select(
-        F.col("_thread").alias("thread_id"), "conv_id", "turn", "role", F.col("_reply_conv").alias("reply_conv"), F.col("_reply_turn").alias("reply_turn"),
-        F.col("_quotes").alias("n_quotes"), F.col("_linked").alias("n_linked"), F.col("_body").alias("body"),
-    )
+QUERIES["op4_licenses"] = op4_licenses
 
 
-QUERIES["op4_licenses"] = op4_licenses
-QUERIES["op7_quotes"] = op7_quotes
-SQL["op7_quotes"] = r"""
-WITH RECURSIVE m AS (SELECT *, row_number() OVER () AS rid FROM conversations),
+def _quotes_sql(messages: str) -> str:
+    """Whole quoted passages and their paragraphs against whole messages, their unquoted runs and the paragraphs of both."""
+    split, norm = r"string_split_regex({}, '\n[ \t\r]*\n')", r"trim(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
+    return rf"""
+WITH RECURSIVE messages AS ({messages}),
+m AS (SELECT *, row_number() OVER () AS rid FROM messages),
 l AS (SELECT rid, c, t, unnest(a) AS x, generate_subscripts(a, 1) AS k FROM (SELECT rid, conv_id AS c, turn AS t, string_split_regex(coalesce(text, ''), '\r?\n') AS a FROM m)),
-p AS (SELECT rid, c, t, k, length(regexp_replace(regexp_extract(x, '^((?:[ \t]{0,3}>)+)[ \t]?', 1), '[^>]', '', 'g')) AS level, regexp_replace(x, '^((?:[ \t]{0,3}>)+)[ \t]?', '') AS line FROM l),
+p AS (SELECT rid, c, t, k, length(regexp_replace(regexp_extract(x, '^((?:[ \t]{{0,3}}>)+)[ \t]?', 1), '[^>]', '', 'g')) AS level, regexp_replace(x, '^((?:[ \t]{{0,3}}>)+)[ \t]?', '') AS line FROM l),
 b AS (SELECT rid, max(level) > 0 AS quoting, string_agg(line, chr(10) ORDER BY k) FILTER (level = 0) AS body FROM p GROUP BY rid),
-body AS (SELECT m.rid, conv_id, turn, role, CASE WHEN quoting THEN coalesce(b.body, '') ELSE coalesce(text, '') END AS body FROM m JOIN b ON b.rid = m.rid),
+body AS (SELECT m.rid, conv_id, turn, role, quoting, CASE WHEN quoting THEN coalesce(b.body, '') ELSE coalesce(text, '') END AS body FROM m JOIN b ON b.rid = m.rid),
 g AS (SELECT *, k - row_number() OVER (PARTITION BY rid, level ORDER BY k) AS island FROM p),
-q AS (SELECT rid, c, t, level, trim(regexp_replace(lower(string_agg(line, chr(10) ORDER BY k)), '[^\p{L}\p{N}]+', ' ', 'g')) AS n FROM g WHERE level > 0 GROUP BY rid, c, t, level, island),
-parts AS (SELECT conv_id AS c, turn AS t, unnest([body] || string_split_regex(body, '\n[ \t\r]*\n')) AS x FROM body WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
-own AS (SELECT c, t, trim(regexp_replace(lower(x), '[^\p{L}\p{N}]+', ' ', 'g')) AS n FROM parts),
+runs AS (SELECT rid, c, t, level, island, string_agg(line, chr(10) ORDER BY k) AS x FROM g GROUP BY rid, c, t, level, island),
+q AS (SELECT * FROM runs WHERE level > 0),
+pieces AS (SELECT *, 0 AS part FROM q UNION ALL SELECT rid, c, t, level, island, unnest(a), 1 FROM (SELECT *, {split.format("x")} AS a FROM q) WHERE len(a) > 1),
+pn AS (SELECT rid, c, t, level, island, part, {norm.format("x")} AS n FROM pieces),
+parts AS (
+  SELECT conv_id AS c, turn AS t, unnest([body] || {split.format("body")}) AS x FROM body
+  UNION ALL SELECT r.c, r.t, unnest([x] || {split.format("x")}) FROM runs r JOIN body ON body.rid = r.rid AND quoting WHERE level = 0),
+own AS (SELECT c, t, {norm.format("x")} AS n FROM parts WHERE c IS NOT NULL AND t IS NOT NULL),
 near AS (SELECT n, c, min(t) AS near FROM own WHERE n <> '' GROUP BY n, c),
 far AS (SELECT n, min(c) AS fc, arg_min(near, c) AS ft FROM near GROUP BY n),
 f AS (
-  SELECT q.*, CASE WHEN near < t THEN q.c WHEN fc < q.c THEN fc END AS tc, CASE WHEN near < t THEN near WHEN fc < q.c THEN ft END AS tt
-  FROM q LEFT JOIN near ON near.n = q.n AND near.c = q.c LEFT JOIN far ON far.n = q.n),
-best AS (SELECT rid, c, tc, tt FROM f WHERE tc IS NOT NULL QUALIFY row_number() OVER (PARTITION BY rid ORDER BY level, length(n) DESC, tc, tt) = 1),
-sums AS (SELECT rid, count(*) AS nq, count(tc) AS nl FROM f GROUP BY rid),
+  SELECT pn.*, CASE WHEN near < t THEN pn.c WHEN fc < pn.c THEN fc END AS tc, CASE WHEN near < t THEN near WHEN fc < pn.c THEN ft END AS tt
+  FROM pn LEFT JOIN near ON near.n = pn.n AND near.c = pn.c LEFT JOIN far ON far.n = pn.n),
+bq AS (SELECT rid, c, level, island, tc, tt, length(n) AS size FROM f WHERE tc IS NOT NULL QUALIFY row_number() OVER (PARTITION BY rid, level, island ORDER BY part, length(n) DESC, tc, tt) = 1),
+best AS (SELECT rid, c, tc, tt FROM bq QUALIFY row_number() OVER (PARTITION BY rid ORDER BY level, size DESC, tc, tt) = 1),
+sums AS (SELECT q.rid, count(*) AS nq, count(bq.tc) AS nl FROM q LEFT JOIN bq ON bq.rid = q.rid AND bq.level = q.level AND bq.island = q.island GROUP BY q.rid),
 up AS (SELECT c, min(tc) AS up FROM best WHERE tc < c GROUP BY c),
 chain AS (SELECT c, up FROM up UNION ALL SELECT chain.c, up.up FROM chain JOIN up ON up.c = chain.up),
 root AS (SELECT c, min(up) AS root FROM chain GROUP BY c)
@@ -261,6 +262,47 @@ FROM body LEFT JOIN sums ON sums.rid = body.rid LEFT JOIN best ON best.rid = bod
 """
 
 
+SQL["op7_quotes"] = _quotes_sql("SELECT conv_id, turn, role, text FROM conversations")
+
+
+def _threaded(found: DataFrame) -> DataFrame:
+    return found.select(
+        F.col("_thread").alias("thread_id"), "conv_id", "turn", "role", F.col("_reply_conv").alias("reply_conv"), F.col("_reply_turn").alias("reply_turn"),
+        F.col("_quotes").alias("n_quotes"), F.col("_linked").alias("n_linked"), F.col("_body").alias("body"),
+    )
+
+
+def op7_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quotes import linked
+
+    return _threaded(linked(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")))
+
+
+QUERIES["op7_quotes"] = op7_quotes
+#: What a message quotes above its own text: every fifth turn the one before it, every fifth other the paragraphs of the one
+#: before, with a line of its own between them and one level deeper, and a third of first turns the conversation before.
+QUOTING = r"""
+SELECT m.conv_id, m.turn, m.role, CASE
+  WHEN m.turn % 5 = 1 AND b.text IS NOT NULL THEN '> ' || replace(b.text, chr(10), chr(10) || '> ') || chr(10) || coalesce(m.text, '')
+  WHEN m.turn % 5 = 3 AND b.text IS NOT NULL THEN '>> ' || replace(b.text, chr(10), chr(10) || '>> ') || chr(10) || 'so it is' || chr(10) || '> unheard of' || chr(10) || '>' || chr(10) || '> ' || split_part(b.text, chr(10), 1) || chr(10) || coalesce(m.text, '')
+  WHEN m.turn = 0 AND m.conv_id % 3 = 1 AND a.text IS NOT NULL THEN '> ' || replace(a.text, chr(10), chr(10) || '> ') || chr(10) || coalesce(m.text, '')
+  ELSE m.text END AS text
+FROM conversations m LEFT JOIN (SELECT conv_id, turn, min(text) AS text FROM conversations GROUP BY conv_id, turn) b ON b.conv_id = m.conv_id AND b.turn = m.turn - 1
+LEFT JOIN (SELECT conv_id, turn, min(text) AS text FROM conversations GROUP BY conv_id, turn) a ON a.conv_id = m.conv_id - 1 AND a.turn = m.turn"""
+
+
+def quoted_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The given conversations with quotes in them, linked."""
+    from .quotes import linked
+
+    own = spark.sql(QUOTING.replace("chr(10)", "char(10)").replace("FROM conversations", "FROM {conversations}"), conversations=table(spark, sf_dir, "conversations"))
+    return _threaded(linked(own))
+
+
+QUERIES["quoted_replies"] = quoted_replies
+SQL["quoted_replies"] = _quotes_sql(QUOTING)
+
+
 def op11_block_max(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .search import search
 
