@@ -6,8 +6,9 @@ penalty labels the words, so that short stretches don't change the language.  Th
 text's language is the one with most letters; the score is its share of letters.
 
 The model counts hashed trigrams and scripts for each language over all training
-rows, in one pass and one small aggregation: its size is bounded by the number of
-languages (at most ``MAX_LANGS``) times 2**BITS, whatever the number of rows.
+rows, in one pass and one small aggregation.  Its size is bounded by ``MAX_LANGS`` times 2**BITS,
+whatever the number of rows: with more languages, slots that share their high bits are counted
+together, so that each language has fewer.
 
 Defined cases: null, empty and letterless texts are ``und`` with score 0; rows
 whose language or text is null aren't learned from; ties go to the language that
@@ -111,33 +112,44 @@ def grouped(column: pa.Array) -> Iterator[list[str]]:
         yield group
 
 
+def folded(langs: int) -> int:
+    """Low bits of a slot that are left out, so that the model of so many languages stays within its bound."""
+    shift = 0
+    while langs << (BITS - shift) > MAX_LANGS << BITS and shift < BITS - 1:
+        shift += 1
+    return shift
+
+
 @dataclass
 class Model:
     langs: list[str]
-    score: np.ndarray  # 2**BITS x languages
+    score: np.ndarray  # slots x languages
     allowed: np.ndarray  # scripts x languages
+    shift: int = 0  # of a slot, the low bits that are left out
 
     @classmethod
     def of(cls, rows: list[tuple[str, int, int]]) -> Model:
         """From rows (language, slot, count); slots from 2**BITS on count scripts."""
         langs = sorted({r[0] for r in rows})
-        if len(langs) > MAX_LANGS:
-            raise ValueError(f"{len(langs)} languages to learn; at most {MAX_LANGS}")
+        shift = folded(len(langs))
         at = {x: i for i, x in enumerate(langs)}
-        count = np.zeros(((1 << BITS) + OTHER + 1, len(langs)))
+        count, script = np.zeros(((1 << BITS) >> shift, len(langs))), np.zeros((OTHER + 1, len(langs)))
         for lang, slot, n in rows:
-            count[slot, at[lang]] = n
-        gram, script = count[: 1 << BITS] + 0.5, count[1 << BITS :]
+            if slot < 1 << BITS:
+                count[slot >> shift, at[lang]] += n
+            else:
+                script[slot - (1 << BITS), at[lang]] = n
+        gram = count + 0.5
         score = np.log(gram / gram.sum(axis=0)).astype(np.float32)
         allowed = script > SCRIPT_SHARE * np.maximum(script.sum(axis=0), 1)
         allowed[~allowed.any(axis=1)] = True
-        return cls(langs, score, allowed)
+        return cls(langs, score, allowed, shift)
 
     def words(self, w: Words) -> np.ndarray:
         """Log-likelihood of each word in each language, from the word's best."""
         if not len(w.size):
             return np.zeros((0, len(self.langs)), np.float32)
-        s = np.add.reduceat(self.score[w.gram], w.cut, axis=0)
+        s = np.add.reduceat(self.score[w.gram >> self.shift], w.cut, axis=0)
         s[~self.allowed[w.script]] = -1e6
         return s - s.max(axis=1, keepdims=True)
 
@@ -149,9 +161,10 @@ class Model:
         order = np.argsort(-size, kind="stable")
         first, size = first[:-1][order], size[order]
         active = np.searchsorted(-size, -np.arange(size[0] if n else 0), side="left")
-        back = np.zeros((len(w.doc), k), np.int16)
+        kind = np.int16 if k < 1 << 15 else np.int32
+        back = np.zeros((len(w.doc), k), kind)
         best = np.zeros((n, k), np.float32)
-        own = np.arange(k, dtype=np.int16)
+        own = np.arange(k, dtype=kind)
         for t, m in enumerate(active):
             at = first[:m] + t
             v = best[:m]
@@ -162,7 +175,7 @@ class Model:
                 back[at] = np.where(move, top[:, None], own)
                 v = np.where(move, other[:, None], v)
             best[:m] = v + score[at]
-        label = np.zeros(len(w.doc), np.int16)
+        label = np.zeros(len(w.doc), kind)
         state = best.argmax(axis=1)
         for t in range(len(active) - 1, -1, -1):
             m = active[t]
@@ -214,7 +227,11 @@ def trained(rows: DataFrame, text: str = "text", lang: str = "lang") -> Model:
             yield pa.RecordBatch.from_arrays([pa.array([x] * len(slot), pa.string()), pa.array(slot), pa.array(total[slot])], ["lang", "slot", "n"])
 
     known = rows.select(F.col(lang).alias("_lang"), F.col(text).alias("_text")).where("_lang IS NOT NULL AND _text IS NOT NULL")
-    found = known.mapInArrow(count, "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
+    shift = folded(known.select("_lang").distinct().count())
+    found = known.mapInArrow(count, "lang string, slot long, n long")
+    if shift:
+        found = found.withColumn("slot", F.when(F.col("slot") < 1 << BITS, F.shiftleft(F.shiftright("slot", shift), shift)).otherwise(F.col("slot")))
+    found = found.groupBy("lang", "slot").agg(F.sum("n").alias("n"))
     return Model.of([tuple(r) for r in found.toArrow().to_pandas().itertuples(index=False)])
 
 

@@ -154,3 +154,74 @@ def test_neighbour_votes_on_given_labels(spark):
 
     rows = QUERIES["op12_neighbour_votes"](spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").where("held_out").collect()
     assert np.mean([r.predicted == r.quality for r in rows]) > 0.93
+
+
+def naive_language(train, texts):
+    """Counts, scripts, Viterbi and shares word by word."""
+    from quarry.llm import language as g
+    from quarry.llm.common import U64, mix
+
+    _, script = g.tables()
+    words = lambda t: re.findall(r"[^\W\d_]+", (t or "").lower())
+
+    def grams(w):
+        c = [32, *map(ord, w), 32]
+        return [int(mix(np.array([(c[i] << 42) ^ (c[i + 1] << 21) ^ c[i + 2]], U64))[0] >> U64(64 - g.BITS)) for i in range(len(w))]
+
+    langs = sorted({x for t, x in train if t is not None and x is not None})
+    shift = g.folded(len(langs))
+    count, seen = {x: Counter() for x in langs}, {x: Counter() for x in langs}
+    for t, x in train:
+        if t is not None and x is not None:
+            for w in words(t):
+                count[x].update(v >> shift for v in grams(w))
+                seen[x][int(script[ord(w[0])])] += len(w)
+    slots = (1 << g.BITS) >> shift
+    total = {x: sum(count[x].values()) + 0.5 * slots for x in langs}
+    out = []
+    for t in texts:
+        own = words(t)
+        if not own:
+            out.append(("und", 0.0))
+            continue
+        path = None
+        for w in own:
+            s = int(script[ord(w[0])])
+            ok = [x for x in langs if seen[x][s] > g.SCRIPT_SHARE * max(1, sum(seen[x].values()))] or langs
+            score = {x: sum(math.log((count[x][v >> shift] + 0.5) / total[x]) for v in grams(w)) if x in ok else -1e6 for x in langs}
+            if path is None:
+                path = {x: (score[x], [x]) for x in langs}
+            else:
+                top = max(langs, key=lambda x: (path[x][0], -langs.index(x)))
+                path = {x: max(((path[x][0] + score[x], 1, path[x][1] + [x]), (path[top][0] - g.PENALTY + score[x], 0, path[top][1] + [x])), key=lambda y: y[:2])[::2] for x in langs}
+        last = max(langs, key=lambda x: (path[x][0], -langs.index(x)))
+        share = Counter()
+        for w, x in zip(own, path[last][1], strict=True):
+            share[x] += len(w)
+        best = max(langs, key=lambda x: (share[x], -langs.index(x)))
+        out.append((best, share[best] / sum(share.values())))
+    return out
+
+
+def test_languages_by_definition(spark, monkeypatch):
+    from quarry.llm import language as g
+
+    rows = [(r.text, r.lang) for r in spark.read.parquet(f"{SF}/documents.parquet").limit(60).collect()]
+    train = [(t[:600], x) for t, x in rows[:40]] + [("Привет мир и люди", "ru"), (None, "de"), ("x y", None)]
+    texts = [t[:250] for t, _ in rows[40:]] + [rows[41][0][:120] + " " + rows[44][0][:150], "Привет the мир", "123 !?", "", None, "Б " + rows[42][0][:90]]
+    for most in (512, 3):
+        monkeypatch.setattr(g, "MAX_LANGS", most)
+        model = g.trained(spark.createDataFrame([(t, x, 1) for t, x in train], "text string, lang string, slot int"))
+        assert model.shift == (0 if most == 512 else 1)
+        found = {r.i: (r._lang, r._score) for r in g.identified(spark.createDataFrame(list(enumerate(texts)), "i int, text string"), model).collect()}
+        for i, (lang, score) in enumerate(naive_language(train, texts)):
+            assert found[i][0] == lang and abs(found[i][1] - score) < 1e-6, (i, found[i], lang, score)
+
+
+def test_more_languages_than_the_bound():
+    from quarry.llm import language as g
+
+    rows = [(f"l{k:04d}", s, 5) for k in range(1500) for s in (k * 7 % (1 << g.BITS), (1 << g.BITS))]
+    model = g.Model.of(rows)
+    assert len(model.langs) == 1500 and model.score.size <= g.MAX_LANGS << g.BITS and model.shift == 2
+    assert len(model.judged(["ein kurzer Text", "", "zwei"])[0]) == 3
