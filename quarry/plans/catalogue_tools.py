@@ -304,9 +304,72 @@ def tool_find_references(spark, d):
 
 @register("tool_reference_counts", f", r AS (SELECT repos.name AS repo, path, refs.name FROM {REFS_AT}) SELECT 'file' AS part, repo, path AS key, count(*) AS n FROM r GROUP BY repo, path UNION ALL SELECT 'name', '', name, count(*) FROM r GROUP BY name UNION ALL SELECT 'total', '', '', count(*) FROM r UNION ALL SELECT 'files', '', '', count(DISTINCT path) FROM r", "refs", "files", "repos")
 def tool_reference_counts(spark, d):
-    found = navigator(spark, prose_store(spark, d), max_response_chars=0).find_references(ReferenceArgs(names=NAMES, counts_only=True))
-    rows = [("file", x["repo"], x["file"], x["count"]) for x in found["files"]] + [("name", "", x["name"], x["count"]) for x in found["names"]]
-    return rows_of(spark, [*rows, ("total", "", "", found["total"]), ("files", "", "", found["total_files"])], "part string, repo string, key string, n long")
+    return navigator(spark, prose_store(spark, d)).reference_counts(ReferenceArgs(names=NAMES))
+
+
+PATHS_OF = "src AS (SELECT doc_id, coalesce(source, '') AS repo, 'm/f' || lpad(CAST(doc_id AS VARCHAR), 8, '0') || '.py' AS path, lpad(CAST(doc_id AS VARCHAR), 8, '0') AS num FROM documents)"
+
+
+def source_table(spark: SparkSession, d: str) -> DataFrame:
+    """A Python source of each document, as a walk gives it."""
+    number = F.lpad(F.col("doc_id").cast("string"), 8, "0")
+    own = D.table(spark, d, "documents").select("doc_id", F.regexp_extract("source", r"(\d+)$", 1).cast("long").alias("repo_id"), F.col("source").alias("repo"), F.concat(F.lit("m/f"), number, F.lit(".py")).alias("path"), F.lit("python").alias("language"), F.lit(1).cast("long").alias("mtime_ns"))
+    own = own.withColumn("content", F.replace(F.lit(PYTHON), F.lit("§"), F.lpad(F.col("doc_id").cast("string"), 8, "0")))
+    return with_state(own)
+
+
+def with_state(own: DataFrame) -> DataFrame:
+    data = F.col("content").cast("binary")
+    return own.withColumns({"byte_size": F.octet_length("content").cast("long"), "readable": F.lit(True), "binary": F.lit(False), "sha": F.sha2(data, 256), "content": data})
+
+
+@register("build_update", f"""WITH {PATHS_OF}, kept AS (SELECT *, doc_id % 10 = 3 AS changed, doc_id % 10 = 5 AS touched FROM src WHERE doc_id % 10 <> 4)
+SELECT path, CASE WHEN changed THEN 3 WHEN touched THEN 2 ELSE 1 END AS mtime_ns, 'C' || CASE WHEN changed THEN 'x' || num ELSE num END AS class, CAST(6 AS BIGINT) AS n_symbols, CAST({len(MENTIONED)} AS BIGINT) AS n_refs FROM kept""")
+def build_update(spark, d):
+    """A full build over a table of sources, then an update of some: changed, touched and deleted files become a layer."""
+    from ..sources.config import Config
+    from .build import Builder
+    from .store import Store
+
+    store = Store(spark, folder(spark))
+    builder, repos = Builder(spark, store, Config([])), D.repos(spark, d)
+    walked = source_table(spark, d)
+    builder.merge(walked, store.read("files"), store.read("files"), repos, False)
+    k = F.col("doc_id") % 10
+    some = walked.where(k.isin(3, 5)).withColumn("mtime_ns", F.when(k == 3, 3).otherwise(2).cast("long"))
+    some = with_state(some.withColumn("content", F.when(k == 3, F.replace(F.col("content").cast("string"), F.lpad(F.col("doc_id").cast("string"), 8, "0"), F.concat(F.lit("x"), F.lpad(F.col("doc_id").cast("string"), 8, "0")))).otherwise(F.col("content").cast("string"))))
+    files = store.read("files")
+    gone = files.join(walked.where(k == 4).select("repo_id", "path"), ["repo_id", "path"], "left_semi")
+    builder.merge(some, files, gone, repos, False)
+    symbols = store.read("symbols").groupBy("file_id").agg(F.count("*").alias("n_symbols"), F.max(F.when(F.col("kind") == "class", F.col("name"))).alias("class"))
+    refs = store.read("refs").groupBy("file_id").agg(F.count("*").alias("n_refs"))
+    return store.read("files").join(symbols, "file_id").join(refs, "file_id").select("path", F.col("mtime_ns").cast("int").alias("mtime_ns"), "class", "n_symbols", "n_refs")
+
+
+@register("tool_query", f"""WITH {PATHS_OF}, n AS (SELECT *, row_number() OVER (ORDER BY repo, path) - 1 AS k FROM src WHERE doc_id BETWEEN 100 AND 199 AND doc_id % 4 <> 1),
+c AS (SELECT repo, path, 2 * k + s AS pos, CASE s WHEN 0 THEN 'C' || num ELSE 'Base' END AS text, CASE s WHEN 0 THEN 'name' ELSE 'base' END AS name FROM n, (SELECT unnest([0, 1]) AS s))
+SELECT repo, path AS file, name, text, CAST((SELECT count(*) FROM documents) AS BIGINT) AS scanned, CAST((SELECT count(*) FROM documents WHERE doc_id % 4 <> 1) AS BIGINT) AS parsed, (SELECT count(*) FROM c) > 37 + 60 AS truncated FROM c WHERE pos >= 37 AND pos < 37 + 60""")
+def tool_query(spark, d):
+    """A pattern over a table of sources: the index of three-byte strings leaves the parser those that hold its literals."""
+    from ..model import QueryArgs
+    from ..sources import ngrams
+    from .store import Store
+    from .tools import Navigator
+
+    store, walked = Store(spark, folder(spark)), source_table(spark, d)
+    text = F.col("content").cast("string")
+    walked = with_state(walked.withColumn("content", F.when(F.col("doc_id") % 4 == 1, F.replace(text, F.lit("Base"), F.lit("Root"))).otherwise(text)))
+    none = F.lit(None)
+    symbols = D.symbols(spark, d).withColumns({"signature": none.cast("string"), "docstring": none.cast("string")}).where("false")
+    refs = D.refs(spark, d, ["absent_name"]).withColumn("ref_id", F.lit(0).cast("long")).where("false")
+    store.publish({"repos": D.repos(spark, d), "files": walked.withColumns({"file_id": F.col("doc_id"), "partial": F.lit(False)}), "symbols": symbols, "refs": refs})
+    grams = ordered.landed(ngrams.built(walked, "doc_id"), "grams")
+    roots = {r.name: "" for r in D.repos(spark, d).orderBy("name").collect()}  # the configured repositories
+    nav = Navigator(spark, store, roots, Limits(max_response_chars=0), walked, grams)
+    pattern = '((class_definition name: (identifier) @name superclasses: (argument_list (identifier) @base)) (#eq? @base "Base") (#match? @name "^C000001[0-9][0-9]$"))'
+    found = nav.query(QueryArgs(query=pattern, language="python", limit=60, offset=37))
+    rows = [(x["repo"], x["file"], x["name"], x["text"], found["files_scanned"], found["files_parsed"], found["truncated"]) for x in found["captures"]]
+    return rows_of(spark, rows, "repo string, file string, name string, text string, scanned long, parsed long, truncated boolean")
 
 
 @register("tool_byte_budget", "SELECT TRUE AS fits, TRUE AS truncated, TRUE AS warned, TRUE AS follows, TRUE AS pages_join")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..model import EnclosingArgs, InvalidArguments, Limits, OutlineArgs, QueryArgs, ReferenceArgs, ReplaceArgs, SymbolArgs
 from ..operators import intervals, lookup, references, rollups
-from ..sources import patterns
+from ..sources import ngrams, patterns
 from ..sources.extract.symbols import parse
 from ..sources.languages import BY_ID, detect
 from . import wire
@@ -26,10 +26,13 @@ STALE = "the source has changed since it was indexed"
 
 
 class Navigator:
-    """Reads a store or an overlay; ``roots`` tells where live sources lie."""
+    """Reads a store or an overlay; ``roots`` tells where live sources lie.  Sources may also be a table (repo, path, content),
+    of which ``grams`` is the index of three-byte strings (quarry.sources.ngrams, by the file_id of the store): then
+    patterns read only the sources that can hold their literals."""
 
-    def __init__(self, spark: SparkSession, index, roots: dict[str, str], limits: Limits | None = None):
+    def __init__(self, spark: SparkSession, index, roots: dict[str, str], limits: Limits | None = None, table: DataFrame | None = None, grams: DataFrame | None = None):
         self.spark, self.index, self.roots, self.limits = spark, index, roots, limits or Limits()
+        self.table, self.grams = table, grams
 
     # --- what all have in common
 
@@ -336,6 +339,16 @@ class Navigator:
             return wire.lean(out) | {"snippet": next((x.strip() for x in some if x.strip()), "")}
         return wire.lean(out) | {"snippet": "\n".join(some), "snippet_start_row": first + 1}
 
+    def reference_counts(self, args: ReferenceArgs) -> DataFrame:
+        """Exact counts as a table (part, repo, key, n), of any number of files and names: parts ``file``, ``name``, and one row
+        each of ``total`` and ``files``."""
+        rows, _, _ = self.reference_rows(args)
+        none, count = F.lit(""), F.count("*").alias("n")
+        by_file = rows.groupBy("repo", F.col("path").alias("key")).agg(count).select(F.lit("file").alias("part"), "repo", "key", "n")
+        by_name = rows.groupBy(F.col("name").alias("key")).agg(count).select(F.lit("name").alias("part"), none.alias("repo"), "key", "n")
+        sums = references.totals(rows).select(F.inline(F.array(F.struct(F.lit("total").alias("part"), F.col("total").alias("n")), F.struct(F.lit("files").alias("part"), F.col("total_files").alias("n")))))
+        return by_file.unionByName(by_name).unionByName(sums.select("part", none.alias("repo"), none.alias("key"), "n"))
+
     def counts(self, rows: DataFrame, sums, several: bool, diagnostics: list[dict]) -> dict:
         """Exact counts; sources aren't verified and paging doesn't apply.  The most frequent files are listed."""
         ordered = references.counts_by_file(rows).orderBy(F.desc("n"), "repo", "path")
@@ -376,9 +389,15 @@ class Navigator:
             diagnostics += self.filter_diagnostics(self.owned(repos, all_files, args.repo), args.file_glob, found)
         if found is not None:
             files = files.where(found)
+        every = files
+        literals = [patterns.required_literals(patterns.compiled(x, args.query)) for x in good]
+        if self.grams is not None and literals and all(literals):
+            some = ngrams.candidates(self.grams, [own for x in literals for own in x])
+            files = files if some is None else files.join(some, "file_id", "left_semi")
         files = self.contents(files).where(F.octet_length("content") <= 2 << 20).persist(StorageLevel.DISK_ONLY)
         try:
-            scanned = files.count()
+            # with the index, what is left out is counted by its entry
+            scanned = files.count() if self.grams is None else every.where(F.col("byte_size") <= 2 << 20).count()
             parts, parsed_files = None, 0
             for language in good:
                 needles = patterns.required_literals(patterns.compiled(language, args.query))
@@ -417,24 +436,27 @@ class Navigator:
     def candidates(self, repo: str | None, languages: list[str]) -> DataFrame:
         """Indexed files of these languages; a live walk where there is no index."""
         order = {name: i for i, name in enumerate(self.roots)}
-        kind = "repo string, path string, language string, partial boolean, ordinal long"
+        kind = "repo string, path string, language string, partial boolean, ordinal long, file_id long, byte_size long"
         if self.index.manifest().ready:
             repos, files, _, _ = self.tables()
             own = self.owned(repos, files.where(F.col("language").isin(languages)), repo)
             ordinal = F.create_map(*[F.lit(x) for pair in order.items() for x in pair])[F.col("repo")] if order else F.lit(0)
-            return own.select("repo", "path", "language", "partial", ordinal.cast("long").alias("ordinal"))
+            return own.select("repo", "path", "language", "partial", ordinal.cast("long").alias("ordinal"), "file_id", "byte_size")
         from ..sources.walk import Workspace, languages_of, walk
 
         rows = []
         for name, root in self.roots.items():
             if repo in (None, name):
                 w = Workspace(name, root)
-                rows += [(name, p, x, False, order[name]) for p, x in languages_of(w, walk(w)).items() if x in languages]
+                rows += [(name, p, x, False, order[name], None, None) for p, x in languages_of(w, walk(w)).items() if x in languages]
         return self.spark.createDataFrame(rows, kind)
 
     def contents(self, files: DataFrame) -> DataFrame:
         import pyarrow as pa
 
+        if self.table is not None:
+            return files.join(self.table.select("repo", "path", F.col("content").cast("binary").alias("content")), ["repo", "path"], "left")
+
         roots, names = dict(self.roots), files.columns
 
         def read(batches):
