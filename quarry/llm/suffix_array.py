@@ -349,7 +349,8 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, un
 
 
 def shared_words(docs: DataFrame, text: str, length: int = PASSAGE) -> DataFrame:
-    """(key, _p): of each distinct text, how many words lie in strings of ``length`` words that stand in another text too.
+    """(key, _w, _p): of each distinct text of ``length`` words or more, its words, and how many of them lie in strings of
+    ``length`` words that stand in another text too.
 
     For counting alone, the texts are read twice instead of once a round, and aren't sorted: the first reading gives all
     chunks of windows with the same smallest name of half the length, with their contexts; a context that two texts hold is
@@ -366,14 +367,17 @@ def shared_words(docs: DataFrame, text: str, length: int = PASSAGE) -> DataFrame
     def first(batches):
         def rows(batch):
             for words in symbols(batch.column("_t"), "word"):
-                found = [(cls, ctx, at + begin, last - begin + 1) for at, begin, last, cls, ctx, _ in chunked(words, 1)]
-                yield tuple(np.concatenate([f[j] for f in found]) if found else np.zeros(0, U64 if j < 2 else np.int64) for j in range(4))
+                # the first row of a text is its size
+                found = [(np.zeros(1, U64), np.zeros(1, U64), np.full(1, -1), np.full(1, len(words)))]
+                found += [(cls, ctx, at + begin, last - begin + 1) for at, begin, last, cls, ctx, _ in chunked(words, 1)]
+                yield tuple(np.concatenate([f[j] for f in found]) for j in range(4))
 
         for batch in batches:
             yield from flats(batch, KEY, rows(batch), ["_class", "_c1", "_a", "_m"])
 
     small = {c: F.col(c).cast("int") for c in ("_a", "_m")}
-    parts = materialize(given.mapInArrow(first, "_k1 long, _k2 long, _class long, _c1 long, _a long, _m long").withColumns(small), "chunks")
+    every = materialize(given.mapInArrow(first, "_k1 long, _k2 long, _class long, _c1 long, _a long, _m long").withColumns(small), "chunks")
+    parts = every.where("_a >= 0")
     each = parts.groupBy("_class", "_c1").agg(F.min("_k1").alias("_x"), F.max("_k1").alias("_y"))
     each = materialize(each.withColumn("_again", F.col("_x") != F.col("_y")), "contexts")
     mixed = each.groupBy("_class").agg(F.count_if(~F.col("_again")).alias("alone"), F.min("_x").alias("x"), F.max("_y").alias("y"), F.count("*").alias("m"))
@@ -381,7 +385,8 @@ def shared_words(docs: DataFrame, text: str, length: int = PASSAGE) -> DataFrame
     state = each.join(mixed, "_class", "left").where("_again OR _mixed")
     hit = parts.join(state.withColumn("_mixed", F.coalesce("_mixed", F.lit(False))), ["_class", "_c1"]).select(*KEY, "_a", "_m", "_x", "_y", "_again", "_mixed")
     hit = materialize(hit, "hits")
-    discard(parts, each)
+    sizes = materialize(every.where((F.col("_a") < 0) & (F.col("_m") >= length)).groupBy(*KEY).agg(F.max("_m").cast("long").alias("_w")), "sizes")
+    discard(every, each)
     look = hit.where(F.col("_mixed") & (~F.col("_again") | F.col("_k1").isin(F.col("_x"), F.col("_y")))).groupBy(*KEY).agg(F.collect_set("_a").alias("_look"))
 
     def second(batches):
@@ -405,8 +410,8 @@ def shared_words(docs: DataFrame, text: str, length: int = PASSAGE) -> DataFrame
         F.array_sort(F.collect_set(F.struct("_a", "_e"))), F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")),
         lambda acc, x: F.struct(F.greatest(acc.end, x["_e"]).alias("end"), (acc.n + F.greatest(F.lit(0), x["_e"] - F.greatest(acc.end, x["_a"]))).alias("n")),
     )
-    out = materialize(runs.groupBy(*KEY).agg(covered["n"].cast("long").alias("_p")), "shared")
-    discard(hit, single)
+    out = materialize(sizes.join(runs.groupBy(*KEY).agg(covered["n"].cast("long").alias("_p")), KEY, "left"), "shared")
+    discard(hit, single, sizes)
     return out
 
 
@@ -442,9 +447,8 @@ def deduplicated(docs: DataFrame, text: str = "text", length: int = LENGTH, keep
     packed = pack(docs, text)
     spans = repeated_spans(packed, TEXT, length, unit, across)
     least = min(least_bytes(length, unit), least_bytes(PASSAGE, "word")) if passages else least_bytes(length, unit)
-    words = F.regexp_count(TEXT, F.lit(WORD)).cast("long") if passages else F.lit(None)
-    copies = keyed(packed.where(F.octet_length(TEXT) >= least).select(TEXT, F.octet_length(TEXT).alias("_l"), words.alias("_w")), TEXT).groupBy(*KEY).agg(F.count("*").alias("n"), F.first("_w").alias("_w"), F.first("_l").alias("_l"))
-    copies = materialize(copies.where("n > 1").select(*KEY, (F.col("_l") >= least_bytes(length, unit)).alias("_all"), "_w"), "copies")
+    copies = keyed(packed.where(F.octet_length(TEXT) >= least).select(TEXT, F.octet_length(TEXT).alias("_l")), TEXT).groupBy(*KEY).agg(F.count("*").alias("n"), F.first("_l").alias("_l"))
+    copies = materialize(copies.where("n > 1").select(*KEY, (F.col("_l") >= least_bytes(length, unit)).alias("_all"), F.lit(True).alias("_twice")), "copies")
     cut = spans.select(*KEY, F.size("_spans").cast("long").alias("_s"), F.aggregate("_spans", F.lit(0).cast("long"), lambda a, x: a + x.end - x.start).alias("_r"), F.col("_sha").alias("_h"), *([F.col("_kept").alias("_b")] if keep_text else []))
     change = copies.join(cut, KEY, "full")
     if passages:
@@ -467,7 +471,7 @@ def deduplicated(docs: DataFrame, text: str = "text", length: int = LENGTH, keep
     })
     added = ["_n_bytes", "_n_removed", "_n_spans", "_sha"]
     if passages:
-        out = out.withColumn("_n_shared", F.coalesce(F.when(F.col("_w") >= PASSAGE, F.col("_w")).otherwise(F.col("_p")), F.lit(0).cast("long")))
+        out = out.withColumn("_n_shared", F.coalesce(F.when(F.col("_twice"), F.col("_w")).otherwise(F.col("_p")), F.lit(0).cast("long")))
         added.append("_n_shared")
     if keep_text:
         out = out.withColumn("_kept", F.when(full, left.cast("binary")).otherwise(F.coalesce("_b", F.col(TEXT).cast("binary"))))
