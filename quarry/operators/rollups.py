@@ -96,11 +96,12 @@ def economics(sizes: DataFrame, size: str = "byte_size") -> DataFrame:
 
 
 def fingerprint(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """One row that doesn't depend on order or partitioning: number of rows and sums of halves of their hashes."""
+    """One row that doesn't depend on order or partitioning: number of rows and sums of parts of their hashes, 24 bits each, so
+    that the sums hold for 5e11 rows."""
     text = F.concat_ws("␟", *(F.coalesce(F.col(c).cast("string"), F.lit("␀")) for c in columns))
     h = F.sha2(text, 256)
-    part = lambda i: F.conv(F.substring(h, i, 8), 16, 10).cast("long")
-    return rows.agg(F.count("*").alias("rows"), *(F.coalesce(F.sum(part(1 + 8 * k)), zero()).alias(f"h{k}") for k in range(4)))
+    part = lambda i: F.conv(F.substring(h, i, 6), 16, 10).cast("long")
+    return rows.agg(F.count("*").alias("rows"), *(F.coalesce(F.sum(part(1 + 6 * k)), zero()).alias(f"h{k}") for k in range(8)))
 
 
 def adoption(calls: DataFrame) -> DataFrame:

@@ -92,8 +92,8 @@ def path_filter_glob(spark, d):
 
 @register("filter_matched_no_files", "SELECT 'docs/xx' AS pattern, count(*) = 0 AS none FROM files WHERE path = 'docs/xx' OR starts_with(path, 'docs/xx/')", "files")
 def filter_matched_no_files(spark, d):
-    found = D.files(spark, d).where(tx.path_filter(F.col("path"), "docs/xx")).limit(1)
-    return found.agg(F.lit("docs/xx").alias("pattern"), (F.count("*") == 0).alias("none"))
+    none = not lookup.any_file(D.files(spark, d), tx.path_filter(F.col("path"), "docs/xx"))
+    return spark.createDataFrame([("docs/xx", none)], "pattern string, none boolean")
 
 
 TEST_PATHS = ["tests/a.rs", "src/tests/x.py", "src/test/y.go", "src/latest/z.py", "pkg/a_test.go", "pkg/test_a.py", "web/a.spec.tsx", "web/a.test.js", "web/testing.js", "src\\\\tests\\\\w.cs"]
@@ -108,7 +108,9 @@ def test_path_filter(spark, d):
 
 @register("binary_oversize_filter", "SELECT doc_id, CASE WHEN octet_length(encode(text)) > 4000 THEN 'binary' ELSE 'text' END AS kind FROM documents")
 def binary_oversize_filter(spark, d):
-    return D.table(spark, d, "documents").select("doc_id", F.when((F.octet_length("text") > 4000) | (F.instr(F.substring("text", 1, 1024), "\0") > 0), "binary").otherwise("text").alias("kind"))
+    own = D.table(spark, d, "documents").select("doc_id", F.col("text").cast("binary").alias("content"))
+    good = lookup.readable(own, most=4000).select("doc_id", F.lit("text").alias("kind"))
+    return own.select("doc_id").join(good, "doc_id", "left").select("doc_id", F.coalesce("kind", F.lit("binary")).alias("kind"))
 
 
 @register("literal_prefilter_stats", "SELECT count(*) AS files_scanned, count(*) FILTER ((contains(text, 'thing') AND contains(text, 'The')) OR contains(text, 'über')) AS files_parsed FROM documents")
@@ -446,7 +448,7 @@ def ref_ids(spark, d):
 
 @register("dashboard_totals", "SELECT (SELECT count(*) FROM files) AS files, (SELECT CAST(sum(byte_size) AS BIGINT) FROM files) AS bytes, (SELECT count(*) FROM symbols) AS symbols, (SELECT count(*) FROM refs) AS refs", "files", "symbols", "refs")
 def dashboard_totals(spark, d):
-    return rollups.totals(D.files(spark, d), D.symbols(spark, d), D.refs(spark, d))
+    return rollups.totals(D.files(spark, d), D.symbols(spark, d), ref_ids(spark, d))
 
 
 @register("repo_details", "SELECT repos.name AS repo, (SELECT count(*) FROM files f WHERE f.repo_id = repos.repo_id) AS files, (SELECT CAST(coalesce(sum(byte_size), 0) AS BIGINT) FROM files f WHERE f.repo_id = repos.repo_id) AS bytes, (SELECT count(*) FROM symbols s JOIN files f USING (file_id) WHERE f.repo_id = repos.repo_id) AS symbols, (SELECT count(*) FROM refs r JOIN files f USING (file_id) WHERE f.repo_id = repos.repo_id) AS refs FROM repos", "repos", "files", "symbols", "refs")
@@ -518,7 +520,7 @@ def adoption_coverage(spark, d):
     return rollups.adoption(D.table(spark, d, "events").select(F.col("event_type").alias("tool"), (F.col("value") > 50).alias("used")))
 
 
-@register("fingerprint_noop", "SELECT count(*) AS rows, " + ", ".join(f"CAST(sum(CAST('0x' || h[{1 + 8 * k}:{8 + 8 * k}] AS BIGINT)) AS BIGINT) AS h{k}" for k in range(4)) + " FROM (SELECT sha256(concat_ws('␟', CAST(file_id AS VARCHAR), path, sha)) AS h FROM files)", "files")
+@register("fingerprint_noop", "SELECT count(*) AS rows, " + ", ".join(f"CAST(sum(CAST('0x' || h[{1 + 6 * k}:{6 + 6 * k}] AS BIGINT)) AS BIGINT) AS h{k}" for k in range(8)) + " FROM (SELECT sha256(concat_ws('␟', CAST(file_id AS VARCHAR), path, sha)) AS h FROM files)", "files")
 def fingerprint_noop(spark, d):
     return rollups.fingerprint(D.files(spark, d), ["file_id", "path", "sha"])
 
@@ -734,6 +736,46 @@ def event_overflow(spark, d):
     return maintain.changes_of(feed(spark, d), 3600).groupBy("window").agg(F.bool_or("rescan").alias("rescan"), F.count("*").alias("paths"))
 
 
+#: A rule file for each document; some are links to the next one's, some folders are links, some lead back.
+LINKED = """rules AS (SELECT DISTINCT 'w/d' || doc_id AS folder, 'w/d' || doc_id || '/.ignore' AS path FROM documents),
+links AS (
+  SELECT 'w/d' || doc_id || '/.ignore' AS path, '../d' || (doc_id + 1) || '/.ignore' AS target FROM documents WHERE doc_id % 50 < 44 AND doc_id % 3 <> 1
+  UNION ALL SELECT 'w/d' || doc_id, '/v/./d' || doc_id FROM documents WHERE doc_id % 7 = 1
+  UNION ALL SELECT 'v/d' || doc_id || '/.ignore', 'd' || doc_id || '/.ignore' FROM documents WHERE doc_id % 7 = 2
+  UNION ALL SELECT 'w/d' || doc_id || '/.ignore', '/w/d' || (doc_id - 5) || '/.ignore' FROM documents WHERE doc_id % 50 = 49)"""
+
+
+def linked_rules(spark, d):
+    """The same rows as LINKED, with absolute paths where they begin with a slash."""
+    id_ = F.col("doc_id")
+    docs = D.table(spark, d, "documents").select("doc_id")
+    own = lambda top, k: F.concat(F.lit(top), k.cast("string"))
+    file = lambda top, k: F.concat(own(top, k), F.lit("/.ignore"))
+    rules = docs.select(own("w/d", id_).alias("folder"), file("w/d", id_).alias("path")).distinct()
+    parts = [
+        docs.where((id_ % 50 < 44) & (id_ % 3 != 1)).select(file("w/d", id_).alias("path"), file("../d", id_ + 1).alias("target")), docs.where(id_ % 7 == 1).select(own("w/d", id_).alias("path"), own("/v/./d", id_).alias("target")),
+        docs.where(id_ % 7 == 2).select(file("v/d", id_).alias("path"), file("d", id_).alias("target")), docs.where(id_ % 50 == 49).select(file("w/d", id_).alias("path"), file("/w/d", id_ - 5).alias("target")),
+    ]
+    return rules, parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+@register("ignore_routes", f"""WITH RECURSIVE {LINKED},
+edges AS (SELECT path AS link, min(CASE WHEN starts_with(target, '/v/.') THEN '/v/' || target[6:] WHEN starts_with(target, '/') THEN target WHEN starts_with(target, '../') THEN 'w/' || target[4:] ELSE regexp_extract(path, '^(.*)/[^/]*$', 1) || '/' || target END) AS "to" FROM links GROUP BY path),
+r AS (
+  SELECT folder, path AS now, [path] AS been, 0 AS hop FROM rules
+  UNION ALL SELECT folder, nxt, list_append(been, nxt), hop + 1 FROM (
+    SELECT folder, been, hop, CASE WHEN top."to" IS NOT NULL THEN top."to" || substring(now, length(top.link) + 1) WHEN whole."to" IS NOT NULL THEN whole."to" END AS nxt
+    FROM r LEFT JOIN edges top ON top.link = regexp_extract(now, '^(/?[^/]*/[^/]*)/', 1) LEFT JOIN edges whole ON whole.link = now)
+  WHERE nxt IS NOT NULL AND hop < 40 AND NOT list_contains(been, nxt)),
+p AS (SELECT folder, CASE WHEN top.link IS NOT NULL THEN top.link ELSE now END AS path, hop FROM r LEFT JOIN edges top ON top.link = regexp_extract(now, '^(/?[^/]*/[^/]*)/', 1))
+SELECT folder, path, min(hop) AS hop FROM p GROUP BY folder, path""")
+def ignore_routes(spark, d):
+    """All places on the routes of rule files over links."""
+    from ..sources import links
+
+    return links.routes(*linked_rules(spark, d))
+
+
 @register("distinct_in_order", "SELECT kind AS value, min(symbol_id) AS first FROM symbols GROUP BY kind", "symbols")
 def distinct_in_order(spark, d):
     return lookup.first_of_each(D.symbols(spark, d), "kind", "symbol_id").select(F.col("kind").alias("value"), "first")

@@ -233,3 +233,36 @@ def test_index_of_three_byte_strings(spark, monkeypatch):
     some = small.join(ngrams.candidates(index, needles), "file_id", "left_semi")
     key = lambda rows: sorted((r.file_id, r.text, r.start_row) for r in rows.collect())
     assert key(captures(some, "python", pattern)) == key(captures(small, "python", pattern)) != [] and some.count() < 150
+
+
+def test_routes_over_links(spark):
+    """Chains, folders that are links, cycles, growing paths and the limit of hops, against one file at a time."""
+    import posixpath
+
+    from quarry.sources import links as ln
+
+    edges = {"a/.ignore": "../b/.ignore", "b": "c", "c/.ignore": "/abs/rules", "/abs": "/real", "x/.ignore": "y", "x/y": "z", "x/z": "y", "g/l": "l/l", "lost/.ignore": "nowhere/at/all"} | {f"n/{i}": f"{i + 1}" for i in range(60)}
+    rules = [(f, p) for f, p in (("a", "a/.ignore"), ("b", "./b/.ignore"), ("x", "x/.ignore"), ("g", "g/l/.ignore"), ("n", "n/0"), ("m", "n/30"), ("lost", "lost/.ignore"), ("q", "q/.ignore"), ("none", None))] + [("a", "a/.ignore")]
+
+    def walk(path):
+        path, been, out = posixpath.normpath(path), [], []
+        for _ in range(41):
+            if path in been:
+                break
+            been.append(path)
+            parts = path.split("/")
+            hit = next((p for k in range(1, len(parts) + 1) if (p := "/".join(parts[:k])) in edges), None)
+            out.append(hit or path)
+            if hit is None:
+                break
+            path = posixpath.normpath(posixpath.join(posixpath.dirname(hit), edges[hit]) + path[len(hit) :])
+        return set(out)
+
+    frame = ln.routes(spark.createDataFrame(rules, "folder string, path string"), spark.createDataFrame([*edges.items(), ("b", "d"), (None, "x")], "path string, target string"))
+    got = {}
+    for r in frame.collect():
+        got.setdefault(r.folder, set()).add(r.path)
+    assert got == {f: walk(p) for f, p in rules if p}
+    assert len(got["n"]) == 41 and "/abs" in got["a"] and "c/.ignore" in got["a"]
+    changed = lambda *p: {r.folder for r in ln.governed(spark.createDataFrame([(x,) for x in p], "path string"), frame).collect()}
+    assert changed("c") == {"a", "b"} and changed("b/.ignore") == set() and changed("lost/nowhere") == {"lost"} and changed("n/45") == {"m"} and changed("elsewhere", "q") == {"q"}
