@@ -75,7 +75,8 @@ def test_plans(spark):
     from quarry.plans import catalogue
 
     e = plan(catalogue.enclosing_trail(spark, d))
-    assert "NestedLoop" not in e and "Cartesian" not in e and "WindowGroupLimit" in e
+    assert "NestedLoop" not in e and "Cartesian" not in e and "MapInArrow" in e  # a sweep, not a join of positions with symbols
+    assert "WindowGroupLimit" in plan(catalogue.symbol_fair_quota(spark, d))
     assert "TakeOrderedAndProject" in plan(catalogue.kinds_top12(spark, d))
     files = plan(catalogue.files_catalog(spark, d).select("file_id", "path"))
     assert "sha2" not in files and "ReadSchema: struct<doc_id:bigint,lang:string>" in files
