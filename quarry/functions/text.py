@@ -27,7 +27,8 @@ def slice_lines(all_lines: Column, start_row: Column, end_row: Column, context:
 
 def first_snippet(some: Column) -> Column:
     """The first line that isn't blank, trimmed."""
-    return F.coalesce(F.get(F.filter(F.transform(some, F.trim), lambda x: x != ""), F.lit(0)), F.lit(""))
+    trimmed = F.transform(some, lambda x: F.trim(x))  # F.trim alone would be given each line's place as what to trim
+    return F.coalesce(F.get(F.filter(trimmed, lambda x: x != ""), F.lit(0)), F.lit(""))
 
 
 def elided(some: Column, most: int) -> Column:

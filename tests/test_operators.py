@@ -20,6 +20,12 @@ def test_lines_and_snippets(spark):
     assert got[0].e == "… 1 lines elided (2 total) …\nb" and got[2].s == "" and got[0].s == "a"
 
 
+def test_snippets_are_trimmed(spark):
+    rows = [(1, "  a b  \n"), (2, "\n  \n 0x0 \nb"), (3, "00\n11"), (4, "\ta ")]
+    got = spark.createDataFrame(rows, "i int, t string").select("i", tx.first_snippet(tx.lines(F.col("t"))).alias("s")).collect()
+    assert {r.i: r.s for r in got} == {1: "a b", 2: "0x0", 3: "00", 4: "\ta"}
+
+
 def test_globs_and_paths(spark):
     yes = [("src/**", "src/a/b.py"), ("src/*.py", "src/a/b.py"), ("**/x.py", "x.py"), ("**/x.py", "a/b/x.py"), ("a?c", "abc"), ("[ab]*.{py,rs}", "b1.rs"), ("[!a]*", "bcd"), ("a/**/b", "a/b"), ("a/**/b", "a/x/y/b"), ("**", "any/thing"), ("src", "src/x")]
     no = [("src/*.py", "lib/a.py"), ("[!a]*", "abc"), ("{a,b}.py", "c.py"), ("src", "src2/x"), ("src/a", "src/A")]
