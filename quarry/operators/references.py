@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..functions.tokens import occurrences_by_row
 from . import ordered
 from .lookup import ORDER
 
@@ -53,3 +54,20 @@ def with_snippets(refs: DataFrame, lines: DataFrame, n: int = 1) -> DataFrame:
     if n == 1:
         return out.withColumns({"snippet": tx.first_snippet(around), "snippet_start_row": F.lit(None).cast("long")}).drop("lines")
     return out.withColumns({"snippet": F.array_join(around, "\n"), "snippet_start_row": F.greatest(F.col("start_row") - (n - 1), F.lit(0)).cast("long")}).drop("lines")
+
+
+def found_with_snippets(texts: DataFrame, n: int = 1) -> DataFrame:
+    """The occurrences in plain texts (file_id, text; an id for each) with snippets, as ``with_snippets`` gives them.  What is
+    found stays beside its text and each row is cut once, so that neither a text nor an occurrence is shuffled."""
+    n = max(1, min(20, n))
+    found = occurrences_by_row(texts.where("file_id IS NOT NULL")).withColumn("lines", tx.lines(F.col("text")))
+
+    def cut(_, row):
+        around = tx.slice_lines(F.col("lines"), row, row, n - 1)
+        return tx.first_snippet(around) if n == 1 else F.array_join(around, "\n")
+
+    rows = found.select("file_id", F.arrays_zip(F.transform("lines", cut).alias("snippet"), F.col("found").alias("found")).alias("rows"))
+    # an inner one would bring a filter on its size that is computed from the text again, line by line
+    rows = rows.select("file_id", F.posexplode_outer("rows").alias("start_row", "at")).select("file_id", F.col("start_row").cast("long").alias("start_row"), F.col("at.snippet").alias("snippet"), F.inline("at.found"))
+    first = F.lit(None) if n == 1 else F.greatest(F.col("start_row") - (n - 1), F.lit(0))
+    return rows.select("file_id", "name", "start_row", "start_col", "end_row", "end_col", "context", "snippet", first.cast("long").alias("snippet_start_row"))

@@ -26,6 +26,25 @@ def test_snippets_are_trimmed(spark):
     assert {r.i: r.s for r in got} == {1: "a b", 2: "0x0", 3: "00", 4: "\ta"}
 
 
+def test_snippets_beside_their_texts(spark, monkeypatch):
+    """The same rows as by the join, without an exchange of texts or occurrences."""
+    from quarry.functions import tokens
+
+    monkeypatch.setattr(tokens, "GROUP", 40)
+    texts = spark.createDataFrame([(1, "  A b\r\nc, d.\n\n e \n"), (2, ""), (3, None), (4, "\n\n"), (5, "ü x\ny\nz\n\nw 1 _v"), (6, "q " * 50), (7, "\r\n\n9a\r\n")], "file_id long, text string")
+    lines = texts.select("file_id", tx.lines(F.col("text")).alias("lines"))
+    for n in (1, 2, 3):
+        want = references.with_snippets(tokens.with_occurrences(texts), lines, n)
+        got = references.found_with_snippets(texts, n)
+        assert want.count() == 61 and sorted(map(repr, (r.asDict() for r in got.select(*want.columns).collect()))) == sorted(map(repr, (r.asDict() for r in want.collect())))
+        assert got.select(*want.columns).schema.simpleString() == want.schema.simpleString()
+    from quarry.plans import catalogue
+
+    for query in (catalogue.ref_snippet_one, catalogue.ref_snippet_block):
+        shown = plan(query(spark, "/root/testdata/sf0.001"))
+        assert "MapInArrow" in shown and "Join" not in shown and "hashpartitioning" not in shown
+
+
 def test_globs_and_paths(spark):
     yes = [("src/**", "src/a/b.py"), ("src/*.py", "src/a/b.py"), ("**/x.py", "x.py"), ("**/x.py", "a/b/x.py"), ("a?c", "abc"), ("[ab]*.{py,rs}", "b1.rs"), ("[!a]*", "bcd"), ("a/**/b", "a/b"), ("a/**/b", "a/x/y/b"), ("**", "any/thing"), ("src", "src/x")]
     no = [("src/*.py", "lib/a.py"), ("[!a]*", "abc"), ("{a,b}.py", "c.py"), ("src", "src2/x"), ("src/a", "src/A")]
