@@ -103,11 +103,18 @@ def below(files: DataFrame, prefixes: DataFrame) -> DataFrame:
     return files.join(hit, ["repo_id", "path"], "left_semi")
 
 
+#: Parts that the paths below one root are joined in.
+SHARES = 256
+
+
 def owning_repo(paths: DataFrame, repos: DataFrame) -> DataFrame:
-    """The repository with the deepest root above each path.  A path is joined to its own prefixes, by equality."""
+    """The repository with the deepest root above each path.  A path is joined to its own prefixes, by equality.  Most paths
+    share their upper folders: each root stands in ``SHARES`` shares, and a path is joined in the one of its hash."""
     parts = F.split("path", "/")
-    up = paths.select("path", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))).alias("root_path"))
-    found = up.join(repos.select("root_path", F.col("name").alias("repo")), "root_path")
+    share = F.pmod(F.xxhash64("path"), F.lit(SHARES)).cast("int").alias("_share")
+    up = paths.select("path", share, F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))).alias("root_path"))
+    roots = repos.select("root_path", F.col("name").alias("repo"), F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))).alias("_share"))
+    found = up.join(roots, ["root_path", "_share"])
     return found.groupBy("path").agg(F.max_by("repo", F.struct(F.length("root_path"), "repo")).alias("repo"))
 
 

@@ -141,6 +141,24 @@ def test_owning_repo_and_purge(spark):
     assert {r.path: r.repo for r in maintain.owning_repo(paths, roots).collect()} == {"/a/x": "a", "/a/b/x": "b", "/a/bc/x": "a"}
 
 
+def test_paths_below_one_root_are_shared_out(spark):
+    """All paths lie below one root: the join's partitions hold about as many rows each."""
+    paths = spark.range(20_000).select(F.concat(F.lit("srv/f"), F.col("id").cast("string")).alias("path"))
+    roots = spark.createDataFrame([("srv", "top"), ("srv/f7", "seven"), ("other", "other")], "root_path string, name string")
+    held = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "8"}
+    old = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        found = maintain.owning_repo(paths, roots)
+        assert {r.repo: r.n for r in found.groupBy("repo").agg(F.count("*").alias("n")).collect()} == {"top": 19_999, "seven": 1}
+        joined = found._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(root_path" in joined and "_share" in joined.split("hashpartitioning(root_path")[1].split(")")[0]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
 def test_ignore_rules(tmp_path):
     from quarry.sources.walk import Workspace, walk
 
