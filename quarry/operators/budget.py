@@ -19,9 +19,9 @@ def sized(rows: DataFrame, key: str, order: list[str | Column], size: Column, bu
     """(key, rows, bytes, upto): of each key, how many rows, their bytes in all, and the bytes of its first 1, 2, ... rows with
     their commas.  ``least`` is the least size of a row: no more than ``budget / least + 1`` rows can matter."""
     given = rows.withColumn("_size", size.cast("long") + 1)
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(*order))
-    first = given.withColumn("_rank", rank).where(F.col("_rank") <= budget // least + 2)
-    first = first.withColumn("_upto", F.sum("_size").over(Window.partitionBy(key).orderBy("_rank")) - 1)
+    along = Window.partitionBy(key).orderBy(*order)
+    upto = F.sum("_size").over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - 1
+    first = given.withColumns({"_rank": F.row_number().over(along), "_upto": upto}).where(F.col("_rank") <= budget // least + 2)
     first = first.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_rank", "_upto"))).alias("u")).select(key, F.transform("u", lambda x: x["_upto"]).alias("upto"))
     whole = given.groupBy(key).agg(F.count("*").alias("rows"), (F.sum("_size") - 1).alias("bytes"))
     return whole.join(first, key)
@@ -39,7 +39,9 @@ def scaled(responses: DataFrame, fixed: Column, budget: int) -> DataFrame:
         size = with_rows(n, fixed)
         return F.when((size > budget) & (n > 1), F.greatest(F.lit(1).cast("long"), F.least((n * budget - F.pmod(n * budget, size)) / size, n - 1).cast("long"))).otherwise(n)
 
-    out = responses.withColumn("kept", F.aggregate(F.sequence(F.lit(1), F.lit(SCALED)), F.col("rows"), step))
+    # most responses fit as they are and take no steps
+    kept = F.when(fixed + F.col("bytes") <= budget, F.col("rows")).otherwise(F.aggregate(F.sequence(F.lit(1), F.lit(SCALED)), F.col("rows"), step))
+    out = responses.withColumn("kept", kept)
     return out.withColumn("size", with_rows(F.col("kept"), fixed)).withColumn("fits", F.col("size") <= budget)
 
 

@@ -130,6 +130,14 @@ def test_budgets(spark, budget_bytes):
         assert two[k] == (n, size(n), size(n) <= budget_bytes)
 
 
+def test_counts_within_a_budget_are_ranked_once(spark):
+    """One window gives ranks and running sums, with its limit below the exchange; counts stay in the JVM."""
+    from quarry.plans import catalogue
+
+    found = catalogue.byte_budget_counts(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert found.count("+- Window [") == 1 and found.count("WindowGroupLimit") == 2 and "MapInArrow" not in found and "to_json" not in found
+
+
 def test_needles(spark):
     from quarry.sources import occurrences
 
