@@ -419,3 +419,43 @@ def test_snapshots_markers_and_aliases(spark, make_index, tmp_path):
     with pytest.raises(FileExistsError):
         nav.index.snapshot(target)
     assert aliased({"repo": "a", "groups": [{"repo": "a", "file": "a"}, {"repo": "b"}]}, {"a": "z"}) == {"repo": "z", "groups": [{"repo": "z", "file": "a"}, {"repo": "b"}]}
+
+
+def test_long_texts_in_pieces():
+    """A text is scanned in pieces: the same occurrences, in memory that doesn't grow with its length."""
+    import tracemalloc
+
+    import numpy as np
+
+    from quarry.functions import tokens
+
+    odd = np.frombuffer("Ab, \t Cd9x.\n 9Ef, _g\r\n é Hi\n\n\tJk Lm.".encode(), np.uint8)
+    for limit in (1, 2, 5, 100):
+        got = list(tokens.occurrences_in_pieces(odd, limit))
+        for j, whole in enumerate(tokens.occurrences(odd)):
+            if j > 1:
+                assert np.concatenate([x[j] for _, x in got]).tolist() == whole.tolist()
+        assert b"".join(tokens.spelled(p, x[0], x[1]).tobytes() for p, x in got) == b"AbCd9xEf_gHiJkLm"
+    peaks = []
+    for n in (100_000, 800_000):
+        data = np.frombuffer(b"Some words, " * n, np.uint8)
+        tracemalloc.start()
+        assert sum(len(x[0]) for _, x in tokens.occurrences_in_pieces(data)) == 2 * n
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 2 * peaks[0] and peaks[1] < 64 << 20
+    # no line end for megabytes: what stands before in the line is carried on, not read again
+    assert [x[4].tolist() for _, x in tokens.occurrences_in_pieces(np.frombuffer(b" " * 300_000 + b"Abc  Def", np.uint8), 1000) if len(x[0])] == [[3, 4]]
+
+
+def test_arrow_batches_are_bounded(spark):
+    """Texts go to Python in batches of bounded bytes, not of ten thousand rows whatever their size."""
+    from quarry.functions import tokens
+
+    before = spark.conf.get(tokens.BATCH, None)
+    spark.conf.unset(tokens.BATCH)
+    try:
+        tokens.with_occurrences(spark.createDataFrame([(1, "a b")], "file_id long, text string"))
+        assert spark.conf.get(tokens.BATCH, None) == tokens.BATCH_BYTES
+    finally:
+        spark.conf.set(tokens.BATCH, before) if before else spark.conf.unset(tokens.BATCH)
