@@ -122,6 +122,35 @@ def test_suffix_array_on_tiles(monkeypatch):
     assert sorted(covered) == list(range(len(data) - 399))
 
 
+def test_neighbouring_texts_are_named_together():
+    """Short texts are looked at in groups, with the results of each text alone, at a small part of its calls."""
+    from unittest import mock
+
+    import numpy as np
+    import pyarrow as pa
+
+    import quarry.llm.suffix_array as s
+
+    texts = [None, "", "a", PASSAGE + PASSAGE, *[prose(R.randrange(200)) for _ in range(120)], " \n", PASSAGE]
+    for unit, length, size in (("byte", 400, 100), ("byte", 60, 25), ("word", 50, 25), ("word", 7, 3)):
+        batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["_t"])
+        with mock.patch.object(s, "names", wraps=s.names) as calls:
+            groups = list(s.texts_of(batch, unit, length))
+            together = [(own.row + int(t), int(x), int(n)) for own in groups for x, n, t in zip(*own.sampled(size), strict=True)]
+            assert calls.call_count <= len(texts) // 4
+        chunks = [(own.row + int(own.text_of(at + a)), int(at + a - own.begin[own.text_of(at + a)]), int(z - a), int(c)) for own in groups for at, begin, last, cls, *_ in own.chunks(size * 2 if size * 2 < length else size, 1) for a, z, c in zip(begin, last, cls, strict=True)]
+        alone, alone_chunks = [], []
+        for i in range(len(texts)):
+            for own in s.texts_of(batch.slice(i, 1), unit, length):
+                alone += [(i, int(x), int(n)) for x, n, _ in zip(*own.sampled(size), strict=True)]
+                alone_chunks += [(i, int(at + a - own.begin[0]), int(z - a), int(c)) for at, begin, last, cls, *_ in own.chunks(size * 2 if size * 2 < length else size, 1) for a, z, c in zip(begin, last, cls, strict=True)]
+        assert together and sorted(together) == sorted(alone) and sorted(chunks) == sorted(alone_chunks)
+        known = pa.array([[np.int64(np.uint64(x).view(np.int64)) for j, x, _ in alone if j == i] for i in range(len(texts))], pa.list_(pa.int64()))
+        kept = [r for own in groups for r in own.kept(size, own.known(known)).to_pylist()]
+        assert kept == [r for i in range(len(texts)) for own in s.texts_of(batch.slice(i, 1), unit, length) for r in own.kept(size, own.known(known.slice(i, 1))).to_pylist()]
+        assert all(r == [] or r[0] == 0 for r in kept) and len(kept) == len(texts)
+
+
 def sets_of(text, n):
     words = [w for w in re.split("[\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if w]
     return frozenset(tuple(words[i : i + n]) for i in range(len(words) - n + 1)) if len(words) >= n else frozenset([tuple(words)] if words else [])
