@@ -16,8 +16,10 @@ import tempfile
 import uuid
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Of the order's values, those that lie together in one task.
 STRIPE = 4096
@@ -40,6 +42,14 @@ def folder(spark: SparkSession, name: str = "index") -> str:
     return path
 
 
+def given(spark: SparkSession, rows: list[tuple], kinds: str) -> DataFrame:
+    """A few rows that the driver holds, as a local table.  A list of Python objects would be copied by workers of its own on
+    all executors, beside those that Arrow batches go to."""
+    names = StructType.fromDDL(kinds).names
+    columns = zip(*rows, strict=True) if rows else [()] * len(names)
+    return spark.createDataFrame(pa.table([pa.array(c) for c in columns], names), kinds)
+
+
 def landed(df: DataFrame, name: str) -> DataFrame:
     """Written once to the shared folder and read back."""
     path = folder(df.sparkSession, name) + "/rows"
@@ -61,7 +71,7 @@ class Ordered:
     def numbered(self, name: str = "ordinal", parts: list[tuple[int, int, int]] | None = None) -> DataFrame:
         """All rows, or those of some parts, with their ordinal in the whole order."""
         parts = self.starts if parts is None else parts
-        first = self.rows.sparkSession.createDataFrame([(p, s) for p, s, _ in parts], "_part int, _first long")
+        first = given(self.rows.sparkSession, [(p, s) for p, s, _ in parts], "_part int, _first long")
         rows = self.rows if parts is self.starts else self.rows.where(F.col("_part").isin([p for p, _, _ in parts]))
         return rows.join(first, "_part").withColumn(name, F.col("_first") + F.col("_place")).drop("_part", "_place", "_first")
 

@@ -247,7 +247,7 @@ RANGES = "start_row + 1 AS first, start_col, end_row + 1 AS last, end_col"
 
 
 def rows_of(spark: SparkSession, rows: list[tuple], kinds: str) -> DataFrame:
-    return spark.createDataFrame(rows, kinds)
+    return ordered.given(spark, rows, kinds)
 
 
 @register("tool_get_symbol", f""", r AS (

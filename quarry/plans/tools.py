@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..model import EnclosingArgs, InvalidArguments, Limits, OutlineArgs, QueryArgs, ReferenceArgs, ReplaceArgs, SymbolArgs
 from ..operators import intervals, lookup, references, rollups
+from ..operators.ordered import given
 from ..sources import ngrams, patterns
 from ..sources.extract.symbols import parse
 from ..sources.languages import BY_ID, detect
@@ -295,19 +296,22 @@ class Navigator:
         """Files of the page whose live source isn't the indexed one."""
         if not page:
             return set()
-        wanted = self.spark.createDataFrame(page, "repo string, path string")
+        wanted = given(self.spark, page, "repo string, path string")
         return {(r.repo, r.path) for r in self.unverified(rows.join(wanted, ["repo", "path"], "left_semi")).collect()}
 
     def any_stale(self, rows: DataFrame) -> bool:
         """Is there such a file anywhere in the result?  Stops at the first."""
-        return bool(self.unverified(rows).limit(1).count())
+        return not self.unverified(rows).isEmpty()
 
     def unverified(self, rows: DataFrame) -> DataFrame:
-        """Files whose live source isn't the indexed one; hashed by tasks."""
+        """Files whose live source isn't the indexed one; hashed by tasks, in pieces.  Without roots that is every file."""
         import hashlib
 
         import pyarrow as pa
 
+        files = rows.select("repo", "path", "sha").distinct()
+        if not self.roots:
+            return files.select("repo", "path")
         roots = dict(self.roots)
 
         def check(batches):
@@ -316,12 +320,12 @@ class Navigator:
                 for repo, path, sha in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     try:
                         with open(os.path.join(roots[repo], path), "rb") as f:
-                            bad.append(hashlib.sha256(f.read()).hexdigest() != sha)
+                            bad.append(hashlib.file_digest(f, "sha256").hexdigest() != sha)
                     except (OSError, KeyError):
                         bad.append(True)
                 yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(bad)), batch.column(1).filter(pa.array(bad))], ["repo", "path"])
 
-        return rows.select("repo", "path", "sha").distinct().mapInArrow(check, "repo string, path string")
+        return files.mapInArrow(check, "repo string, path string")
 
     def reference(self, r: dict, several: bool, n: int, stale: bool, cache: dict) -> dict:
         out = {"name": r["name"] if several else None, "range": wire.wire_range(r), "context": r["context"]}

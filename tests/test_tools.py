@@ -158,3 +158,30 @@ def test_several_repos_and_dashboard(make_index):
     builder.config.remove("a")
     builder.build()
     assert nav.get_symbol(SymbolArgs(name="same"))["total"] == 1
+
+
+def test_few_rows_need_no_python_workers(spark, tmp_path):
+    """Rows that the driver holds are a local table, and where no source is live nothing is hashed: neither starts Python
+    workers beside the scanner's."""
+    from quarry.operators import ordered
+    from quarry.plans import catalogue_tools
+    from quarry.plans.tools import Navigator
+
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    rows = [("b", 2, None, True), ("a", 1 << 40, "é", False)]
+    for some in (rows, []):
+        found = catalogue_tools.rows_of(spark, some, "name string, n long, note string, fits boolean")
+        assert plan(found).startswith("LocalTableScan") and [tuple(r) for r in found.collect()] == some
+        assert found.dtypes == [("name", "string"), ("n", "bigint"), ("note", "string"), ("fits", "boolean")]
+    whole = ordered.ordered(spark.range(100), ["id"])
+    assert "ExistingRDD" not in plan(whole.numbered()) and [(r.id, r.ordinal) for r in whole.page(40, 3).orderBy("id").collect()] == [(40, 40), (41, 41), (42, 42)]
+    # without live sources every file is stale; with them only those that changed or are gone
+    (tmp_path / "same").write_bytes(b"x" * 3_000_000)
+    (tmp_path / "other").write_bytes(b"y")
+    sha = __import__("hashlib").sha256(b"x" * 3_000_000).hexdigest()
+    refs = spark.createDataFrame([("r", p, sha) for p in ("same", "other", "gone", "same")] + [("lost", "same", sha)], "repo string, path string, sha string")
+    bare, live = Navigator(spark, None, {}), Navigator(spark, None, {"r": str(tmp_path)})
+    assert "MapInArrow" not in plan(bare.unverified(refs)) and bare.any_stale(refs)
+    assert bare.stale_files(refs, [("r", "same"), ("r", "no")]) == {("r", "same")}
+    assert {tuple(r) for r in live.unverified(refs).collect()} == {("r", "other"), ("r", "gone"), ("lost", "same")}
+    assert live.any_stale(refs) and not live.any_stale(refs.where("path = 'same' AND repo = 'r'")) and not live.any_stale(refs.where("false"))
