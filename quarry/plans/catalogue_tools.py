@@ -356,15 +356,16 @@ def tool_query(spark, d):
     from .store import Store
     from .tools import Navigator
 
-    store, walked = Store(spark, folder(spark)), source_table(spark, d)
-    text = F.col("content").cast("string")
+    store, text = Store(spark, folder(spark)), F.col("content").cast("string")
+    walked = source_table(spark, d).withColumn("repo", F.coalesce("repo", F.lit(""))).withColumn("repo_id", F.xxhash64("repo"))  # any name, also none
+    repos = walked.select("repo_id", F.col("repo").alias("name"), F.concat(F.lit("/srv/"), "repo").alias("root_path")).distinct()
     walked = with_state(walked.withColumn("content", F.when(F.col("doc_id") % 4 == 1, F.replace(text, F.lit("Base"), F.lit("Root"))).otherwise(text)))
     none = F.lit(None)
     symbols = D.symbols(spark, d).withColumns({"signature": none.cast("string"), "docstring": none.cast("string")}).where("false")
     refs = D.refs(spark, d, ["absent_name"]).withColumn("ref_id", F.lit(0).cast("long")).where("false")
-    store.publish({"repos": D.repos(spark, d), "files": walked.withColumns({"file_id": F.col("doc_id"), "partial": F.lit(False)}), "symbols": symbols, "refs": refs})
+    store.publish({"repos": repos, "files": walked.withColumns({"file_id": F.col("doc_id"), "partial": F.lit(False)}), "symbols": symbols, "refs": refs})
     grams = ordered.landed(ngrams.built(walked, "doc_id"), "grams")
-    roots = {r.name: "" for r in D.repos(spark, d).orderBy("name").collect()}  # the configured repositories
+    roots = {r.name: "" for r in store.read("repos").orderBy("name").collect()}  # the configured repositories
     nav = Navigator(spark, store, roots, Limits(max_response_chars=0), walked, grams)
     pattern = '((class_definition name: (identifier) @name superclasses: (argument_list (identifier) @base)) (#eq? @base "Base") (#match? @name "^C000001[0-9][0-9]$"))'
     found = nav.query(QueryArgs(query=pattern, language="python", limit=60, offset=37))

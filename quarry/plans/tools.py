@@ -29,7 +29,8 @@ STALE = "the source has changed since it was indexed"
 class Navigator:
     """Reads a store or an overlay; ``roots`` tells where live sources lie.  Sources may also be a table (repo, path, content),
     of which ``grams`` is the index of three-byte strings (quarry.sources.ngrams, by the file_id of the store): then
-    patterns read only the sources that can hold their literals."""
+    patterns read only the sources that can hold their literals.  The time budget of patterns holds for live sources, which a
+    caller waits for; in a table every source is matched, however long it takes, so that the answer is whole."""
 
     def __init__(self, spark: SparkSession, index, roots: dict[str, str], limits: Limits | None = None, table: DataFrame | None = None, grams: DataFrame | None = None):
         self.spark, self.index, self.roots, self.limits = spark, index, roots, limits or Limits()
@@ -387,6 +388,7 @@ class Navigator:
         found = self.path_filter(args.file_glob, args.repo)
         head = {"diagnostics": diagnostics, "language": args.language or (asked[0] if len(asked) == 1 else "")}
         limit, offset, cap = self.limits.results(args.limit), args.offset, self.limits.capture_char_limit
+        budget = self.limits.query_timeout_ms if self.table is None else None
         files = self.candidates(args.repo, good)
         if self.index.manifest().ready:
             repos, all_files, _, _ = self.tables()
@@ -407,7 +409,7 @@ class Navigator:
                 needles = patterns.required_literals(patterns.compiled(language, args.query))
                 own = files.where(F.col("language") == language)
                 parsed_files += lookup.readable(own, needles).count()
-                part = patterns.captures(lookup.readable(own).select("ordinal", "repo", "path", "language", "partial", "content"), language, args.query, budget_ms=self.limits.query_timeout_ms)
+                part = patterns.captures(lookup.readable(own).select("ordinal", "repo", "path", "language", "partial", "content"), language, args.query, budget_ms=budget)
                 parts = part if parts is None else parts.unionByName(part)
             timed_out = False
             if parts is not None:

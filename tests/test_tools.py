@@ -185,3 +185,22 @@ def test_few_rows_need_no_python_workers(spark, tmp_path):
     assert bare.stale_files(refs, [("r", "same"), ("r", "no")]) == {("r", "same")}
     assert {tuple(r) for r in live.unverified(refs).collect()} == {("r", "other"), ("r", "gone"), ("lost", "same")}
     assert live.any_stale(refs) and not live.any_stale(refs.where("path = 'same' AND repo = 'r'")) and not live.any_stale(refs.where("false"))
+
+
+def test_patterns_over_a_table_are_whole(spark, tmp_path, monkeypatch):
+    """Every source of a table is matched, whatever the time budget, also one whose repository has no name or no number."""
+    import duckdb
+    from pyspark.sql import functions as F
+
+    from quarry.model import Limits
+    from quarry.plans import catalogue, catalogue_tools
+
+    given = f"{tmp_path}/documents.parquet"
+    os.symlink("/root/testdata/sf0.001/conversations.parquet", f"{tmp_path}/conversations.parquet")
+    odd = F.when(F.col("doc_id") % 7 == 3, F.lit(None)).when(F.col("doc_id") % 7 == 5, "web").otherwise(F.col("source"))
+    spark.read.parquet("/root/testdata/sf0.001/documents.parquet").withColumn("source", odd).write.parquet(given)
+    monkeypatch.setattr(catalogue_tools, "Limits", lambda **k: Limits(**{"query_timeout_ms": 0} | k))
+    got = sorted(tuple(r) for r in catalogue_tools.tool_query(spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{given}/*.parquet'")
+    assert len(got) == 60 and got == sorted(con.execute(catalogue.SQL["tool_query"]).fetchall())
