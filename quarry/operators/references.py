@@ -56,11 +56,26 @@ def with_snippets(refs: DataFrame, lines: DataFrame, n: int = 1) -> DataFrame:
     return out.withColumns({"snippet": F.array_join(around, "\n"), "snippet_start_row": F.greatest(F.col("start_row") - (n - 1), F.lit(0)).cast("long")}).drop("lines")
 
 
+#: Bytes of different snippets in a part: the dictionary of a Parquet column ends at 1 MB, and each further row spells its snippet out.
+DICTIONARY = 3 << 18
+
+
+def snippet_parts(texts: DataFrame, n: int) -> int:
+    """In how many parts each has about ``DICTIONARY`` bytes of different snippets.  A line stands in those of at most 2n - 1 rows."""
+    size = F.octet_length("text")
+    rows = size - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    held = texts.agg(F.sum(size.cast("long") * F.least(rows, F.lit(2 * n - 1)))).first()[0] or 0
+    return max(texts.sparkSession.sparkContext.defaultParallelism, -(-held // DICTIONARY))
+
+
 def found_with_snippets(texts: DataFrame, n: int = 1) -> DataFrame:
     """The occurrences in plain texts (file_id, text; an id for each) with snippets, as ``with_snippets`` gives them.  What is
-    found stays beside its text and each row is cut once, so that neither a text nor an occurrence is shuffled."""
+    found stays beside its text and each row is cut once.  All words of a line have its snippet, so that the rows are many
+    times the texts: texts, never occurrences, are dealt out to parts so small that a file which is written of one spells
+    each snippet once."""
     n = max(1, min(20, n))
-    found = occurrences_by_row(texts.where("file_id IS NOT NULL")).withColumn("lines", tx.lines(F.col("text")))
+    texts = texts.where("file_id IS NOT NULL")
+    found = occurrences_by_row(texts, parts=snippet_parts(texts, n)).withColumn("lines", tx.lines(F.col("text")))
 
     def cut(_, row):
         around = tx.slice_lines(F.col("lines"), row, row, n - 1)

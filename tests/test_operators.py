@@ -45,6 +45,18 @@ def test_snippets_beside_their_texts(spark, monkeypatch):
         assert "MapInArrow" in shown and "Join" not in shown and "hashpartitioning" not in shown
 
 
+@pytest.mark.parametrize("n", [2])
+def test_snippets_are_written_once(spark, tmp_path, n):
+    """All words of a line have its snippet, but what is written grows with the texts: snippets stay in Parquet's dictionaries."""
+    r = random.Random(5)
+    texts = [(i, "\n".join(" ".join(f"w{r.randrange(10**6)}" for _ in range(20)) for _ in range(200))) for i in range(300)]
+    found = references.found_with_snippets(spark.createDataFrame(texts, "file_id long, text string"), n)
+    found.select("file_id", "start_row", "start_col", "snippet").write.option("compression", "none").parquet(f"{tmp_path}/out")
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 300 * 200 * 20
+    written = sum(os.path.getsize(f"{tmp_path}/out/{x}") for x in os.listdir(f"{tmp_path}/out"))
+    assert written < 1.5 * (2 * n - 1) * sum(len(t) for _, t in texts)
+
+
 def test_globs_and_paths(spark):
     yes = [("src/**", "src/a/b.py"), ("src/*.py", "src/a/b.py"), ("**/x.py", "x.py"), ("**/x.py", "a/b/x.py"), ("a?c", "abc"), ("[ab]*.{py,rs}", "b1.rs"), ("[!a]*", "bcd"), ("a/**/b", "a/b"), ("a/**/b", "a/x/y/b"), ("**", "any/thing"), ("src", "src/x")]
     no = [("src/*.py", "lib/a.py"), ("[!a]*", "abc"), ("{a,b}.py", "c.py"), ("src", "src2/x"), ("src/a", "src/A")]
