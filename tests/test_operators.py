@@ -45,7 +45,7 @@ def test_snippets_beside_their_texts(spark, monkeypatch):
         assert "MapInArrow" in shown and "Join" not in shown and "hashpartitioning" not in shown
 
 
-@pytest.mark.parametrize("n", [2])
+@pytest.mark.parametrize("n", [1, 2])
 def test_snippets_are_written_once(spark, tmp_path, n):
     """All words of a line have its snippet, but what is written grows with the texts: snippets stay in Parquet's dictionaries."""
     r = random.Random(5)
