@@ -401,6 +401,7 @@ class Navigator:
             some = ngrams.candidates(self.grams, [own for x in literals for own in x])
             files = files if some is None else files.join(some, "file_id", "left_semi")
         files = self.contents(files).where(F.octet_length("content") <= 2 << 20).persist(StorageLevel.DISK_ONLY)
+        held = [files]
         try:
             # with the index, what is left out is counted by its entry
             scanned = files.count() if self.grams is None else every.where(F.col("byte_size") <= 2 << 20).count()
@@ -414,6 +415,7 @@ class Navigator:
             timed_out = False
             if parts is not None:
                 parts = parts.persist(StorageLevel.DISK_ONLY)
+                held.append(parts)
                 timed_out = bool(parts.where("capture IS NULL").limit(1).count())
                 parts = parts.where("capture IS NOT NULL")
                 if args.capture:
@@ -422,7 +424,8 @@ class Navigator:
             else:
                 rows = []
         finally:
-            files.unpersist()
+            for x in held:
+                x.unpersist()
         if timed_out and not rows:
             raise TimeoutError(f"no capture within {self.limits.query_timeout_ms} ms; narrow the pattern or the files")
         more = len(rows) > limit or timed_out

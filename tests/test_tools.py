@@ -204,3 +204,20 @@ def test_patterns_over_a_table_are_whole(spark, tmp_path, monkeypatch):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{given}/*.parquet'")
     assert len(got) == 60 and got == sorted(con.execute(catalogue.SQL["tool_query"]).fetchall())
+
+
+def test_time_budget_is_for_live_sources(spark, make_index):
+    """Without time, live sources give an error; a table of the same sources gives its captures, and nothing stays on disk."""
+    from quarry.model import Limits
+    from quarry.plans.tools import Navigator
+
+    files = {f"p{i}.py": f"def f{i}():\n    return 1\n" for i in range(4)}
+    nav, _, roots = make_index({"w": files}, query_timeout_ms=0)
+    asked = QueryArgs(query="(function_definition name: (identifier) @n)", language="python", offset=1)
+    with pytest.raises(TimeoutError):
+        nav.query(asked)
+    table = spark.createDataFrame([("w", path, text) for path, text in files.items()], "repo string, path string, content string")
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    found = Navigator(spark, nav.index, roots, Limits(query_timeout_ms=0), table).query(asked)
+    assert [c["text"] for c in found["captures"]] == ["f1", "f2", "f3"] and not found["truncated"]
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() <= before
